@@ -29,6 +29,27 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
+def word_bpe() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessaro.llm.common import new_path
+    from tessaro.llm.token_store import write_store
+
+    store = write_store(table(spark, sf_dir, "documents"), new_path(spark, "token-store"), word_bpe(), end_id=2)
+    return store.read(store.lookup(store.entries.select("doc_id", "occurrence")))
+
+
+def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessaro.llm.best_fit_packing import pack, token_pieces
+    from tessaro.llm.common import cut
+
+    return pack(cut(token_pieces(table(spark, sf_dir, "documents"), word_bpe(), end_id=0)))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
