@@ -43,6 +43,12 @@ def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.read(store.lookup(store.entries.select("doc_id", "occurrence")))
 
 
+def op9_radix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessaro.llm.radix_dedup import remove_repeats
+
+    return remove_repeats(table(spark, sf_dir, "documents"), with_text=False)
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessaro.llm.best_fit_packing import pack, token_pieces
     from tessaro.llm.common import cut
