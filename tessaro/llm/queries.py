@@ -49,6 +49,12 @@ def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.read(store.lookup(store.entries.select("doc_id", "occurrence")))
 
 
+def op7_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessaro.llm.ordinal_quality import quality_grades
+
+    return quality_grades(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_radix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessaro.llm.radix_dedup import remove_repeats
 
