@@ -22,6 +22,9 @@ KEPT = 600_000
 LARGEST = 64 << 20
 #: Parts encoded in one string, with a special token between them.
 JOINED = 256
+#: A run of these after letters is a piece of its own.
+MARKS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+PROBES = (".", ",", "###", "!?", "<|", "&&&.")
 
 
 def tokenizer_file(spark: SparkSession, path: str) -> Broadcast:
@@ -51,11 +54,55 @@ class WordEncoder:
         kinds = [x["type"] for x in normalizer.get("normalizers", [normalizer]) if x]
         #: ASCII capitals may go first where the tokenizer lower-cases anyway.
         self.lower = "Lowercase" in kinds
+        self.plain = self.letters_only(rules)
+
+    def letters_only(self, rules: dict):
+        """A tokenizer without normaliser and pattern for words of a-z, which neither changes; None where it differs on a probe."""
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        suffix = rules["model"].get("end_of_word_suffix")
+        if not suffix:
+            return None
+        plain = Tokenizer(self.tokenizer.model)
+        plain.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(with_added_tokens=True), bool)
+        self.ends[[i for w, i in plain.get_vocab(with_added_tokens=False).items() if w.endswith(suffix)]] = True
+        probe = "the quick brown fox jumps over lazy dogs supercalifragilistic zqxjk a".split()
+        whole = [self.tokenizer.encode(w + p, add_special_tokens=False).ids for w in probe for p in ("", *PROBES)]
+        parts = [plain.encode(w, add_special_tokens=False).ids + self.tokenizer.encode(p, add_special_tokens=False).ids for w in probe for p in ("", *PROBES)]
+        return plain if whole == parts else None
 
     def whole(self, text: bytes) -> bytes:
         return np.array(self.tokenizer.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes()
 
     def learn(self, parts: list[bytes]) -> None:
+        if self.plain:
+            stems = {w: w.rstrip(MARKS) for w in parts}
+            letters = {x for x in stems.values() if x not in self.known and x.isalpha() and x.islower()}
+            self.learn_letters(list(letters))
+            marks = {w[len(x) :] for w, x in stems.items() if len(x) < len(w) and x in self.known}
+            self.learn_any([m for m in marks if m not in self.known])
+            rest = []
+            for w, x in stems.items():
+                if w in self.known:
+                    continue
+                if x.isalpha() and x in self.known:
+                    self.known[w] = self.known[x] + self.known[w[len(x) :]]
+                else:
+                    rest.append(w)
+            parts = rest
+        self.learn_any(parts)
+
+    def learn_letters(self, words: list[bytes]) -> None:
+        lots = [words[i : i + JOINED] for i in range(0, len(words), JOINED)]
+        for lot, found in zip(lots, self.plain.encode_batch_fast([b" ".join(lot).decode() for lot in lots], add_special_tokens=False), strict=True):
+            ids = np.array(found.ids, "<u4")
+            raw, start = ids.tobytes(), 0
+            for w, end in zip(lot, (np.flatnonzero(self.ends[ids]) * 4 + 4).tolist(), strict=True):
+                self.known[w] = raw[start:end]
+                start = end
+
+    def learn_any(self, parts: list[bytes]) -> None:
         lots = [parts[i : i + JOINED] for i in range(0, len(parts), JOINED)]
         strings = [self.between.join([w.decode("utf-8", "replace") for w in lot]) for lot in lots]
         for lot, found in zip(lots, self.tokenizer.encode_batch_fast(strings, add_special_tokens=False), strict=True):
