@@ -17,7 +17,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 
-from tessaro.llm.common import SPACE, batch, map_texts
+from tessaro.llm.common import SPACE, batch, map_texts, small_batches, texts
 
 SYMBOLS = b"#*$%&|<>"
 WINDOW = 8
@@ -108,3 +108,20 @@ def quality_rules(docs: DataFrame, bands: Bands = Bands()) -> DataFrame:
             yield batch(doc_id=pa.array(ids, pa.int64()), **dict(zip(names, map(pa.array, c), strict=True)))
 
     return map_texts(docs, ["doc_id"], run, SCHEMA)
+
+
+def keep_good(docs: DataFrame, bands: Bands = Bands(), text: str = "text") -> DataFrame:
+    """The rows of docs that pass the rules, with all their columns."""
+    small_batches(docs.sparkSession)
+    place = docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        zip_ = zstandard.ZstdCompressor(level=bands.level)
+        for b in batches:
+            good = []
+            for t in texts(b.column(place)):
+                n, *_, repeat = base_counts(t)
+                good.append(n >= bands.min_words and 100 * repeat <= bands.repeat_percent * n and banded(t, bands, zip_)[-1])
+            yield b.filter(pa.array(good, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessaro.llm.common import SPACE, batch, cut, map_texts
+from tessaro.llm.common import SPACE, batch, cut, map_texts, small_batches, texts
 
 BITS = 16
 SAMPLE = 12_000
@@ -146,3 +146,18 @@ def score(docs: DataFrame, model: CumulativeLink, least: float = LEAST, bits: in
 
 def quality_grades(docs: DataFrame, labels: DataFrame, least: float = LEAST, sample: int = SAMPLE) -> DataFrame:
     return score(docs, train(docs, graded(labels), sample), least)
+
+
+def keep_good(docs: DataFrame, model: CumulativeLink, least: float = LEAST, bits: int = BITS, text: str = "text") -> DataFrame:
+    """The rows of docs whose P(grade > 0) reaches least, with all their columns."""
+    small_batches(docs.sparkSession)
+    held = docs.sparkSession.sparkContext.broadcast(model)
+    place = docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = held.value
+        for b in batches:
+            raw = np.array([float(v @ m.weights[a]) for a, v in (features(t, bits) for t in texts(b.column(place)))])
+            yield b.filter(pa.array(m.above(raw)[:, 0] >= least if m.grades > 1 else np.ones(len(raw), bool)))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -324,3 +324,46 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, group:
             yield batch(**{n: pa.array(c, k) for n, c, k in zip(names, zip(*rows, strict=True), kinds, strict=False)})
 
     return rest.mapInArrow(run, schema).unionAll(direct)
+
+
+def whole_characters(text: bytes, spans: list[tuple[int, int]]) -> bytes:
+    """What is left of a text when no character is cut: one that is covered in part stays."""
+    rest, at = [], 0
+    for a, b in spans:
+        while a < b and text[a] & 0xC0 == 0x80:
+            a += 1
+        while a < b < len(text) and text[b] & 0xC0 == 0x80:
+            b -= 1
+        rest.append(text[at:a])
+        at = b
+    rest.append(text[at:])
+    return b"".join(rest)
+
+
+def strip_repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, group: int = GROUP) -> DataFrame:
+    """docs with the repeated passages taken out of text, and n_chars counted anew if there is one; all rows stay."""
+    _, info = repeated_spans(docs, width, gram, group)
+    one = info.filter("whole OR runs IS NOT NULL").dropDuplicates(["doc_id", "digest"]).select(F.col("doc_id").alias("__i"), F.col("digest").alias("__d"), F.col("whole").alias("__whole"), F.col("runs").alias("__runs"))
+    named = docs.withColumn("__digest", F.unhex(F.md5(F.coalesce(F.col("text").cast("binary"), F.lit(b"")))))
+    joined = named.join(one, F.col("doc_id").eqNullSafe(F.col("__i")) & (F.col("__digest") == F.col("__d")), "left").drop("__i", "__d", "__digest")
+    place = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            columns = list(b.columns)
+            whole, runs = (c.to_pylist() for c in columns[-2:])
+            out = []
+            for text, all_, own in zip(columns[place].to_pylist(), whole, runs, strict=True):
+                if all_ or own:
+                    raw = text.encode("utf-8", "surrogatepass")
+                    spans, _ = kept_bytes(raw, own, width)
+                    text = "" if all_ else whole_characters(raw, spans).decode("utf-8", "replace")
+                out.append(text)
+            columns[place] = pa.array(out, columns[place].type)
+            yield pa.RecordBatch.from_arrays(columns[:-2], list(docs_names))
+
+    docs_names = docs.columns
+    out = joined.mapInArrow(run, docs.schema)
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return out

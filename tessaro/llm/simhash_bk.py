@@ -177,3 +177,14 @@ def simhash_groups(docs: DataFrame) -> DataFrame:
         "component_id",
         F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"),
     )
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """The rows of docs but those of a group's other documents; a document in several rows stays once. Rows without doc_id stay."""
+    groups = cut(simhash_groups(docs))
+    dropped = groups.filter("NOT kept").select("doc_id").distinct()
+    kept = docs.join(dropped, "doc_id", "left_anti")
+    if groups.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").isEmpty():
+        return kept
+    one = kept.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
+    return one.unionByName(kept.filter("doc_id IS NULL"))
