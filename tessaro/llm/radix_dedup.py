@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessaro.llm.common import batch, cut, small_batches
+from tessaro.llm.common import batch, cut, small_batches, stored
 
 WIDTH = 400
 GRAM = 64
@@ -252,7 +252,7 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, group:
     base = docs.select("doc_id", F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text")).withColumn("digest", F.unhex(F.md5("text")))
     meta = cut(base.select("doc_id", "digest", F.octet_length("text").alias("n_bytes")))
     counts = meta.groupBy("digest").agg(F.count("*").alias("copies"), F.min("doc_id").alias("rep"), F.min("n_bytes").alias("n_bytes"))
-    found = cut(anchor_rows(base, width, gram))
+    found = stored(anchor_rows(base, width, gram))
     grams = found.filter(F.col("place") >= 0).groupBy("gram").agg(F.min(F.xxhash64("digest", "place", "first")).alias("a"), F.max(F.xxhash64("digest", "place", "first")).alias("b"), F.count("*").alias("n")).filter("a <> b").select("gram", "n")
     grams = cut(grams)
     candidates = found.join(grams, "gram").select("digest", "gram", "place", "first", "last", "n").distinct()
