@@ -10,9 +10,11 @@ from __future__ import annotations
 import hashlib
 import json
 import os
-from itertools import filterfalse
+from itertools import compress
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import SparkSession
 
@@ -20,6 +22,8 @@ from pyspark.sql import SparkSession
 KEPT = 600_000
 #: A vocabulary file above this many bytes isn't broadcast.
 LARGEST = 64 << 20
+#: Bytes of texts whose parts are told apart at once; a longer text is a lot of its own.
+LOT = 4 << 20
 #: Parts encoded in one string, with a special token between them.
 JOINED = 256
 #: A run of these after letters is a piece of its own.
@@ -76,30 +80,25 @@ class WordEncoder:
         return np.array(self.tokenizer.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes()
 
     def learn(self, parts: list[bytes]) -> None:
-        if self.plain:
-            stems = {w: w.rstrip(MARKS) for w in parts}
-            letters = {x for x in stems.values() if x not in self.known and x.isalpha() and x.islower()}
-            self.learn_letters(list(letters))
-            marks = {w[len(x) :] for w, x in stems.items() if len(x) < len(w) and x in self.known}
-            self.learn_any([m for m in marks if m not in self.known])
-            rest = []
-            for w, x in stems.items():
-                if w in self.known:
-                    continue
-                if x.isalpha() and x in self.known:
-                    self.known[w] = self.known[x] + self.known[w[len(x) :]]
-                else:
-                    rest.append(w)
-            parts = rest
-        self.learn_any(parts)
-
-    def learn_letters(self, words: list[bytes]) -> None:
-        lots = [words[i : i + JOINED] for i in range(0, len(words), JOINED)]
-        for lot, found in zip(lots, self.plain.encode_batch_fast([b" ".join(lot).decode() for lot in lots], add_special_tokens=False), strict=True):
+        if not self.plain:
+            return self.learn_any(parts)
+        stems = [w.rstrip(MARKS) for w in parts]
+        letters = [x.isalpha() and x.islower() for x in stems]
+        tails = {w[len(x) :] for w, x, plain in zip(parts, stems, letters, strict=True) if plain and len(x) < len(w)}
+        self.learn_any([m for m in tails if m not in self.known])
+        self.learn_letters(list(compress(parts, letters)), list(compress(stems, letters)), {b"": b""} | {m: self.known[m] for m in tails})
+        self.learn_any([w for w, plain in zip(parts, letters, strict=True) if not plain])
+
+    def learn_letters(self, parts: list[bytes], stems: list[bytes], tails: dict[bytes, bytes]) -> None:
+        """parts: stems of letters, each with one of the tails."""
+        known = self.known
+        lots = range(0, len(stems), JOINED)
+        strings = [b" ".join(stems[i : i + JOINED]).decode() for i in lots]
+        for i, found in zip(lots, self.plain.encode_batch_fast(strings, add_special_tokens=False), strict=True):
             ids = np.array(found.ids, "<u4")
             raw, start = ids.tobytes(), 0
-            for w, end in zip(lot, (np.flatnonzero(self.ends[ids]) * 4 + 4).tolist(), strict=True):
-                self.known[w] = raw[start:end]
+            for w, x, end in zip(parts[i : i + JOINED], stems[i : i + JOINED], (np.flatnonzero(self.ends[ids]) * 4 + 4).tolist(), strict=True):
+                known[w] = raw[start:end] + tails[w[len(x) :]]
                 start = end
 
     def learn_any(self, parts: list[bytes]) -> None:
@@ -114,17 +113,36 @@ class WordEncoder:
                 start = end + 4
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
+        """Texts in lots of bounded size: Arrow finds the distinct parts of a lot, and their ids are gathered part by part."""
+        out: list[bytes] = []
+        lot, size = [], 0
+        for t in texts:
+            if lot and size + len(t) > LOT:
+                out += self.encode_lot(lot)
+                lot, size = [], 0
+            lot.append(t)
+            size += len(t)
+        return out + self.encode_lot(lot) if lot else out
+
+    def encode_lot(self, texts: list[bytes]) -> list[bytes]:
         odd = {i for i, t in enumerate(texts) if any(x in t for x in self.openings)}
-        parts = [[] if i in odd else (t.lower() if self.lower else t).split() for i, t in enumerate(texts)]
-        missing: set[bytes] = set()
-        for p in parts:
-            missing.update(filterfalse(self.known.__contains__, p))
+        column = pa.array([b"" if i in odd else t for i, t in enumerate(texts)], pa.binary()).cast(pa.large_string())
+        lists = pc.ascii_split_whitespace(pc.ascii_lower(column) if self.lower else column)
+        coded = lists.values.dictionary_encode()
+        parts, which = coded.dictionary.cast(pa.large_binary()).to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy()
+        missing = [w for w in parts if w not in self.known]
         if len(self.known) + len(missing) > KEPT:
-            recent = set().union(*parts)
-            self.known = {w: self.known[w] for w in recent.intersection(self.known)}
-        self.learn(list(missing))
-        get = self.known.__getitem__
-        return [self.whole(texts[i]) if i in odd else b"".join(map(get, p)) for i, p in enumerate(parts)]
+            self.known = {w: self.known[w] for w in parts if w in self.known}
+        self.known[b""] = b""  # what stands before leading white space
+        self.learn([w for w in missing if w])
+        found = [self.known[w] for w in parts]
+        count = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        first = np.cumsum(count) - count
+        own = count[which]
+        after = np.concatenate([[0], np.cumsum(own)])
+        ids = np.frombuffer(b"".join(found), "<u4")[np.repeat(first[which] - after[:-1], own) + np.arange(after[-1])]
+        raw, edges = ids.tobytes(), (4 * after[lists.offsets.to_numpy()]).tolist()
+        return [self.whole(texts[i]) if i in odd else raw[edges[i] : edges[i + 1]] for i in range(len(texts))]
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
