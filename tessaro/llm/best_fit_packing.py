@@ -114,7 +114,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, slack: int = SLACK, fan_in
     for d in done:
         out = out.unionAll(d)
     out = out.select(F.monotonically_increasing_id().alias("sequence_id"), "items")
-    return out.mapInArrow(lay_out, "doc_id long, piece int, start long, length int, ids_crc32 long, sequence_id long, offset long")
+    return out.mapInArrow(lay_out, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 
 def lay_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,7 +129,7 @@ def lay_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         before = np.concatenate([[0], np.cumsum(length)[:-1]])
         first = np.concatenate([[0], np.cumsum(counts)[:-1]])
         yield batch(
-            **{f.name: values.field(f.name) for f in ITEM},
+            **{f.name: pa.array(length) if f.name == "length" else values.field(f.name) for f in ITEM},
             sequence_id=pa.array(np.repeat(b.column(0).to_numpy(), counts)),
             offset=pa.array(before - np.repeat(before[first], counts)),
         )
