@@ -10,11 +10,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def asof_join(left: DataFrame, right: DataFrame, left_on: str, right_on: str, by: list[str], columns: list[str], strict: bool = False) -> DataFrame:
+def asof_join(left: DataFrame, right: DataFrame, left_on: str, right_on: str, by: list[str], columns: list[str], strict: bool = False, split: str | None = None) -> DataFrame:
     """Each row of left with ``columns`` of the last row of right of the same key at or before left_on (before it: strict).
 
     right has one row for a key and moment; where it has several, the greatest ``columns`` win. Rows without a match get nulls.
-    Null keys or moments match nothing.
+    Null keys or moments match nothing. A key with very many rows may be ``split`` by a calendar unit (year, month, week, day):
+    each unit of a key is a window of its own, and what the units before it end with, one row each, is carried in by a join.
     """
     fact = F.struct(*[F.col(c) for c in columns])
     facts = right.filter(" AND ".join(f"{c} IS NOT NULL" for c in [*by, right_on])).groupBy(*by, F.col(right_on).alias("_t")).agg(F.max(fact).alias("_fact"))
@@ -22,11 +23,23 @@ def asof_join(left: DataFrame, right: DataFrame, left_on: str, right_on: str, by
     both = facts.select(*by, "_t", "_fact", F.lit(None).cast(asked.schema["_row"].dataType).alias("_row"), F.lit(1 if strict else 0).alias("_o")).unionByName(
         asked.select(*by, "_t", F.lit(None).cast(facts.schema["_fact"].dataType).alias("_fact"), "_row", F.lit(0 if strict else 1).alias("_o"))
     )
-    w = Window.partitionBy(*by).orderBy("_t", "_o").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    key = list(by)
+    if split is not None:
+        unit = F.date_trunc(split, F.col("_t")).alias("_unit")
+        both, key = both.select("*", unit), [*by, "_unit"]
+    w = Window.partitionBy(*key).orderBy("_t", "_o").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     known = F.lit(True)
     for c in [*by, "_t"]:
         known = known & F.col(c).isNotNull()
-    carried = both.withColumn("_found", F.when(known, F.last("_fact", ignorenulls=True).over(w))).filter("_row IS NOT NULL")
+    found = F.last("_fact", ignorenulls=True).over(w)
+    if split is not None:
+        ends = facts.groupBy(*by, F.date_trunc(split, F.col("_t")).alias("_unit")).agg(F.max_by("_fact", "_t").alias("_end"))
+        units = asked.select(*by, F.date_trunc(split, F.col("_t")).alias("_unit")).distinct().join(ends, key, "full")
+        before = F.last("_end", ignorenulls=True).over(Window.partitionBy(*by).orderBy("_unit").rowsBetween(Window.unboundedPreceding, -1))
+        both = both.withColumn("_own", found).filter("_row IS NOT NULL").join(units.select(*key, before.alias("_before")), key, "left")
+        carried = both.withColumn("_found", F.when(known, F.coalesce("_own", "_before")))
+    else:
+        carried = both.withColumn("_found", F.when(known, found)).filter("_row IS NOT NULL")
     return carried.select("_row.*", *[F.col(f"_found.{c}").alias(c) for c in columns])
 
 

@@ -98,6 +98,18 @@ def test_asof_of_empty_tables_nulls_and_ties(spark):
     assert temporal.asof_join(left.limit(0), right, "t", "u", ["k"], ["v"]).count() == 0
 
 
+@pytest.mark.parametrize("strict", [False, True])
+def test_a_split_asof_join_finds_the_same(spark, strict):
+    import random
+
+    rng = random.Random(4)
+    left = spark.createDataFrame([("hot" if rng.random() < 0.7 else rng.choice("ab"), day(rng.randrange(900)), k) for k in range(600)] + [("a", None, -1), (None, day(3), -2)], "k string, t date, n int")
+    right = spark.createDataFrame([(rng.choice(["hot", "a", "c"]), day(rng.randrange(900)), k) for k in range(120)], "k string, u date, v int")
+    whole = temporal.asof_join(left, right, "t", "u", ["k"], ["v"], strict)
+    for unit in ("year", "month", "day"):
+        assert rows(temporal.asof_join(left, right, "t", "u", ["k"], ["v"], strict, split=unit)) == rows(whole)
+
+
 def test_adjusted_series_of_a_dividend_and_a_break(spark):
     bars = spark.createDataFrame([("S", day(k), c) for k, c in enumerate([10.0, 11.0, 10.0, 12.0])], "symbol string, trade_date date, close double")
     event = lambda k, **x: ("S", day(k), day(k - 1), day(0), x.get("cash", 0.0), x.get("bonus", 0.0), 0.0, 0.0, x.get("status", "implemented"))
