@@ -1,11 +1,13 @@
 """Toxicity: nearest labelled examples by exact TF-IDF cosine over block-max inverted indexes.
 
 Examples are a bounded, stratified sample of labelled rows (at most TOXIC and CLEAN of each label, least by a hash of
-doc_id). Terms are words and their prefixes of 4 and 5 bytes; the vocabulary is what differs between the labels beyond chance
-(G-test with a Bonferroni bound over all terms tested), at most LEXICON terms. IDF counts every document of the corpus. The
+doc_id). Terms are words and their prefixes of 4 to 7 bytes; the vocabulary is what differs between the labels beyond chance
+(G-test with a Bonferroni bound over all terms tested), at most LEXICON terms. IDF counts every document of the corpus. All
+other words of a text are one more term, so that the density of telling words counts and not their number alone. The
 index keeps postings by term, cut into blocks of examples, with the greatest weight of a term in a block: a query adds up
-the bounds, opens blocks from the highest bound down and stops where no bound reaches the k-th best cosine, so its K
-neighbours are exact. Cosine-weighted votes, smoothed towards the base rate, are calibrated by a logistic fit to
+the bounds, opens the blocks of the highest bounds, and then those whose bound reaches the k-th best cosine; no other block
+can hold one of its K neighbours, so they are exact. Examples of equal vectors are one row of the index with several copies, so that a group of copies is
+opened once; a task remembers the votes of equal queries. Cosine-weighted votes, smoothed towards the base rate, are calibrated by a logistic fit to
 leave-one-out votes, weighted back to the labels' true shares. Evidence: the ids of the nearest examples.
 
 Defined results: a null or empty text, or one without any term of the vocabulary, has no neighbours and gets the calibrated
@@ -31,7 +33,13 @@ TOXIC, CLEAN = 2048, 6144
 LEXICON = 4096
 K = 16
 BLOCK = 64
-PREFIXES = (4, 5)
+#: Blocks opened before the k-th best cosine is known.
+FIRST = 4
+#: IDF of the words outside the vocabulary, as one term; their number counts in steps of a quarter of a doubling.
+BACKGROUND = 2.0
+#: Queries whose votes a task remembers.
+REMEMBERED = 20_000
+PREFIXES = (4, 5, 6, 7)
 #: Least documents of a term to be tested.
 LEAST_DOCS = 5
 #: Added to the log of the number of terms tested, in nats.
@@ -62,18 +70,33 @@ class Lookup(dict):
         return found
 
 
-def term_counts(text: bytes, lookup: Lookup) -> Counter:
-    return Counter(t for w in text.translate(TABLE).split() if (found := lookup[w]) for t in found)
+def term_counts(text: bytes, lookup: Lookup) -> dict[int, int]:
+    """Counts of the vocabulary's terms and, where there are any, of the other words under the number after the last term."""
+    counts: dict[int, int] = {}
+    other = 0
+    for w, n in Counter(text.translate(TABLE).split()).items():
+        if found := lookup[w]:
+            for t in found:
+                counts[t] = counts.get(t, 0) + n
+        else:
+            other += n
+    if counts:
+        counts[len(lookup.vocabulary)] = round(2 ** (round(4 * math.log2(max(1, other))) / 4))
+    return counts
 
 
 @dataclass
 class BlockMaxIndex:
-    """Examples in rows of unit length, by term: example, weight; and by term: block, greatest weight."""
+    """Distinct vectors of unit length in rows, the examples of a row side by side; by term: row, weight; and by term: block of
+    rows, greatest weight."""
 
     idf: np.ndarray
     label: np.ndarray = field(default_factory=lambda: np.zeros(0))
     doc_id: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
-    postings: list[tuple[np.ndarray, np.ndarray]] = field(default_factory=list)
+    #: Where the examples of each row begin, and the end.
+    first: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))
+    #: By term: rows, weights, and where the rows of each block begin.
+    postings: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = field(default_factory=list)
     maxima: list[tuple[np.ndarray, np.ndarray]] = field(default_factory=list)
 
     def vector(self, counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
@@ -82,48 +105,75 @@ class BlockMaxIndex:
         return terms, weight / norm if len(terms) and (norm := np.linalg.norm(weight)) else weight
 
     @classmethod
-    def build(cls, idf: np.ndarray, examples: list[tuple[dict[int, int], int, int]]) -> BlockMaxIndex:
-        """examples: counts, label, doc_id."""
+    def build(cls, idf: np.ndarray, examples: list[tuple[dict[int, int], int, int]], background: int = -1) -> BlockMaxIndex:
+        """examples: counts, label, doc_id. background: a term that most examples have, and that says nothing of their kind."""
         index = cls(idf)
-        vectors = [(*index.vector(c), y, d) for c, y, d in examples if c]
-        # examples of the same leading term stand together, so that blocks differ in their bounds
-        vectors.sort(key=lambda v: (int(v[0][v[1].argmax()]), v[3]))
-        index.label = np.array([v[2] for v in vectors], np.float64)
-        index.doc_id = np.array([v[3] for v in vectors], np.int64)
+        copies: dict[tuple, list[tuple[int, int]]] = {}
+        for c, y, d in examples:
+            if c:
+                copies.setdefault(tuple(sorted(c.items())), []).append((d, y))
+        rows = [(*index.vector(dict(c)), sorted(x)) for c, x in copies.items()]
+        # rows of the same leading term stand together, so that blocks differ in their bounds
+        rows.sort(key=lambda r: (int(r[0][np.where(r[0] == background, -1, r[1]).argmax()]), r[2][0]))
+        index.label = np.array([y for r in rows for _, y in r[2]], np.float64)
+        index.doc_id = np.array([d for r in rows for d, _ in r[2]], np.int64)
+        index.first = np.concatenate([np.zeros(1, np.int64), np.cumsum([len(r[2]) for r in rows], dtype=np.int64)])
         lists: list[list[tuple[int, float]]] = [[] for _ in idf]
-        for i, (terms, weight, _, _) in enumerate(vectors):
+        for i, (terms, weight, _) in enumerate(rows):
             for t, w in zip(terms.tolist(), weight.tolist(), strict=True):
                 lists[t].append((i, w))
+        n_blocks = -(-len(rows) // BLOCK)
         for x in lists:
             at, w = np.array([i for i, _ in x], np.int64), np.array([v for _, v in x])
-            index.postings.append((at, w))
-            blocks, first = np.unique(at // BLOCK, return_index=True)
-            index.maxima.append((blocks, np.maximum.reduceat(w, first) if len(w) else w))
+            index.postings.append((at, w, np.searchsorted(at, np.arange(n_blocks + 1) * BLOCK)))
+            blocks, start = np.unique(at // BLOCK, return_index=True)
+            index.maxima.append((blocks, np.maximum.reduceat(w, start) if len(w) else w))
         return index
 
     def nearest(self, counts: dict[int, int], k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """The k examples of the greatest cosine above 0, best first; without: an example's own row."""
+        """The k examples of the greatest cosine above 0, best first; without: an example left out."""
         terms, query = self.vector(counts)
-        bound = np.zeros(-(-len(self.label) // BLOCK) + 1)
-        for t, q in zip(terms.tolist(), query.tolist(), strict=True):
+        weighted = list(zip(terms.tolist(), query.tolist(), strict=True))
+        n_rows = len(self.first) - 1
+        bound = np.zeros(-(-n_rows // BLOCK))
+        for t, q in weighted:
             blocks, most = self.maxima[t]
             bound[blocks] += q * most
         order = np.argsort(-bound, kind="stable")
-        best, score = np.zeros(0, np.int64), np.zeros(0)
-        for block in order.tolist():
-            if bound[block] <= 0 or len(best) == k and bound[block] < score[-1] - 1e-12:
+        order = order[bound[order] > 0]
+        size, need = np.diff(self.first), k + (without >= 0)
+        best, score, full = np.zeros(0, np.int64), np.zeros(0), False
+        for wave in (order[:FIRST], order[FIRST:]):
+            if full:
+                wave = wave[bound[wave] >= score[-1] - 1e-12]
+            if not len(wave):
                 break
-            own = np.zeros(BLOCK)
-            for t, q in zip(terms.tolist(), query.tolist(), strict=True):
-                at, w = self.postings[t]
-                lo, hi = np.searchsorted(at, (block * BLOCK, (block + 1) * BLOCK))
-                own[at[lo:hi] - block * BLOCK] += q * w[lo:hi]
-            hit = np.flatnonzero(own > 0)
-            hit = hit[hit + block * BLOCK != without]
-            best, score = np.concatenate([best, hit + block * BLOCK]), np.concatenate([score, own[hit]])
-            keep = np.lexsort((best, -score))[:k]
+            own = np.zeros(n_rows)
+            if len(wave) <= FIRST:
+                for t, q in weighted:
+                    at, w, start = self.postings[t]
+                    for b in wave.tolist():
+                        if (lo := start[b]) < (hi := start[b + 1]):
+                            own[at[lo:hi]] += q * w[lo:hi]
+                hit = np.flatnonzero(own > 0)
+            else:
+                for t, q in weighted:
+                    at, w, _ = self.postings[t]
+                    own[at] += q * w
+                opened = np.zeros(len(bound), bool)
+                opened[wave] = True
+                hit = np.flatnonzero((own > 0) & np.repeat(opened, BLOCK)[:n_rows])
+            if len(hit) > 4 * need:  # a row has an example at least; rows that tie with the last one stay
+                hit = hit[own[hit] >= np.partition(own[hit], -need)[-need]]
+            best, score = np.concatenate([best, hit]), np.concatenate([score, own[hit]])
+            keep = np.lexsort((best, -score))
+            so_far = np.cumsum(size[best[keep]])
+            stop = int(np.searchsorted(so_far, need)) + 1
+            keep, full = keep[:stop], stop <= len(so_far)
             best, score = best[keep], score[keep]
-        return best, score
+        # a row gives as many of its examples as are needed
+        found = [(e, c) for r, c in zip(best.tolist(), score.tolist(), strict=True) for e in range(self.first[r], min(self.first[r + 1], self.first[r] + need)) if e != without][:k]
+        return np.array([e for e, _ in found], np.int64), np.array([c for _, c in found])
 
 
 @dataclass
@@ -194,13 +244,13 @@ def corpus_idf(docs: DataFrame, vocabulary: dict[bytes, int]) -> np.ndarray:
         for _, whole in batches:
             for text in whole:
                 n += 1
-                if hits := {t for w in text.translate(TABLE).split() for t in lookup[w]}:
+                if hits := {t for w in set(text.translate(TABLE).split()) for t in lookup[w]}:
                     seen[list(hits)] += 1
         yield batch(term=pa.array([*range(len(seen)), -1], pa.int32()), n=pa.array([*seen.tolist(), n], pa.int64()))
 
     got = {r["term"]: r["n"] for r in map_texts(docs, [], run, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
     total = got.pop(-1, 0)
-    return np.array([math.log((1 + total) / (1 + got.get(t, 0))) + 1 for t in range(len(vocabulary))])
+    return np.array([*(math.log((1 + total) / (1 + got.get(t, 0))) + 1 for t in range(len(vocabulary))), BACKGROUND])
 
 
 def train(docs: DataFrame, labels: DataFrame, toxic: int = TOXIC, clean: int = CLEAN) -> Voter:
@@ -229,7 +279,7 @@ def train(docs: DataFrame, labels: DataFrame, toxic: int = TOXIC, clean: int = C
     got = map_texts(sample, ["doc_id", "y"], run, "doc_id long, y int, t array<int>, n array<int>").toArrow().to_pylist()
     got.sort(key=lambda r: (r["doc_id"], r["y"], r["t"]))
     examples = [(dict(zip(r["t"], r["n"], strict=True)), r["y"], r["doc_id"]) for r in got]
-    voter = Voter(BlockMaxIndex.build(idf, examples), vocabulary, (n_up + 1) / (n_up + n_down + 2))
+    voter = Voter(BlockMaxIndex.build(idf, examples, len(vocabulary)), vocabulary, (n_up + 1) / (n_up + n_down + 2))
     place = {d: i for i, d in enumerate(voter.index.doc_id.tolist())}
     votes = np.array([voter.vote(c, place.get(d, -1))[0] for c, _, d in examples])
     label = np.array([y for _, y, _ in examples])
@@ -244,8 +294,18 @@ def score(docs: DataFrame, voter: Voter) -> DataFrame:
     def run(batches: Iterator) -> Iterator[pa.RecordBatch]:
         v = held.value
         lookup = Lookup(v.vocabulary)
+        known: dict[tuple, tuple[float, np.ndarray]] = {}
+
+        def vote(counts: dict[int, int]) -> tuple[float, np.ndarray]:
+            key = tuple(sorted(counts.items()))
+            if key not in known:
+                if len(known) >= REMEMBERED:
+                    known.clear()
+                known[key] = v.vote(counts)
+            return known[key]
+
         for (ids,), whole in batches:
-            found = [v.vote(term_counts(t, lookup)) for t in whole]
+            found = [vote(term_counts(t, lookup)) for t in whole]
             scores = [v.calibrated(x) for x, _ in found]
             near = [v.index.doc_id[at[:3]].tolist() for _, at in found]
             yield batch(doc_id=pa.array(ids, pa.int64()), score=pa.array(scores, pa.float64()), predicted=pa.array([int(s >= 0.5) for s in scores], pa.int32()), evidence=pa.array(near, pa.list_(pa.int64())))
