@@ -255,8 +255,10 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, group:
     found = stored(anchor_rows(base, width, gram))
     grams = found.filter(F.col("place") >= 0).groupBy("gram").agg(F.min(F.xxhash64("digest", "place", "first")).alias("a"), F.max(F.xxhash64("digest", "place", "first")).alias("b"), F.count("*").alias("n")).filter("a <> b").select("gram", "n")
     grams = cut(grams)
-    candidates = found.join(grams, "gram").select("digest", "gram", "place", "first", "last", "n").distinct()
-    by_text = candidates.groupBy("digest").agg(F.collect_list(F.struct("gram", "place", "first", "last", "n")).alias("anchors"))
+    # sets drop what several tasks found in copies of a text; a distinct() would reuse the partitioning by gram, and a frequent
+    # gram would stay whole in one task
+    candidates = found.filter(F.col("place") >= 0).join(grams, "gram")
+    by_text = candidates.groupBy("digest").agg(F.collect_set(F.struct("gram", "place", "first", "last", "n")).alias("anchors"))
     wanted = by_text.join(counts.select(F.col("digest"), F.col("rep")), "digest").withColumnsRenamed({"digest": "d", "rep": "r"})
     with_text = base.join(wanted, F.col("doc_id").eqNullSafe(F.col("r")) & (F.col("digest") == F.col("d")))
     spread = with_text.select("digest", "text", F.explode("anchors").alias("a")).select(
