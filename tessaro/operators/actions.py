@@ -189,20 +189,24 @@ def suspension_runs(chain: DataFrame, calendar: DataFrame, listing: DataFrame, e
     gaps = gaps.select("symbol", F.greatest("a", "lo").alias("first_ord"), F.least("b", "hi").alias("last_ord")).filter("first_ord <= last_ord")
     at = lambda c, d: F.broadcast(calendar.select(F.col("ord").alias(c), F.col("day").alias(d)))
     runs = gaps.join(at("first_ord", "first_day"), "first_ord").join(at("last_ord", "last_day"), "last_ord").withColumn("n_days", F.col("last_ord") - F.col("first_ord") + 1)
-    # the bars around a run: bars and both ends of the runs of a name are sorted together once
+    # what stands around a run: bars, ex-dates and both ends of the runs of a name are sorted together once. Looking ahead is
+    # looking back in descending order: frames that end at the current row are running values, those that begin there aren't
     run = F.struct("first_day", "last_day", "first_ord", "last_ord", "n_days").alias("run")
-    bar = chain.select("symbol", F.col("trade_date").alias("_t"), F.struct("pre_close", "close").alias("_bar"))
-    ends = runs.select("symbol", run, F.explode(F.array("first_day", "last_day")).alias("_t"))
-    w = Window.partitionBy("symbol").orderBy("_t")
-    both = bar.unionByName(ends, allowMissingColumns=True)
-    both = both.withColumn("_b", F.last("_bar", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)))
-    both = both.withColumn("_a", F.first("_bar", ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing)))
-    both = both.filter("run IS NOT NULL").withColumn("_a", F.when(F.col("_t") == F.col("run.last_day"), F.col("_a"))).withColumn("_b", F.when(F.col("_t") == F.col("run.first_day"), F.col("_b")))
-    r = both.groupBy("symbol", "run").agg(F.max("_b.close").alias("previous_close"), F.max(F.when(F.col("_a.close").isNotNull(), F.col("_a.pre_close"))).alias("next_pre_close"))
-    r = r.select("symbol", "run.*", "previous_close", "next_pre_close")
-    ex = events.filter("status = 'implemented'").select("symbol", "ex_date").distinct()
-    hits = r.select("symbol", "first_day", "last_day").join(ex, "symbol").filter("ex_date BETWEEN first_day AND last_day").groupBy("symbol", "first_day").agg(F.min("ex_date").alias("first_ex_date"))
-    r = r.join(hits, ["symbol", "first_day"], "left")
+    bar = chain.select("symbol", F.col("trade_date").alias("_t"), F.lit(1).alias("_o"), F.struct("pre_close", "close").alias("_bar"))
+    ex = events.filter("status = 'implemented'").select("symbol", F.col("ex_date").alias("_t"), F.lit(1).alias("_o"), F.col("ex_date").alias("_ex")).distinct()
+    ends = runs.select("symbol", run, F.lit(0).alias("_o"), F.explode(F.array("first_day", "last_day")).alias("_t"))
+    both = bar.unionByName(ends, allowMissingColumns=True).unionByName(ex, allowMissingColumns=True)
+    back = Window.partitionBy("symbol").orderBy("_t", "_o").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = Window.partitionBy("symbol").orderBy(F.desc("_t"), F.desc("_o")).rowsBetween(Window.unboundedPreceding, -1)
+    both = both.withColumn("_b", F.last("_bar", ignorenulls=True).over(back)).withColumn("_a", F.last("_bar", ignorenulls=True).over(ahead)).withColumn("_x", F.last("_ex", ignorenulls=True).over(ahead))
+    both = both.filter("run IS NOT NULL")
+    first, last = F.col("_t") == F.col("run.first_day"), F.col("_t") == F.col("run.last_day")
+    r = both.groupBy("symbol", "run").agg(
+        F.max(F.when(first, F.col("_b.close"))).alias("previous_close"),
+        F.max(F.when(last & F.col("_a.close").isNotNull(), F.col("_a.pre_close"))).alias("next_pre_close"),
+        F.max(F.when(first & (F.col("_x") <= F.col("run.last_day")), F.col("_x"))).alias("first_ex_date"),
+    )
+    r = r.select("symbol", "run.*", "previous_close", "next_pre_close", "first_ex_date")
     near = F.abs(F.col("next_pre_close") - F.col("previous_close")) <= tolerance
     verdict = (
         F.when(F.col("previous_close").isNull() | F.col("next_pre_close").isNull(), "suspension_run_unverified")

@@ -28,7 +28,7 @@ def date_grid(calendar: DataFrame) -> DataFrame:
     return j.select(
         "date",
         F.coalesce(F.last("ord", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0)).cast("long").alias("floor_ord"),
-        F.first("_open", ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing)).alias("next_day"),
+        F.last("_open", ignorenulls=True).over(Window.orderBy(F.desc("date")).rowsBetween(Window.unboundedPreceding, -1)).alias("next_day"),
     )
 
 

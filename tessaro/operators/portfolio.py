@@ -87,7 +87,8 @@ def inverse_volatility(members: DataFrame, by: list[str], cap: float = 0.15, flo
     order = w.orderBy(F.col("score").desc(), "symbol")
     m = members.withColumn("score", 1 / F.greatest("volatility", F.lit(floor)))
     m = m.withColumn("n", F.count("*").over(w)).withColumn("exposure", F.least(F.lit(gross), F.col("n") * cap)).withColumn("i", F.row_number().over(order))
-    m = m.withColumn("suffix", F.sum("score").over(order.rowsBetween(0, Window.unboundedFollowing)))
+    # the sum from here on is a running sum from the other end
+    m = m.withColumn("suffix", F.sum("score").over(w.orderBy("score", F.desc("symbol")).rowsBetween(Window.unboundedPreceding, 0)))
     m = m.withColumn("capped", (F.col("exposure") - (F.col("i") - 1) * cap) * F.col("score") / F.col("suffix") > cap)
     m = m.withColumn("k", F.sum(F.col("capped").cast("int")).over(w)).withColumn("rest", F.sum(F.when(~F.col("capped"), F.col("score"))).over(w))
     weight = F.when(F.col("capped"), F.lit(cap)).otherwise((F.col("exposure") - F.col("k") * cap) * F.col("score") / F.col("rest"))
