@@ -147,3 +147,42 @@ def test_an_ex_date_conserves_equity_and_books_once():
     after = a.cash + a.held("S") * (D("11.00") - D("0.50")) / D("1.05")
     assert abs(after - before) < D("0.01")
     assert a.distribute("S", OPEN[3], OPEN[2], D("0.50"), D("0.05")) is None
+
+
+def test_weight_orders_follow_the_band_the_lots_and_the_day(spark):
+    a = replay.Account(D("50000"), {OPEN[0]: OPEN[1], OPEN[1]: OPEN[2]})
+    lot = lambda s, n, k: a.lots[s].append(replay.Lot(OPEN[k], n, D("0"), OPEN[k + 1]))
+    lot("KEEP", 1000, 0)  # 10,000 of 100,000
+    lot("EXIT", 2000, 0)
+    lot("LOCKED", 2000, 1)  # bought today: can't be sold yet
+    book = {
+        "KEEP": (D("0.119"), D("10"), True),  # 0.019 off: within the band
+        "EXIT": (D("0"), D("10"), False),
+        "LOCKED": (D("0"), D("10"), False),
+        "NEW": (D("0.15"), D("7"), False),  # 15,000 / 7 = 2,142 shares: 21 lots
+        "TINY": (D("0.0005"), D("10"), False),  # 5 shares: no lot
+    }
+    orders, decisions = replay.plan_weights(book, a, OPEN[1], 100, D("0.02"))
+    assert orders == [("SELL", "EXIT", 2000), ("BUY", "NEW", 2100)]
+    assert {s: why for s, _, _, _, why in decisions} == {"KEEP": "within_rebalance_band", "EXIT": "exiting_position", "LOCKED": "exiting_position", "NEW": "entering_position", "TINY": "at_target"}
+    book["KEEP"] = (D("0.12"), D("10"), True)  # exactly the band trades
+    assert ("BUY", "KEEP", 200) in replay.plan_weights(book, a, OPEN[1], 100, D("0.02"))[0]
+
+
+def test_a_weight_replay_moves_to_its_weights(spark):
+    bars = [(s, d, 10.0, 10.0, "INFO") for s in ("A", "B") for d in OPEN[:6]]
+    b = spark.createDataFrame(bars, "symbol string, trade_date date, open double, close double, quality_severity string")
+    b = b.withColumn("board", F.lit("sh_main")).withColumn("status", F.lit("NORMAL")).withColumn("listed_sessions", F.lit(None).cast("int"))
+    rates = {"zero_cost": RATES["zero_cost"]}
+    priced = replay.executable_bars(b, money.rates(spark, rates), money.limit_rules(spark), money.open_session_rules(spark))
+    rows = [(1, "zero_cost", OPEN[1], "A", D("0.6"), D("10"), False), (1, "zero_cost", OPEN[1], "B", D("0.3"), D("10"), False), (1, "zero_cost", OPEN[3], "A", D("0.3"), D("10"), True), (1, "zero_cost", OPEN[3], "B", D("0.31"), D("10"), True)]
+    t = spark.createDataFrame(rows, "fold_id int, scenario string, trade_date date, symbol string, target_weight decimal(18,12), signal_price decimal(18,6), continuing boolean")
+    none = spark.createDataFrame([], "symbol string, ex_date date, record_date date, cash double, bonus double, capitalization double, status string, rights double")
+    cal = spark.createDataFrame([(d, k + 1) for k, d in enumerate(OPEN)], "day date, ord long")
+    w = spark.createDataFrame([(1, "zero_cost", OPEN[0], OPEN[5])], "fold_id int, scenario string, first_day date, last_day date")
+    got = replay.replay(t, priced, none, cal, w, ["fold_id", "scenario"], D("100000.00")).collect()
+    fills = [(r.trade_date, r.side, r.symbol, r.quantity) for r in sorted((r for r in got if r.ledger == "fill"), key=lambda r: r.seq)]
+    assert fills == [(OPEN[1], "BUY", "A", 6000), (OPEN[1], "BUY", "B", 3000), (OPEN[3], "SELL", "A", 3000)]
+    held = {(r.trade_date, r.symbol): r.reason for r in got if r.ledger == "decision"}
+    assert held[OPEN[3], "B"] == "within_rebalance_band" and held[OPEN[3], "A"] == "rebalance_outside_band"
+    assert all(r.total_equity == D("100000.00") for r in got if r.ledger == "equity")
