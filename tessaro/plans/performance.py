@@ -191,6 +191,19 @@ def ic_by_year(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(s, ["ic_mean", "ic_std", "ic_positive_rate"]).withColumn("ic_ir", F.round("ic_ir", 6))
 
 
+@query(
+    """
+SELECT CAST(year(trade_date) AS INT) AS year, board, count(ic) AS n_ic, round(avg(ic), 8) AS ic_mean, round(avg(CAST(ic > 0 AS INT)), 8) AS ic_positive_rate FROM (
+  SELECT trade_date, board, CASE WHEN count(*) >= 3 AND stddev_samp(a) > 0 AND stddev_samp(b) > 0 THEN covar_samp(a, b) / stddev_samp(a) / stddev_samp(b) END AS ic FROM (
+    SELECT trade_date, board, rank() OVER (PARTITION BY trade_date, board ORDER BY value) + (count(*) OVER (PARTITION BY trade_date, board, value) - 1) / 2 AS a, rank() OVER (PARTITION BY trade_date, board ORDER BY forward_return) + (count(*) OVER (PARTITION BY trade_date, board, forward_return) - 1) / 2 AS b
+    FROM pairs JOIN master USING (symbol)) GROUP BY 1, 2) GROUP BY 1, 2 HAVING count(ic) >= 2"""
+)
+def ic_by_board(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = pairs(spark, sf_dir).join(market.master(spark, sf_dir).select("symbol", "board"), "symbol")
+    s = diagnostics.ic_summary(diagnostics.information_coefficients(p, ["board"], least=3), ["board"], least_dates=2)
+    return rounded(s, ["ic_mean", "ic_positive_rate"]).select("year", "board", "n_ic", "ic_mean", "ic_positive_rate")
+
+
 @query(
     """
 WITH q AS (SELECT trade_date, b, avg(forward_return) AS m FROM (SELECT *, CAST(greatest(1, ceil(5 * (k - 1) / nullif(n - 1, 0))) AS INT) AS b FROM (SELECT *, row_number() OVER (PARTITION BY trade_date ORDER BY value, symbol) AS k, count(*) OVER (PARTITION BY trade_date) AS n FROM pairs)) WHERE n >= 5 GROUP BY 1, 2)

@@ -149,6 +149,28 @@ def interval_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return membership.overlaps(stays(spark, sf_dir)).select("universe_id", "symbol", "raw_from", "raw_to", "previous_end")
 
 
+@query(
+    """
+SELECT code, count(*) AS n FROM (
+  SELECT CASE WHEN o_orderkey % 19 = 0 THEN 'membership_evidence_missing' WHEN o_orderkey % 23 = 0 THEN 'membership_invalid_symbol' WHEN raw_to IS NOT NULL AND CASE WHEN o_orderkey % 29 = 0 THEN raw_to + 400 ELSE raw_from END > raw_to THEN 'membership_invalid_interval' WHEN o_orderkey % 31 = 0 THEN 'membership_announcement_missing' END AS code FROM stays) WHERE code IS NOT NULL GROUP BY 1"""
+)
+def membership_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Facts with faults put in by rule, each with the first code that holds; every one of them blocks."""
+    from tessaro.sources.membership_file import fact_faults
+
+    key = F.col("o_orderkey")
+    facts = stays(spark, sf_dir).select(
+        "universe_id",
+        F.when(key % 23 != 0, F.col("symbol")).alias("symbol"),
+        F.when((key % 29 == 0) & F.col("raw_to").isNotNull(), F.date_add("raw_to", 400)).otherwise(F.col("raw_from")).alias("raw_effective_from"),
+        F.col("raw_to").alias("raw_effective_to"),
+        F.when(key % 31 != 0, F.date_sub("raw_from", 3)).alias("announcement_date"),
+        F.when(key % 19 == 0, " ").otherwise("http://x").alias("source_url"),
+        F.lit("0" * 64).alias("snapshot_sha256"),
+    )
+    return fact_faults(facts).groupBy("code").agg(F.count("*").alias("n"))
+
+
 view(
     "merged_stays",
     """
