@@ -179,8 +179,7 @@ def suspension_runs(chain: DataFrame, calendar: DataFrame, listing: DataFrame, e
     """
     names = listing.select("symbol", "list_date", "delist_date").join(chain.select("symbol").distinct(), "symbol", "left_semi")
     names = ordinals_of(ordinals_of(names, calendar, "list_date", "_lo", up=True), calendar, "delist_date", "_hi", up=False)
-    n = calendar.agg(F.max("ord").alias("_n"))
-    names = names.crossJoin(F.broadcast(n)).select("symbol", F.coalesce("_lo", F.lit(1)).cast("long").alias("lo"), F.coalesce("_hi", "_n").cast("long").alias("hi"))
+    names = names.select("symbol", F.coalesce("_lo", F.lit(1)).cast("long").alias("lo"), F.coalesce("_hi", calendar.agg(F.max("ord")).scalar()).cast("long").alias("hi"))
     # absent runs are the gaps between a name's open-day bars, within its listing: no grid of names and days
     w = Window.partitionBy("symbol").orderBy("ord")
     bars_at = chain.select("symbol", F.col("trade_date").alias("day")).distinct().join(F.broadcast(calendar), "day").select("symbol", "ord")

@@ -34,10 +34,9 @@ def date_grid(calendar: DataFrame) -> DataFrame:
 
 def next_open_day(rows: DataFrame, calendar: DataFrame, on: str, name: str = "next_day") -> DataFrame:
     """The first open day strictly after the row's day; null past the calendar's end."""
-    first = calendar.agg(F.min("day").alias("_first"))
+    first = calendar.agg(F.min("day")).scalar()
     j = rows.join(F.broadcast(date_grid(calendar).select(F.col("date").alias(on), F.col("next_day").alias("_next"))), on, "left")
-    j = j.crossJoin(F.broadcast(first))
-    return j.withColumn(name, F.when(F.col(on) < F.col("_first"), F.col("_first")).otherwise(F.col("_next"))).drop("_next", "_first").select(*rows.columns, name)
+    return j.withColumn(name, F.when(F.col(on) < first, first).otherwise(F.col("_next"))).select(*rows.columns, name)
 
 
 def ordinals_of(rows: DataFrame, calendar: DataFrame, on: str, name: str, up: bool) -> DataFrame:
@@ -45,14 +44,27 @@ def ordinals_of(rows: DataFrame, calendar: DataFrame, on: str, name: str, up: bo
 
     Past the calendar's end an upward ordinal is one more than the last; before its start a downward one is 0. Null stays null.
     """
-    size = calendar.agg(F.min("day").alias("_cal_lo"), F.max("day").alias("_cal_hi"), F.count("*").alias("_cal_n"))
+    of = lambda x: calendar.agg(x).scalar()
     grid = date_grid(calendar).select(F.col("date").alias("_date"), F.col("floor_ord").alias("_floor"))
     shifted = F.date_sub(on, 1) if up else F.col(on)
-    j = rows.withColumn("_date", shifted).join(F.broadcast(grid), "_date", "left").crossJoin(F.broadcast(size))
-    floor = F.when(F.col("_date") < F.col("_cal_lo"), 0).when(F.col("_date") >= F.col("_cal_hi"), F.col("_cal_n")).otherwise(F.col("_floor"))
+    j = rows.withColumn("_date", shifted).join(F.broadcast(grid), "_date", "left")
+    floor = F.when(F.col("_date") < of(F.min("day")), 0).when(F.col("_date") >= of(F.max("day")), of(F.count("*"))).otherwise(F.col("_floor"))
     return j.withColumn(name, (floor + (1 if up else 0)).cast("long")).select(*rows.columns, name)
 
 
+def on_ordinals(intervals: DataFrame, calendar: DataFrame, start: str, end: str) -> DataFrame:
+    """Intervals [start, end] (null end: open) as rows for each day of the calendar in them: day, ord.
+
+    Both ends move inwards to days of the calendar, whose numbers between are exploded: equality joins only. Intervals that hold
+    no day of the calendar, and those without a start, vanish.
+    """
+    days = calendar.select("day", "ord").withColumn("_k", F.row_number().over(Window.orderBy("day")).cast("long"))
+    numbered = days.select("day", F.col("_k").alias("ord"))
+    j = ordinals_of(ordinals_of(intervals, numbered, start, "_a", up=True), numbered, end, "_b", up=False)
+    j = j.withColumn("_b", F.when(F.col(end).isNull(), numbered.agg(F.count("*")).scalar()).otherwise(F.col("_b"))).filter("_a <= _b")
+    return j.withColumn("_k", F.explode(F.sequence("_a", "_b"))).join(F.broadcast(days), "_k").drop("_k", "_a", "_b")
+
+
 def listed_days(rows: DataFrame, calendar: DataFrame, listing: DataFrame, on: str = "trade_date") -> DataFrame:
     """How many open days a name has been listed on a row's day, the first one counting 1.
 

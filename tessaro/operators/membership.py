@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessaro.operators.temporal import islands, on_ordinals, sessions
+from tessaro.operators.calendars import on_ordinals
+from tessaro.operators.temporal import islands, sessions
 
 
 def resolve(facts: DataFrame, listing: DataFrame) -> DataFrame:

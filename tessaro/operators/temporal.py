@@ -59,18 +59,6 @@ def effective_join(rows: DataFrame, dated: DataFrame, on: str, starts: str, by:
     return r.join(b, condition, "left").select("r.*", *[F.col(f"b.{c}") for c in extra])
 
 
-def on_ordinals(intervals: DataFrame, calendar: DataFrame, start: str, end: str) -> DataFrame:
-    """Intervals [start, end] (null end: open) as rows for each open day: the calendar's ordinals make it an equi-join.
-
-    Both ends move inwards to open days by two as-of lookups on the calendar, then the ordinals between are exploded. Intervals
-    that hold no open day vanish. calendar: day, ord.
-    """
-    at = F.sort_array(F.collect_list(F.struct("day", "ord"))).alias("_days")
-    days = calendar.agg(at)
-    inside = F.filter("_days", lambda x: (x["day"] >= F.col(start)) & (F.col(end).isNull() | (x["day"] <= F.col(end))))
-    return intervals.crossJoin(F.broadcast(days)).withColumn("_day", F.explode(inside)).drop("_days").withColumn("day", F.col("_day.day")).withColumn("ord", F.col("_day.ord")).drop("_day")
-
-
 def islands(rows: DataFrame, by: list[str], ordinal: str, name: str = "island") -> DataFrame:
     """Runs of consecutive ordinals of a key get one number: the ordinal less its rank is constant in a run."""
     w = Window.partitionBy(*by).orderBy(ordinal)
