@@ -24,12 +24,14 @@ def information_coefficients(scored: DataFrame, by: list[str] | None = None, lea
 
 
 def ic_summary(daily: DataFrame, by: list[str], least_dates: int = 0) -> DataFrame:
+    """Mean, spread and share of positive coefficients by year. A coefficient within 1e-12 of zero, which is what the rounding
+    of a correlation of zero leaves, isn't positive."""
     g = daily.groupBy(F.year("trade_date").alias("year"), *by).agg(
         F.count("*").alias("n_dates"),
         F.count("ic").alias("n_ic"),
         F.avg("ic").alias("ic_mean"),
         F.stddev_samp("ic").alias("ic_std"),
-        F.avg((F.col("ic") > 0).cast("double")).alias("ic_positive_rate"),
+        F.avg((F.round("ic", 12) > 0).cast("double")).alias("ic_positive_rate"),
     )
     return g.filter(F.col("n_ic") >= least_dates).withColumn("ic_ir", F.when(F.col("ic_std") > 0, F.col("ic_mean") / F.col("ic_std")))
 

@@ -185,7 +185,7 @@ SELECT trade_date, count(*) AS n, CASE WHEN count(*) >= 3 AND stddev_samp(a) > 0
 )
 
 
-@query("SELECT CAST(year(trade_date) AS INT) AS year, count(*) AS n_dates, count(ic) AS n_ic, round(avg(ic), 8) AS ic_mean, round(stddev_samp(ic), 8) AS ic_std, round(avg(CAST(ic > 0 AS INT)), 8) AS ic_positive_rate, round(avg(ic) / CASE WHEN stddev_samp(ic) > 0 THEN stddev_samp(ic) END, 6) AS ic_ir FROM ics GROUP BY 1")
+@query("SELECT CAST(year(trade_date) AS INT) AS year, count(*) AS n_dates, count(ic) AS n_ic, round(avg(ic), 8) AS ic_mean, round(stddev_samp(ic), 8) AS ic_std, round(avg(CAST(round(ic, 12) > 0 AS INT)), 8) AS ic_positive_rate, round(avg(ic) / CASE WHEN stddev_samp(ic) > 0 THEN stddev_samp(ic) END, 6) AS ic_ir FROM ics GROUP BY 1")
 def ic_by_year(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = diagnostics.ic_summary(diagnostics.information_coefficients(pairs(spark, sf_dir), least=3), [])
     return rounded(s, ["ic_mean", "ic_std", "ic_positive_rate"]).withColumn("ic_ir", F.round("ic_ir", 6))
@@ -193,7 +193,7 @@ def ic_by_year(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """
-SELECT CAST(year(trade_date) AS INT) AS year, board, count(ic) AS n_ic, round(avg(ic), 8) AS ic_mean, round(avg(CAST(ic > 0 AS INT)), 8) AS ic_positive_rate FROM (
+SELECT CAST(year(trade_date) AS INT) AS year, board, count(ic) AS n_ic, round(avg(ic), 8) AS ic_mean, round(avg(CAST(round(ic, 12) > 0 AS INT)), 8) AS ic_positive_rate FROM (
   SELECT trade_date, board, CASE WHEN count(*) >= 3 AND stddev_samp(a) > 0 AND stddev_samp(b) > 0 THEN covar_samp(a, b) / stddev_samp(a) / stddev_samp(b) END AS ic FROM (
     SELECT trade_date, board, rank() OVER (PARTITION BY trade_date, board ORDER BY value) + (count(*) OVER (PARTITION BY trade_date, board, value) - 1) / 2 AS a, rank() OVER (PARTITION BY trade_date, board ORDER BY forward_return) + (count(*) OVER (PARTITION BY trade_date, board, forward_return) - 1) / 2 AS b
     FROM pairs JOIN master USING (symbol)) GROUP BY 1, 2) GROUP BY 1, 2 HAVING count(ic) >= 2"""
