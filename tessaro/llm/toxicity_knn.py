@@ -1,8 +1,8 @@
 """Toxicity: nearest labelled examples by exact TF-IDF cosine over block-max inverted indexes.
 
 Examples are a bounded, stratified sample of labelled rows (at most TOXIC and CLEAN of each label, least by a hash of
-doc_id). Terms are words and their prefixes of 4 to 7 bytes; the vocabulary is what differs between the labels beyond chance
-(G-test with a Bonferroni bound over all terms tested), at most LEXICON terms. IDF counts every document of the corpus. All
+doc_id). Terms are words and their prefixes of 4 to 7 bytes; the vocabulary is every term that differs between the labels beyond chance
+(G-test with a Bonferroni bound over all terms tested; equal texts of a label count once); the sample bounds it. IDF counts every document of the corpus. All
 other words of a text are one more term, so that the density of telling words counts and not their number alone. The
 index keeps postings by term, cut into blocks of examples, with the greatest weight of a term in a block: a query adds up
 the bounds, opens the blocks of the highest bounds, and then those whose bound reaches the k-th best cosine; no other block
@@ -30,7 +30,6 @@ from pyspark.sql import functions as F
 from tessaro.llm.common import batch, cut, map_texts
 
 TOXIC, CLEAN = 2048, 6144
-LEXICON = 4096
 K = 16
 BLOCK = 64
 #: Blocks opened before the k-th best cosine is known.
@@ -211,8 +210,13 @@ class Voter:
         self.slope, self.offset = float(b[0]), float(b[1])
 
 
-def choose_terms(sample: DataFrame, toxic: int, clean: int) -> list[bytes]:
-    """sample: y, text. Terms whose share of toxic documents differs beyond chance from the sample's."""
+def choose_terms(sample: DataFrame) -> list[bytes]:
+    """sample: y, text. All terms whose share of toxic texts differs beyond chance from that of the sample's distinct texts."""
+    distinct = cut(sample.select("y", "text").distinct())
+    totals = {r["y"]: r["n"] for r in distinct.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    toxic, clean = totals.get(1, 0), totals.get(0, 0)
+    if not toxic or not clean:
+        return []
 
     def run(batches: Iterator) -> Iterator[pa.RecordBatch]:
         n, up = Counter(), Counter()
@@ -225,14 +229,14 @@ def choose_terms(sample: DataFrame, toxic: int, clean: int) -> list[bytes]:
         names = list(n)
         yield batch(term=pa.array(names, pa.binary()), n=pa.array([n[t] for t in names], pa.int64()), up=pa.array([up[t] for t in names], pa.int64()))
 
-    counts = map_texts(sample, ["y"], run, "term binary, n long, up long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("up").alias("up")).filter(F.col("n") >= LEAST_DOCS)
+    counts = map_texts(distinct, ["y"], run, "term binary, n long, up long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("up").alias("up")).filter(F.col("n") >= LEAST_DOCS)
     counts = cut(counts)
     tested = counts.count()
     base = toxic / (toxic + clean)
     rate = F.col("up") / F.col("n")
     part = lambda p, q: F.when(p > 0, p * F.log(p / q)).otherwise(0.0)
     g = F.col("n") * (part(rate, F.lit(base)) + part(1 - rate, F.lit(1 - base)))
-    kept = counts.withColumn("g", g).filter(F.col("g") >= math.log(max(1, tested)) + MARGIN).orderBy(F.desc("g"), "term").limit(LEXICON)
+    kept = counts.withColumn("g", g).filter(F.col("g") >= math.log(max(1, tested)) + MARGIN)
     return sorted(bytes(r["term"]) for r in kept.select("term").collect())
 
 
@@ -266,7 +270,7 @@ def train(docs: DataFrame, labels: DataFrame, toxic: int = TOXIC, clean: int = C
     chosen = cut(pick(1, toxic).unionAll(pick(0, clean)).select(F.col("doc_id").alias("labelled"), "y"))
     sample = cut(docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("labelled")).select("doc_id", "y", "text"))
     n_up, n_down = min(up, toxic), min(down, clean)
-    vocabulary = {t: i for i, t in enumerate(choose_terms(sample, n_up, n_down))}
+    vocabulary = {t: i for i, t in enumerate(choose_terms(sample))}
     idf = corpus_idf(docs, vocabulary)
     held = spark.sparkContext.broadcast(vocabulary)
 

@@ -366,3 +366,16 @@ def test_toxicity_block_max_is_exact_and_separates(spark, none):
     assert got[900].predicted == got[901].predicted == 0 and got[900].score == got[901].score
     assert toxicity_knn.toxicity(docs, labels.limit(0)).filter("score > 0.6").count() == 0
     assert toxicity_knn.toxicity(none, labels).count() == 0
+
+
+def test_toxic_words_stay_beside_many_copies_of_a_long_clean_text(spark):
+    rng = random.Random(12)
+    word = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    long = " ".join(word(8) for _ in range(1200))
+    rows = [(k, 1, f"nasty{k % 10}word " + " ".join(word(5) for _ in range(20))) for k in range(100)]
+    rows += [(k, 0, " ".join(word(5) for _ in range(20))) for k in range(100, 500)]
+    rows += [(k, 0, long) for k in range(500, 1200)]
+    sample = spark.createDataFrame(rows, "doc_id long, y int, text string")
+    voter = toxicity_knn.train(sample.select("doc_id", "text"), sample.select("doc_id", "y"))
+    assert {f"nasty{k}word".encode() for k in range(10)} <= set(voter.vocabulary)
+    assert not set(long.encode().split()) & set(voter.vocabulary)
