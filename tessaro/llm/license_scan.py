@@ -1,9 +1,10 @@
 """License scans: a positional index of rare words over licence templates.
 
-Templates are indexed word by word with positions. Corpus-wide document counts of the template words give their IDF. For
-each file the licence words present in it are looked up from the highest IDF down; postings of one template vote for the
-place where the template would start in the file (file position less template position), and a template is found where
-enough rare words agree on one place and one of its mandatory key phrases stands in the file.
+Templates are indexed word by word with positions. Corpus-wide document counts of the template words give their IDF. Each
+template with one of its mandatory key phrases in the file is looked up by itself, from its highest IDF down: its postings vote
+for the place where it would start in the file (file position less template position). Once all words still to come weigh no
+more than the best place has, no new place is opened, so that the greatest share of weight at one place is exact, whatever
+other licences the file holds.
 
 Defined results: a null or empty text has no words, no labels and score 0. A text may carry several labels. Repeated rows
 are scanned one by one; every row gives one row. Phrases can overlap; each place counts.
@@ -83,41 +84,43 @@ class Index:
     """Template postings by word, and what a place must score."""
 
     def __init__(self, templates: dict, counts: dict[bytes, int], n_docs: int) -> None:
-        self.postings: dict[bytes, list[tuple[str, int]]] = defaultdict(list)
+        words: dict[str, dict[bytes, list[int]]] = {label: defaultdict(list) for label in templates}
         self.phrases: dict[str, list[list[bytes]]] = {}
         for label, (text, phrases) in templates.items():
             for i, w in enumerate(text.encode().split()):
-                self.postings[w].append((label, i))
+                words[label][w].append(i)
             self.phrases[label] = [p.encode().split() for p in phrases]
-        self.idf = {w: math.log((1 + n_docs) / (1 + counts.get(w, 0))) + 1 for w in self.postings}
+        self.idf = {w: math.log((1 + n_docs) / (1 + counts.get(w, 0))) + 1 for x in words.values() for w in x}
+        #: By template: its words from the highest IDF down, each with its positions.
+        self.postings = {label: sorted(x.items(), key=lambda p: (-self.idf[p[0]], p[0])) for label, x in words.items()}
         self.total = {label: sum(self.idf[w] for w in text.encode().split()) for label, (text, _) in templates.items()}
 
-    def find(self, places: dict[bytes, list[int]], rare: int, least: float) -> tuple[set[str], float]:
+    def find(self, places: dict[bytes, list[int]], least: float) -> tuple[set[str], float]:
         """Labels of templates in a file, and the greatest share of a template's weight found at one place."""
-        known = sorted((w for w in places if w in self.idf), key=lambda w: (-self.idf[w], w))
         labels, best = set(), 0.0
-        votes: dict[tuple[str, int], float] = defaultdict(float)
-        for w in known[:rare]:
-            for label, i in self.postings[w]:
-                for p in places[w]:
-                    votes[label, p - i] += self.idf[w]
-        strong: dict[str, list[int]] = defaultdict(list)
-        for (label, at), v in votes.items():
-            if v >= least * self.total[label] * 0.25:
-                strong[label].append(at)
-        where = {w: set(places[w]) for w in known}
-        for label, starts in strong.items():
-            if not any(phrase_places(p, places) for p in self.phrases[label]):
-                continue
-            share = max(self.share(label, at, where) for at in starts)
-            best = max(best, share)
-            if share >= least:
-                labels.add(label)
+        for label, phrases in self.phrases.items():
+            if any(phrase_places(p, places) for p in phrases):
+                share = self.share(label, places)
+                best = max(best, share)
+                if share >= least:
+                    labels.add(label)
         return labels, best
 
-    def share(self, label: str, at: int, where: dict[bytes, set[int]]) -> float:
-        hit = sum(self.idf[w] for w, posts in self.postings.items() if w in where for x, i in posts if x == label and at + i in where[w])
-        return min(1.0, hit / self.total[label])
+    def share(self, label: str, places: dict[bytes, list[int]]) -> float:
+        """The greatest share of the template's weight at one place."""
+        known = [(self.idf[w], posts, places[w]) for w, posts in self.postings[label] if w in places]
+        left = sum(idf * len(posts) for idf, posts, _ in known)
+        votes: dict[int, float] = {}
+        most = 0.0
+        for idf, posts, at in known:
+            new = most < left
+            for i in posts:
+                for p in at:
+                    if new or p - i in votes:
+                        votes[p - i] = v = votes.get(p - i, 0.0) + idf
+                        most = max(most, v)
+            left -= idf * len(posts)
+        return min(1.0, most / self.total[label])
 
 
 def phrase_places(phrase: list[bytes], places: dict[bytes, list[int]]) -> list[int]:
@@ -145,8 +148,8 @@ def word_counts(docs: DataFrame, vocabulary: set[bytes]) -> tuple[int, dict[byte
     return counts.pop(b"", 0), counts
 
 
-def license_scan(docs: DataFrame, templates: dict = TEMPLATES, base: dict = BASE, rare: int = 24, least: float = 0.3) -> DataFrame:
-    """One row per row of docs (doc_id, text). rare: licence words looked up, from the highest IDF; least: share of weight to be found."""
+def license_scan(docs: DataFrame, templates: dict = TEMPLATES, base: dict = BASE, least: float = 0.3) -> DataFrame:
+    """One row per row of docs (doc_id, text). least: share of weight to be found."""
     vocabulary = {w for text, phrases in templates.values() for p in (text, *phrases) for w in p.encode().split()}
     n_docs, counts = word_counts(docs, vocabulary)
     base_words = [(p.encode().split(), label) for p, label in base.items()]
@@ -171,7 +174,7 @@ def license_scan(docs: DataFrame, templates: dict = TEMPLATES, base: dict = BASE
                     if at := phrase_places(phrase, places):
                         starts += at
                         names.add(label)
-                more, share = index.find(places, rare, least) if places else (set(), 0.0)
+                more, share = index.find(places, least) if places else (set(), 0.0)
                 row = (len(words), len(starts), min(starts, default=None), max(starts, default=None), ",".join(sorted(names)), ",".join(sorted(names | more)), 1.0 if names else share)
                 for c, v in zip(cols, row, strict=True):
                     c.append(v)

@@ -116,6 +116,30 @@ def test_license_base_and_templates(spark, docs, rows, none):
     assert license_scan.license_scan(spark.createDataFrame(half, "doc_id long, text string")).first().labels == ""
 
 
+def test_license_of_a_file_does_not_depend_on_the_other_licenses_in_it(spark):
+    full = {k: t for k, (t, _) in license_scan.TEMPLATES.items()}
+    # MIT's words are the commonest of the corpus, and the file has no base phrase of MIT
+    texts_ = [(0, ". code follows. ".join(full.values())), *((k, full["mit"] + f" file {k}") for k in range(1, 200))]
+    got = {r.doc_id: r for r in license_scan.license_scan(spark.createDataFrame(texts_, "doc_id long, text string")).collect()}
+    assert set(got[0].labels.split(",")) == set(full) and got[1].labels == "mit"
+
+
+def test_license_share_is_the_greatest_over_all_places():
+    rng = random.Random(4)
+    words = sorted({w for t, _ in license_scan.TEMPLATES.values() for w in t.split()})
+    counts = {w.encode(): rng.randrange(1000) for w in words}
+    index = license_scan.Index(license_scan.TEMPLATES, counts, 1000)
+    for _ in range(40):
+        own = [w for t, _ in rng.sample(list(license_scan.TEMPLATES.values()), 4) for w in t.split() if rng.random() < 0.6] + rng.choices(words, k=60)
+        places = defaultdict(list)
+        for i, w in enumerate(own):
+            places[w.encode()].append(i)
+        for label, (text, _) in license_scan.TEMPLATES.items():
+            t = text.split()
+            hits = [sum(index.idf[w.encode()] for i, w in enumerate(t) if 0 <= at + i < len(own) and own[at + i] == w) for at in range(-len(t), len(own))]
+            assert index.share(label, places) == pytest.approx(max(hits) / index.total[label])
+
+
 def union(pairs, names):
     root = {n: n for n in names}
 
