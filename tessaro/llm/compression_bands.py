@@ -1,7 +1,10 @@
 """Quality rules: zstandard compression bands over whole documents and fixed chunks, beside word and line counts.
 
 Very repetitive text compresses far better than prose, and noise hardly at all. Each document's ratio (bytes / compressed
-bytes) must lie in a band chosen by its length, and so must most of its fixed chunks.
+bytes) must lie in a band chosen by its length, and so must most of its fixed chunks; the rest after the last full chunk is one
+too, with the band of its own length. Text of mostly ASCII bytes has a higher lower bound, between what base64, random
+printable characters or random letters reach at that length and the least of clean text; other scripts take three bytes a
+letter and come close to base64 themselves, so that theirs is looser. Hexadecimal text is known by its few symbols.
 
 Defined results: a null or empty text has no words, fails the base rule (fewer than 20 words) and has ratio 0. Repeated rows
 are judged one by one. Every row of the input gives one row; an empty table gives none. Further columns are ignored.
@@ -20,6 +23,7 @@ from pyspark.sql import DataFrame
 from tessaro.llm.common import SPACE, batch, map_texts, small_batches, texts
 
 SYMBOLS = b"#*$%&|<>"
+HIGH = bytes(range(128, 256))
 WINDOW = 8
 #: Odd multipliers of a window's words.
 MIX = np.array([pow(0x9E3779B97F4A7C15, 2 * i + 1, 2**64) for i in range(WINDOW)], np.uint64)
@@ -41,9 +45,25 @@ class Bands:
         (16384, 1.2, 3.6),
         (float("inf"), 1.25, 4.5),
     )
+    #: (bytes below which it holds, least ratio) for text of at most ascii_high bytes of 128 and above, as a share.
+    ascii_least: tuple[tuple[float, float], ...] = (
+        (128, 0.0),
+        (192, 1.02),
+        (256, 1.12),
+        (384, 1.25),
+        (512, 1.325),
+        (768, 1.39),
+        (1024, 1.45),
+        (float("inf"), 1.5),
+    )
+    ascii_high: float = 0.25
+    #: From so many bytes on, text of at most so many symbols has this least ratio: 16 equal symbols give no more than 2.
+    few_bytes: int = 256
+    few_symbols: int = 17
+    few_least: float = 2.01
     chunk_bytes: int = 4096
     chunk: tuple[float, float] = (1.15, 3.4)
-    #: Share of full chunks outside their band from which a document is rejected.
+    #: Share of chunks outside their band from which a document is rejected.
     outside: float = 0.25
     level: int = 3
     min_words: int = 20
@@ -79,16 +99,34 @@ def base_counts(text: bytes) -> tuple[int, int, int, int, int]:
     return n, chars, symbols, len(lines) - len(set(lines)), repeated
 
 
+def least_ratio(text: bytes, least: float, bands: Bands) -> float:
+    """The lower bound of a text or chunk: least, or more where its bytes say so."""
+    n = len(text)
+    if n - len(text.translate(None, HIGH)) <= bands.ascii_high * n:
+        least = max(least, next(x for end, x in bands.ascii_least if n < end))
+    if n >= bands.few_bytes and len(set(text.translate(None, SPACE))) <= bands.few_symbols:
+        least = max(least, bands.few_least)
+    return least
+
+
 def banded(text: bytes, bands: Bands, zip_: zstandard.ZstdCompressor) -> tuple[float, int, int, bool]:
-    """ratio, full chunks, full chunks outside the band, verdict."""
+    """ratio, chunks, chunks outside the band, verdict. The last chunk may be short."""
     if not text:
         return 0.0, 0, 0, False
-    ratio = len(text) / len(zip_.compress(text))
-    low, high = next((a, b) for end, a, b in bands.whole if len(text) < end)
-    size, (least, most) = bands.chunk_bytes, bands.chunk
-    starts = range(0, len(text) - size + 1, size)
-    outside = sum(not least <= size / len(zip_.compress(text[i : i + size])) <= most for i in starts)
-    return ratio, len(starts), outside, low <= ratio <= high and outside <= bands.outside * len(starts)
+
+    def fits(part: bytes, ratio: float, band: tuple[float, float]) -> bool:
+        return least_ratio(part, band[0], bands) <= ratio <= band[1]
+
+    def of_length(n: int) -> tuple[float, float]:
+        return next((a, b) for end, a, b in bands.whole if n < end)
+
+    ratio, size = len(text) / len(zip_.compress(text)), bands.chunk_bytes
+    good = fits(text, ratio, of_length(len(text)))
+    if len(text) < size:
+        return ratio, 1, int(not good), good
+    parts = [text[i : i + size] for i in range(0, len(text), size)]
+    outside = sum(not fits(x, len(x) / len(zip_.compress(x)), bands.chunk if len(x) == size else of_length(len(x))) for x in parts)
+    return ratio, len(parts), outside, good and outside <= bands.outside * len(parts)
 
 
 def quality_rules(docs: DataFrame, bands: Bands = Bands()) -> DataFrame:

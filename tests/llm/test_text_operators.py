@@ -1,8 +1,10 @@
 """The text operators against plain versions, over texts chosen for their edges."""
 
+import base64
 import hashlib
 import random
 import re
+import string
 import struct
 import zlib
 from collections import Counter, defaultdict
@@ -94,6 +96,35 @@ def test_compression_bands_reject_repetition_and_noise():
     assert compression_bands.banded(mixed, bands, zip_)[2] > 0
 
 
+def valid_noise(rng: random.Random, kind: str, n: int) -> bytes:
+    raw_ = rng.randbytes(n)
+    if kind == "base64":
+        return base64.encodebytes(raw_)[:n]
+    if kind == "hex":
+        return b" ".join(raw_.hex().encode()[i : i + 64] for i in range(0, n, 64))[:n]
+    signs = string.ascii_letters + " " * 10 if kind == "letters" else "".join(map(chr, range(32, 127)))
+    return "".join(rng.choice(signs) for _ in range(n)).encode()
+
+
+@pytest.mark.parametrize("kind", ["base64", "hex", "letters", "printable"])
+def test_compression_bands_reject_noise_of_valid_text(kind):
+    zip_, bands, rng = zstandard.ZstdCompressor(level=3), compression_bands.Bands(), random.Random(6)
+    for n in (600, 900, 1400, 3000, 5400, 12_000, 16_000, 40_000):
+        assert not compression_bands.banded(valid_noise(rng, kind, n), bands, zip_)[-1], n
+    clean = prose(rng, 600).encode()[:2500]
+    assert compression_bands.banded(clean, bands, zip_)[-1]
+    # a short last part is a chunk
+    text = prose(rng, 3000).encode()[:4096]
+    assert compression_bands.banded(text + valid_noise(rng, kind, 3000), bands, zip_)[1:] == (2, 1, False)
+
+
+def test_compression_bands_keep_text_of_three_bytes_a_letter():
+    rng = random.Random(7)
+    text = "".join(chr(0x4E00 + rng.randrange(3000)) for _ in range(500)).encode()
+    assert 1.2 < len(text) / len(zstandard.ZstdCompressor(level=3).compress(text)) < 1.5
+    assert compression_bands.banded(text, compression_bands.Bands(), zstandard.ZstdCompressor(level=3))[-1]
+
+
 def test_license_base_and_templates(spark, docs, rows, none):
     def plain(i, text):
         words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
