@@ -46,15 +46,16 @@ def fingerprint(text: bytes, size: int = SHINGLE) -> int:
     return int.from_bytes(np.packbits(2 * ones > len(h)).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """doc_id, fp long (the 64 bits, signed)."""
+def fingerprints(docs: DataFrame, size: int = SHINGLE, more: dict[str, str] | None = None) -> DataFrame:
+    """doc_id, fp long (the 64 bits, signed), and more columns of docs by name and type."""
+    more = more or {}
 
     def run(batches: Iterator) -> Iterator[pa.RecordBatch]:
-        for (ids,), whole in batches:
+        for (ids, *rest), whole in batches:
             fps = np.array([fingerprint(t, size) for t in whole], np.uint64)
-            yield batch(doc_id=pa.array(ids, pa.int64()), fp=pa.array(fps.view(np.int64)))
+            yield batch(doc_id=pa.array(ids, pa.int64()), fp=pa.array(fps.view(np.int64)), **dict(zip(more, rest, strict=True)))
 
-    return map_texts(docs, ["doc_id"], run, "doc_id long, fp long")
+    return map_texts(docs, ["doc_id", *more], run, ", ".join(["doc_id long, fp long", *(f"{k} {t}" for k, t in more.items())]))
 
 
 class Trees:
@@ -180,11 +181,16 @@ def simhash_groups(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of docs but those of a group's other documents; a document in several rows stays once. Rows without doc_id stay."""
-    groups = cut(simhash_groups(docs))
-    dropped = groups.filter("NOT kept").select("doc_id").distinct()
-    kept = docs.join(dropped, "doc_id", "left_anti")
-    if groups.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").isEmpty():
-        return kept
-    one = kept.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
-    return one.unionByName(kept.filter("doc_id IS NULL"))
+    """One row of docs for each group of like texts, the least by doc_id and digest of the text. Decisions are per row: a
+    document in rows of different texts can stay in several groups. Rows without doc_id stay."""
+    digest = F.md5(F.coalesce("text", F.lit("")).cast("binary"))
+    prints = cut(fingerprints(docs.filter("doc_id IS NOT NULL").select("doc_id", "text", digest.alias("digest")), more={"digest": "string"}))
+    # groups are of fingerprints, under their own names: ids may stand in several
+    found = components(fingerprint_links(cut(prints.select("fp", F.col("fp").alias("rep")).distinct())))
+    named = prints.join(found, prints.fp == found.node, "left").withColumn("group", F.coalesce("component", "fp"))
+    chosen = cut(named.groupBy("group").agg(F.min(F.struct("doc_id", "digest")).alias("least")).select(F.col("least.doc_id").alias("__id"), F.col("least.digest").alias("__digest")))
+    own = docs.withColumn("__own", digest)
+    kept = own.join(chosen, (F.col("doc_id") == F.col("__id")) & (F.col("__own") == F.col("__digest")), "left_semi")
+    if not prints.groupBy("doc_id", "digest").count().filter("count > 1").isEmpty():
+        kept = kept.dropDuplicates(["doc_id", "__own"])
+    return kept.select(docs.columns).unionByName(docs.filter("doc_id IS NULL"))

@@ -203,6 +203,14 @@ def test_simhash(docs, rows, none):
     assert sorted(r.doc_id for r in kept.collect()) == sorted({i for i in group if group[i] == i})
 
 
+def test_keep_one_decides_by_row_where_ids_repeat(spark):
+    rng = random.Random(13)
+    x, y, z = (prose(rng, 80) for _ in range(3))
+    keep = lambda rows: sorted((r.doc_id, r.text) for r in simhash_bk.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert keep([(3, y), (5, y), (5, x), (6, x)]) == sorted([(3, y), (5, x)])
+    assert keep([(5, x), (5, y), (5, z), (5, z), (6, y)]) == sorted([(5, x), (5, y), (5, z)])
+
+
 def test_bk_trees_find_every_link_of_clustered_fingerprints(spark):
     rng = random.Random(11)
     centres = [rng.getrandbits(64) for _ in range(20)]
