@@ -3,8 +3,9 @@
 Rotations that turn centred vectors into balanced binary codes are learnt on a bounded sample (SAMPLE vectors, least by a
 hash of their id) by alternating signs and orthogonal Procrustes. Every vector is encoded. The code is cut into tables of a
 few bits; vectors with the same bits in any table are candidates. Bits for a table grow with the logarithm of the number of
-vectors, which holds the size of a bucket, and the number of tables grows so that a pair at the threshold shares one with the
-wanted probability. Cosines in double precision decide; a pair counts in the first table that it shares, so nothing need be
+vectors, which holds the size of a bucket. The number of tables comes from pairs at the threshold that are built from the
+sample and coded like any vector (centring widens their angles where vectors have a common direction): tables are added until
+the wanted share of them meets in one. Cosines in double precision decide; a pair counts in the first table that it shares, so nothing need be
 gathered to know each pair once. Tasks emit sums and a spanning forest, never pairs.
 
 A bucket above CHUNK vectors is cut into chunks, and pairs of chunks are dealt to tasks of bounded size. Equal vectors are
@@ -82,6 +83,37 @@ def plan_tables(n: int, threshold: float, recall: float = RECALL) -> tuple[int,
     return bits, max(1, math.ceil(math.log(1 - recall) / math.log(1 - agree))) if agree < 1 else 1
 
 
+def built_pairs(sample: np.ndarray, threshold: float, most: int = 4096, seed: int = 11) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Pairs at the threshold: each vector with one turned off at random, and with one turned towards another of the sample."""
+    rng = np.random.default_rng(seed)
+    x = unit(sample)
+    x = x[rng.permutation(len(x))[:most]]
+    out = []
+    for turn in (rng.standard_normal(x.shape), np.roll(x, 1, axis=0)):
+        turn = turn - (turn * x).sum(axis=1, keepdims=True) * x
+        norm = np.linalg.norm(turn, axis=1, keepdims=True)
+        some = norm[:, 0] > 1e-6
+        if some.any():
+            out.append((x[some], threshold * x[some] + math.sqrt(max(0.0, 1 - threshold**2)) * turn[some] / norm[some]))
+    return out
+
+
+def fitted(sample: np.ndarray, n: int, threshold: float, recall: float) -> Quantiser:
+    """A quantiser for n vectors whose tables hold the wanted share of each kind of built pair."""
+    bits, tables = plan_tables(n, threshold, recall)
+    # rotations suit the vectors that they are learnt on better than others: pairs are built from those left out
+    apart = len(sample) // 4 if len(sample) >= 1024 else 0
+    pairs, sample = built_pairs(sample[:apart] if apart else sample, threshold), sample[apart:]
+    while True:
+        quantiser = Quantiser(sample, tables, bits)
+        found = min(((quantiser.keys(x) == quantiser.keys(y)).any(axis=1).mean() for x, y in pairs), default=1.0)
+        if found >= recall:
+            return quantiser
+        # what is missed falls by about the same factor with each table
+        need = math.log(1 - recall) / math.log(1 - found) * tables if found else math.inf
+        tables = max(tables + 1, math.ceil(min(2 * tables, need)))
+
+
 def matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
@@ -138,10 +170,11 @@ def one_length(reps: DataFrame, length: int, threshold: float, recall: float, ch
     spark = reps.sparkSession
     own = reps.filter(F.size("vec") == length)
     n = own.count()
-    bits, tables = plan_tables(n, threshold, recall)
     # a driver-side fit on a bounded sample
     sample = matrix(own.orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE).select("vec").toArrow()["vec"].combine_chunks())
-    quantiser = spark.sparkContext.broadcast(Quantiser(sample, tables, bits))
+    chosen = fitted(sample, n, threshold, recall)
+    tables = chosen.tables
+    quantiser = spark.sparkContext.broadcast(chosen)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -62,3 +62,20 @@ def test_empty_and_all_bad(spark):
 def test_tables_grow_with_the_input():
     sizes = [itq_dedup.plan_tables(n, 0.9) for n in (10, 10**4, 10**6, 10**9)]
     assert [b for b, _ in sizes] == [8, 8, 12, 20] and [t for _, t in sizes] == sorted(t for _, t in sizes)
+
+
+@pytest.mark.parametrize("n, mean", [(10**4, 0.0), (10**4, 0.7), (10**6, 0.7)])
+def test_recall_at_the_threshold_of_vectors_with_a_common_direction(n, mean):
+    rng = np.random.default_rng(21)
+
+    def draw(count):
+        z = itq_dedup.unit(rng.standard_normal((count, 48)))
+        common = np.zeros(48)
+        common[0] = mean
+        return itq_dedup.unit(common + np.sqrt(1 - mean**2) * z)
+
+    quantiser = itq_dedup.fitted(draw(3000), n, 0.9, itq_dedup.RECALL)
+    x, to = draw(3000), draw(3000)
+    turn = to - (to * x).sum(axis=1, keepdims=True) * x
+    y = 0.9 * x + np.sqrt(1 - 0.81) * itq_dedup.unit(turn)
+    assert (quantiser.keys(x) == quantiser.keys(y)).any(axis=1).mean() > 0.91
