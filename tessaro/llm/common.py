@@ -12,6 +12,12 @@ from pyspark.sql import functions as F
 
 #: ASCII white space, the separators of plain words.
 SPACE = b" \t\n\x0b\x0c\r"
+#: Lower case of A-Z; what else in ASCII is no letter or digit separates.
+PLAIN = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
+#: Bits of a likely_set, which bound what is broadcast: 2 ** 22 bits are 65,536 rows of two longs.
+SET_BITS = 22
+#: Bytes of an Arrow batch from which it takes no further row.
+BATCH_BYTES = 16 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -46,8 +52,26 @@ def stored(df: DataFrame) -> DataFrame:
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Arrow batches of whole texts stay small, whatever the length of the texts."""
+    """Arrow batches of whole texts stay small: at most so many rows, and none after BATCH_BYTES. These are settings of the
+    session, read when a plan is run, and stay as they are set here."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
+def likely_set(values: DataFrame, columns: list[str], bits: int = SET_BITS) -> DataFrame:
+    """A bit for each hash of the columns' values, in words of 64: at most 2 ** (bits - 6) rows, however many values there are."""
+    at = F.pmod(F.xxhash64(*columns), F.lit(1 << bits)).alias("__at")
+    word = values.select(at).select(F.shiftright("__at", 6).alias("__word"), F.expr("shiftleft(1L, cast(__at % 64 AS int))").alias("__bit"))
+    return cut(word.groupBy("__word").agg(F.bit_or("__bit").alias("__bits")))
+
+
+def likely_in(rows: DataFrame, columns: list[str], likely: DataFrame, bits: int = SET_BITS, no: bool = False) -> DataFrame:
+    """The rows whose columns may be among the values of likely (no: those that can't be): none that is among them is lost. The
+    set is broadcast; its size is bounded by bits. It spares a join the shuffle of rows that have no partner."""
+    at = F.pmod(F.xxhash64(*columns), F.lit(1 << bits))
+    joined = rows.withColumn("__at", at).join(F.broadcast(likely), F.shiftright("__at", 6) == F.col("__word"), "left")
+    hit = F.coalesce(F.expr("shiftright(__bits, cast(__at % 64 AS int)) & 1 = 1"), F.lit(False))
+    return joined.filter(~hit if no else hit).drop("__at", "__word", "__bits")
 
 
 def utf8(value: str | None) -> bytes:

@@ -72,9 +72,9 @@ def op7_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_radix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from tessaro.llm.radix_dedup import remove_repeats
+    from tessaro.llm.radix_dedup import PASSAGES, remove_repeats
 
-    return remove_repeats(table(spark, sf_dir, "documents"), with_text=False)
+    return remove_repeats(table(spark, sf_dir, "documents"), with_text=False, passages=PASSAGES)
 
 
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

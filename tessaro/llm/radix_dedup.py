@@ -1,10 +1,12 @@
-"""Suffix-array dedup by a depth-limited radix sort: every window of 400 bytes that starts anywhere else is found, exactly.
+"""Suffix-array dedup by a depth-limited radix sort: every window of so many tokens that starts anywhere else is found, exactly.
 
-Sorting all suffixes would shuffle the corpus many times over. Only suffixes at anchors are sorted: each window's anchor is
-the leftmost place of the least-hashed gram (64 bytes) in it, a function of the window's bytes alone, so equal windows hold
-equal anchors at equal places. Suffixes at anchors are ordered by most-significant-digit passes. The first digit is the gram:
-anchors that are alone under it drop out, and with them all their windows. Further digits widen the bytes compared around the
-anchor, until the bytes are the windows themselves: equal groups are then exactly the repeated windows.
+Tokens are bytes (windows of 400) or words (windows of 50, of lower-cased letters and digits, whatever stands between them); one
+pass over the texts may look for windows of several kinds. Sorting all suffixes would shuffle the corpus many times over. Only
+suffixes at anchors are sorted: each window's anchor is the leftmost place of the least-hashed gram in it, a function of the
+window's tokens alone, so equal windows hold equal anchors at equal places. Suffixes at anchors are ordered by
+most-significant-digit passes. The first digit is the gram: anchors that are alone under it drop out, and with them all their
+windows. Further digits widen the tokens compared around the anchor, until they are the windows themselves: equal groups are
+then exactly the repeated windows.
 
 The passes after the first run inside a task for all groups of bounded size. A gram with more anchors than that is split by
 passes over the data: the range of window starts of each anchor is halved, which widens what its windows share (the next
@@ -12,8 +14,12 @@ digit) and so splits the group; ranges whose whole extent is the same elsewhere
 partner for others. The passes are grouped counts, pre-aggregated before the shuffle.
 
 Copies of a whole text are settled by its digest: each is repeated throughout, and one of them goes through the passes.
+Windows are removed wherever they stand, or (keep_first) everywhere but at their first place: in the text of the least digest,
+and of its places there the leftmost. Of copies of a whole text the row of the least doc_id is that text.
 
-Defined results: null, empty and short texts (under 400 bytes) lose nothing. Overlapping windows count, also within a text
+Texts are worked off in pieces that overlap by a window, so that memory doesn't grow with the longest text's windows.
+
+Defined results: null, empty and short texts (under one window) lose nothing. Overlapping windows count, also within a text
 (one repeated line). Repeated rows are copies of each other. Every row gives one row; doc_id may repeat or be null.
 """
 
@@ -21,16 +27,34 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessaro.llm.common import batch, cut, small_batches, stored
+from tessaro.llm.common import PLAIN, batch, cut, likely_in, likely_set, small_batches, stored
+
+
+@dataclass(frozen=True)
+class Kind:
+    """Windows of width tokens, anchored at grams of gram tokens."""
+
+    width: int
+    gram: int
+    words: bool = False
+
+    @property
+    def size(self) -> int:
+        """Bytes of a token where tokens are passed on."""
+        return 8 if self.words else 1
+
 
-WIDTH = 400
-GRAM = 64
+BYTES = Kind(400, 64)
+PASSAGES = Kind(50, 16, words=True)
 #: Anchors of one gram that a task may hold.
 GROUP = 1 << 14
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -72,40 +96,93 @@ def sliding_least(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(behind[:n], ahead[width - 1 : width - 1 + n])
 
 
-#: Bytes of texts whose anchors are found at once.
+#: Windows whose anchors are found at once.
 BLOCK = 1 << 17
 #: Places take these low bits of a key, so the key's order is a function of the window alone, leftmost first.
 PLACE_BITS = np.uint64(32)
 SETTLED = -1
-
-
-def anchors(block: bytes, edges: list[int], width: int = WIDTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
-    """Texts put together, each of width bytes or more, and their edges -> text number, gram hash, place in the text, and
-    first and last window start of each anchor. A row with place SETTLED gives starts that repeat within their text."""
-    codes = VALUES[np.frombuffer(block, np.uint8)]
+#: Bytes of a text that are split into words at once, and words that a worker remembers.
+SPLIT = 1 << 20
+REMEMBERED = 1 << 20
+
+
+class WordValues(dict):
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= REMEMBERED:
+            self.clear()
+        self[word] = value = xxhash.xxh3_64_intdigest(word)
+        return value
+
+
+_WORDS = WordValues()
+
+
+def word_values(text: bytes) -> np.ndarray:
+    """A 64-bit value for each word."""
+    known, out, at = _WORDS, [], 0
+    while at < len(text):
+        stop = len(text)
+        if stop - at > SPLIT:  # up to the next separator
+            stop = at + SPLIT
+            while stop < len(text) and PLAIN[text[stop]] != 32:
+                stop += 1
+        words = text[at:stop].translate(PLAIN).split()
+        out.append(np.fromiter((known[w] for w in words), np.uint64, len(words)))
+        at = stop
+    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+
+
+def word_places(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words of a text begin and end, in bytes."""
+    inside = np.frombuffer(text.translate(PLAIN), np.uint8) != 32
+    edges = np.flatnonzero(np.diff(np.concatenate([[False], inside, [False]])))
+    return edges[::2], edges[1::2]
+
+
+def pieces(text: bytes, kind: Kind) -> Iterator[tuple[int, np.ndarray]]:
+    """Values of a text's tokens in pieces of at most BLOCK windows, each with the place of its first token."""
+    values = word_values(text) if kind.words else None
+    windows = (len(values) if kind.words else len(text)) - kind.width + 1
+    for i in range(0, windows, BLOCK):
+        stop = min(i + BLOCK, windows) + kind.width - 1
+        yield i, values[i:stop] if kind.words else VALUES[np.frombuffer(text, np.uint8, stop - i, i)]
+
+
+def anchors(codes: np.ndarray, edges: list[int], kind: Kind, keep_first: bool) -> tuple[np.ndarray, ...]:
+    """Pieces put together, each of width tokens or more, and their edges -> piece number, gram hash, place, first and last
+    window start of each anchor, counted from the piece's beginning. A row with place SETTLED gives starts that repeat within
+    their piece; keep_first: all but the first of each window."""
+    width, gram = kind.width, kind.gram
     grams = scrambled(window_hashes(codes, gram))
     key = (grams >> PLACE_BITS << PLACE_BITS) | np.arange(len(grams), dtype=np.uint64)
     place = (sliding_least(key, width - gram + 1) & np.uint64((1 << 32) - 1)).astype(np.int64)
     ends = np.array(edges[1:])
-    text = np.searchsorted(ends, np.arange(len(place)), "right")
-    inside = np.arange(len(place)) + width <= ends[text]
-    starts = np.flatnonzero(inside)
-    place, text = place[starts], text[starts]
-    new = np.concatenate([[True], (place[1:] != place[:-1])])
-    settled: list[np.ndarray] = []
-    if new.sum() * 40 > len(starts):  # periodic text: each window that repeats in its own text stays once
-        h = window_hashes(codes, width)[starts] ^ scrambled(text.astype(np.uint64))
+    owner = np.searchsorted(ends, np.arange(len(place)), "right")
+    starts = np.flatnonzero(np.arange(len(place)) + width <= ends[owner])
+    place, owner = place[starts], owner[starts]
+
+    def changes() -> np.ndarray:
+        return np.concatenate([[True], (place[1:] != place[:-1]) | (np.diff(starts) != 1)])
+
+    new, settled = changes(), []
+    # periodic text has anchors far closer than others: each window that repeats in its own piece stays once
+    crowded = np.bincount(owner[new], minlength=len(ends)) * (width - gram + 1) > 8 * np.bincount(owner, minlength=len(ends))
+    if crowded.any():
+        tight = np.flatnonzero(crowded[owner])
+        h = window_hashes(codes, width)[starts[tight]] ^ scrambled(owner[tight].astype(np.uint64))
         _, lead, count = np.unique(h, return_index=True, return_counts=True)
-        once = np.zeros(len(starts), bool)
-        once[lead] = True
+        once = np.ones(len(starts), bool)
+        once[tight] = False
+        once[tight[lead]] = True
         again = ~once
-        again[lead[count > 1]] = True
-        settled = ranges(starts[again], text[again])
-        starts, place, text = starts[once], place[once], text[once]
-        new = np.concatenate([[True], (place[1:] != place[:-1]) | (np.diff(starts) != 1)])
+        if not keep_first:
+            again[tight[lead[count > 1]]] = True
+        settled = ranges(starts[again], owner[again])
+        starts, place, owner = starts[once], place[once], owner[once]
+        new = changes()
     first = np.flatnonzero(new)
     last = np.concatenate([first[1:], [len(starts)]]) - 1
-    number, at = text[first], place[first]
+    number, at = owner[first], place[first]
     base = np.array(edges[:-1])[number]
     out = [number, grams[at].view(np.int64), at - base, starts[first] - base, starts[last] - base]
     if settled:
@@ -124,36 +201,92 @@ def ranges(starts: np.ndarray, owner: np.ndarray) -> list[np.ndarray]:
     return [owner[new], starts[new], starts[np.concatenate([new[1:], [len(starts)]]) - 1]]
 
 
-def anchor_rows(base: DataFrame, width: int, gram: int) -> DataFrame:
-    """base: digest, text -> digest, gram, place, first, last; texts met before in the same task are passed over."""
+def anchor_rows(base: DataFrame, kinds: tuple[Kind, ...], keep_first: bool) -> DataFrame:
+    """base: digest, text -> kind (its number), digest, gram, place, first, last; texts met before in the same task are passed over."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met: set[bytes] = set()
+        lots: list[tuple[list, list, list, list]] = [([], [], [], [0]) for _ in kinds]
+
+        def flush(k: int) -> Iterator[pa.RecordBatch]:
+            names, offsets, codes, edges = lots[k]
+            lots[k] = ([], [], [], [0])
+            if names:
+                number, g, place, first, last = anchors(np.concatenate(codes), edges, kinds[k], keep_first)
+                offset = np.array(offsets)[number]
+                yield batch(
+                    kind=pa.array(np.full(len(number), k, np.int8)),
+                    digest=pa.array(names, pa.binary()).take(pa.array(number)),
+                    gram=pa.array(g),
+                    place=pa.array(np.where(place == SETTLED, SETTLED, place + offset).astype(np.int32)),
+                    first=pa.array((first + offset).astype(np.int32)),
+                    last=pa.array((last + offset).astype(np.int32)),
+                )
+
         for b in batches:
-            names, block, edges, size = [], [], [0], 0
-            for i, (digest, text) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)):
-                if len(text) >= width and digest not in met:
-                    met.add(digest)
-                    names.append(digest)
-                    block.append(text)
-                    size += len(text)
-                    edges.append(size)
-                if size >= BLOCK or size and i == b.num_rows - 1:
-                    number, g, place, first, last = anchors(b"".join(block), edges, width, gram)
-                    yield batch(
-                        digest=pa.array(names, pa.binary()).take(pa.array(number)),
-                        gram=pa.array(g),
-                        place=pa.array(place.astype(np.int32)),
-                        first=pa.array(first.astype(np.int32)),
-                        last=pa.array(last.astype(np.int32)),
-                    )
-                    names, block, edges, size = [], [], [0], 0
-
-    return base.select("digest", "text").mapInArrow(run, "digest binary, gram long, place int, first int, last int")
-
-
-def repeated_runs(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
-    """Rows (key, digest, first, context) sorted by key -> digest, first, last of window starts that repeat under their key."""
+            for digest, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                if digest in met:
+                    continue
+                met.add(digest)
+                for k, kind in enumerate(kinds):
+                    for offset, codes in pieces(text, kind):
+                        names, offsets, held, edges = lots[k]
+                        names.append(digest)
+                        offsets.append(offset)
+                        held.append(codes)
+                        edges.append(edges[-1] + len(codes))
+                        if edges[-1] >= BLOCK:
+                            yield from flush(k)
+        for k in range(len(kinds)):
+            yield from flush(k)
+
+    return base.select("digest", "text").mapInArrow(run, "kind byte, digest binary, gram long, place int, first int, last int")
+
+
+def contexts(rows: DataFrame, kinds: tuple[Kind, ...]) -> DataFrame:
+    """digest, text, anchors -> a row for each anchor, with the tokens of its windows as context."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        size = 0
+
+        def flush() -> pa.RecordBatch:
+            nonlocal held, size
+            c = list(zip(*held, strict=True))
+            held, size = [], 0
+            types = (pa.int64(), pa.int8(), pa.binary(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary())
+            return batch(**{n: pa.array(x, t) for n, x, t in zip(("key", "kind", "digest", "place", "first", "last", "n", "context"), c, types, strict=True)})
+
+        for b in batches:
+            for digest, text, found in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                words = None
+                for a in found:
+                    kind = kinds[a["kind"]]
+                    lo, hi = a["first"], a["last"] + kind.width
+                    if kind.words:
+                        words = word_values(text) if words is None else words
+                        part = words[lo:hi].astype("<u8").tobytes()
+                    else:
+                        part = text[lo:hi]
+                    held.append((a["gram"], a["kind"], digest, a["place"], lo, a["last"], a["n"], part))
+                    size += len(part)
+                    if size >= 1 << 20:
+                        yield flush()
+        if held:
+            yield flush()
+
+    return rows.select("digest", "text", "anchors").mapInArrow(run, "key long, kind byte, digest binary, place int, first int, last int, n long, context binary")
+
+
+def digest_order(digests: pa.Array) -> np.ndarray:
+    """The rank of each 16-byte digest."""
+    halves = np.frombuffer(b"".join(digests.to_pylist()), ">u8").reshape(-1, 2).astype(np.uint64)
+    return np.unique(halves, axis=0, return_inverse=True)[1].ravel()
+
+
+def repeated_runs(batches: Iterator[pa.RecordBatch], kinds: tuple[Kind, ...], keep_first: bool) -> Iterator[pa.RecordBatch]:
+    """Rows (key, kind, digest, first, context) sorted by key and kind -> kind, digest, first, last of window starts that repeat
+    under their key; keep_first: all but the first place of each window."""
     held: list[pa.RecordBatch] = []
     count = 0
 
@@ -169,29 +302,47 @@ def repeated_runs(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.
             hi = min(stop, lo + 4096)
             while hi < stop and key[hi] == key[hi - 1]:
                 hi += 1
-            yield from windows(rows.slice(lo, hi - lo), key[lo:hi])
+            part, of = rows.slice(lo, hi - lo), rows["kind"].to_numpy()[lo:hi]
+            for k in np.unique(of).tolist():
+                yield from windows(part.filter(pa.array(of == k)), k)
             lo = hi
 
-    def windows(rows: pa.Table, key: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def windows(rows: pa.Table, k: int) -> Iterator[pa.RecordBatch]:
+        kind = kinds[k]
+        key = rows["key"].to_numpy().view(np.uint64)
         context = rows["context"].to_pylist()
-        size = np.array([len(c) for c in context])
+        size = np.array([len(c) for c in context]) // kind.size
         edge = np.cumsum(size) - size
-        n = size - width + 1
-        h = window_hashes(VALUES[np.frombuffer(b"".join(context), np.uint8)], width)
+        n = size - kind.width + 1
+        joined = b"".join(context)
+        h = window_hashes(np.frombuffer(joined, "<u8").astype(np.uint64) if kind.words else VALUES[np.frombuffer(joined, np.uint8)], kind.width)
         owner = np.repeat(np.arange(len(n)), n)
         within = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
         # the key tells groups apart: windows are only compared under one digit
-        h = scrambled(h[edge[owner] + within] ^ key.view(np.uint64)[owner])
+        h = scrambled(h[edge[owner] + within] ^ key[owner])
         order = np.argsort(h)
         same = (s := h[order])[1:] == s[:-1]
         found = np.zeros(len(h), bool)
         found[order[1:][same]] = True
         found[order[:-1][same]] = True
         hit = np.flatnonzero(found)
+        first = rows["first"].to_numpy()
+        if keep_first and len(hit):
+            rank, at = digest_order(rows["digest"])[owner[hit]], first[owner[hit]] + within[hit]
+            least = np.lexsort((at, rank, h[hit]))
+            lead = np.flatnonzero(np.concatenate([[True], np.diff(h[hit[least]]) != 0]))
+            lead = least[np.repeat(lead, np.diff(np.concatenate([lead, [len(least)]])))]
+            # a row may be there more than once: it is one place
+            found[hit[least[(rank[least] == rank[lead]) & (at[least] == at[lead])]]] = False
+            hit = np.flatnonzero(found)
         if len(hit):
             who, a, b = ranges(within[hit], owner[hit])
-            first = rows["first"].to_numpy()[who]
-            yield batch(digest=rows["digest"].combine_chunks().take(pa.array(who)), first=pa.array((first + a).astype(np.int32)), last=pa.array((first + b).astype(np.int32)))
+            yield batch(
+                kind=pa.array(np.full(len(who), k, np.int8)),
+                digest=rows["digest"].combine_chunks().take(pa.array(who)),
+                first=pa.array((first[who] + a).astype(np.int32)),
+                last=pa.array((first[who] + b).astype(np.int32)),
+            )
 
     for x in batches:
         if x.num_rows:
@@ -203,30 +354,31 @@ def repeated_runs(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.
         yield from settle(True)
 
 
-def in_task(rows: DataFrame, width: int) -> DataFrame:
+def in_task(rows: DataFrame, kinds: tuple[Kind, ...], keep_first: bool) -> DataFrame:
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    spread = rows.select("key", "digest", "first", "context").repartition(parts, "key").sortWithinPartitions("key")
-    return spread.mapInArrow(lambda b: repeated_runs(b, width), "digest binary, first int, last int")
+    spread = rows.select("key", "kind", "digest", "first", "context").repartition(parts, "key").sortWithinPartitions("key", "kind")
+    return spread.mapInArrow(lambda b: repeated_runs(b, kinds, keep_first), "kind byte, digest binary, first int, last int")
 
 
-def split_passes(rows: DataFrame, width: int, gram: int, group: int) -> tuple[list[DataFrame], list[DataFrame]]:
-    """Rows (key, digest, place, first, last, context) of large groups -> runs settled, and rows of groups that fit a task."""
+def split_passes(rows: DataFrame, kind: Kind, group: int, keep_first: bool) -> tuple[list[DataFrame], list[DataFrame]]:
+    """Rows (key, kind, digest, place, first, last, context) of large groups of one kind -> runs settled, and rows of groups that fit a task."""
     settled, fit = [], []
+    width, size = kind.width, kind.size
     reach = 1
-    while reach < width - gram + 1:
+    while reach < width - kind.gram + 1:
         reach *= 2
-    rows = rows.withColumn("low", F.lit(0))  # the windows of a row start low to low + reach - 1 bytes before the place
+    rows = rows.withColumn("low", F.lit(0))  # the windows of a row start low to low + reach - 1 tokens before the place
     while True:
-        # ranges whose whole extent is also elsewhere
+        # ranges whose whole extent is also elsewhere; the one that stays is the first by digest, as in the passes within a task
         extent = ["key", "near", "far", "hull"]
-        rows = rows.withColumns({"near": F.col("place") - F.col("last"), "far": F.col("place") - F.col("first"), "hull": F.xxhash64("context", F.lit(1)), "me": F.xxhash64("digest", "place", "first")})
+        rows = rows.withColumns({"near": F.col("place") - F.col("last"), "far": F.col("place") - F.col("first"), "hull": F.xxhash64("context", F.lit(1)), "me": F.struct("digest", "first")})
         rows = cut(rows)
         classes = rows.groupBy(*extent).agg(F.count("*").alias("n"), F.min("me").alias("one"))
         rows = rows.join(classes, extent)
-        settled.append(rows.filter("n > 1").select("digest", "first", "last"))
+        settled.append(rows.filter("n > 1 AND me <> one" if keep_first else "n > 1").select("kind", "digest", "first", "last"))
         rows = cut(rows.filter("me = one").drop("n", "one", *extent[1:], "me"))
         rows = rows.join(rows.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "key")
-        fit.append(rows.filter(F.col("n") <= group).select("key", "digest", "first", "context"))
+        fit.append(rows.filter(F.col("n") <= group).select("key", "kind", "digest", "first", "context"))
         large = rows.filter(F.col("n") > group).drop("n")
         if reach == 1 or large.isEmpty():
             return settled, fit
@@ -238,94 +390,124 @@ def split_passes(rows: DataFrame, width: int, gram: int, group: int) -> tuple[li
             first = F.greatest(F.col("first"), F.col("place") - high)
             last = F.least(F.col("last"), F.col("place") - low)
             part = large.withColumns({"low": low, "was": F.col("first"), "first": first, "last": last}).filter("first <= last")
-            part = part.withColumn("context", F.expr(f"substring(context, first - was + 1, last - first + {width})"))
-            # what all windows of the range share: from low bytes before the place to width - (low + reach - 1) after it
-            shared = F.expr(f"substring(context, place - low - first + 1, {width} - {reach} + 1)")
+            part = part.withColumn("context", F.expr(f"substring(context, {size} * (first - was) + 1, {size} * (last - first + {width}))"))
+            # what all windows of the range share: from low tokens before the place to width - (low + reach - 1) after it
+            shared = F.expr(f"substring(context, {size} * (place - low - first) + 1, {size} * ({width} - {reach} + 1))")
             halves.append(part.withColumn("key", F.xxhash64("key", "low", shared)).drop("was"))
         rows = halves[0].unionByName(halves[1])
 
 
-def repeated_spans(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, group: int = GROUP) -> tuple[DataFrame, DataFrame]:
-    """docs (doc_id, text) -> base (doc_id, digest, text as bytes) and info (doc_id, digest, n_bytes, whole, runs): whole is
-    true where all of a text repeats, runs are first and last starts of repeated windows."""
+def repeated_spans(docs: DataFrame, kinds: tuple[Kind, ...], group: int = GROUP, keep_first: bool = False) -> tuple[DataFrame, DataFrame]:
+    """docs (doc_id, text) -> base (doc_id, digest, text as bytes) and info (doc_id, digest, n_bytes, sha256, whole, runs): whole
+    is true where all of a text repeats, runs are kind, first and last starts of repeated windows."""
     small_batches(docs.sparkSession, 500)
     base = docs.select("doc_id", F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text")).withColumn("digest", F.unhex(F.md5("text")))
-    meta = cut(base.select("doc_id", "digest", F.octet_length("text").alias("n_bytes")))
-    counts = meta.groupBy("digest").agg(F.count("*").alias("copies"), F.min("doc_id").alias("rep"), F.min("n_bytes").alias("n_bytes"))
-    found = stored(anchor_rows(base, width, gram))
-    grams = found.filter(F.col("place") >= 0).groupBy("gram").agg(F.min(F.xxhash64("digest", "place", "first")).alias("a"), F.max(F.xxhash64("digest", "place", "first")).alias("b"), F.count("*").alias("n")).filter("a <> b").select("gram", "n")
+    meta = cut(base.select("doc_id", "digest", F.octet_length("text").alias("n_bytes"), F.unhex(F.sha2("text", 256)).alias("sha256")))
+    counts = meta.groupBy("digest").agg(F.count("*").alias("copies"), F.min("doc_id").alias("rep"))
+    found = stored(anchor_rows(base, kinds, keep_first))
+    open_ = found.filter("place >= 0")
+    me = F.hash("digest", "place", "first")
+    grams = open_.groupBy("kind", "gram").agg(F.min(me).alias("a"), F.max(me).alias("b"), F.count("*").alias("n")).filter("a <> b").select("kind", "gram", "n")
     grams = cut(grams)
     # sets drop what several tasks found in copies of a text; a distinct() would reuse the partitioning by gram, and a frequent
     # gram would stay whole in one task
-    candidates = found.filter(F.col("place") >= 0).join(grams, "gram")
-    by_text = candidates.groupBy("digest").agg(F.collect_set(F.struct("gram", "place", "first", "last", "n")).alias("anchors"))
-    wanted = by_text.join(counts.select(F.col("digest"), F.col("rep")), "digest").withColumnsRenamed({"digest": "d", "rep": "r"})
-    with_text = base.join(wanted, F.col("doc_id").eqNullSafe(F.col("r")) & (F.col("digest") == F.col("d")))
-    spread = with_text.select("digest", "text", F.explode("anchors").alias("a")).select(
-        F.col("a.gram").alias("key"), "digest", "a.place", "a.first", "a.last", "a.n", F.expr(f"substring(text, a.first + 1, a.last - a.first + {width})").alias("context")
-    )
-    runs = found.filter(F.col("place") == SETTLED).select("digest", "first", "last")
-    if grams.filter(F.col("n") > group).isEmpty():
-        runs = runs.unionAll(in_task(spread, width))
+    candidates = likely_in(open_, ["kind", "gram"], likely_set(grams, ["kind", "gram"])).join(grams, ["kind", "gram"])
+    by_text = candidates.groupBy("digest").agg(F.collect_set(F.struct("kind", "gram", "place", "first", "last", "n")).alias("anchors"))
+    wanted = cut(by_text.join(counts.select("digest", "rep"), "digest").select(F.col("digest").alias("d"), F.col("rep").alias("r"), "anchors"))
+    some = likely_in(base, ["doc_id", "digest"], likely_set(wanted, ["r", "d"]))
+    spread = contexts(some.join(wanted, F.col("doc_id").eqNullSafe(F.col("r")) & (F.col("digest") == F.col("d"))).select("digest", "text", "anchors"), kinds)
+    runs = found.filter(F.col("place") == SETTLED).select("kind", "digest", "first", "last")
+    hot = {r[0] for r in grams.filter(F.col("n") > group).select("kind").distinct().collect()}
+    if not hot:
+        runs = runs.unionAll(in_task(spread, kinds, keep_first))
     else:
         spread = cut(spread)
-        settled, fit = split_passes(spread.filter(F.col("n") > group).drop("n"), width, gram, group)
-        rows = spread.filter(F.col("n") <= group).select("key", "digest", "first", "context")
-        for x in fit:
-            rows = rows.unionAll(x)
-        runs = runs.unionAll(in_task(rows, width))
-        for x in settled:
-            runs = runs.unionAll(x)
-    spans = runs.groupBy("digest").agg(F.collect_list(F.struct("first", "last")).alias("runs"))
-    whole = (F.col("copies") > 1) & (F.col("n_bytes") >= width)
-    texts = counts.select("digest", whole.alias("whole")).join(spans, "digest", "left")
-    info = cut(meta.join(texts, "digest").select("doc_id", "digest", "n_bytes", "whole", F.when(~F.col("whole"), F.col("runs")).alias("runs")))
-    return base, info
-
-
-def kept_bytes(text: bytes, runs: list[dict] | None, width: int) -> tuple[list[tuple[int, int]], bytes]:
-    """Maximal removed spans, and the rest put together."""
-    if not runs:
-        return [], text
+        rows = spread.filter(F.col("n") <= group).select("key", "kind", "digest", "first", "context")
+        for k in sorted(hot):
+            settled, fit = split_passes(spread.filter((F.col("n") > group) & (F.col("kind") == k)).drop("n"), kinds[k], group, keep_first)
+            rows = reduce(DataFrame.unionAll, fit, rows)
+            runs = reduce(DataFrame.unionAll, settled, runs)
+        runs = runs.unionAll(in_task(rows, kinds, keep_first))
+    spans = runs.groupBy("digest").agg(F.collect_set(F.struct("kind", "first", "last")).alias("runs"))
+    texts = counts.join(spans, "digest", "full").filter("copies > 1 OR runs IS NOT NULL").select("digest", "copies", "rep", "runs")
+    whole = F.coalesce(F.col("copies") > 1, F.lit(False))
+    if keep_first:
+        whole = whole & ~F.col("doc_id").eqNullSafe(F.col("rep"))
+    info = meta.join(texts, "digest", "left").select("doc_id", "digest", "n_bytes", "sha256", whole.alias("whole"), F.when(~whole, F.col("runs")).alias("runs"))
+    return base, cut(info)
+
+
+def touched(base: DataFrame, info: DataFrame) -> DataFrame:
+    """Rows of base with whole or runs, and these; only such texts are shuffled, and the few that the bit set lets through."""
+    one = info.filter("whole OR runs IS NOT NULL").dropDuplicates(["doc_id", "digest"]).select(F.col("doc_id").alias("__i"), F.col("digest").alias("__d"), F.col("whole").alias("__whole"), F.col("runs").alias("__runs"))
+    some = likely_in(base, ["doc_id", "digest"], likely_set(one, ["__i", "__d"]))
+    return some.join(one, F.col("doc_id").eqNullSafe(F.col("__i")) & (F.col("digest") == F.col("__d"))).drop("__i", "__d")
+
+
+def spans_of(text: bytes, whole: bool, runs: list[dict] | None, kind: Kind, number: int) -> tuple[list[tuple[int, int]], int]:
+    """Maximal removed spans of a kind in bytes, and the tokens in them."""
+    own = [(r["first"], r["last"] + kind.width) for r in runs or () if r["kind"] == number]
+    if not whole and not own:
+        return [], 0
+    begin, end = word_places(text) if kind.words else (None, None)
+    n = len(begin) if kind.words else len(text)
+    if whole:
+        own = [(0, n)] if n >= kind.width else []
     spans: list[list[int]] = []
-    for a, b in sorted((r["first"], r["last"] + width) for r in runs):
+    for a, b in sorted(own):
         if spans and a <= spans[-1][1]:
             spans[-1][1] = max(spans[-1][1], b)
         else:
             spans.append([a, b])
+    tokens = sum(b - a for a, b in spans)
+    return [(int(begin[a]), int(end[b - 1])) if kind.words else (a, b) for a, b in spans], tokens
+
+
+def without(text: bytes, spans: list[tuple[int, int]]) -> bytes:
+    """What is left of a text, put together."""
     rest, at = [], 0
     for a, b in spans:
         rest.append(text[at:a])
         at = b
     rest.append(text[at:])
-    return [(a, b) for a, b in spans], b"".join(rest)
-
-
-def remove_repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, group: int = GROUP, with_text: bool = True) -> DataFrame:
-    """One row per row of docs: doc_id, n_bytes, n_removed, n_spans, kept_sha256, and with_text: spans and kept (bytes)."""
-    base, info = repeated_spans(docs, width, gram, group)
-    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["spans", "kept"] * with_text
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", spans array<struct<start: long, stop: long>>, kept binary" * with_text
-    empty = hashlib.sha256(b"").hexdigest()
-    direct = info.filter("whole").select(
-        "doc_id", F.col("n_bytes").cast("long"), F.col("n_bytes").cast("long").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.lit(empty).alias("kept_sha256"),
-        F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n_bytes").cast("long").alias("stop"))).alias("spans"), F.lit(b"").alias("kept"),
-    ).select(*names)
-    one = info.filter("NOT whole").dropDuplicates(["doc_id", "digest"]).select(F.col("doc_id").alias("i"), F.col("digest").alias("d"), "runs")
-    rest = base.join(one, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("digest") == F.col("d"))).select("doc_id", "text", "runs")
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())])), pa.binary()]
+    return b"".join(rest)
+
+
+def remove_repeats(docs: DataFrame, kind: Kind = BYTES, group: int = GROUP, with_text: bool = True, passages: Kind | None = None) -> DataFrame:
+    """One row per row of docs: doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (of bytes, removed). with_text: kept
+    (bytes). passages: also n_passage_words and passages (spans of bytes) of that kind, which are reported and not removed."""
+    kinds = (kind,) if passages is None else (kind, passages)
+    base, info = repeated_spans(docs, kinds, group)
+    span = "array<struct<start: long, stop: long>>"
+    schema = f"doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans {span}" + ", kept binary" * with_text + f", n_passage_words long, passages {span}" * (passages is not None)
+    names = [x.strip().split()[0] for x in schema.replace("start: long, stop", "").split(", ")]
+    spans_type = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
+    types = {"kept_sha256": pa.string(), "spans": spans_type, "passages": spans_type, "kept": pa.binary()}
+    listed = lambda spans: [{"start": a, "stop": b} for a, b in spans]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not b.num_rows:
                 continue
             rows = []
-            for doc, text, runs in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                spans, kept = kept_bytes(text, runs, width)
-                rows.append((doc, len(text), len(text) - len(kept), len(spans), hashlib.sha256(kept).hexdigest(), [{"start": x, "stop": y} for x, y in spans], kept))
-            yield batch(**{n: pa.array(c, k) for n, c, k in zip(names, zip(*rows, strict=True), kinds, strict=False)})
-
-    return rest.mapInArrow(run, schema).unionAll(direct)
+            for doc, text, whole, runs in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                spans, _ = spans_of(text, whole, runs, kind, 0)
+                kept = without(text, spans)
+                row = {"doc_id": doc, "n_bytes": len(text), "n_removed": len(text) - len(kept), "n_spans": len(spans), "kept_sha256": hashlib.sha256(kept).hexdigest(), "spans": listed(spans), "kept": kept}
+                if passages:
+                    more, n = spans_of(text, whole, runs, passages, 1)
+                    row |= {"n_passage_words": n, "passages": listed(more)}
+                rows.append(row)
+            yield batch(**{n: pa.array([r[n] for r in rows], types.get(n, pa.int64())) for n in names})
+
+    changed = touched(base, info).select("doc_id", "text", "__whole", "__runs").mapInArrow(run, schema)
+    zero, nothing = F.lit(0).cast("long"), F.array().cast(span)
+    plain = {"n_bytes": F.col("n_bytes").cast("long"), "n_removed": zero, "n_spans": zero, "kept_sha256": F.lower(F.hex("sha256")), "spans": nothing, "n_passage_words": zero, "passages": nothing}
+    rest = info.filter("NOT whole AND runs IS NULL")
+    if with_text:
+        rest = base.join(rest.select(F.col("doc_id").alias("i"), F.col("digest").alias("d"), "n_bytes", "sha256").distinct(), F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("digest") == F.col("d")))
+        plain["kept"] = F.col("text")
+    return changed.unionAll(rest.select("doc_id", *(plain[n].alias(n) for n in names[1:])))
 
 
 def whole_characters(text: bytes, spans: list[tuple[int, int]]) -> bytes:
@@ -342,13 +524,16 @@ def whole_characters(text: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join(rest)
 
 
-def strip_repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, group: int = GROUP) -> DataFrame:
-    """docs with the repeated passages taken out of text, and n_chars counted anew if there is one; all rows stay."""
-    _, info = repeated_spans(docs, width, gram, group)
+def strip_repeats(docs: DataFrame, kind: Kind = PASSAGES, group: int = GROUP) -> DataFrame:
+    """docs with repeated passages taken out of text everywhere but at their first place, and n_chars counted anew if there is
+    one; all rows stay. Rows that repeat doc_id and text are one document."""
+    _, info = repeated_spans(docs, (kind,), group, keep_first=True)
     one = info.filter("whole OR runs IS NOT NULL").dropDuplicates(["doc_id", "digest"]).select(F.col("doc_id").alias("__i"), F.col("digest").alias("__d"), F.col("whole").alias("__whole"), F.col("runs").alias("__runs"))
+    likely = likely_set(one, ["__i", "__d"])
     named = docs.withColumn("__digest", F.unhex(F.md5(F.coalesce(F.col("text").cast("binary"), F.lit(b"")))))
-    joined = named.join(one, F.col("doc_id").eqNullSafe(F.col("__i")) & (F.col("__digest") == F.col("__d")), "left").drop("__i", "__d", "__digest")
-    place = docs.columns.index("text")
+    some, others = likely_in(named, ["doc_id", "__digest"], likely), likely_in(named, ["doc_id", "__digest"], likely, no=True)
+    joined = some.join(one, F.col("doc_id").eqNullSafe(F.col("__i")) & (F.col("__digest") == F.col("__d")), "left").drop("__i", "__d", "__digest")
+    names, place = docs.columns, docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -356,16 +541,15 @@ def strip_repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, group:
             whole, runs = (c.to_pylist() for c in columns[-2:])
             out = []
             for text, all_, own in zip(columns[place].to_pylist(), whole, runs, strict=True):
-                if all_ or own:
+                if text and (all_ or own):
                     raw = text.encode("utf-8", "surrogatepass")
-                    spans, _ = kept_bytes(raw, own, width)
-                    text = "" if all_ else whole_characters(raw, spans).decode("utf-8", "replace")
+                    spans, _ = spans_of(raw, all_, own, kind, 0)
+                    text = whole_characters(raw, spans).decode("utf-8", "replace")
                 out.append(text)
             columns[place] = pa.array(out, columns[place].type)
-            yield pa.RecordBatch.from_arrays(columns[:-2], list(docs_names))
+            yield pa.RecordBatch.from_arrays(columns[:-2], names)
 
-    docs_names = docs.columns
     out = joined.mapInArrow(run, docs.schema)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out
+    return out.unionAll(others.drop("__digest"))

@@ -255,30 +255,97 @@ def plain_repeats(rows, width):
     return Counter(out)
 
 
-@pytest.mark.parametrize("width, gram, group", [(400, 64, 1 << 14), (60, 16, 4)])
-def test_radix_dedup(docs, rows, none, width, gram, group):
-    got = radix_dedup.remove_repeats(docs, width, gram, group)
-    assert by_row(got.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")) == plain_repeats(rows, width)
+def plain_passages(rows, width, keep_first):
+    """By row: the words left, and how many went, of windows of whole words that stand anywhere else."""
+    order = {}
+    for i, t in rows:
+        digest = hashlib.md5(raw(t)).digest()
+        order.setdefault(digest, []).append(i)
+    words = {hashlib.md5(raw(t)).digest(): [raw(t)[m.start() : m.end()].lower() for m in re.finditer(rb"[0-9A-Za-z\x80-\xff]+", raw(t))] for _, t in rows}
+    places = defaultdict(list)
+    for digest in sorted(order):
+        w = words[digest]
+        for j in range(len(w) - width + 1):
+            places[tuple(w[j : j + width])].append((digest, j))
+    out = []
+    for i, t in rows:
+        digest = hashlib.md5(raw(t)).digest()
+        w, own = words[digest], order[digest]
+        rep = min((x for x in own if x is not None), default=None)
+        gone = bytearray(len(w))
+        for j in range(len(w) - width + 1):
+            found = places[tuple(w[j : j + width])]
+            copied = len(own) > 1 and (i != rep if keep_first else True)
+            if copied or (found[0] != (digest, j) if keep_first else len(found) > 1):
+                gone[j : j + width] = b"\1" * width
+        out.append((i, tuple(x for x, g in zip(w, gone) if not g), sum(gone)))
+    return Counter(out)
+
+
+KINDS = [radix_dedup.BYTES, radix_dedup.Kind(60, 16)]
+
+
+@pytest.mark.parametrize("kind, group", [(KINDS[0], 1 << 14), (KINDS[1], 4)])
+def test_radix_dedup(docs, rows, none, kind, group, monkeypatch):
+    got = radix_dedup.remove_repeats(docs, kind, group, passages=radix_dedup.PASSAGES)
+    assert by_row(got.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")) == plain_repeats(rows, kind.width)
     for r in got.collect():
         assert r.n_removed == sum(s.stop - s.start for s in r.spans) and hashlib.sha256(bytes(r.kept)).hexdigest() == r.kept_sha256
-    assert radix_dedup.remove_repeats(none, width, gram, group).count() == 0
+    assert by_row(got.select("doc_id", "n_passage_words")) == Counter((i, n) for (i, _, n), c in plain_passages(rows, 50, False).items() for _ in range(c))
+    assert radix_dedup.remove_repeats(none, kind, group, passages=radix_dedup.PASSAGES).count() == 0
+
+
+def test_radix_pieces_of_long_texts(monkeypatch):
+    rng = random.Random(8)
+    text = prose(rng, 3000).encode()
+    for kind in (radix_dedup.Kind(60, 16), radix_dedup.Kind(12, 3, words=True)):
+        whole = list(radix_dedup.pieces(text, kind))
+        monkeypatch.setattr(radix_dedup, "BLOCK", 500)
+        monkeypatch.setattr(radix_dedup, "SPLIT", 777)
+        parts = list(radix_dedup.pieces(text, kind))
+        assert len(whole) == 1 and len(parts) > 2 and max(len(c) for _, c in parts) <= 500 + kind.width - 1
+        assert all((whole[0][1][i : i + len(c)] == c).all() for i, c in parts)
+        found = {(int(p) + i, int(g)) for i, c in parts for n, g, p, *_ in zip(*radix_dedup.anchors(c, [0, len(c)], kind, False))}
+        assert found == {(int(p), int(g)) for n, g, p, *_ in zip(*radix_dedup.anchors(whole[0][1], [0, len(whole[0][1])], kind, False))}
+        monkeypatch.undo()
 
 
 def test_radix_split_passes_of_a_hot_passage(spark):
     rng = random.Random(2)
     passage = prose(rng, 40)
     rows = [(k, prose(rng, rng.randint(3, 20)) + " " + passage[rng.randint(0, 20) :] + " " + prose(rng, rng.randint(3, 20))) for k in range(60)]
-    got = radix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), 48, 12, 5, with_text=False)
-    assert by_row(got) == plain_repeats(rows, 48)
+    got = radix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), radix_dedup.Kind(48, 12), 5, with_text=False)
+    assert by_row(got.drop("spans")) == plain_repeats(rows, 48)
+
+
+def left_of(df):
+    plain = lambda t: tuple(radix_dedup.PLAIN and raw(t).translate(radix_dedup.PLAIN).split())
+    return Counter((r.doc_id, plain(r.text)) for r in df.collect())
 
 
-def test_strip_repeats_keeps_rows_columns_and_characters(docs, rows):
-    out = radix_dedup.strip_repeats(docs)
-    assert out.columns == docs.columns and out.count() == len(rows)
-    want = {(i, n_bytes - removed) for (i, n_bytes, removed, _, _) in plain_repeats(rows, 400)}
-    for r in out.collect():
-        size = len(raw(r.text))
-        assert any(i == r.doc_id and 0 <= size - left < 8 for i, left in want)
+@pytest.mark.parametrize("kind, group", [(radix_dedup.PASSAGES, 1 << 14), (radix_dedup.Kind(9, 3, words=True), 4)])
+def test_strip_repeats_keeps_the_first_place(docs, rows, none, kind, group):
+    out = radix_dedup.strip_repeats(docs, kind, group)
+    assert out.schema == docs.schema and out.count() == len(rows)
+    want = Counter()
+    for (i, words, _), c in plain_passages(rows, kind.width, True).items():
+        want[(i, words)] += c
+    assert left_of(out) == want
+    assert radix_dedup.strip_repeats(none, kind, group).count() == 0
+
+
+def test_strip_repeats_of_passages_just_over_fifty_words(spark):
+    """Passages of 51 words, some under 300 bytes, in up to 40 documents: one copy of each is left, and all other text stays."""
+    rng = random.Random(4)
+    passages = [prose(rng, 51) for _ in range(5)]
+    loud = [re.sub("[a-z]", lambda m: m[0].upper(), p) for p in passages]
+    rows = [(k, prose(rng, 80) + ".\n" + (loud if k % 2 else passages)[k % 5] + "\n" + prose(rng, 60)) for k in range(40)]
+    out = {r.doc_id: r.text for r in radix_dedup.strip_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for p in passages:
+        words = p.lower()
+        assert sum(words in t.lower() for t in out.values()) == 1
+    for k, t in rows:
+        assert out[k].startswith(t[: t.index("\n")]) and out[k].endswith(t[t.rindex("\n") :])
 
 
 def reference_ids(text, end):
