@@ -5,8 +5,9 @@ hash of their id) by alternating signs and orthogonal Procrustes. Every vector i
 few bits; vectors with the same bits in any table are candidates. Bits for a table grow with the logarithm of the number of
 vectors, which holds the size of a bucket. The number of tables comes from pairs at the threshold that are built from the
 sample and coded like any vector (centring widens their angles where vectors have a common direction): tables are added until
-the wanted share of them meets in one. Cosines in double precision decide; a pair counts in the first table that it shares, so nothing need be
-gathered to know each pair once. Tasks emit sums and a spanning forest, never pairs.
+the wanted share of them meets in one. Where MOST_TABLES don't do, tables get fewer bits; with none, all vectors meet, which is
+exact, and which few vectors (up to BRUTE) do anyway. Cosines in double precision decide; a pair counts in the first table that
+it shares, so nothing need be gathered to know each pair once. Tasks emit sums and a spanning forest, never pairs.
 
 A bucket above CHUNK vectors is cut into chunks, and pairs of chunks are dealt to tasks of bounded size. Equal vectors are
 one entry with a count.
@@ -31,43 +32,60 @@ from tessaro.llm.components import components, forest
 
 THRESHOLD = 0.9
 SAMPLE = 16_384
-ITERATIONS = 30
-CHUNK = 2048
+#: Vectors of the sample that rotations are learnt on, and rounds of it.
+LEARNT = 4096
+ITERATIONS = 15
+CHUNK = 4096
+#: Rows of a chunk that are compared with the other chunk at once.
+ROWS = 512
 #: Vectors of a bucket, on average, from which tables get more bits.
 BUCKET = 200
 LEAST_BITS, MOST_BITS = 8, 20
+#: A vector is copied once for each table.
+MOST_TABLES = 64
+#: Vectors up to which all are compared with all.
+BRUTE = 8192
 #: Probability that a pair at the threshold shares a table.
 RECALL = 0.93
 
 
 class Quantiser:
-    """Mean, principal axes and rotations; codes are signs of rotated vectors."""
+    """Mean, principal axes and rotations; codes are signs of rotated vectors. Tables take bits from one rotation after another."""
 
-    def __init__(self, sample: np.ndarray, tables: int, bits: int, seed: int = 7) -> None:
+    def __init__(self, sample: np.ndarray, seed: int = 7) -> None:
         x = unit(sample)
         self.mean = x.mean(axis=0)
         x = x - self.mean
         _, axes = np.linalg.eigh(x.T @ x)
         self.axes = axes[:, ::-1]
-        v = x @ self.axes
-        width = v.shape[1]
-        rng = np.random.default_rng(seed)
-        turns = []
-        for _ in range(-(-tables * bits // width)):
-            turn, _ = np.linalg.qr(rng.standard_normal((width, width)))
+        self.learnt = x[:LEARNT] @ self.axes
+        self.turns = np.zeros((len(self.mean), 0))
+        self.rng = np.random.default_rng(seed)
+        self.bits = self.tables = 0
+
+    def grow(self, width: int) -> None:
+        """Learn rotations until there are width bits."""
+        v = self.learnt
+        while self.turns.shape[1] < width:
+            turn, _ = np.linalg.qr(self.rng.standard_normal((v.shape[1], v.shape[1])))
             for _ in range(ITERATIONS):
                 u, _, w = np.linalg.svd(np.sign(v @ turn).T @ v)
                 turn = (u @ w).T
-            turns.append(turn)
-        self.turns = np.concatenate(turns, axis=1)[:, : tables * bits]
-        # bits of one table come from far apart axes
-        self.order = rng.permutation(tables * bits)
-        self.tables, self.bits = tables, bits
+            # neighbouring bits come from far apart axes
+            self.turns = np.concatenate([self.turns, turn[:, self.rng.permutation(turn.shape[1])]], axis=1)
+
+    def code(self, vectors: np.ndarray, width: int) -> np.ndarray:
+        return (unit(vectors) - self.mean) @ (self.axes @ self.turns[:, :width]) > 0
+
+    def plan(self, bits: int, tables: int) -> None:
+        self.bits, self.tables = bits, tables
+        self.turns, self.learnt = self.turns[:, : bits * tables], None
 
     def keys(self, vectors: np.ndarray) -> np.ndarray:
         """One integer for each vector and table."""
-        signs = ((unit(vectors) - self.mean) @ self.axes @ self.turns > 0)[:, self.order]
-        return signs.reshape(len(vectors), self.tables, self.bits) @ (1 << np.arange(self.bits))
+        if not self.bits:
+            return np.zeros((len(vectors), self.tables), np.int64)
+        return self.code(vectors, self.tables * self.bits).reshape(len(vectors), self.tables, self.bits) @ (1 << np.arange(self.bits))
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -76,11 +94,9 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def plan_tables(n: int, threshold: float, recall: float = RECALL) -> tuple[int, int]:
-    """Bits of a table, and tables, for n vectors."""
-    bits = min(MOST_BITS, max(LEAST_BITS, round(math.log2(max(n, 1) / BUCKET))))
-    agree = (1 - math.acos(max(-1.0, min(1.0, threshold))) / math.pi) ** bits
-    return bits, max(1, math.ceil(math.log(1 - recall) / math.log(1 - agree))) if agree < 1 else 1
+def plan_bits(n: int) -> int:
+    """Bits of a table for n vectors."""
+    return 0 if n <= BRUTE else min(MOST_BITS, max(LEAST_BITS, round(math.log2(n / BUCKET))))
 
 
 def built_pairs(sample: np.ndarray, threshold: float, most: int = 4096, seed: int = 11) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -100,18 +116,24 @@ def built_pairs(sample: np.ndarray, threshold: float, most: int = 4096, seed: in
 
 def fitted(sample: np.ndarray, n: int, threshold: float, recall: float) -> Quantiser:
     """A quantiser for n vectors whose tables hold the wanted share of each kind of built pair."""
-    bits, tables = plan_tables(n, threshold, recall)
     # rotations suit the vectors that they are learnt on better than others: pairs are built from those left out
     apart = len(sample) // 4 if len(sample) >= 1024 else 0
     pairs, sample = built_pairs(sample[:apart] if apart else sample, threshold), sample[apart:]
-    while True:
-        quantiser = Quantiser(sample, tables, bits)
-        found = min(((quantiser.keys(x) == quantiser.keys(y)).any(axis=1).mean() for x, y in pairs), default=1.0)
-        if found >= recall:
-            return quantiser
-        # what is missed falls by about the same factor with each table
-        need = math.log(1 - recall) / math.log(1 - found) * tables if found else math.inf
-        tables = max(tables + 1, math.ceil(min(2 * tables, need)))
+    quantiser = Quantiser(sample)
+    for bits in range(plan_bits(n), 0, -1):
+        tables = 4
+        while tables <= MOST_TABLES and pairs:
+            quantiser.grow(bits * tables)
+            width = bits * tables
+            # by kind of pair and number of tables: the share of pairs that meet
+            met = [np.logical_or.accumulate((quantiser.code(x, width) == quantiser.code(y, width)).reshape(len(x), tables, bits).all(axis=2), axis=1).mean(axis=0) for x, y in pairs]
+            enough = np.flatnonzero(np.minimum.reduce(met) >= recall)
+            if len(enough):
+                quantiser.plan(bits, int(enough[0]) + 1)
+                return quantiser
+            tables *= 2
+    quantiser.plan(0, 1)
+    return quantiser
 
 
 def matrix(column: pa.Array) -> np.ndarray:
@@ -126,15 +148,21 @@ def compare(group: pa.Table, threshold: float) -> tuple[np.ndarray, ...]:
     table = group["t"][0].as_py()
     left = np.flatnonzero(side == 0)
     right = np.flatnonzero(side == 1) if group["i"][0].as_py() != group["j"][0].as_py() else left
-    a, b = np.nonzero(x[left] @ x[right].T >= threshold)
-    a, b = left[a], right[b]
-    new = a != b if right is not left else a < b
-    a, b = a[new], b[new]
-    for t in range(table):  # the first shared table counts a pair
-        apart = keys[a, t] != keys[b, t]
-        a, b = a[apart], b[apart]
-    links = np.bincount(a, size[b], len(name)) + np.bincount(b, size[a], len(name))
-    return name, links.astype(np.int64), name[a], name[b]
+    links = np.zeros(len(name), np.int64)
+    ends, starts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    for i in range(0, len(left), ROWS):
+        own = left[i : i + ROWS]
+        a, b = np.nonzero(x[own] @ x[right].T >= threshold)
+        a, b = own[a], right[b]
+        new = a != b if right is not left else a < b
+        a, b = a[new], b[new]
+        for t in range(table):  # the first shared table counts a pair
+            apart = keys[a, t] != keys[b, t]
+            a, b = a[apart], b[apart]
+        if len(a):
+            links += (np.bincount(a, size[b], len(name)) + np.bincount(b, size[a], len(name))).astype(np.int64)
+            ends, starts = forest(np.concatenate([ends, a]), np.concatenate([starts, b]))
+    return name, links, name[ends], name[starts]
 
 
 def compare_all(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
@@ -150,7 +178,6 @@ def compare_all(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator
                 name, links, a, b = compare(rows.slice(lo, hi - lo), threshold)
                 if len(a):
                     some = links > 0
-                    a, b = forest(a, b)
                     yield batch(a=name[some], links=links[some], b=pa.nulls(int(some.sum()), pa.int64()))
                     yield batch(a=a, links=pa.nulls(len(a), pa.int64()), b=b)
         held = None if last else rows.slice(edge[-2])

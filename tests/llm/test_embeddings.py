@@ -59,9 +59,29 @@ def test_empty_and_all_bad(spark):
     assert sorted(map(tuple, got)) == [(4, 0, 4, True), (5, 0, 5, True)]
 
 
-def test_tables_grow_with_the_input():
-    sizes = [itq_dedup.plan_tables(n, 0.9) for n in (10, 10**4, 10**6, 10**9)]
-    assert [b for b, _ in sizes] == [8, 8, 12, 20] and [t for _, t in sizes] == sorted(t for _, t in sizes)
+def test_bits_grow_with_the_input():
+    assert [itq_dedup.plan_bits(n) for n in (10, 10**4, 10**6, 10**9)] == [0, 8, 12, 20]
+
+
+@pytest.mark.parametrize("sample", [np.array([[1.0, 2.0], [1.0, 2.1]]), np.ones((50, 4)), np.random.default_rng(3).standard_normal((5, 3))])
+def test_vectors_that_no_tables_suit_are_all_compared(sample):
+    quantiser = itq_dedup.fitted(sample, 10**6, 0.9, itq_dedup.RECALL)
+    assert quantiser.tables <= itq_dedup.MOST_TABLES
+    pairs = itq_dedup.built_pairs(sample, 0.9)
+    assert all((quantiser.keys(x) == quantiser.keys(y)).any(axis=1).mean() > 0.9 for x, y in pairs)
+
+
+def test_links_of_vectors_with_a_common_mean(spark, monkeypatch):
+    """Tables, and not the comparison of all with all: recall 0.9 at least, and no link below the threshold."""
+    monkeypatch.setattr(itq_dedup, "BRUTE", 100)
+    rng = np.random.default_rng(8)
+    v = (rng.standard_normal(32) + 0.31 * rng.standard_normal((900, 32)) * rng.uniform(0.5, 4, (900, 1))).astype(np.float32)
+    x = v.astype(np.float64) / np.linalg.norm(v.astype(np.float64), axis=1, keepdims=True)
+    near = x @ x.T >= 0.9
+    want = near.sum(axis=1) - 1
+    got = itq_dedup.near_vectors(spark.createDataFrame(list(enumerate(v.tolist())), "vec_id long, embedding array<float>")).collect()
+    links = {r.vec_id: r.n_links for r in got}
+    assert all(links[k] <= want[k] for k in range(900)) and sum(links.values()) >= 0.9 * want.sum()
 
 
 @pytest.mark.parametrize("n, mean", [(10**4, 0.0), (10**4, 0.7), (10**6, 0.7)])
@@ -75,6 +95,7 @@ def test_recall_at_the_threshold_of_vectors_with_a_common_direction(n, mean):
         return itq_dedup.unit(common + np.sqrt(1 - mean**2) * z)
 
     quantiser = itq_dedup.fitted(draw(3000), n, 0.9, itq_dedup.RECALL)
+    assert quantiser.bits >= 8
     x, to = draw(3000), draw(3000)
     turn = to - (to * x).sum(axis=1, keepdims=True) * x
     y = 0.9 * x + np.sqrt(1 - 0.81) * itq_dedup.unit(turn)
