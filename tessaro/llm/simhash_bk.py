@@ -6,6 +6,10 @@ one key of one table. A shard's BK-tree keys children by their integer Hamming d
 edges within the radius of the distance to the node. Trees meet the fingerprints in the task that a shuffle brings both to:
 a broadcast of all trees would grow with the corpus. Shards give a spanning forest, never all pairs of a group.
 
+A shard of more than SHARD fingerprints is split by the same rule on the bits it doesn't share: those are cut into five blocks
+again, of which two must agree. As fingerprints are distinct, a shard that shares all but n bits has 2 ** n members at most, so
+splitting ends and no task holds more than a bounded number, however like each other the texts are.
+
 Defined results: null, empty and wordless texts have fingerprint zero and link like any other; a text of one or two words is
 one shingle. Repeated rows give one row each. An empty table gives none.
 """
@@ -13,6 +17,7 @@ one shingle. Repeated rows give one row each. An empty table gives none.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -29,6 +34,10 @@ BLOCKS = (13, 13, 13, 13, 12)
 RADIUS = 3
 SHINGLE = 3
 SEED = 42
+#: Fingerprints of a shard from which it is split; it exceeds 2 ** FREE of the last split.
+SHARD = 1 << 16
+#: Shards that have no more bits than this to differ in aren't split.
+FREE = 16
 
 
 def fingerprint(text: bytes, size: int = SHINGLE) -> int:
@@ -119,24 +128,55 @@ def shard_links(shard: np.ndarray, value: np.ndarray, name: np.ndarray, radius:
     return forest(a, b) if len(a) else (a, b)
 
 
-def tables() -> list[int]:
-    """A mask of bits for each choice of the blocks that must agree."""
+def choices(bits: list[int], widths: tuple[int, ...]) -> list[int]:
+    """Bits cut into blocks -> a mask for each choice of the blocks that must agree."""
     at, masks = 0, []
-    for width in BLOCKS:
-        masks.append(((1 << width) - 1) << at)
+    for width in widths:
+        masks.append(sum(1 << b for b in bits[at : at + width]))
         at += width
-    return [sum(c) for c in combinations(masks, len(BLOCKS) - RADIUS)]
+    return [sum(c) for c in combinations(masks, len(widths) - RADIUS)]
+
+
+def tables() -> list[int]:
+    return choices(list(range(64)), BLOCKS)
+
+
+def finer(mask: int) -> list[int]:
+    """The masks that split a shard whose members agree on the bits of mask."""
+    free = [b for b in range(64) if not mask >> b & 1]
+    n = len(BLOCKS)
+    return [mask | m for m in choices(free, tuple(len(free) // n + (i < len(free) % n) for i in range(n)))]
 
 
 def signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def fingerprint_links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
+def sharded(distinct: DataFrame, limit: int) -> DataFrame:
+    """distinct: fp, rep -> shard, fp, rep, of bounded shards: links at RADIUS or less share at least one."""
+    masks = tables()
+    rows = distinct.select("fp", "rep", F.explode(F.array(*[F.lit(signed(m)) for m in masks])).alias("mask"))
+    fit = []
+    while True:
+        rows = rows.withColumn("shard", F.xxhash64("mask", F.col("fp").bitwiseAND(F.col("mask"))))
+        if all(64 - m.bit_count() <= FREE for m in masks):
+            hot = None
+        else:
+            hot = cut(rows.groupBy("shard", "mask").count().filter(F.col("count") > limit).select("shard", "mask"))
+        if hot is None or hot.isEmpty():
+            fit.append(rows.select("shard", "fp", "rep"))
+            return reduce(DataFrame.unionAll, fit)
+        fit.append(rows.join(hot, ["shard", "mask"], "left_anti").select("shard", "fp", "rep"))
+        masks = sorted({m & (1 << 64) - 1 for (m,) in hot.select("mask").distinct().collect()})
+        next_ = {m: finer(m) if 64 - m.bit_count() > FREE else [m] for m in masks}
+        split = F.create_map(*[x for m, found in next_.items() for x in (F.lit(signed(m)), F.array(*[F.lit(signed(f)) for f in found]))])
+        rows = cut(rows.join(hot, ["shard", "mask"], "left_semi").select("fp", "rep", F.explode(split[F.col("mask")]).alias("mask")))
+        masks = [f for found in next_.values() for f in found]
+
+
+def fingerprint_links(distinct: DataFrame, radius: int = RADIUS, limit: int = SHARD) -> DataFrame:
     """distinct: fp, rep (one row each) -> links (a, b) of rep, a spanning forest of each shard."""
-    keys = F.array(*[F.struct(F.lit(i).cast("byte").alias("t"), F.col("fp").bitwiseAND(F.lit(signed(m))).alias("key")) for i, m in enumerate(tables())])
-    # a shard of one needs no tree, and a shard of two or more comes whole to one task
-    rows = distinct.select("fp", "rep", F.explode(keys).alias("k")).select(F.xxhash64("k.t", "k.key").alias("shard"), "fp", "rep")
+    rows = sharded(distinct, limit)
     parts = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
