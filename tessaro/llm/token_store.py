@@ -5,8 +5,10 @@ Documents are range-partitioned by doc_id; each task encodes its range and write
 parts of bounded size; a part is a minimal perfect hash (levels of bit sets; a key's slot is the rank of its bit) with, slot
 by slot, a fingerprint of the key, the shard, the offset and the number of ids. A lookup costs a few bit tests and one read.
 
-Files go through the file system named by the folder's URI. A task writes under a name of its own and renames, so that a
-repeated or speculative task leaves the same file. Only file names and id totals of shards reach the driver.
+Files go through the file system named by the folder's URI. A task writes under a name of its own and renames; where an earlier
+attempt has left the file, it stays if it is as long, else it is replaced, so that a repeated or speculative task leaves the same
+file on any store. Shards hold about SHARD_BYTES of text, so that their number follows the size of the corpus. A shard's ids and
+its entries leave the task as they are encoded. Only id totals of shards reach the driver.
 
 Defined results: a null or empty text has its end id alone. Rows that repeat a doc_id are kept, as occurrences 0, 1, ... in
 order of their texts; a null doc_id comes first and is a key of its own. An unknown key isn't found (its fingerprint differs,
@@ -19,6 +21,7 @@ import io
 import json
 import zlib
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +34,8 @@ from tessaro.llm.common import batch, cut, small_batches, texts
 from tessaro.llm.word_ids import encoder, tokenizer_file
 
 KEYS_A_PART = 1 << 16
+#: Bytes of text of a shard, about; there are no fewer shards than shuffle partitions.
+SHARD_BYTES = 256 << 20
 GAMMA = 2.0
 LEVELS = 40
 NULL_KEY = np.uint64(0x6A09E667F3BCC908)
@@ -95,15 +100,39 @@ def opened(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri) if ":/" in uri else (pafs.LocalFileSystem(), uri)
 
 
-def write_file(uri: str, data: Iterator[bytes]) -> None:
+@contextmanager
+def new_file(uri: str) -> Iterator[pa.NativeFile]:
+    """A file that is there, whole, only once the block has ended well."""
     fs, path = opened(uri)
     context = TaskContext.get()
     own = f"{path}.{context.taskAttemptId() if context else 0}.part"
     fs.create_dir(path.rpartition("/")[0], recursive=True)
     with fs.open_output_stream(own) as f:
-        for x in data:
-            f.write(x)
-    fs.move(own, path)
+        yield f
+    settle(fs, own, path)
+
+
+def settle(fs: pafs.FileSystem, own: str, path: str) -> None:
+    """Give a file its name. Stores differ in what a rename onto an existing file does: an equal one stays, another goes."""
+    there, mine = fs.get_file_info([path, own])
+    if there.type == pafs.FileType.File and there.size == mine.size:
+        fs.delete_file(own)
+        return
+    if there.type == pafs.FileType.File:
+        fs.delete_file(path)
+    try:
+        fs.move(own, path)
+    except OSError:  # another attempt was faster
+        there, mine = fs.get_file_info([path, own])
+        if there.type != pafs.FileType.File or mine.type == pafs.FileType.File and there.size != mine.size:
+            raise
+        if mine.type == pafs.FileType.File:
+            fs.delete_file(own)
+
+
+def write_file(uri: str, data: bytes) -> None:
+    with new_file(uri) as f:
+        f.write(data)
 
 
 def read_file(uri: str) -> bytes:
@@ -128,7 +157,7 @@ def write_index(uri: str, keys: np.ndarray, shard: np.ndarray, offset: np.ndarra
         offset=offset[order].astype(np.uint64),
         count=count[order].astype(np.uint32),
     )
-    write_file(uri, iter([held.getvalue()]))
+    write_file(uri, held.getvalue())
 
 
 class IndexPart:
@@ -205,7 +234,7 @@ def part_of(parts: int):
     return F.pmod(F.xxhash64("doc_id", "occurrence"), F.lit(parts)).cast("int").alias("part")
 
 
-def write_store(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 2, shards: int | None = None, keys_a_part: int = KEYS_A_PART) -> TokenStore:
+def write_store(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 2, shards: int | None = None, keys_a_part: int = KEYS_A_PART, shard_bytes: int = SHARD_BYTES) -> TokenStore:
     """Encode docs (doc_id, text), write shards, index and manifest under path (a URI that all executors reach)."""
     spark = docs.sparkSession
     small_batches(spark)
@@ -214,15 +243,15 @@ def write_store(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 2
 
     width = 2 if max(Tokenizer.from_str(definition.value).get_vocab_size(with_added_tokens=True) - 1, end_id) < 1 << 16 else 4
     end = int(end_id).to_bytes(4, "little")
-    shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if not shards:
+        n_bytes = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_bytes // shard_bytes))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard = TaskContext.get().partitionId()
         encode = encoder(definition.value).encode
-        rows: list[pa.RecordBatch] = []
-
-        def payload() -> Iterator[bytes]:
-            offset, last, occurrence = 0, (), 0
+        offset, last, occurrence = 0, (), 0
+        with new_file(f"{path}/ids/{shard:06d}.ids") as f:
             for b in batches:
                 ids, counts, places, nth = b.column(0).to_pylist(), [], [], []
                 for doc, raw in zip(ids, encode(texts(b.column(1))), strict=True):
@@ -233,11 +262,8 @@ def write_store(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 2
                     places.append(offset)
                     counts.append(len(raw) // 4)
                     offset += len(raw) // 4
-                    yield raw if width == 4 else np.frombuffer(raw, "<u4").astype("<u2").tobytes()
-                rows.append(batch(doc_id=b.column(0), occurrence=pa.array(nth, pa.int32()), shard=pa.array([shard] * len(ids), pa.int32()), offset=pa.array(places, pa.int64()), n_tokens=pa.array(counts, pa.int64())))
-
-        write_file(f"{path}/ids/{shard:06d}.ids", payload())
-        yield from rows
+                    f.write(raw if width == 4 else np.frombuffer(raw, "<u4").astype("<u2").tobytes())
+                yield batch(doc_id=b.column(0), occurrence=pa.array(nth, pa.int32()), shard=pa.array([shard] * len(ids), pa.int32()), offset=pa.array(places, pa.int64()), n_tokens=pa.array(counts, pa.int64()))
 
     ordered = docs.select("doc_id", "text").repartitionByRange(shards, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
     entries = cut(ordered.mapInArrow(run, "doc_id long, occurrence int, shard int, offset long, n_tokens long"))
@@ -260,7 +286,7 @@ def write_store(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 2
     if indexed != n_docs:
         raise RuntimeError(f"{indexed} of {n_docs} documents were indexed")
     manifest = {"width": width, "parts": parts, "n_docs": n_docs, "n_ids": total, "end_id": end_id, "starts": starts}
-    write_file(f"{path}/manifest.json", iter([json.dumps(manifest).encode()]))
+    write_file(f"{path}/manifest.json", json.dumps(manifest).encode())
     store = TokenStore(spark, path)
     store.entries = entries
     return store
