@@ -1,6 +1,6 @@
 """License scans: a positional index of rare words over licence templates.
 
-Templates are indexed word by word with positions. Corpus-wide document counts of the template words give their IDF. Each
+Templates are whole texts of short licences, and the notices that long ones ask to be put into files. They are indexed word by word with positions. Corpus-wide document counts of the template words give their IDF. Each
 template with one of its mandatory key phrases in the file is looked up by itself, from its highest IDF down: its postings vote
 for the place where it would start in the file (file position less template position). Once all words still to come weigh no
 more than the best place has, no new place is opened, so that the greatest share of weight at one place is exact, whatever
@@ -20,64 +20,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessaro.llm.common import batch, map_texts
+from tessaro.llm.common import PLAIN, batch, map_texts
+from tessaro.llm.licences import TEMPLATES
 
 # Phrases and labels of the contract.
 BASE = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 
-# Opening or characteristic sentences of public licences, each with phrases of which one must stand in the file.
-TEMPLATES = {
-    "mit": (
-        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files "
-        "the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense",
-        ("permission is hereby granted free of charge", "mit license"),
-    ),
-    "apache": (
-        "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license "
-        "you may obtain a copy of the license at http www apache org licenses license 2 0",
-        ("apache license",),
-    ),
-    "gpl": (
-        "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license "
-        "as published by the free software foundation either version 3 of the license or at your option any later version",
-        ("gnu general public license",),
-    ),
-    "lgpl": (
-        "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license "
-        "as published by the free software foundation",
-        ("lesser general public license",),
-    ),
-    "bsd": (
-        "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met "
-        "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer",
-        ("redistribution and use in source and binary forms", "bsd license"),
-    ),
-    "mpl": (
-        "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file "
-        "you can obtain one at http mozilla org mpl 2 0",
-        ("mozilla public license",),
-    ),
-    "isc": (
-        "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted "
-        "provided that the above copyright notice and this permission notice appear in all copies",
-        ("permission to use copy modify and or distribute", "isc license"),
-    ),
-    "unlicense": (
-        "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software",
-        ("free and unencumbered software",),
-    ),
-    "cc": (
-        "licensed under cc by nc 4 0 this work is licensed under a creative commons attribution license",
-        ("licensed under cc", "creative commons"),
-    ),
-}
-
-#: Lower case of A-Z; everything else in ASCII that is no letter or digit separates.
-TABLE = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
-
-
 def words_of(text: bytes) -> list[bytes]:
-    return text.translate(TABLE).split()
+    return text.translate(PLAIN).split()
 
 
 class Index:
@@ -87,13 +37,13 @@ class Index:
         words: dict[str, dict[bytes, list[int]]] = {label: defaultdict(list) for label in templates}
         self.phrases: dict[str, list[list[bytes]]] = {}
         for label, (text, phrases) in templates.items():
-            for i, w in enumerate(text.encode().split()):
+            for i, w in enumerate(words_of(text.encode())):
                 words[label][w].append(i)
             self.phrases[label] = [p.encode().split() for p in phrases]
         self.idf = {w: math.log((1 + n_docs) / (1 + counts.get(w, 0))) + 1 for x in words.values() for w in x}
         #: By template: its words from the highest IDF down, each with its positions.
         self.postings = {label: sorted(x.items(), key=lambda p: (-self.idf[p[0]], p[0])) for label, x in words.items()}
-        self.total = {label: sum(self.idf[w] for w in text.encode().split()) for label, (text, _) in templates.items()}
+        self.total = {label: sum(self.idf[w] for w in words_of(text.encode())) for label, (text, _) in templates.items()}
 
     def find(self, places: dict[bytes, list[int]], least: float) -> tuple[set[str], float]:
         """Labels of templates in a file, and the greatest share of a template's weight found at one place."""
@@ -140,7 +90,7 @@ def word_counts(docs: DataFrame, vocabulary: set[bytes]) -> tuple[int, dict[byte
         for _, whole in batches:
             for text in whole:
                 n += 1
-                seen.update(vocabulary.intersection(text.translate(TABLE).split()))
+                seen.update(vocabulary.intersection(text.translate(PLAIN).split()))
         yield batch(word=pa.array([*names, b""], pa.binary()), n=pa.array([*(seen[w] for w in names), n], pa.int64()))
 
     got = map_texts(docs, [], run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
@@ -150,7 +100,7 @@ def word_counts(docs: DataFrame, vocabulary: set[bytes]) -> tuple[int, dict[byte
 
 def license_scan(docs: DataFrame, templates: dict = TEMPLATES, base: dict = BASE, least: float = 0.3) -> DataFrame:
     """One row per row of docs (doc_id, text). least: share of weight to be found."""
-    vocabulary = {w for text, phrases in templates.values() for p in (text, *phrases) for w in p.encode().split()}
+    vocabulary = {w for text, phrases in templates.values() for p in (text, *phrases) for w in words_of(p.encode())}
     n_docs, counts = word_counts(docs, vocabulary)
     base_words = [(p.encode().split(), label) for p, label in base.items()]
     needed = vocabulary | {w for p, _ in base_words for w in p}
