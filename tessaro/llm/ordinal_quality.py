@@ -9,7 +9,7 @@ Grades here come from labels: 0 for quality 0, 1 for quality 1 that is toxic, 2
 grades works. Selection keeps a document if P(grade > 0) reaches the least probability.
 
 Defined results: null and empty texts have no features and get the score that the thresholds give. Ratings that are null, or
-whose document is missing, aren't used; a document rated twice counts twice. With fewer than two grades, all documents get
+whose document is missing, aren't used; a document counts once for each grade it has, with the least of its texts. With fewer than two grades, all documents get
 the only grade. Repeated rows are scored one by one. An empty table gives none. The sample keeps whole texts.
 """
 
@@ -115,7 +115,7 @@ def graded(labels: DataFrame) -> DataFrame:
 def train(docs: DataFrame, ratings: DataFrame, sample: int = SAMPLE, bits: int = BITS) -> CumulativeLink:
     """docs (doc_id, text), ratings (doc_id, grade): fits on the sample rated documents of least hash."""
     chosen = cut(ratings.filter("grade IS NOT NULL").orderBy(F.xxhash64("doc_id"), "doc_id", "grade").limit(sample).select(F.col("doc_id").alias("rated"), "grade"))
-    joined = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("rated")).select("doc_id", "grade", "text")
+    joined = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("rated")).groupBy("doc_id", "grade").agg(F.min("text").alias("text"))
 
     def run(batches: Iterator) -> Iterator[pa.RecordBatch]:
         for (ids, grade), whole in batches:

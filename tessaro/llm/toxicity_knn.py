@@ -12,7 +12,8 @@ leave-one-out votes, weighted back to the labels' true shares. Evidence: the ids
 
 Defined results: a null or empty text, or one without any term of the vocabulary, has no neighbours and gets the calibrated
 score of the base rate alone. With no labelled rows, or one label only, every score is the smoothed base rate. Labels that are
-null aren't used. Repeated rows are scored one by one. Ties in cosine go to the lower example. An empty table gives no rows.
+null aren't used. Of several texts under a labelled doc_id
+the least counts. Repeated rows are scored one by one. Ties in cosine go to the lower example. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessaro.llm.common import batch, cut, map_texts
+from tessaro.llm.common import PLAIN, batch, cut, map_texts
 
 TOXIC, CLEAN = 2048, 6144
 K = 16
@@ -46,8 +47,7 @@ MARGIN = 1.0
 #: Weight of the base rate among the votes.
 SMOOTH = 0.5
 
-#: Lower case of A-Z; what else in ASCII is no letter or digit separates.
-TABLE = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
+TABLE = PLAIN
 
 
 def terms_of(word: bytes) -> list[bytes]:
@@ -94,9 +94,14 @@ class BlockMaxIndex:
     doc_id: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
     #: Where the examples of each row begin, and the end.
     first: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))
-    #: By term: rows, weights, and where the rows of each block begin.
-    postings: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = field(default_factory=list)
+    #: Rows and weights of all postings, by term and row; and by term, where the postings of each block begin.
+    rows: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int32))
+    weights: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    start: np.ndarray = field(default_factory=lambda: np.zeros((0, 1), np.int64))
     maxima: list[tuple[np.ndarray, np.ndarray]] = field(default_factory=list)
+    #: Blocks of all queries so far: opened, and passed over by their bound.
+    opened: int = 0
+    skipped: int = 0
 
     def vector(self, counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
         terms = np.array(sorted(counts), np.int64)
@@ -121,10 +126,14 @@ class BlockMaxIndex:
         for i, (terms, weight, _) in enumerate(rows):
             for t, w in zip(terms.tolist(), weight.tolist(), strict=True):
                 lists[t].append((i, w))
-        n_blocks = -(-len(rows) // BLOCK)
-        for x in lists:
+        n_blocks, before = -(-len(rows) // BLOCK), 0
+        index.rows = np.array([i for x in lists for i, _ in x], np.int32)
+        index.weights = np.array([w for x in lists for _, w in x])
+        index.start = np.zeros((len(lists), n_blocks + 1), np.int64)
+        for t, x in enumerate(lists):
             at, w = np.array([i for i, _ in x], np.int64), np.array([v for _, v in x])
-            index.postings.append((at, w, np.searchsorted(at, np.arange(n_blocks + 1) * BLOCK)))
+            index.start[t] = before + np.searchsorted(at, np.arange(n_blocks + 1) * BLOCK)
+            before += len(x)
             blocks, start = np.unique(at // BLOCK, return_index=True)
             index.maxima.append((blocks, np.maximum.reduceat(w, start) if len(w) else w))
         return index
@@ -132,36 +141,28 @@ class BlockMaxIndex:
     def nearest(self, counts: dict[int, int], k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """The k examples of the greatest cosine above 0, best first; without: an example left out."""
         terms, query = self.vector(counts)
-        weighted = list(zip(terms.tolist(), query.tolist(), strict=True))
         n_rows = len(self.first) - 1
         bound = np.zeros(-(-n_rows // BLOCK))
-        for t, q in weighted:
+        for t, q in zip(terms.tolist(), query.tolist(), strict=True):
             blocks, most = self.maxima[t]
             bound[blocks] += q * most
         order = np.argsort(-bound, kind="stable")
         order = order[bound[order] > 0]
         size, need = np.diff(self.first), k + (without >= 0)
         best, score, full = np.zeros(0, np.int64), np.zeros(0), False
-        for wave in (order[:FIRST], order[FIRST:]):
+        at, step = 0, FIRST
+        while at < len(order):  # waves of blocks in order of their bounds, each twice as long as the last
+            wave = order[at : at + step]
             if full:
                 wave = wave[bound[wave] >= score[-1] - 1e-12]
             if not len(wave):
                 break
-            own = np.zeros(n_rows)
-            if len(wave) <= FIRST:
-                for t, q in weighted:
-                    at, w, start = self.postings[t]
-                    for b in wave.tolist():
-                        if (lo := start[b]) < (hi := start[b + 1]):
-                            own[at[lo:hi]] += q * w[lo:hi]
-                hit = np.flatnonzero(own > 0)
-            else:
-                for t, q in weighted:
-                    at, w, _ = self.postings[t]
-                    own[at] += q * w
-                opened = np.zeros(len(bound), bool)
-                opened[wave] = True
-                hit = np.flatnonzero((own > 0) & np.repeat(opened, BLOCK)[:n_rows])
+            at, step = at + len(wave), 2 * step
+            lo, hi = self.start[terms][:, wave].ravel(), self.start[terms][:, wave + 1].ravel()
+            n = hi - lo
+            post = np.arange(n.sum()) + np.repeat(lo - (np.cumsum(n) - n), n)
+            own = np.bincount(self.rows[post], self.weights[post] * np.repeat(np.repeat(query, len(wave)), n), n_rows)
+            hit = np.flatnonzero(own > 0)
             if len(hit) > 4 * need:  # a row has an example at least; rows that tie with the last one stay
                 hit = hit[own[hit] >= np.partition(own[hit], -need)[-need]]
             best, score = np.concatenate([best, hit]), np.concatenate([score, own[hit]])
@@ -170,6 +171,7 @@ class BlockMaxIndex:
             stop = int(np.searchsorted(so_far, need)) + 1
             keep, full = keep[:stop], stop <= len(so_far)
             best, score = best[keep], score[keep]
+        self.opened, self.skipped = self.opened + at, self.skipped + len(bound) - at
         # a row gives as many of its examples as are needed
         found = [(e, c) for r, c in zip(best.tolist(), score.tolist(), strict=True) for e in range(self.first[r], min(self.first[r + 1], self.first[r] + need)) if e != without][:k]
         return np.array([e for e, _ in found], np.int64), np.array([c for _, c in found])
@@ -268,7 +270,7 @@ def train(docs: DataFrame, labels: DataFrame, toxic: int = TOXIC, clean: int = C
         return Voter(BlockMaxIndex(np.zeros(0)), {}, rate)
     pick = lambda y, n: rows.filter(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
     chosen = cut(pick(1, toxic).unionAll(pick(0, clean)).select(F.col("doc_id").alias("labelled"), "y"))
-    sample = cut(docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("labelled")).select("doc_id", "y", "text"))
+    sample = cut(docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("labelled")).groupBy("doc_id", "y").agg(F.min("text").alias("text")))
     n_up, n_down = min(up, toxic), min(down, clean)
     vocabulary = {t: i for i, t in enumerate(choose_terms(sample))}
     idf = corpus_idf(docs, vocabulary)
