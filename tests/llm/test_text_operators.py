@@ -157,16 +157,16 @@ def test_license_of_a_file_does_not_depend_on_the_other_licenses_in_it(spark):
 
 def test_license_share_is_the_greatest_over_all_places():
     rng = random.Random(4)
-    words = sorted({w for t, _ in license_scan.TEMPLATES.values() for w in t.split()})
+    plain = {k: [w.decode() for w in license_scan.words_of(t.encode())] for k, (t, _) in license_scan.TEMPLATES.items()}
+    words = sorted({w for t in plain.values() for w in t})
     counts = {w.encode(): rng.randrange(1000) for w in words}
     index = license_scan.Index(license_scan.TEMPLATES, counts, 1000)
     for _ in range(40):
-        own = [w for t, _ in rng.sample(list(license_scan.TEMPLATES.values()), 4) for w in t.split() if rng.random() < 0.6] + rng.choices(words, k=60)
+        own = [w for t in rng.sample(list(plain.values()), 4) for w in t if rng.random() < 0.6] + rng.choices(words, k=60)
         places = defaultdict(list)
         for i, w in enumerate(own):
             places[w.encode()].append(i)
-        for label, (text, _) in license_scan.TEMPLATES.items():
-            t = text.split()
+        for label, t in plain.items():
             hits = [sum(index.idf[w.encode()] for i, w in enumerate(t) if 0 <= at + i < len(own) and own[at + i] == w) for at in range(-len(t), len(own))]
             assert index.share(label, places) == pytest.approx(max(hits) / index.total[label])
 
@@ -509,3 +509,94 @@ def test_toxic_words_stay_beside_many_copies_of_a_long_clean_text(spark):
     voter = toxicity_knn.train(sample.select("doc_id", "text"), sample.select("doc_id", "y"))
     assert {f"nasty{k}word".encode() for k in range(10)} <= set(voter.vocabulary)
     assert not set(long.encode().split()) & set(voter.vocabulary)
+
+
+def test_simhash_shards_are_split_and_lose_no_link(spark):
+    """A ball of like fingerprints above the limit of a shard: the same groups as by brute force, from bounded shards."""
+    from tessaro.llm.components import components
+
+    rng = random.Random(17)
+    centre = rng.getrandbits(64)
+    values = sorted({centre ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, 9))) for _ in range(500)} | {rng.getrandbits(64) for _ in range(100)})
+    names = list(range(1, len(values) + 1))
+    pairs = [(names[a], names[b]) for a in range(len(values)) for b in range(a) if (values[a] ^ values[b]).bit_count() <= 3]
+    distinct = spark.createDataFrame([(simhash_bk.signed(v), n) for v, n in zip(values, names)], "fp long, rep long")
+    sizes = [r["count"] for r in simhash_bk.sharded(distinct, 40).groupBy("shard").count().collect()]
+    assert max(sizes) <= 40
+    found = {r.node: r.component for r in components(simhash_bk.fingerprint_links(distinct, limit=40)).collect()}
+    assert {k: found.get(k, k) for k in names} == union(pairs, names)
+
+
+def test_token_store_files_of_repeated_tasks(tmp_path):
+    for old, new in ((b"abc", b"abc"), (b"abcd", b"abc"), (None, b"abc")):
+        path = f"{tmp_path}/x/{old}"
+        if old:
+            token_store.write_file(path, old)
+        token_store.write_file(path, new)
+        assert token_store.read_file(path) == new
+
+    class Strict:
+        """A store whose rename fails where the target is there; another attempt comes first."""
+
+        def __init__(self):
+            self.files = {"own": b"abc"}
+
+        def get_file_info(self, paths):
+            kind = lambda p: token_store.pafs.FileType.File if p in self.files else token_store.pafs.FileType.NotFound
+            return [token_store.pafs.FileInfo(p, kind(p), size=len(self.files.get(p, b""))) for p in paths]
+
+        def delete_file(self, p):
+            del self.files[p]
+
+        def move(self, a, b):
+            self.files[b] = b"abc"
+            raise OSError("there already")
+
+    store = Strict()
+    token_store.settle(store, "own", "there")
+    assert store.files == {"there": b"abc"}
+
+
+def test_token_store_has_shards_by_bytes(spark, docs):
+    store = token_store.write_store(docs, new_path(spark, "store"), WORD_BPE, end_id=2, shard_bytes=4096)
+    assert len(store.manifest["starts"]) > 4
+
+
+def test_block_max_opens_few_blocks():
+    """Examples in groups of their own words: a query opens the blocks of its group and passes over the rest."""
+    rng = random.Random(5)
+    examples = [({40 * (k // 200) + rng.randrange(40): rng.randint(1, 3) for _ in range(6)} | {800: rng.randint(1, 5)}, k % 2, k) for k in range(4000)]
+    index = toxicity_knn.BlockMaxIndex.build(np.array([1 + rng.random() for _ in range(800)] + [0.1]), examples, 800)
+    for c, _, _ in examples[::50]:
+        index.nearest(c, 16)
+    assert index.skipped > 3 * index.opened > 0
+
+
+def test_toxicity_scores_of_the_table_against_dense_vectors(spark):
+    """All of sf0.01: scores from dense cosines over the same terms, without an index."""
+    sf = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    voter = toxicity_knn.train(docs, labels.filter(~toxicity_knn.held_out(labels.doc_id)).selectExpr("doc_id", "toxic AS y"))
+    lookup = toxicity_knn.Lookup(voter.vocabulary)
+    text = {r.doc_id: raw(r.text) for r in docs.select("doc_id", "text").collect()}
+
+    def dense(d):
+        out = np.zeros(len(voter.index.idf))
+        t, w = voter.index.vector(toxicity_knn.term_counts(text[d], lookup))
+        out[t] = w
+        return out
+
+    known = np.stack([dense(d) for d in voter.index.doc_id.tolist()])
+    for r in toxicity_knn.score(docs, voter).collect():
+        cosine = known @ dense(r.doc_id)
+        best = sorted(np.flatnonzero(cosine > 0), key=lambda j: (-round(cosine[j], 9), j))[: toxicity_knn.K]
+        least = cosine[best[-1]] if len(best) else 0
+        if (np.abs(cosine - least) < 1e-9).sum() > 1 and len(best) == toxicity_knn.K:
+            continue  # ties for the last place may vote for either
+        vote = (cosine[best] @ voter.index.label[best] + toxicity_knn.SMOOTH * voter.rate) / (cosine[best].sum() + toxicity_knn.SMOOTH) if len(best) else voter.rate
+        assert r.score == pytest.approx(voter.calibrated(float(vote)), abs=1e-6)
+    df = Counter()
+    for t in text.values():
+        df.update({x for w in set(t.translate(toxicity_knn.TABLE).split()) for x in lookup[w]})
+    want = [np.log((1 + len(text)) / (1 + df[k])) + 1 for k in range(len(voter.vocabulary))]
+    assert np.allclose(voter.index.idf[:-1], want)
