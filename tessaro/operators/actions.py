@@ -224,8 +224,24 @@ def suspension_bars(runs: DataFrame, calendar: DataFrame) -> DataFrame:
 
 
 def coverage_verdict(endpoints: DataFrame) -> DataFrame:
-    """endpoints: symbol, failed, n_rows, n_accepted, n_quarantined -> VERIFIED, VERIFIED_EMPTY or UNTRUSTED with the reason."""
-    g = endpoints.groupBy("symbol").agg(F.bool_or("failed").alias("failed"), F.sum("n_rows").alias("rows"), F.sum("n_quarantined").alias("q"), F.sum("n_accepted").alias("a"))
-    reason = F.when(F.col("failed"), "endpoint_failed").when(F.col("rows") == 0, "all_empty").when(F.col("q") > 0, "quarantine_present").when(F.col("a") > 0, "has_accepted").otherwise("incomplete")
-    status = F.when(reason == "all_empty", "VERIFIED_EMPTY").when(reason == "has_accepted", "VERIFIED").otherwise("UNTRUSTED")
-    return g.select("symbol", status.alias("status"), reason.alias("reason"))
+    """endpoints: symbol, failed, n_rows, n_accepted, quarantine_reason (null: nothing quarantined) -> symbol, status, reason.
+
+    A failed endpoint comes first; then a window without any event is VERIFIED_EMPTY; then anything quarantined makes it UNTRUSTED,
+    a conflict of sources before an unsupported action before all else; an accepted event is VERIFIED. Verified ones have no reason.
+    """
+    q = F.col("quarantine_reason")
+    g = endpoints.groupBy("symbol").agg(
+        F.bool_or("failed").alias("failed"), F.sum("n_rows").alias("rows"), F.sum("n_accepted").alias("accepted"), F.count(q).alias("held"),
+        F.bool_or(F.coalesce(q == "cross_source_conflict", F.lit(False))).alias("conflict"), F.bool_or(F.coalesce(q == "unsupported_corporate_action", F.lit(False))).alias("unsupported"),
+    )
+    cases = [
+        (F.col("failed"), "UNTRUSTED", "SOURCE_FETCH_FAILED"),
+        (F.col("rows") == 0, "VERIFIED_EMPTY", None),
+        (F.col("conflict"), "UNTRUSTED", "SOURCE_CONFLICT"),
+        (F.col("unsupported"), "UNTRUSTED", "UNSUPPORTED_ACTION"),
+        (F.col("held") > 0, "UNTRUSTED", "FACTS_INCOMPLETE"),
+        (F.col("accepted") > 0, "VERIFIED", None),
+        (F.lit(True), "UNTRUSTED", "FACTS_INCOMPLETE"),
+    ]
+    choose = lambda i: F.coalesce(*[F.when(c[0], F.struct(F.lit(c[i]).cast("string").alias("v"))) for c in cases])["v"]
+    return g.select("symbol", choose(1).alias("status"), choose(2).alias("reason"))

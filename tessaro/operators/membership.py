@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessaro.operators.calendars import on_ordinals
+from tessaro.operators.calendars import on_ordinals, ordinals_of
 from tessaro.operators.temporal import islands, sessions
 
 
@@ -13,7 +15,7 @@ def resolve(facts: DataFrame, listing: DataFrame) -> DataFrame:
     """Facts (raw_from, raw_to or open) cut to the listing (symbol, list_date, delist_date): effective ends, why, usable."""
     j = facts.join(listing.select("symbol", "list_date", "delist_date"), "symbol", "left")
     late, early = F.col("list_date") > F.col("raw_from"), F.col("delist_date").isNotNull() & (F.col("raw_to").isNull() | (F.col("delist_date") < F.col("raw_to")))
-    labels = F.concat_ws("+", F.when(late, "before_listing"), F.when(early, "after_delisting"))
+    labels = F.concat_ws(",", F.when(late, "before_listing"), F.when(early, "after_delisting"))
     out = (
         j.withColumn("effective_from", F.greatest("raw_from", "list_date"))
         .withColumn("effective_to", F.least("raw_to", "delist_date"))
@@ -41,20 +43,50 @@ def member_counts(members: DataFrame) -> DataFrame:
     return members.groupBy("universe_id", "day").agg(F.count("*").alias("n_members"))
 
 
-def size_mismatches(counts: DataFrame, calendar: DataFrame, expected: int, exceptions: DataFrame | None = None) -> DataFrame:
-    """Days whose member count isn't the expected one (or that of an exception [start, end]), as runs of open days.
+def daily_sizes(facts: DataFrame, calendar: DataFrame, universes: DataFrame, start: str = "raw_from", end: str = "raw_to") -> DataFrame:
+    """universe_id, ord, day, actual for each open day from a universe's first start to the calendar's end, days without a member
+    included. Counts are running sums of joins and leaves by open day: the facts meet no grid of days.
 
-    counts: universe_id, day, n_members. exceptions: universe_id, start, end, size.
+    universes: universe_id, few rows; facts of other universes are left out. Rows without a start count nowhere.
+    """
+    dated = facts.filter(F.col(start).isNotNull()).join(universes.select("universe_id"), "universe_id", "left_semi").select("universe_id", F.col(start).alias("_s"), F.col(end).alias("_e"))
+    at = ordinals_of(ordinals_of(dated, calendar, "_s", "_a", up=True), calendar, "_e", "_b", up=False)
+    moves = at.select("universe_id", F.explode(F.array(F.struct(F.col("_a").alias("ord"), F.lit(1).alias("step")), F.struct((F.col("_b") + 1).alias("ord"), F.lit(-1).alias("step")))).alias("m"))
+    # an interval without an open day joins and leaves at once, and one that ended before the first day never counts
+    steps = moves.select("universe_id", F.greatest("m.ord", F.lit(1)).alias("ord"), "m.step", F.col("m.ord").isNotNull().alias("known")).filter("known").groupBy("universe_id", "ord").agg(F.sum("step").alias("step"))
+    first = at.groupBy("universe_id").agg(F.min("_a").alias("_first"))
+    grid = first.withColumn("ord", F.explode(F.sequence("_first", calendar.agg(F.max("ord")).scalar()))).filter(F.col("ord") <= calendar.agg(F.max("ord")).scalar())
+    w = Window.partitionBy("universe_id").orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)
+    counted = grid.join(steps, ["universe_id", "ord"], "left").withColumn("actual", F.sum(F.coalesce("step", F.lit(0))).over(w).cast("long"))
+    return counted.join(calendar, "ord").select("universe_id", "ord", "day", "actual")
+
+
+def size_issues(facts: DataFrame, calendar: DataFrame, expected: DataFrame, exceptions: DataFrame | None = None, start: str = "raw_from", end: str = "raw_to") -> DataFrame:
+    """Faults of member counts: code, universe_id, expected, actual, n_days, first_day, last_day.
+
+    expected: universe_id, expected. exceptions: universe_id, start, end, size; the earliest that covers a day sets its size, and
+    one that begins before the one before it has ended is a UNIVERSE_EXCEPTION_CONFLICT. Open days in a row with the same wrong
+    count and size are one UNIVERSE_MEMBER_COUNT_MISMATCH, or with no member UNIVERSE_COVERAGE_GAP, as is a universe without facts.
     """
-    j = counts.join(calendar, "day")
+    sizes = daily_sizes(facts, calendar, expected, start, end).join(expected, "universe_id")
+    none = lambda kind: F.lit(None).cast(kind)
+    shape = ["code", "universe_id", "expected", "actual", "n_days", "first_day", "last_day"]
+    more = []
     if exceptions is not None:
-        e = F.broadcast(exceptions)
-        j = j.join(e, (j.universe_id == e.universe_id) & j.day.between(e.start, e.end), "left").select(j["*"], F.col("size"))
-    else:
-        j = j.withColumn("size", F.lit(None).cast("long"))
-    wrong = j.withColumn("wanted", F.coalesce("size", F.lit(expected)).cast("long")).filter("n_members <> wanted")
-    runs = islands(wrong, ["universe_id", "n_members", "wanted"], "ord")
-    return runs.groupBy("universe_id", "n_members", "wanted", "island").agg(F.min("day").alias("first_day"), F.max("day").alias("last_day"), F.count("*").alias("n_days")).drop("island")
+        days = on_ordinals(exceptions.withColumn("_at", F.struct("start", "end", "size")), calendar, "start", "end")
+        first = days.groupBy("universe_id", "day").agg(F.min("_at").alias("_at"))
+        sizes = sizes.join(first, ["universe_id", "day"], "left").withColumn("expected", F.coalesce("_at.size", "expected"))
+        before = F.lag("end").over(Window.partitionBy("universe_id").orderBy("start", "end"))
+        clash = exceptions.join(expected, "universe_id", "left_semi").withColumn("_before", before).filter("_before >= start")
+        more.append(clash.select(F.lit("UNIVERSE_EXCEPTION_CONFLICT").alias("code"), "universe_id", none("long").alias("expected"), none("long").alias("actual"), none("long").alias("n_days"), F.col("start").alias("first_day"), F.col("_before").alias("last_day")))
+    wrong = sizes.withColumn("expected", F.col("expected").cast("long")).filter("actual <> expected")
+    by = ["universe_id", "expected", "actual"]
+    runs = islands(wrong, by, "ord").groupBy(*by, "island").agg(F.min("day").alias("first_day"), F.max("day").alias("last_day"), F.count("*").alias("n_days"))
+    code = F.when(F.col("actual") == 0, "UNIVERSE_COVERAGE_GAP").otherwise("UNIVERSE_MEMBER_COUNT_MISMATCH")
+    out = runs.withColumn("code", code).select(*shape)
+    absent = expected.join(facts.filter(F.col(start).isNotNull()).select("universe_id").distinct(), "universe_id", "left_anti")
+    more.append(absent.select(F.lit("UNIVERSE_COVERAGE_GAP").alias("code"), "universe_id", F.col("expected").cast("long"), none("long").alias("actual"), none("long").alias("n_days"), none("date").alias("first_day"), none("date").alias("last_day")))
+    return reduce(DataFrame.unionByName, more, out)
 
 
 def overlaps(facts: DataFrame, start: str = "raw_from", end: str = "raw_to") -> DataFrame:
@@ -68,14 +100,16 @@ def overlaps(facts: DataFrame, start: str = "raw_from", end: str = "raw_to") ->
 def from_snapshots(snapshots: DataFrame) -> DataFrame:
     """Periodic constituent lists (universe_id, snapshot, symbol) as intervals.
 
-    A run of consecutive snapshot dates is one interval, ending the day before the next snapshot; open if it reaches the last.
+    A run of consecutive snapshot dates is one interval, ending the day before the next snapshot; open if it reaches the last. A
+    symbol's first interval is initial_constituent if it is still open; all others are regular_rebalance.
     """
     dates = snapshots.select("universe_id", "snapshot").distinct()
     w = Window.partitionBy("universe_id").orderBy("snapshot")
-    numbered = dates.withColumn("ord", F.row_number().over(w)).withColumn("next_snapshot", F.lead("snapshot").over(w)).withColumn("first_snapshot", F.min("snapshot").over(w))
-    runs = islands(snapshots.distinct().join(F.broadcast(numbered), ["universe_id", "snapshot"]), ["universe_id", "symbol"], "ord")
-    ends = runs.groupBy("universe_id", "symbol", "island").agg(F.min("snapshot").alias("raw_from"), F.max_by("next_snapshot", "snapshot").alias("_next"), F.min("first_snapshot").alias("_first"))
-    reason = F.when(F.col("raw_from") == F.col("_first"), "initial_constituent").otherwise("scheduled_change")
+    numbered = dates.withColumn("ord", F.row_number().over(w)).withColumn("next_snapshot", F.lead("snapshot").over(w))
+    runs = islands(snapshots.distinct().join(numbered, ["universe_id", "snapshot"]), ["universe_id", "symbol"], "ord")
+    ends = runs.groupBy("universe_id", "symbol", "island").agg(F.min("snapshot").alias("raw_from"), F.max_by("next_snapshot", "snapshot").alias("_next"))
+    first = F.row_number().over(Window.partitionBy("universe_id", "symbol").orderBy("raw_from")) == 1
+    reason = F.when(F.col("_next").isNull() & first, "initial_constituent").otherwise("regular_rebalance")
     return ends.select("universe_id", "symbol", "raw_from", F.date_sub("_next", 1).alias("raw_to"), reason.alias("reason"))
 
 
@@ -91,18 +125,28 @@ def half_open_to_inclusive(history: DataFrame) -> DataFrame:
 
 
 def apply_repairs(history: DataFrame, repairs: DataFrame, key: list[str]) -> DataFrame:
-    """Apply a repair table (action, key, field, old_value, new_value): set_field where the old value still stands, drop_row,
-    insert_row (values of the fields as a map in ``row``). A stale old value changes nothing."""
-    drops = repairs.filter("action = 'drop_row'").select(*key)
-    out = history.join(drops, key, "left_anti")
+    """Apply a repair table (seq, action, key, field, old_value, new_value) in order of seq: set_field and drop_row where the old
+    value stands at that point, insert_row (values of the fields as a map in ``row``). A stale old value changes nothing; a
+    repair of a symbol that the history doesn't have is an error, raised here. Null and blank values are equal."""
+    if unknown := [r.symbol for r in unknown_repairs(history, repairs).select("symbol").distinct().limit(10).collect()]:
+        raise ValueError(f"repairs of symbols that the history doesn't have: {', '.join(sorted(unknown))}")
     fields = [c for c in history.columns if c not in key]
-    changes = repairs.filter("action = 'set_field'").groupBy(*key).agg(F.map_from_entries(F.collect_list(F.struct("field", F.struct("old_value", "new_value")))).alias("_set"))
-    out = out.join(changes, key, "left")
-    for c in fields:
-        kind, change = history.schema[c].dataType, F.col("_set")[c]
-        out = out.withColumn(c, F.when(change.isNotNull() & F.col(c).cast("string").eqNullSafe(change["old_value"]), change["new_value"].cast(kind)).otherwise(F.col(c)))
+    blank = lambda x: F.coalesce(F.trim(x), F.lit(""))
+    step = F.struct("seq", "action", "field", blank("old_value").alias("old"), blank("new_value").alias("new"))
+    todo = repairs.filter("action <> 'insert_row'").groupBy(*key).agg(F.sort_array(F.collect_list(step)).alias("_todo"))
+    state = F.struct(F.lit(False).alias("gone"), *[blank(F.col(c).cast("string")).alias(c) for c in fields])
+
+    def apply(now, repair):
+        here = lambda c: ~now["gone"] & (repair["field"] == c) & (now[c] == repair["old"])
+        drop = (repair["action"] == "drop_row") & reduce(lambda a, b: a | b, [here(c) for c in fields])
+        put = [F.when((repair["action"] == "set_field") & here(c), repair["new"]).otherwise(now[c]).alias(c) for c in fields]
+        return F.struct((now["gone"] | drop).alias("gone"), *put)
+
+    done = history.join(todo, key, "left").withColumn("_now", F.when(F.col("_todo").isNotNull(), F.aggregate("_todo", state, apply)))
+    value = lambda c: F.when(F.col("_now").isNull(), F.col(c)).otherwise(F.nullif(F.col("_now")[c], F.lit("")).cast(history.schema[c].dataType)).alias(c)
+    out = done.filter("_now IS NULL OR NOT _now.gone").select(*[c if c in key else value(c) for c in history.columns])
     added = repairs.filter("action = 'insert_row'").select(*key, *[F.col("row")[c].cast(history.schema[c].dataType).alias(c) for c in fields])
-    return out.select(*history.columns).unionByName(added.select(*history.columns))
+    return out.unionByName(added.select(*history.columns))
 
 
 def unknown_repairs(history: DataFrame, repairs: DataFrame) -> DataFrame:

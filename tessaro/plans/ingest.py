@@ -11,7 +11,7 @@ from tessaro.operators import merging, quality
 from tessaro.plans import market
 from tessaro.plans.market import day, table
 from tessaro.plans.registry import query, view
-from tessaro.sources.raw_store import request_key_column
+from tessaro.sources.raw_store import request_key_column, response_issues
 
 START, END = "1996-01-01", "1996-12-31"
 
@@ -452,25 +452,31 @@ def request_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """
-SELECT l_suppkey % 10 AS part, count(*) AS n, count(DISTINCT l_orderkey) AS n_orders, min(CAST(l_shipdate AS DATE)) AS first_day, max(CAST(l_shipdate AS DATE)) AS last_day, count(*) FILTER (l_shipdate < DATE '1995-06-01') AS outside
-FROM lineitem GROUP BY 1"""
+SELECT part, fault FROM (
+  SELECT part, unnest([CASE WHEN n >= 900 THEN 'truncated' END, CASE WHEN other > 0 THEN 'other_symbols' END, CASE WHEN own < 10 THEN 'missing_symbols' END, CASE WHEN undated > 0 THEN 'undated' END, CASE WHEN outside > 0 THEN 'outside_window' END]) AS fault FROM (
+    SELECT l_orderkey % 40 AS part, count(*) AS n, count(DISTINCT l_suppkey % 11) FILTER (l_suppkey % 11 = 10) AS other, count(DISTINCT l_suppkey % 11) FILTER (l_suppkey % 11 < 10) AS own,
+      count(*) FILTER (l_orderkey % 1999 = 7) AS undated, count(*) FILTER (l_orderkey % 1999 <> 7 AND l_shipdate NOT BETWEEN DATE '1995-03-01' AND DATE '1998-06-30') AS outside
+    FROM lineitem WHERE l_orderkey % 7 <> 0 OR l_suppkey % 11 < 10 AND l_shipdate BETWEEN DATE '1995-03-01' AND DATE '1998-06-30' GROUP BY 1)) WHERE fault IS NOT NULL"""
 )
 def response_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = day("l_shipdate")
-    return table(spark, sf_dir, "lineitem").groupBy((F.col("l_suppkey") % 10).alias("part")).agg(
-        F.count("*").alias("n"), F.count_distinct("l_orderkey").alias("n_orders"), F.min(d).alias("first_day"), F.max(d).alias("last_day"), F.count_if(d < "1995-06-01").alias("outside")
-    )
+    """Responses, a part of the lines each, against what was asked: ten names in a window, with a row limit."""
+    key, name, shipped = F.col("l_orderkey"), F.col("l_suppkey") % 11, day("l_shipdate")
+    lines = table(spark, sf_dir, "lineitem").filter((key % 7 != 0) | (name < 10) & shipped.between("1995-03-01", "1998-06-30"))
+    rows = lines.select((key % 40).alias("part"), F.concat(F.lit("N"), name).alias("symbol"), F.when(key % 1999 != 7, shipped).alias("trade_date"))
+    return response_issues(rows, ["part"], [f"N{k}" for k in range(10)], "1995-03-01", "1998-06-30", limit=900)
 
 
 @query(
     """
 SELECT symbol, CASE WHEN failed THEN 'UNTRUSTED' WHEN n = 0 THEN 'VERIFIED_EMPTY' WHEN q > 0 THEN 'UNTRUSTED' WHEN a > 0 THEN 'VERIFIED' ELSE 'UNTRUSTED' END AS status,
-  CASE WHEN failed THEN 'endpoint_failed' WHEN n = 0 THEN 'all_empty' WHEN q > 0 THEN 'quarantine_present' WHEN a > 0 THEN 'has_accepted' ELSE 'incomplete' END AS reason
-FROM (SELECT concat('C', o_custkey) AS symbol, bool_or(o_orderkey % 997 = 0) AS failed, sum(CASE WHEN o_orderstatus = 'O' THEN 0 ELSE 1 END) AS n, sum(CASE WHEN o_orderkey % 37 = 0 THEN 1 ELSE 0 END) AS q, sum(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END) AS a FROM orders GROUP BY o_custkey)"""
+  CASE WHEN failed THEN 'SOURCE_FETCH_FAILED' WHEN n = 0 THEN NULL WHEN conflict > 0 THEN 'SOURCE_CONFLICT' WHEN unsupported > 0 THEN 'UNSUPPORTED_ACTION' WHEN q > 0 THEN 'FACTS_INCOMPLETE' WHEN a > 0 THEN NULL ELSE 'FACTS_INCOMPLETE' END AS reason
+FROM (SELECT concat('C', o_custkey) AS symbol, bool_or(o_orderkey % 97 = 0) AS failed, sum(CASE WHEN o_orderstatus = 'O' THEN 0 ELSE 1 END) AS n, sum(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END) AS a,
+  count(*) FILTER (o_orderkey % 37 < 3) AS q, count(*) FILTER (o_orderkey % 37 = 0) AS conflict, count(*) FILTER (o_orderkey % 37 = 1) AS unsupported FROM orders GROUP BY o_custkey)"""
 )
 def coverage_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
     key, status = F.col("o_orderkey"), F.col("o_orderstatus")
+    held = F.when(key % 37 == 0, "cross_source_conflict").when(key % 37 == 1, "unsupported_corporate_action").when(key % 37 == 2, "not_implemented")
     endpoints = table(spark, sf_dir, "orders").select(
-        F.concat(F.lit("C"), "o_custkey").alias("symbol"), (key % 997 == 0).alias("failed"), (status != "O").cast("int").alias("n_rows"), (key % 37 == 0).cast("int").alias("n_quarantined"), (status == "F").cast("int").alias("n_accepted")
+        F.concat(F.lit("C"), "o_custkey").alias("symbol"), (key % 97 == 0).alias("failed"), (status != "O").cast("int").alias("n_rows"), (status == "F").cast("int").alias("n_accepted"), held.alias("quarantine_reason")
     )
     return act.coverage_verdict(endpoints)

@@ -84,7 +84,7 @@ view(
     "resolved",
     """
 SELECT universe_id, symbol, greatest(raw_from, list_date) AS effective_from, least(raw_to, delist_date) AS effective_to, announced,
-  nullif(concat_ws('+', CASE WHEN list_date > raw_from THEN 'before_listing' END, CASE WHEN delist_date IS NOT NULL AND (raw_to IS NULL OR delist_date < raw_to) THEN 'after_delisting' END), '') AS adjustment,
+  nullif(concat_ws(',', CASE WHEN list_date > raw_from THEN 'before_listing' END, CASE WHEN delist_date IS NOT NULL AND (raw_to IS NULL OR delist_date < raw_to) THEN 'after_delisting' END), '') AS adjustment,
   coalesce(greatest(raw_from, list_date) <= least(raw_to, delist_date), true) AS usable
 FROM (SELECT *, CASE WHEN CAST(symbol[2:] AS BIGINT) % 4 = 0 THEN raw_from + 40 END AS list_date, CASE WHEN CAST(symbol[2:] AS BIGINT) % 9 = 0 THEN raw_from + 20 END AS delist_date FROM memberships)""",
 )
@@ -97,19 +97,18 @@ def resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
     return membership.resolve(facts, listing)
 
 
-view("asked_days", f"SELECT day FROM open_days WHERE day BETWEEN DATE '{START}' AND DATE '{END}' AND day(day) <= 7")
-view("member_days", "SELECT r.universe_id, r.symbol, d.day FROM resolved r JOIN asked_days d ON r.usable AND d.day >= r.effective_from AND (r.effective_to IS NULL OR d.day <= r.effective_to) AND r.announced <= d.day")
+view("member_days", "SELECT r.universe_id, r.symbol, d.day FROM resolved r JOIN open_days d ON r.usable AND d.day >= r.effective_from AND (r.effective_to IS NULL OR d.day <= r.effective_to) AND r.announced <= d.day")
 
 
 def member_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     cal = market.calendar(spark, sf_dir)
-    asked = cal.filter(F.col("day").between(F.lit(START).cast("date"), F.lit(END).cast("date")) & (F.dayofmonth("day") <= 7)).select("day")
-    return membership.members_on(resolved(spark, sf_dir), cal, asked)
+    return membership.members_on(resolved(spark, sf_dir), cal, cal.select("day"))
 
 
-@query("SELECT * FROM member_days")
+@query("SELECT universe_id, symbol, count(*) AS n_days, min(day) AS first_day, max(day) AS last_day FROM member_days GROUP BY 1, 2")
 def interval_members(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return member_days(spark, sf_dir)
+    """On how many of all open days each name is a member, and from when to when."""
+    return member_days(spark, sf_dir).groupBy("universe_id", "symbol").agg(F.count("*").alias("n_days"), F.min("day").alias("first_day"), F.max("day").alias("last_day"))
 
 
 @query("SELECT universe_id, day, count(*) AS n_members FROM member_days GROUP BY 1, 2")
@@ -117,16 +116,31 @@ def member_cardinality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return membership.member_counts(member_days(spark, sf_dir))
 
 
+# Members leave U0 for some months, U9 has no facts, and sizes are excepted for two windows of U1 that overlap and one of U2.
+view("sized", "SELECT universe_id, symbol, raw_from, CASE WHEN universe_id = 'U0' AND raw_from < DATE '1996-03-01' THEN least(coalesce(raw_to, DATE '1996-03-31'), DATE '1996-03-31') ELSE raw_to END AS raw_to FROM memberships WHERE universe_id <> 'U0' OR raw_from < DATE '1996-03-01' OR raw_from > DATE '1996-06-30'")
+view("size_exceptions", "SELECT * FROM (VALUES ('U1', DATE '1996-02-01', DATE '1996-04-30', 12), ('U1', DATE '1996-04-15', DATE '1996-08-31', 20), ('U2', DATE '1997-01-01', DATE '1997-03-31', 30)) t(universe_id, s, e, size)")
+
+
 @query(
     """
-SELECT universe_id, n_members, min(day) AS first_day, max(day) AS last_day, count(*) AS n_days FROM (
-  SELECT *, ord - row_number() OVER (PARTITION BY universe_id, n_members ORDER BY ord) AS island FROM (
-    SELECT m.universe_id, m.n_members, m.day, c.ord FROM (SELECT universe_id, day, count(*) AS n_members FROM member_days GROUP BY 1, 2) m JOIN calendar c USING (day) WHERE n_members <> 30))
-GROUP BY universe_id, n_members, island"""
+SELECT CASE WHEN actual = 0 THEN 'UNIVERSE_COVERAGE_GAP' ELSE 'UNIVERSE_MEMBER_COUNT_MISMATCH' END AS code, universe_id, expected, actual, count(*) AS n_days, min(day) AS first_day, max(day) AS last_day FROM (
+  SELECT *, ord - row_number() OVER (PARTITION BY universe_id, expected, actual ORDER BY ord) AS island FROM (
+    SELECT g.universe_id, g.day, g.ord, CAST(coalesce((SELECT arg_min(x.size, x.s) FROM size_exceptions x WHERE x.universe_id = g.universe_id AND g.day BETWEEN x.s AND x.e), 30) AS BIGINT) AS expected, count(m.symbol) AS actual
+    FROM (SELECT u.universe_id, c.day, c.ord FROM (SELECT universe_id, min(raw_from) AS s FROM sized GROUP BY 1) u JOIN calendar c ON c.day >= u.s) g
+    LEFT JOIN sized m ON m.universe_id = g.universe_id AND m.raw_from <= g.day AND (m.raw_to IS NULL OR g.day <= m.raw_to) GROUP BY ALL) WHERE actual <> expected)
+GROUP BY universe_id, expected, actual, island
+UNION ALL SELECT 'UNIVERSE_COVERAGE_GAP', 'U9', 30, NULL, NULL, NULL, NULL
+UNION ALL SELECT 'UNIVERSE_EXCEPTION_CONFLICT', 'U1', NULL, NULL, NULL, DATE '1996-04-15', DATE '1996-04-30'"""
 )
 def size_mismatch_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    runs = membership.size_mismatches(membership.member_counts(member_days(spark, sf_dir)), market.calendar(spark, sf_dir), 30)
-    return runs.select("universe_id", "n_members", "first_day", "last_day", "n_days")
+    d = lambda x: F.lit(x).cast("date")
+    early = F.col("raw_from") < d("1996-03-01")
+    m = market.memberships(spark, sf_dir).filter((F.col("universe_id") != "U0") | early | (F.col("raw_from") > d("1996-06-30")))
+    facts = m.withColumn("raw_to", F.when((F.col("universe_id") == "U0") & early, F.least("raw_to", d("1996-03-31"))).otherwise(F.col("raw_to")))
+    expected = spark.createDataFrame([(f"U{k}", 30) for k in (0, 1, 2, 3, 4, 9)], "universe_id string, expected long")
+    exceptions = spark.createDataFrame([("U1", "1996-02-01", "1996-04-30", 12), ("U1", "1996-04-15", "1996-08-31", 20), ("U2", "1997-01-01", "1997-03-31", 30)], "universe_id string, start string, end string, size long")
+    exceptions = exceptions.withColumns({"start": F.col("start").cast("date"), "end": F.col("end").cast("date")})
+    return membership.size_issues(facts, market.calendar(spark, sf_dir), expected, exceptions)
 
 
 # Each order opens a stay of some days, so that a customer's stays overlap, touch or leave gaps.
@@ -149,26 +163,62 @@ def interval_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return membership.overlaps(stays(spark, sf_dir)).select("universe_id", "symbol", "raw_from", "raw_to", "previous_end")
 
 
+view(
+    "stated",
+    """
+SELECT universe_id, CASE WHEN o_orderkey % 23 = 0 THEN symbol WHEN o_orderkey % 23 = 1 THEN NULL ELSE lpad(symbol[2:], 6, '0') || '.SH' END AS symbol,
+  CASE WHEN o_orderkey % 41 <> 0 THEN CASE WHEN o_orderkey % 29 = 0 THEN raw_from + 400 ELSE raw_from END END AS s, raw_to IS NOT NULL OR o_orderkey % 43 = 0 AS ended, raw_to AS e,
+  CASE WHEN o_orderkey % 31 <> 0 THEN CASE WHEN o_orderkey % 37 = 0 THEN raw_from + 9 ELSE raw_from - 3 END END AS announced,
+  CASE o_orderkey % 47 WHEN 0 THEN 'unknown' WHEN 1 THEN CASE WHEN raw_to IS NULL THEN 'removed' ELSE 'active' END ELSE CASE WHEN raw_to IS NULL THEN 'active' ELSE 'removed' END END AS status,
+  CASE o_orderkey % 9 WHEN 0 THEN 'initial_constituent' WHEN 1 THEN 'delisting' WHEN 2 THEN 'merger_or_reorganization' WHEN 3 THEN 'temporary_adjustment' WHEN 4 THEN CASE WHEN o_orderkey % 5 = 0 THEN 'no reason' END ELSE 'regular_rebalance' END AS reason,
+  o_orderkey % 19 = 0 AS no_url, o_orderkey % 17 = 0 AS bad_digest
+FROM stays""",
+)
+view("listed", "SELECT lpad(CAST(o_custkey AS VARCHAR), 6, '0') || '.SH' AS symbol, CASE WHEN o_custkey % 3 = 0 THEN min(CAST(o_orderdate AS DATE)) + 100 END AS list_date, CASE WHEN o_custkey % 5 = 0 THEN max(CAST(o_orderdate AS DATE)) - 100 END AS delist_date FROM orders WHERE o_custkey % 8 <> 0 GROUP BY o_custkey")
 @query(
     """
-SELECT code, count(*) AS n FROM (
-  SELECT CASE WHEN o_orderkey % 19 = 0 THEN 'membership_evidence_missing' WHEN o_orderkey % 23 = 0 THEN 'membership_invalid_symbol' WHEN raw_to IS NOT NULL AND CASE WHEN o_orderkey % 29 = 0 THEN raw_to + 400 ELSE raw_from END > raw_to THEN 'membership_invalid_interval' WHEN o_orderkey % 31 = 0 THEN 'membership_announcement_missing' END AS code FROM stays) WHERE code IS NOT NULL GROUP BY 1"""
+SELECT code, problem, count(*) AS n FROM (
+  SELECT i, i[1] AS code, i[2] AS problem FROM (SELECT unnest([
+    CASE WHEN bad_digest THEN ['UNIVERSE_EVIDENCE_MISSING', 'snapshot_sha256'] END, CASE WHEN no_url THEN ['UNIVERSE_EVIDENCE_MISSING', 'source_url'] END,
+    CASE WHEN NOT canonical THEN ['UNIVERSE_UNKNOWN_SYMBOL', 'non_canonical_symbol'] WHEN NOT known THEN ['UNIVERSE_UNKNOWN_SYMBOL', 'absent_from_security_master'] END,
+    CASE WHEN s IS NULL THEN ['UNIVERSE_INTERVAL_CONFLICT', 'raw_effective_from_missing'] END, CASE WHEN announced IS NULL THEN ['UNIVERSE_INTERVAL_CONFLICT', 'announcement_date_missing'] END,
+    CASE WHEN ended AND e IS NULL THEN ['UNIVERSE_INTERVAL_CONFLICT', 'raw_effective_to_unparsable'] END,
+    CASE WHEN status = 'unknown' THEN ['UNIVERSE_INTERVAL_CONFLICT', 'unknown_status'] WHEN status = 'active' AND ended THEN ['UNIVERSE_INTERVAL_CONFLICT', 'active_fact_cannot_end'] WHEN status = 'removed' AND NOT ended THEN ['UNIVERSE_INTERVAL_CONFLICT', 'removed_fact_requires_end'] END,
+    CASE WHEN reason IS NULL OR reason = 'no reason' THEN ['UNIVERSE_INTERVAL_CONFLICT', 'unknown_reason'] WHEN final AND status <> 'removed' THEN ['UNIVERSE_INTERVAL_CONFLICT', 'termination_reason_requires_removed_status'] WHEN reason = 'initial_constituent' AND status <> 'active' THEN ['UNIVERSE_INTERVAL_CONFLICT', 'initial_constituent_requires_active_status'] END,
+    CASE WHEN e < s THEN ['UNIVERSE_INTERVAL_CONFLICT', 'end_precedes_start'] END,
+    CASE WHEN ps IS NOT NULL AND s IS NOT NULL AND (pe IS NULL OR pe >= s) THEN ['UNIVERSE_INTERVAL_OVERLAP', 'begins_before_the_one_before_has_ended'] END,
+    CASE WHEN announced > s THEN ['UNIVERSE_ANNOUNCEMENT_AFTER_USE', 'announced_after_start'] END,
+    CASE WHEN s IS NULL OR NOT canonical OR NOT known THEN NULL WHEN final AND status = 'removed' AND delist_date IS NULL THEN ['UNIVERSE_DELISTING_ENDPOINT_UNPROVEN', 'delisting_without_last_tradable_day']
+      WHEN greatest(s, list_date) > least(e, delist_date) THEN ['UNIVERSE_MASTER_INTERSECTION_EMPTY', 'no_day_between_listing_and_delisting'] END]) AS i
+  FROM (SELECT t.*, l.symbol IS NOT NULL AS known, coalesce(regexp_full_match(t.symbol, '[0-9]{6}[.](SH|SZ|BJ)'), false) AS canonical, coalesce(reason IN ('delisting', 'merger_or_reorganization'), false) AS final, l.list_date, l.delist_date,
+      lag(s) OVER w AS ps, lag(e) OVER w AS pe FROM stated t LEFT JOIN listed l USING (symbol) WINDOW w AS (PARTITION BY t.universe_id, t.symbol ORDER BY s NULLS FIRST, e NULLS LAST))))
+WHERE i IS NOT NULL GROUP BY 1, 2"""
 )
 def membership_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Facts with faults put in by rule, each with the first code that holds; every one of them blocks."""
-    from tessaro.sources.membership_file import fact_faults
+    """Facts with faults put in by rule: every fault of every check, counted by code and problem."""
+    from tessaro.sources.membership_file import fact_issues
 
-    key = F.col("o_orderkey")
+    key, n = F.col("o_orderkey"), F.lpad(F.substring("symbol", 2, 20), 6, "0")
+    open_ = F.col("raw_to").isNull()
+    status = F.when(key % 47 == 0, "unknown").when(F.when(key % 47 == 1, ~open_).otherwise(open_), "active").otherwise("removed")
+    reason = F.element_at(F.array(*map(F.lit, ("initial_constituent", "delisting", "merger_or_reorganization", "temporary_adjustment", "", "regular_rebalance"))), F.least(key % 9 + 1, F.lit(6)).cast("int"))
     facts = stays(spark, sf_dir).select(
         "universe_id",
-        F.when(key % 23 != 0, F.col("symbol")).alias("symbol"),
-        F.when((key % 29 == 0) & F.col("raw_to").isNotNull(), F.date_add("raw_to", 400)).otherwise(F.col("raw_from")).alias("raw_effective_from"),
-        F.col("raw_to").alias("raw_effective_to"),
-        F.when(key % 31 != 0, F.date_sub("raw_from", 3)).alias("announcement_date"),
+        F.when(key % 23 == 0, F.col("symbol")).when(key % 23 != 1, F.concat(n, F.lit(".SH"))).alias("symbol"),
+        F.when(key % 41 != 0, F.when(key % 29 == 0, F.date_add("raw_from", 400)).otherwise(F.col("raw_from"))).cast("string").alias("raw_effective_from"),
+        F.coalesce(F.col("raw_to").cast("string"), F.when(key % 43 == 0, "soon")).alias("raw_effective_to"),
+        F.when(key % 31 != 0, F.when(key % 37 == 0, F.date_add("raw_from", 9)).otherwise(F.date_sub("raw_from", 3))).alias("announcement_date"),
+        status.alias("status"),
+        F.when((key % 9 == 4) & (key % 5 == 0), "no reason").otherwise(reason).alias("reason"),
+        F.lit("s").alias("source"),
         F.when(key % 19 == 0, " ").otherwise("http://x").alias("source_url"),
-        F.lit("0" * 64).alias("snapshot_sha256"),
+        F.when(key % 17 == 0, "0" * 63).otherwise("0" * 64).alias("snapshot_sha256"),
+        F.lit("0" * 64).alias("source_document_sha256"),
     )
-    return fact_faults(facts).groupBy("code").agg(F.count("*").alias("n"))
+    d = day("o_orderdate")
+    own = table(spark, sf_dir, "orders").filter("o_custkey % 8 <> 0").groupBy("o_custkey").agg(F.date_add(F.min(d), 100).alias("a"), F.date_sub(F.max(d), 100).alias("b"))
+    master = own.select(F.concat(F.lpad(F.col("o_custkey").cast("string"), 6, "0"), F.lit(".SH")).alias("symbol"), F.when(F.col("o_custkey") % 3 == 0, F.col("a")).alias("list_date"), F.when(F.col("o_custkey") % 5 == 0, F.col("b")).alias("delist_date"))
+    return fact_issues(facts, master).select("code", F.explode("problems").alias("problem")).groupBy("code", "problem").agg(F.count("*").alias("n"))
 
 
 view(
@@ -240,10 +290,12 @@ view("snapshots", "SELECT DISTINCT concat('U', o_custkey % 5) AS universe_id, CA
 
 @query(
     """
-SELECT r.universe_id, r.symbol, min(r.snapshot) AS raw_from, CAST(arg_max(r.next_snapshot, r.snapshot) - 1 AS DATE) AS raw_to, CASE WHEN min(r.snapshot) = min(r.first_snapshot) THEN 'initial_constituent' ELSE 'scheduled_change' END AS reason
-FROM (SELECT s.*, d.next_snapshot, d.first_snapshot, d.ord - row_number() OVER (PARTITION BY s.universe_id, s.symbol ORDER BY d.ord) AS island FROM snapshots s JOIN (
-  SELECT universe_id, snapshot, row_number() OVER w AS ord, coalesce(lead(snapshot) OVER w, DATE '9999-01-01') AS next_snapshot, min(snapshot) OVER (PARTITION BY universe_id) AS first_snapshot FROM (SELECT DISTINCT universe_id, snapshot FROM snapshots) WINDOW w AS (PARTITION BY universe_id ORDER BY snapshot)) d USING (universe_id, snapshot)) r
-GROUP BY r.universe_id, r.symbol, r.island""".replace("CAST(arg_max(r.next_snapshot, r.snapshot) - 1 AS DATE)", "CASE WHEN arg_max(r.next_snapshot, r.snapshot) <> DATE '9999-01-01' THEN CAST(arg_max(r.next_snapshot, r.snapshot) - 1 AS DATE) END")
+SELECT universe_id, symbol, s AS raw_from, CAST(n - 1 AS DATE) AS raw_to, CASE WHEN n IS NULL AND row_number() OVER (PARTITION BY universe_id, symbol ORDER BY s) = 1 THEN 'initial_constituent' ELSE 'regular_rebalance' END AS reason
+FROM (SELECT universe_id, symbol, min(snapshot) AS s, arg_max(nxt, snapshot) FILTER (last_of_run) AS n FROM (
+  SELECT universe_id, symbol, snapshot, nxt, island, snapshot = max(snapshot) OVER (PARTITION BY universe_id, symbol, island) AS last_of_run FROM (
+    SELECT s.*, d.nxt, d.ord - row_number() OVER (PARTITION BY s.universe_id, s.symbol ORDER BY d.ord) AS island FROM snapshots s JOIN (
+      SELECT universe_id, snapshot, row_number() OVER w AS ord, lead(snapshot) OVER w AS nxt FROM (SELECT DISTINCT universe_id, snapshot FROM snapshots) WINDOW w AS (PARTITION BY universe_id ORDER BY snapshot)) d USING (universe_id, snapshot)))
+  GROUP BY universe_id, symbol, island)"""
 )
 def snapshot_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = table(spark, sf_dir, "orders").filter("o_orderkey % 3 <> 0")
@@ -258,15 +310,26 @@ def half_open_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """
-SELECT symbol, CASE WHEN n % 13 = 1 AND raw_to IS NULL THEN DATE '2001-12-31' ELSE raw_to END AS raw_to FROM (SELECT *, CAST(symbol[2:] AS BIGINT) AS n FROM memberships) WHERE n % 13 <> 2
+SELECT symbol, CASE WHEN n % 13 = 1 AND raw_to IS NULL THEN DATE '2001-12-31' WHEN n % 13 = 4 AND raw_to IS NULL THEN DATE '2002-12-31' WHEN n % 13 = 5 THEN NULL ELSE raw_to END AS raw_to
+FROM (SELECT *, CAST(symbol[2:] AS BIGINT) AS n FROM memberships) WHERE n % 13 <> 2 OR raw_to IS NOT NULL
 UNION ALL SELECT symbol || 'X', CAST(NULL AS DATE) FROM memberships WHERE CAST(symbol[2:] AS BIGINT) % 13 = 3"""
 )
 def membership_repairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ends set where they are open (1), drops of open facts, stale where a fact has ended (2), new facts (3), two repairs of one
+    field in a row (4), and ends taken back (5)."""
     m = market.memberships(spark, sf_dir).select("universe_id", "symbol", "raw_from", "raw_to")
-    n = F.substring("symbol", 2, 20).cast("long")
-    kind = F.when(n % 13 == 1, "set_field").when(n % 13 == 2, "drop_row").when(n % 13 == 3, "insert_row")
+    n = F.substring("symbol", 2, 20).cast("long") % 13
     row = F.create_map(F.lit("raw_from"), F.col("raw_from").cast("string"), F.lit("raw_to"), F.lit(None).cast("string"))
-    repairs = m.select(kind.alias("action"), "universe_id", F.when(n % 13 == 3, F.concat("symbol", F.lit("X"))).otherwise(F.col("symbol")).alias("symbol"), F.lit("raw_to").alias("field"), F.lit(None).cast("string").alias("old_value"), F.lit("2001-12-31").alias("new_value"), row.alias("row")).filter("action IS NOT NULL")
+    none = F.lit(None).cast("string")
+    step = lambda seq, action, old, new: F.struct(F.lit(seq).alias("seq"), F.lit(action).alias("action"), old.alias("old_value"), new.alias("new_value"))
+    steps = (
+        F.when(n == 1, F.array(step(1, "set_field", none, F.lit("2001-12-31"))))
+        .when(n == 2, F.array(step(1, "drop_row", none, none)))
+        .when(n == 3, F.array(step(1, "insert_row", none, none)))
+        .when(n == 4, F.array(step(1, "set_field", none, F.lit("2001-12-31")), step(2, "set_field", F.lit("2001-12-31"), F.lit("2002-12-31"))))
+        .when(n == 5, F.array(step(1, "set_field", F.col("raw_to").cast("string"), none)))
+    )
+    repairs = m.select("universe_id", F.when(n == 3, F.concat("symbol", F.lit("X"))).otherwise(F.col("symbol")).alias("symbol"), F.lit("raw_to").alias("field"), row.alias("row"), F.explode(steps).alias("s")).select("universe_id", "symbol", "field", "row", "s.*")
     return membership.apply_repairs(m, repairs, ["universe_id", "symbol"]).select("symbol", "raw_to")
 
 
@@ -281,11 +344,12 @@ def universe_boards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return market.master(spark, sf_dir).groupBy("board").agg(F.count("*").alias("n"))
 
 
-@query("SELECT day, pretrade_date, actual_previous FROM (SELECT day, lag(day) OVER (ORDER BY day) AS actual_previous, CASE WHEN ord % 50 = 0 THEN CAST(day - 1 AS DATE) ELSE lag(day) OVER (ORDER BY day) END AS pretrade_date FROM calendar) WHERE actual_previous IS NOT NULL AND actual_previous IS DISTINCT FROM pretrade_date")
+@query("SELECT day, pretrade_date, actual_previous FROM (SELECT day, lag(day) OVER (ORDER BY day) AS actual_previous, CASE WHEN ord % 50 = 0 THEN CAST(day - 9 AS DATE) WHEN ord % 50 <> 1 THEN lag(day) OVER (ORDER BY day) END AS pretrade_date FROM calendar) WHERE actual_previous IS NOT NULL AND actual_previous IS DISTINCT FROM pretrade_date")
 def pretrade_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A calendar whose every fiftieth day names a wrong day before, and the next one none."""
     w = Window.orderBy("day")
-    facts = market.calendar(spark, sf_dir).select("day", F.when(F.col("ord") % 50 == 0, F.date_sub("day", 1)).otherwise(F.lag("day").over(w)).alias("pretrade_date"))
-    return calendars.pretrade_faults(facts)
+    stated = F.when(F.col("ord") % 50 == 0, F.date_sub("day", 9)).when(F.col("ord") % 50 != 1, F.lag("day").over(w))
+    return calendars.pretrade_faults(market.calendar(spark, sf_dir).select("day", stated.alias("pretrade_date")))
 
 
 @query(

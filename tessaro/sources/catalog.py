@@ -25,7 +25,7 @@ class Files:
     """A few file operations on any Hadoop path."""
 
     def __init__(self, spark: SparkSession, root: str) -> None:
-        self.jvm, self.conf = spark._jvm, spark._jsc.hadoopConfiguration()
+        self.jvm, self.conf, self.gateway = spark._jvm, spark._jsc.hadoopConfiguration(), spark.sparkContext._gateway
         self.path = self.jvm.org.apache.hadoop.fs.Path
         self.fs = self.path(root).getFileSystem(self.conf)
 
@@ -40,13 +40,19 @@ class Files:
         self.fs.delete(self.path(path), True)
 
     def write(self, path: str, text: str) -> None:
-        """Replace a small file at once: readers see the old text or the new one."""
+        """Replace a small file at once: readers see the old text or the new one, also if this stops half-way."""
         new = f"{path}.{uuid.uuid4().hex}"
         out = self.fs.create(self.path(new), True)
         out.write(bytearray(text.encode()))
         out.close()
-        self.remove(path)
-        self.fs.rename(self.path(new), self.path(path))
+        self.replace(new, path)
+
+    def replace(self, new: str, path: str) -> None:
+        """One rename that overwrites its target."""
+        old, at = self.fs.makeQualified(self.path(new)), self.fs.makeQualified(self.path(path))
+        how = self.gateway.new_array(self.jvm.org.apache.hadoop.fs.Options.Rename, 1)
+        how[0] = self.jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+        self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(at.toUri(), self.conf).rename(old, at, how)
 
     def read(self, path: str) -> str:
         stream = self.fs.open(self.path(path))

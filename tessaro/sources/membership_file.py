@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessaro.functions import clean
@@ -21,19 +21,68 @@ def facts(rows: DataFrame, universe_id: str, source: str, url: str, digest: str)
     """Membership facts with their evidence. Rows: symbol, effective_from, effective_to, announcement_date, reason."""
     return rows.select(
         F.lit(universe_id).alias("universe_id"), clean.symbol("symbol").alias("symbol"), clean.trade_date("effective_from").alias("raw_effective_from"),
-        clean.trade_date("effective_to").alias("raw_effective_to"), clean.trade_date("announcement_date").alias("announcement_date"), F.lit("CONFIRMED").alias("status"),
+        clean.trade_date("effective_to").alias("raw_effective_to"), clean.trade_date("announcement_date").alias("announcement_date"), F.when(clean.blank_to_null("effective_to").isNull(), "active").otherwise("removed").alias("status"),
         clean.blank_to_null("reason").alias("reason"), F.lit(source).alias("source"), F.lit(url).alias("source_url"), F.lit(digest).alias("snapshot_sha256"), F.lit(digest).alias("source_document_sha256"),
     )
 
 
-def fact_faults(rows: DataFrame) -> DataFrame:
-    """Facts without evidence, symbol or announcement, or with a reversed interval; all of them block."""
-    ordered = F.col("raw_effective_to").isNull() | (F.col("raw_effective_from") <= F.col("raw_effective_to"))
-    fault = clean.first_reason(
-        (F.coalesce(F.trim("source_url"), F.lit("")) == "", "membership_evidence_missing"),
-        (~F.col("snapshot_sha256").rlike("^[0-9a-f]{64}$"), "membership_evidence_missing"),
-        (F.col("symbol").isNull(), "membership_invalid_symbol"),
-        (F.col("raw_effective_from").isNull() | ~ordered, "membership_invalid_interval"),
-        (F.col("announcement_date").isNull(), "membership_announcement_missing"),
-    )
-    return rows.withColumn("code", fault).filter("code IS NOT NULL")
+# What a membership fact may say, and why memberships end for good.
+STATUSES = ("active", "removed")
+REASONS = ("initial_constituent", "regular_rebalance", "temporary_adjustment", "delisting", "merger_or_reorganization")
+TERMINATIONS = ("delisting", "merger_or_reorganization")
+#: Columns of a table of facts, in order.
+FACT_COLUMNS = ("universe_id", "symbol", "raw_effective_from", "raw_effective_to", "announcement_date", "status", "reason", "source", "source_url", "snapshot_sha256", "source_document_sha256")
+
+
+def fact_issues(rows: DataFrame, master: DataFrame | None = None) -> DataFrame:
+    """Every fault of membership facts, all FATAL: code, universe_id, symbol, problems (an array of what is wrong).
+
+    Checked in this order, each by itself: schema, evidence, symbols, intervals with status and reason, overlaps of a (universe,
+    symbol), announcements after use, and with a master (symbol, list_date, delist_date) delistings without a proven last day and
+    facts that the listing leaves no day of. Dates may be texts.
+    """
+    if tuple(rows.columns) != FACT_COLUMNS:
+        one = rows.sparkSession.range(1)
+        return one.select(F.lit("UNIVERSE_SCHEMA_MISMATCH").alias("code"), F.lit(None).cast("string").alias("universe_id"), F.lit(None).cast("string").alias("symbol"), F.array(*map(F.lit, rows.columns)).alias("problems"))
+    text = lambda c: clean.blank_to_null(c)
+    r = rows.select("universe_id", text("symbol").alias("symbol"), clean.trade_date("raw_effective_from").alias("start"), text("raw_effective_to").isNotNull().alias("ended"), clean.trade_date("raw_effective_to").alias("end"), clean.trade_date("announcement_date").alias("announced"), *[text(c).alias(c) for c in FACT_COLUMNS[5:]])
+    w = Window.partitionBy("universe_id", "symbol").orderBy("start", F.col("end").asc_nulls_last())
+    r = r.withColumns({"_end": F.lag(F.struct("end")).over(w), "_start": F.lag("start").over(w)})
+    canonical = F.coalesce(F.col("symbol").rlike(r"^[0-9]{6}\.(SH|SZ|BJ)$"), F.lit(False))
+    if master is not None:
+        r = r.join(master.select(F.col("symbol").alias("_symbol"), "list_date", "delist_date"), F.col("symbol") == F.col("_symbol"), "left")
+    said = lambda *cases: F.array_compact(F.array(*[F.when(c, p) for c, p in cases]))
+    status, reason, dated = F.col("status"), F.col("reason"), F.col("start").isNotNull()
+    known = lambda c, values: F.coalesce(c.isin(*values), F.lit(False))
+    digest = lambda c: F.coalesce(~F.col(c).rlike("^[0-9a-f]{64}$"), F.lit(True))
+    checks = [
+        ("UNIVERSE_EVIDENCE_MISSING", said(*[(digest(c), c) for c in ("snapshot_sha256", "source_document_sha256")], *[(F.col(c).isNull(), c) for c in ("source", "source_url")])),
+        ("UNIVERSE_UNKNOWN_SYMBOL", said((~canonical, "non_canonical_symbol"), *([(canonical & F.col("_symbol").isNull(), "absent_from_security_master")] if master is not None else []))),
+        (
+            "UNIVERSE_INTERVAL_CONFLICT",
+            said(
+                (~dated, "raw_effective_from_missing"),
+                (F.col("announced").isNull(), "announcement_date_missing"),
+                (F.col("ended") & F.col("end").isNull(), "raw_effective_to_unparsable"),
+                (~known(status, STATUSES), "unknown_status"),
+                ((status == "active") & F.col("ended"), "active_fact_cannot_end"),
+                ((status == "removed") & ~F.col("ended"), "removed_fact_requires_end"),
+                (~known(reason, REASONS), "unknown_reason"),
+                (known(reason, TERMINATIONS) & ~status.eqNullSafe(F.lit("removed")), "termination_reason_requires_removed_status"),
+                ((reason == "initial_constituent") & ~status.eqNullSafe(F.lit("active")), "initial_constituent_requires_active_status"),
+                (F.col("end") < F.col("start"), "end_precedes_start"),
+            ),
+        ),
+        ("UNIVERSE_INTERVAL_OVERLAP", said((F.col("_start").isNotNull() & (F.col("_end.end").isNull() | (F.col("_end.end") >= F.col("start"))), "begins_before_the_one_before_has_ended"))),
+        ("UNIVERSE_ANNOUNCEMENT_AFTER_USE", said((F.col("announced") > F.col("start"), "announced_after_start"))),
+    ]
+    if master is not None:
+        listed = dated & canonical & F.col("_symbol").isNotNull()
+        unproven = listed & known(reason, TERMINATIONS) & (status == "removed") & F.col("delist_date").isNull()
+        empty = F.greatest("start", "list_date") > F.least("end", "delist_date")
+        checks += [
+            ("UNIVERSE_DELISTING_ENDPOINT_UNPROVEN", said((unproven, "delisting_without_last_tradable_day"))),
+            ("UNIVERSE_MASTER_INTERSECTION_EMPTY", said((listed & ~F.coalesce(unproven, F.lit(False)) & empty, "no_day_between_listing_and_delisting"))),
+        ]
+    found = F.filter(F.array(*[F.struct(F.lit(code).alias("code"), problems.alias("problems")) for code, problems in checks]), lambda i: F.size(i["problems"]) > 0)
+    return r.select("universe_id", "symbol", F.explode(found).alias("i")).select("i.code", "universe_id", "symbol", "i.problems")

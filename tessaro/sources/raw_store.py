@@ -76,15 +76,25 @@ def write_once(spark: SparkSession, path: str, value: object) -> str:
     return hashlib.sha256(text.encode()).hexdigest()
 
 
-def response_faults(rows: DataFrame, symbols: list[str], start: str, end: str, limit: int | None = None, day: str = "trade_date") -> list[str]:
-    """Whether a response is empty, cut off at the supplier's row limit, of other symbols, or out of its window."""
+def response_issues(rows: DataFrame, by: list[str], symbols: list[str], start: str, end: str, limit: int | None = None, day: str = "trade_date") -> DataFrame:
+    """by, fault for responses (groups of rows) that were cut off at the supplier's row limit, hold other names or miss some,
+    have no date, or leave the window. Counts are pre-aggregated; the names asked for bound what is collected of a group."""
     asked = F.array(*map(F.lit, symbols))
-    r = rows.agg(
+    own = F.array_contains(asked, F.col("symbol"))
+    g = rows.groupBy(*by).agg(
         F.count("*").alias("n"),
-        F.collect_set(F.when(~F.array_contains(asked, F.col("symbol")), F.col("symbol"))).alias("other"),
-        F.count_distinct("symbol").alias("n_symbols"),
+        F.count_if(~F.coalesce(own, F.lit(False))).alias("other"),
+        F.count_distinct(F.when(own, F.col("symbol"))).alias("own"),
         F.count_if(F.col(day).isNull()).alias("undated"),
         F.count_if(~F.col(day).between(F.lit(start).cast("date"), F.lit(end).cast("date"))).alias("outside"),
-    ).first()
-    checks = {"empty": r.n == 0, "truncated": limit is not None and r.n >= limit, "other_symbols": bool(r.other), "missing_symbols": r.n > 0 and r.n_symbols - len(r.other) < len(set(symbols)), "undated": r.undated > 0, "outside_window": r.outside > 0}
-    return [k for k, bad in checks.items() if bad]
+    )
+    checks = {"truncated": F.col("n") >= limit if limit is not None else F.lit(False), "other_symbols": F.col("other") > 0, "missing_symbols": F.col("own") < len(set(symbols)), "undated": F.col("undated") > 0, "outside_window": F.col("outside") > 0}
+    return g.select(*by, F.explode(F.array_compact(F.array(*[F.when(c, k) for k, c in checks.items()]))).alias("fault"))
+
+
+def response_faults(rows: DataFrame, symbols: list[str], start: str, end: str, limit: int | None = None, day: str = "trade_date") -> list[str]:
+    """The faults of one response; one without rows is empty."""
+    if rows.isEmpty():
+        return ["empty"]
+    found = {r.fault for r in response_issues(rows.withColumn("_one", F.lit(1)), ["_one"], symbols, start, end, limit, day).collect()}
+    return [k for k in ("truncated", "other_symbols", "missing_symbols", "undated", "outside_window") if k in found]

@@ -95,7 +95,9 @@ def test_membership_file(spark, tmp_path):
     path.write_text("symbol,effective_from,effective_to,announcement_date,reason\n600000.SH,20200101,,20191220,\nbad,2020-01-01,2020-02-01,2019-12-20,x\n000001.SZ,20200201,20200101,20191220,y\n")
     f = membership_file.facts(membership_file.read_rows(spark, str(path)), "U", "file", "http://x", "0" * 64)
     assert f.columns == schema("universe_membership").names
-    assert sorted(r.code for r in membership_file.fact_faults(f).collect()) == ["membership_invalid_interval", "membership_invalid_symbol"]
+    found = {(r.symbol, p) for r in membership_file.fact_issues(f).collect() for p in r.problems}
+    assert found == {("600000.SH", "unknown_reason"), (None, "non_canonical_symbol"), (None, "unknown_reason"), ("000001.SZ", "unknown_reason"), ("000001.SZ", "end_precedes_start")}
+    assert [r.code for r in membership_file.fact_issues(f.drop("source")).collect()] == ["UNIVERSE_SCHEMA_MISMATCH"]
     with pytest.raises(ValueError):
         membership_file.read_rows(spark, "x.xls")
 
@@ -106,3 +108,42 @@ def test_reports_refuse_unbounded_tables(spark):
     assert "&lt;x&gt;" in html and "<table>" in html and "<polyline" in html
     with pytest.raises(ValueError):
         report.table_html(spark.range(10), most=5)
+
+
+def test_current_is_replaced_at_once(spark, tmp_path, monkeypatch):
+    """A publication that stops before the pointer's rename leaves the old version readable, and one after it the new."""
+    from tessaro.sources import catalog
+
+    root = f"file://{tmp_path}/c"
+    files = catalog.Files(spark, root)
+    files.write(f"{root}/CURRENT", "one")
+
+    class Stop(Exception):
+        pass
+
+    def stopped(self, new, path):
+        raise Stop
+
+    with monkeypatch.context() as m:
+        m.setattr(catalog.Files, "replace", stopped)
+        with pytest.raises(Stop):
+            files.write(f"{root}/CURRENT", "two")
+    assert files.read(f"{root}/CURRENT") == "one"
+    files.write(f"{root}/CURRENT", "three")
+    assert files.read(f"{root}/CURRENT") == "three"
+
+
+def test_repairs_of_unknown_symbols_and_stale_drops(spark):
+    from tessaro.operators import membership
+
+    history = spark.createDataFrame([("U", "A", "2020-01-01", None), ("U", "B", "2020-01-01", "2020-05-01"), ("U", "B", "2020-06-01", None)], "universe_id string, symbol string, raw_from string, raw_to string")
+    shape = "seq int, action string, universe_id string, symbol string, field string, old_value string, new_value string, row map<string, string>"
+    fix = lambda *rows: spark.createDataFrame(list(rows), shape)
+    apply = lambda *rows: sorted((r.symbol, r.raw_from, r.raw_to) for r in membership.apply_repairs(history, fix(*rows), ["universe_id", "symbol"]).collect())
+    stale = (1, "drop_row", "U", "A", "raw_to", "2019-01-01", None, None)
+    assert apply(stale) == [("A", "2020-01-01", None), ("B", "2020-01-01", "2020-05-01"), ("B", "2020-06-01", None)]
+    assert apply((1, "drop_row", "U", "B", "raw_from", "2020-06-01", None, None)) == [("A", "2020-01-01", None), ("B", "2020-01-01", "2020-05-01")]
+    twice = [(1, "set_field", "U", "A", "raw_to", "", "2021-01-01", None), (2, "set_field", "U", "A", "raw_to", "2021-01-01", "2022-01-01", None)]
+    assert apply(*twice)[0] == ("A", "2020-01-01", "2022-01-01")
+    with pytest.raises(ValueError, match="Z"):
+        apply((1, "set_field", "U", "Z", "raw_to", "", "2021-01-01", None))
