@@ -62,10 +62,10 @@ def fill_totals(fills: DataFrame, by: list[str]) -> DataFrame:
 FILL_FIGURES = ("n_fills", "buy_notional", "sell_notional", "total_commission", "total_stamp_tax", "slippage_estimate")
 
 
-def window_metrics(equity: DataFrame, fills: DataFrame, by: list[str], benchmark: DataFrame | None = None) -> DataFrame:
+def window_metrics(equity: DataFrame, fills: DataFrame, by: list[str], benchmark: DataFrame | None = None, primary: str | None = None) -> DataFrame:
     """equity: by, trade_date, equity, cash, stale_market_value; fills: by, side, quantity, price, reference_price, fees.
 
-    benchmark: trade_date, symbol, close, of which the series with the smallest name is used, within the window.
+    benchmark: trade_date, symbol, close, of which the primary series, or else that with the smallest name, is used within the window.
     """
     d = drawdowns(daily_returns(equity, by), by)
     w = Window.partitionBy(*by).orderBy("trade_date")
@@ -92,7 +92,7 @@ def window_metrics(equity: DataFrame, fills: DataFrame, by: list[str], benchmark
     )
     if benchmark is None:
         return m
-    return m.join(benchmark_returns(m.select(*by, "start_date", "end_date"), benchmark, by), by, "left").withColumn(
+    return m.join(benchmark_returns(m.select(*by, "start_date", "end_date"), benchmark, by, primary), by, "left").withColumn(
         "benchmark_excess_return", F.when(F.col("benchmark_symbol").isNotNull(), F.col("cumulative_return") - F.col("benchmark_total_return")).otherwise(0.0)
     )
 
@@ -101,7 +101,8 @@ def benchmark_returns(windows: DataFrame, benchmark: DataFrame, by: list[str], p
     """Last over first close within each window, less one; 0 with fewer than two closes or a first one that isn't positive."""
     chosen = F.broadcast(benchmark.agg(F.coalesce(F.max(F.when(F.col("symbol") == primary, F.col("symbol"))) if primary else F.lit(None).cast("string"), F.min("symbol")).alias("symbol")))
     b = benchmark.join(chosen, "symbol").withColumnRenamed("symbol", "benchmark_symbol")
-    j = b.join(F.broadcast(windows), F.col("trade_date").between(F.col("start_date"), F.col("end_date")))
+    dated = windows.select(*by, F.explode(F.sequence("start_date", "end_date")).alias("trade_date"))
+    j = b.join(dated, "trade_date")
     first, last = F.min_by("close", "trade_date"), F.max_by("close", "trade_date")
     return j.groupBy(*by).agg(F.first("benchmark_symbol").alias("benchmark_symbol"), F.when((F.count("close") >= 2) & (first > 0), last / first - 1).otherwise(0.0).alias("benchmark_total_return"))
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessaro.operators.calendars import on_ordinals, ordinals_of
@@ -113,14 +113,19 @@ def from_snapshots(snapshots: DataFrame) -> DataFrame:
     return ends.select("universe_id", "symbol", "raw_from", F.date_sub("_next", 1).alias("raw_to"), reason.alias("reason"))
 
 
-def half_open_to_inclusive(history: DataFrame) -> DataFrame:
-    """opt_in/opt_out (half open) as inclusive intervals; a row without opt_out stays open."""
+def half_open_to_inclusive(history: DataFrame, base: Column) -> DataFrame:
+    """opt_in/opt_out (half open) as inclusive intervals; a row without opt_out stays open.
+
+    What is open and began on the base day, when the index was launched, is initial_constituent. A row without opt_in has no
+    start, and fails the job when it is met.
+    """
+    start = F.coalesce(F.col("opt_in"), F.raise_error(F.concat(F.lit("no opt-in date: "), F.coalesce("symbol", F.lit("?")))).cast("date"))
     return history.select(
         "universe_id",
         "symbol",
-        F.col("opt_in").alias("raw_from"),
+        start.alias("raw_from"),
         F.date_sub("opt_out", 1).alias("raw_to"),
-        F.when(F.col("opt_out").isNull(), "current_constituent").otherwise("scheduled_change").alias("reason"),
+        F.when(F.col("opt_out").isNull() & (F.col("opt_in") == base), "initial_constituent").otherwise("regular_rebalance").alias("reason"),
     )
 
 

@@ -47,23 +47,25 @@ def risk_path(bars: DataFrame, calendar: DataFrame, asked: DataFrame, sessions:
     ``least`` days need a real close. asked days are open days with at least ``sessions`` open days so far.
     """
     days = F.broadcast(calendar.select(F.col("day").alias("trade_date"), "ord"))
-    a = asked.select("symbol", "trade_date").distinct().join(days, "trade_date").withColumnRenamed("ord", "signal_ord").withColumnRenamed("trade_date", "signal_date")
-    grid = a.withColumn("ord", F.explode(F.sequence(F.greatest(F.col("signal_ord") - sessions + 1, F.lit(1)), F.col("signal_ord"))))
+    a = asked.select("symbol", "trade_date").distinct().join(days, "trade_date").select("symbol", "ord", F.col("trade_date").alias("signal_date"))
     b = bars.join(days, "trade_date").select("symbol", "ord", "close", "quality_severity", "missing_reason", F.lit(True).alias("there"))
-    j = grid.join(b, ["symbol", "ord"], "left")
+    # one row for each name and day that has a bar or is asked for; the frames below run over ordinals, so gaps count as missing
+    j = b.join(a, ["symbol", "ord"], "full")
     carry = F.coalesce(F.col("missing_reason") == "suspended_verified", F.lit(False))
     real = F.coalesce(F.col("there") & ~carry & (F.col("close") > 0) & ~F.isnan("close") & ~F.col("quality_severity").eqNullSafe("ERROR"), F.lit(False))
     j = j.withColumn("carry", carry).withColumn("real", real)
-    w = Window.partitionBy("symbol", "signal_date").orderBy("ord")
-    j = j.withColumn("mark", F.last(F.when(F.col("real"), F.col("close")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    w = Window.partitionBy("symbol").orderBy("ord")
+    so_far, frame = w.rowsBetween(Window.unboundedPreceding, 0), w.rangeBetween(1 - sessions, 0)
+    j = j.withColumn("mark", F.last(F.when(F.col("real"), F.col("close")), ignorenulls=True).over(so_far))
     j = j.withColumn("ret", F.when(F.col("real") | F.col("carry"), F.col("mark") / F.lag("mark").over(w) - 1))
-    g = j.groupBy("symbol", "signal_date").agg(
-        F.count("*").alias("n"),
-        F.count_if("real").alias("real_close_observations"),
-        F.count_if(F.col("carry") & ~F.col("real")).alias("suspension_carry_days"),
-        F.count_if(~F.col("real") & ~F.col("carry")).alias("n_bad"),
-        (F.stddev_samp("ret") * F.sqrt(F.lit(252.0))).alias("vol"),
-    )
+    # returns count from the day after the window's first real close on: sums up to the day less sums up to that close
+    sums = F.struct("ord", F.count("ret").over(so_far).alias("c"), F.coalesce(F.sum("ret").over(so_far), F.lit(0.0)).alias("s"), F.coalesce(F.sum(F.col("ret") * F.col("ret")).over(so_far), F.lit(0.0)).alias("q"))
+    j = j.withColumn("sums", sums)
+    j = j.withColumns({"first": F.min(F.when(F.col("real"), F.col("sums"))).over(frame), "real_close_observations": F.count_if("real").over(frame), "suspension_carry_days": F.count_if(F.col("carry") & ~F.col("real")).over(frame)}).filter("signal_date IS NOT NULL")
+    c, total, squares = (F.col(f"sums.{x}") - F.col(f"first.{x}") for x in "csq")
+    spread = F.greatest(squares - total * total / c, F.lit(0.0)) / (c - 1)
+    g = j.withColumn("n", F.least("ord", F.lit(sessions))).withColumn("n_bad", F.col("n") - F.col("real_close_observations") - F.col("suspension_carry_days"))
+    g = g.withColumn("vol", F.when(c >= 2, F.sqrt(spread) * F.sqrt(F.lit(252.0))))
     reason = (
         F.when((F.col("n_bad") > 0) | (F.col("n") < sessions), "untrusted_missing_observation")
         .when(F.col("real_close_observations") < least, "insufficient_real_close_observations")
@@ -137,8 +139,8 @@ def buffered_targets(candidates: DataFrame, by: str, policy: BufferPolicy = Buff
     candidates: by, signal_date, symbol, processed_value or null, is_valid, invalid_reason, risk_is_valid,
     risk_invalid_reason, applied_annualized_volatility. Each date keeps members of the date before whose rank among
     risk-valid names is within the hold rank, then fills up from the entry rank. Ranks are windows over all groups at once; only
-    the carrying from date to date runs in the group's function, which reads one group (the candidates within the ranks, and
-    names that could be members) as a stream of dates.
+    the carrying from date to date runs in the group's function, which reads the names that are within the ranks on some date of
+    the group; all others can't be members, and get their rows without it.
     """
     valid = candidates.withColumn("raw_rank", F.when(F.col("is_valid"), F.row_number().over(Window.partitionBy(by, "signal_date", "is_valid").orderBy(F.col("processed_value").desc(), "symbol"))))
     ok = F.col("is_valid") & F.coalesce("risk_is_valid", F.lit(False))
@@ -151,13 +153,26 @@ def buffered_targets(candidates: DataFrame, by: str, policy: BufferPolicy = Buff
         return pd.DataFrame(list(carried(group.sort_values(["signal_date", "raw_rank", "symbol"]), by, policy)), columns=names)
 
     columns = [by, "signal_date", "symbol", "is_valid", "invalid_reason", "risk_invalid_reason", "raw_rank", "eligible_rank", "applied_annualized_volatility"]
-    return ranked.select(*columns).groupBy(by).applyInPandas(run, schema)
+    ranked = ranked.select(*columns)
+    # whoever is a member on some date is within the ranks on some date: only these names can change the books
+    near = max(policy.hold_rank, policy.entry_rank)
+    ever = ranked.filter(F.col("eligible_rank") <= near).select(by, "symbol").distinct()
+    dates = ranked.select(by, "signal_date").distinct().select(by, "signal_date", *[F.lit(None).cast(ranked.schema[c].dataType).alias(c) for c in columns[2:]])
+    found = ranked.join(ever, [by, "symbol"], "left_semi").select(*columns).unionByName(dates.select(*columns)).groupBy(by).applyInPandas(run, schema)
+    cash = found.filter("symbol IS NULL").select(by, "signal_date", "cash_weight")
+    out = ranked.filter("is_valid").join(ever, [by, "symbol"], "left_anti").join(cash, [by, "signal_date"])
+    refused = F.col("eligible_rank").isNull()
+    rest = out.select(
+        by, "signal_date", "symbol", F.lit(False).alias("previous_target_member"), "raw_rank", "eligible_rank", F.when(refused, "risk_invalid").otherwise("not_selected").alias("member_status"),
+        F.when(refused, F.coalesce("risk_invalid_reason", F.lit("untrusted_missing_observation"))).otherwise("beyond_entry_rank").alias("member_reason"), F.lit(0).cast("decimal(18,12)").alias("target_weight"), "cash_weight",
+    )
+    return found.filter("symbol IS NOT NULL").unionByName(rest)
 
 
 def carried(rows: pd.DataFrame, by: str, policy: BufferPolicy) -> Iterator[tuple]:
     previous: set[str] = set()
     for day, frame in rows.groupby("signal_date", sort=True):
-        facts = {r.symbol: r for r in frame.itertuples()}
+        facts = {r.symbol: r for r in frame.itertuples() if r.symbol is not None}
         eligible = sorted((int(r.eligible_rank), s) for s, r in facts.items() if r.eligible_rank == r.eligible_rank)
         kept = [s for k, s in eligible if s in previous and k <= policy.hold_rank][: policy.target_count]
         new = [s for k, s in eligible if k <= policy.entry_rank and s not in kept][: policy.target_count - len(kept)]
@@ -178,6 +193,7 @@ def carried(rows: pd.DataFrame, by: str, policy: BufferPolicy) -> Iterator[tuple
             else:
                 status, why = "not_selected", "beyond_target_count" if place <= policy.entry_rank else "beyond_entry_rank"
             yield getattr(frame, by).iloc[0], day, s, s in previous, raw, place, status, why, weights.get(s, Decimal(0)), cash
+        yield getattr(frame, by).iloc[0], day, None, False, None, None, "", "", Decimal(0), cash
         previous = members
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from tessaro.functions.clean import first_reason, no_nan
+from tessaro.operators.temporal import missing_from_grid
 
 PRICES = ("open", "high", "low", "close")
 # Sources and adjustments that a published bar may carry, and codes that block a publication.
@@ -101,10 +102,9 @@ def missing_rows(listing: DataFrame, calendar: DataFrame, primary: DataFrame, va
     """Each (name, open day) of the window without a primary bar, classified. Names listed after the window's first open day
     or delisted before its last one are left out, as the source's scan does."""
     days = calendar.filter(F.col("day").between(F.lit(start).cast("date"), F.lit(end).cast("date"))).select("day")
-    ends = days.agg(F.min("day").alias("_a"), F.max("day").alias("_b"))
-    names = listing.crossJoin(F.broadcast(ends)).filter("(list_date IS NULL OR list_date <= _a) AND (delist_date IS NULL OR delist_date >= _b)").select("symbol", "list_date", "delist_date")
-    grid = names.crossJoin(F.broadcast(days.select(F.col("day").alias("trade_date"))))
-    absent = grid.join(primary.select("symbol", "trade_date").distinct(), ["symbol", "trade_date"], "left_anti")
+    first, last = days.agg(F.min("day")).scalar(), days.agg(F.max("day")).scalar()
+    names = listing.filter((F.col("list_date").isNull() | (F.col("list_date") <= first)) & (F.col("delist_date").isNull() | (F.col("delist_date") >= last))).select("symbol", "list_date", "delist_date")
+    absent = missing_from_grid(names, days, primary, ["symbol"], "trade_date").join(names, "symbol")
     seen = validation.select("symbol", "trade_date").distinct().withColumn("in_validation", F.lit(True))
     return absent.join(seen, ["symbol", "trade_date"], "left").select("symbol", "trade_date", missing_code().alias("code"))
 

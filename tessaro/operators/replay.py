@@ -28,20 +28,23 @@ LEDGER = (
 )
 
 
-def executable_bars(bars: DataFrame, rates: DataFrame, rules: DataFrame, open_sessions: DataFrame) -> DataFrame:
+def executable_bars(bars: DataFrame, rates: DataFrame, rules: DataFrame, open_sessions: DataFrame, names: DataFrame | None = None) -> DataFrame:
     """Bars (symbol, trade_date, open, close, quality_severity, board, status, listed_sessions; any further key columns named
     in none of these) with, for each scenario of rates and each side, the fill price or why an order can't trade.
 
     Precedence: missing open, missing previous close, ERROR, no rule, at the limit. The previous close is the last valid close
-    of the name before the day. The limit is checked with the price after slippage.
+    of the name before the day. The limit is checked with the price after slippage. names: symbols that books hold; bars of
+    others are left out before they are priced.
     """
+    if names is not None:
+        bars = bars.join(names.filter("symbol IS NOT NULL").select("symbol").distinct(), "symbol", "left_semi")
     valid = (F.col("close") > 0) & ~F.isnan("close") & ~F.col("quality_severity").eqNullSafe("ERROR")
     w = Window.partitionBy("symbol").orderBy("trade_date")
     b = bars.withColumn("mark", F.when(valid, F.col("close")).cast("decimal(18,6)"))
     b = b.withColumn("pre_close", F.last("mark", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)))
     b = price_limits(b, rules, open_sessions)
-    names = rates.select("scenario").distinct()
-    b = effective_join(b.crossJoin(F.broadcast(names)), rates, "trade_date", "effective_from", ["scenario"])
+    scenarios = rates.select("scenario").distinct()
+    b = effective_join(b.crossJoin(F.broadcast(scenarios)), rates, "trade_date", "effective_from", ["scenario"])
     opened = F.when((F.col("open") > 0) & ~F.isnan("open"), F.col("open")).cast("decimal(18,6)")
     b = b.withColumn("reference_price", F.round(opened, 2).cast("decimal(18,2)"))
     for side in ("BUY", "SELL"):
@@ -183,14 +186,15 @@ def replay(
 
     targets: by, trade_date (of execution), symbol, and target_quantity, or target_weight with signal_price and continuing.
     bars: of ``executable_bars``. actions: symbol, ex_date, record_date, cash, bonus, capitalization, rights, status.
+    A day of execution without any target has one row of a null symbol: what is held is sold.
     windows: by, first_day, last_day; by must contain scenario. Every open day of a window values the account.
     """
     weights = "target_weight" in targets.columns
-    names = targets.select(*by, "symbol").distinct()
+    names = targets.filter("symbol IS NOT NULL").select(*by, "symbol").distinct()
     days = windows.join(F.broadcast(calendar), F.col("day").between(F.col("first_day"), F.col("last_day"))).select(*by, F.lit(0).alias("kind"), F.col("day").alias("trade_date"))
     span = windows.select(*by, "first_day", "last_day")
-    bar = bars.join(F.broadcast(names.join(span, by)), ["scenario", "symbol"]).filter("trade_date BETWEEN first_day AND last_day").select(*by, F.lit(2).alias("kind"), "symbol", *[c for c in bars.columns if c not in (*by, "symbol")])
-    act = actions.join(F.broadcast(names), "symbol").select(
+    bar = bars.join(names.join(F.broadcast(span), by), ["scenario", "symbol"]).filter("trade_date BETWEEN first_day AND last_day").select(*by, F.lit(2).alias("kind"), "symbol", *[c for c in bars.columns if c not in (*by, "symbol")])
+    act = actions.join(names, "symbol").select(
         *by, F.lit(1).alias("kind"), F.col("ex_date").alias("trade_date"), "symbol", "record_date", F.col("cash").cast("decimal(18,6)").alias("cash_per_share"),
         (F.coalesce("bonus", F.lit(0.0)) + F.coalesce("capitalization", F.lit(0.0))).cast("decimal(18,6)").alias("share_ratio"), F.when((F.col("status") != "implemented") | (F.col("rights") > 0), "unsupported").alias("fault"),
     )
@@ -235,12 +239,12 @@ def machine(group: pd.DataFrame, initial_cash: Decimal, lot: int, band: Decimal,
         orders: list[tuple[str, str, int]] = []
         if at[3][day]:
             if weights:
-                book = {r.symbol: (r.target_weight, r.signal_price, bool(r.continuing)) for r in at[3][day]}
+                book = {r.symbol: (r.target_weight, r.signal_price, bool(r.continuing)) for r in at[3][day] if r.symbol is not None}
                 orders, decisions = plan_weights(book, account, day, lot, band)
                 for s, held, target, _, why in decisions:
                     yield row("decision", day, symbol=s, quantity=target, filled_quantity=held, reason=why)
             else:
-                orders = plan_quantities({r.symbol: int(r.target_quantity) for r in at[3][day] if r.target_quantity == r.target_quantity}, account, day, lot)
+                orders = plan_quantities({r.symbol: int(r.target_quantity) for r in at[3][day] if r.symbol is not None and r.target_quantity == r.target_quantity}, account, day, lot)
         numbered = []
         for side, s, q in orders:
             yield (r := row("order", day, order_id=f"o{seq['order'] + 1:06d}", side=side, symbol=s, quantity=q))

@@ -71,10 +71,25 @@ def sessions(rows: DataFrame, by: list[str], order: list[str], breaks: Column, n
     return rows.withColumn("_break", breaks).withColumn(name, F.sum(F.when(~F.coalesce("_break", F.lit(True)), 0).otherwise(1)).over(w).cast("long")).drop("_break")
 
 
+def absent_ordinals(keys: DataFrame, present: DataFrame, by: list[str], last, ordinal: str = "ord", first: int = 1) -> DataFrame:
+    """(by, ordinal) of first to last that a key of keys has no row for in present: the gaps between its neighbouring ordinals.
+
+    One shuffle by key; neither a grid of keys and ordinals nor an anti-join. last: a number or a column.
+    """
+    k = keys.select(*by).distinct()
+    ends = k.select(*by, F.explode(F.array(F.lit(first - 1).cast("long"), (F.lit(last) + 1).cast("long"))).alias("_o"))
+    own = present.join(k, by, "left_semi").select(*by, F.col(ordinal).cast("long").alias("_o")).filter(F.col("_o").between(F.lit(first), F.lit(last)))
+    marks = ends.unionByName(own)
+    after = F.lead("_o").over(Window.partitionBy(*by).orderBy("_o"))
+    return marks.withColumn("_next", after).filter("_next > _o + 1").select(*by, F.explode(F.sequence(F.col("_o") + 1, F.col("_next") - 1)).alias(ordinal))
+
+
 def missing_from_grid(keys: DataFrame, calendar: DataFrame, present: DataFrame, by: list[str], day: str) -> DataFrame:
-    """(key, day) of the grid keys x calendar without a row in present: the calendar (bounded by time, not data) is broadcast."""
-    grid = keys.crossJoin(F.broadcast(calendar.select(F.col("day").alias(day))))
-    return grid.join(present.select(*by, day).distinct(), [*by, day], "left_anti")
+    """(key, day) of all days of the calendar for which a key has no row in present."""
+    days = calendar.select(F.col("day").alias(day)).distinct().withColumn("_ord", F.row_number().over(Window.orderBy(day)).cast("long"))
+    there = present.select(*by, day).join(F.broadcast(days), day)
+    gaps = absent_ordinals(keys, there, by, days.agg(F.max("_ord")).scalar(), "_ord")
+    return gaps.join(F.broadcast(days), "_ord").select(*by, day)
 
 
 def latest(rows: DataFrame, by: list[str], order: list[Column | str]) -> DataFrame:

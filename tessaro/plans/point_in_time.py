@@ -174,7 +174,7 @@ SELECT universe_id, CASE WHEN o_orderkey % 23 = 0 THEN symbol WHEN o_orderkey %
   o_orderkey % 19 = 0 AS no_url, o_orderkey % 17 = 0 AS bad_digest
 FROM stays""",
 )
-view("listed", "SELECT lpad(CAST(o_custkey AS VARCHAR), 6, '0') || '.SH' AS symbol, CASE WHEN o_custkey % 3 = 0 THEN min(CAST(o_orderdate AS DATE)) + 100 END AS list_date, CASE WHEN o_custkey % 5 = 0 THEN max(CAST(o_orderdate AS DATE)) - 100 END AS delist_date FROM orders WHERE o_custkey % 8 <> 0 GROUP BY o_custkey")
+view("boundaries", "SELECT lpad(CAST(o_custkey AS VARCHAR), 6, '0') || '.SH' AS symbol, CASE WHEN o_custkey % 3 = 0 THEN min(CAST(o_orderdate AS DATE)) + 100 END AS list_date, CASE WHEN o_custkey % 5 = 0 THEN max(CAST(o_orderdate AS DATE)) - 100 END AS delist_date FROM orders WHERE o_custkey % 8 <> 0 GROUP BY o_custkey")
 @query(
     """
 SELECT code, problem, count(*) AS n FROM (
@@ -191,7 +191,7 @@ SELECT code, problem, count(*) AS n FROM (
     CASE WHEN s IS NULL OR NOT canonical OR NOT known THEN NULL WHEN final AND status = 'removed' AND delist_date IS NULL THEN ['UNIVERSE_DELISTING_ENDPOINT_UNPROVEN', 'delisting_without_last_tradable_day']
       WHEN greatest(s, list_date) > least(e, delist_date) THEN ['UNIVERSE_MASTER_INTERSECTION_EMPTY', 'no_day_between_listing_and_delisting'] END]) AS i
   FROM (SELECT t.*, l.symbol IS NOT NULL AS known, coalesce(regexp_full_match(t.symbol, '[0-9]{6}[.](SH|SZ|BJ)'), false) AS canonical, coalesce(reason IN ('delisting', 'merger_or_reorganization'), false) AS final, l.list_date, l.delist_date,
-      lag(s) OVER w AS ps, lag(e) OVER w AS pe FROM stated t LEFT JOIN listed l USING (symbol) WINDOW w AS (PARTITION BY t.universe_id, t.symbol ORDER BY s NULLS FIRST, e NULLS LAST))))
+      lag(s) OVER w AS ps, lag(e) OVER w AS pe FROM stated t LEFT JOIN boundaries l USING (symbol) WINDOW w AS (PARTITION BY t.universe_id, t.symbol ORDER BY s NULLS FIRST, e NULLS LAST))))
 WHERE i IS NOT NULL GROUP BY 1, 2"""
 )
 def membership_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -303,9 +303,10 @@ def snapshot_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return membership.from_snapshots(s)
 
 
-@query("SELECT universe_id, symbol, raw_from, CAST(raw_to - 1 AS DATE) AS raw_to, CASE WHEN raw_to IS NULL THEN 'current_constituent' ELSE 'scheduled_change' END AS reason FROM memberships")
+@query("SELECT universe_id, symbol, raw_from, CAST(raw_to - 1 AS DATE) AS raw_to, CASE WHEN raw_to IS NULL AND raw_from = (SELECT min(raw_from) FROM memberships) THEN 'initial_constituent' ELSE 'regular_rebalance' END AS reason FROM memberships")
 def half_open_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return membership.half_open_to_inclusive(market.memberships(spark, sf_dir).withColumnRenamed("raw_from", "opt_in").withColumnRenamed("raw_to", "opt_out"))
+    m = market.memberships(spark, sf_dir)
+    return membership.half_open_to_inclusive(m.withColumnRenamed("raw_from", "opt_in").withColumnRenamed("raw_to", "opt_out"), m.agg(F.min("raw_from")).scalar())
 
 
 @query(

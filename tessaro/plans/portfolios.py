@@ -10,18 +10,18 @@ from pyspark.sql import functions as F
 
 from tessaro.functions import money
 from tessaro.operators import calendars, factors, portfolio, quality, replay
+from tessaro.operators.temporal import missing_from_grid
 from tessaro.plans import market
 from tessaro.plans.market import day, table
 from tessaro.plans.point_in_time import adjusted
 from tessaro.plans.registry import query, view
 
-# Weekly signals of a range of the calendar.
-view("signals", "SELECT max(day) AS trade_date FROM open_days WHERE day BETWEEN DATE '1997-01-01' AND DATE '1999-12-31' GROUP BY date_trunc('week', day)")
+# Weekly signals of the whole calendar.
+view("signals", "SELECT max(day) AS trade_date FROM open_days GROUP BY date_trunc('week', day)")
 
 
 def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cal = market.calendar(spark, sf_dir).filter(F.col("day").between(F.lit("1997-01-01").cast("date"), F.lit("1999-12-31").cast("date")))
-    return calendars.week_ends(cal).select(F.col("day").alias("trade_date"))
+    return calendars.week_ends(market.calendar(spark, sf_dir)).select(F.col("day").alias("trade_date"))
 
 
 view("factor_bars", "SELECT a.symbol, a.trade_date, a.adjusted_close, a.quality_severity, l.listed_days FROM adjusted a JOIN listed l USING (symbol, trade_date)")
@@ -103,14 +103,13 @@ def risk_input(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bars, and proven suspensions on the open days without one."""
     b = market.bars(spark, sf_dir)
     severity = F.when(F.col("volume") % 400 == 7, "ERROR").otherwise("INFO").alias("quality_severity")
-    grid = market.master(spark, sf_dir).select("symbol").crossJoin(F.broadcast(market.open_days(spark, sf_dir).select(F.col("day").alias("trade_date"))))
-    gaps = grid.join(b.select("symbol", "trade_date"), ["symbol", "trade_date"], "left_anti")
+    gaps = missing_from_grid(market.master(spark, sf_dir), market.open_days(spark, sf_dir), b, ["symbol"], "trade_date")
     return b.select("symbol", "trade_date", "close", severity, F.lit(None).cast("string").alias("missing_reason")).unionByName(
         gaps.select("symbol", "trade_date", F.lit(0.0).alias("close"), F.lit("INFO").alias("quality_severity"), F.lit("suspended_verified").alias("missing_reason"))
     )
 
 
-view("risk_asked", "SELECT r.symbol, r.trade_date, c.ord FROM ranked r JOIN calendar c ON c.day = r.trade_date WHERE r.rank <= 15 AND c.ord % 3 = 0")
+view("risk_asked", "SELECT r.symbol, r.trade_date, c.ord FROM ranked r JOIN calendar c ON c.day = r.trade_date")
 view(
     "risk",
     """
@@ -127,10 +126,8 @@ SELECT trade_date, symbol, n_real AS real_close_observations, n_carry AS suspens
 
 
 def risk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ranked = scored(spark, sf_dir).filter("is_valid").withColumn("rank", factors.rank_desc()).filter("rank <= 15")
-    cal = market.calendar(spark, sf_dir)
-    asked = ranked.join(F.broadcast(cal.select(F.col("day").alias("trade_date"), "ord")), "trade_date").filter("ord % 3 = 0")
-    return portfolio.risk_path(risk_input(spark, sf_dir), cal, asked.select("symbol", "trade_date"))
+    asked = scored(spark, sf_dir).filter("is_valid").select("symbol", "trade_date")
+    return portfolio.risk_path(risk_input(spark, sf_dir), market.calendar(spark, sf_dir), asked)
 
 
 @query("SELECT trade_date, symbol, real_close_observations, suspension_carry_days, risk_invalid_reason, round(volatility, 6) AS volatility FROM risk")
@@ -266,9 +263,9 @@ def limit_block(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fold_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Momentum and risk of the top names of every third signal, with the year as the fold."""
+    """Momentum and risk of all names at every signal, with the year as the fold."""
     s, r = scored(spark, sf_dir), risk(spark, sf_dir)
-    j = s.join(r.select("trade_date", "symbol", "risk_is_valid", "risk_invalid_reason", "applied_annualized_volatility"), ["trade_date", "symbol"])
+    j = s.join(r.select("trade_date", "symbol", "risk_is_valid", "risk_invalid_reason", "applied_annualized_volatility"), ["trade_date", "symbol"], "left")
     return j.select(F.year("trade_date").alias("fold_id"), F.col("trade_date").alias("signal_date"), "symbol", "processed_value", "is_valid", "invalid_reason", "risk_is_valid", "risk_invalid_reason", "applied_annualized_volatility")
 
 
@@ -284,22 +281,25 @@ def construction_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summary(portfolio.buffered_targets(fold_candidates(spark, sf_dir), "fold_id"), ["fold_id"])
 
 
-def windows(spark: SparkSession) -> DataFrame:
-    rows = [(y, s, dt.date(y, 1, 1), dt.date(y, 12, 31)) for y in (1997, 1998, 1999) for s in RATES]
-    return spark.createDataFrame(rows, "fold_id int, scenario string, first_day date, last_day date")
+def windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The years of the calendar, each under every scenario."""
+    y = market.open_days(spark, sf_dir).select(F.year("day").alias("fold_id")).distinct()
+    scenario = F.explode(F.array(*map(F.lit, RATES))).alias("scenario")
+    return y.select("fold_id", scenario, F.make_date("fold_id", F.lit(1), F.lit(1)).alias("first_day"), F.make_date("fold_id", F.lit(12), F.lit(31)).alias("last_day"))
 
 
-def trading_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+def trading_bars(spark: SparkSession, sf_dir: str, names: DataFrame) -> DataFrame:
     b = market.bars(spark, sf_dir).join(market.master(spark, sf_dir).select("symbol", "board"), "symbol")
     b = b.withColumn("quality_severity", F.lit("INFO")).withColumn("status", F.lit("NORMAL")).withColumn("listed_sessions", F.lit(None).cast("int"))
     limits = [(("sh_main", "sz_main", "chinext", "star"), ("NORMAL",), "1990-01-01", "0.90")]
-    return replay.executable_bars(b, money.rates(spark, RATES), money.limit_rules(spark, limits), money.open_session_rules(spark, OPEN_SESSIONS))
+    return replay.executable_bars(b, money.rates(spark, RATES), money.limit_rules(spark, limits), money.open_session_rules(spark, OPEN_SESSIONS), names)
 
 
 def quantity_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The equal-weight books, executed on the next open day."""
+    """The equal-weight books, executed on the next open day; a signal whose book is empty stays, with a null symbol."""
     t = portfolio.top_equal_weight(scored(spark, sf_dir), market.bars(spark, sf_dir), 85_000_000.0)
-    t = calendars.next_open_day(t.withColumnRenamed("trade_date", "signal_date"), market.calendar(spark, sf_dir), "signal_date", "trade_date")
+    t = signals(spark, sf_dir).join(t, "trade_date", "left")
+    t = calendars.next_open_day(t.withColumnRenamed("trade_date", "signal_date"), market.calendar(spark, sf_dir), "signal_date", "trade_date").filter("trade_date IS NOT NULL")
     return t.crossJoin(F.broadcast(spark.createDataFrame([(s,) for s in RATES], "scenario string"))).select(F.year("trade_date").alias("fold_id"), "scenario", "trade_date", "symbol", "target_quantity")
 
 
@@ -307,7 +307,8 @@ def replayed(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = market.actions(spark, sf_dir).filter("status = 'implemented' AND rights = 0").groupBy("symbol", "ex_date").agg(
         F.min("record_date").alias("record_date"), F.sum("cash").alias("cash"), F.sum("bonus").alias("bonus"), F.sum("capitalization").alias("capitalization"), F.lit("implemented").alias("status"), F.lit(0.0).alias("rights")
     )
-    return replay.replay(quantity_targets(spark, sf_dir), trading_bars(spark, sf_dir), events, market.calendar(spark, sf_dir), windows(spark), ["fold_id", "scenario"], Decimal("100000000.00"))
+    targets = quantity_targets(spark, sf_dir)
+    return replay.replay(targets, trading_bars(spark, sf_dir, targets), events, market.calendar(spark, sf_dir), windows(spark, sf_dir), ["fold_id", "scenario"], Decimal("100000000.00"))
 
 
 @query()
@@ -330,7 +331,7 @@ def weight_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = calendars.next_open_day(priced, market.calendar(spark, sf_dir), "signal_date", "trade_date").filter("year(trade_date) = fold_id")
     t = t.crossJoin(F.broadcast(spark.createDataFrame([(s,) for s in RATES], "scenario string"))).select("fold_id", "scenario", "trade_date", "symbol", "target_weight", "signal_price", "continuing")
     none = spark.createDataFrame([], "symbol string, ex_date date, record_date date, cash double, bonus double, capitalization double, status string, rights double")
-    return replay.replay(t, trading_bars(spark, sf_dir), none, market.calendar(spark, sf_dir), windows(spark), ["fold_id", "scenario"], Decimal("100000000.00"))
+    return replay.replay(t, trading_bars(spark, sf_dir, t), none, market.calendar(spark, sf_dir), windows(spark, sf_dir), ["fold_id", "scenario"], Decimal("100000000.00"))
 
 
 @query("SELECT count(*) FILTER (b.symbol IS NULL) AS no_bar, count(*) FILTER (b.symbol IS NOT NULL AND b.prior IS NULL) AS no_prior_close FROM (SELECT DISTINCT concat('S', o_custkey % 10) AS symbol, CAST(o_orderdate AS DATE) AS trade_date FROM orders) p LEFT JOIN (SELECT *, lag(close) OVER (PARTITION BY symbol ORDER BY trade_date) AS prior FROM bars) b USING (symbol, trade_date)")
