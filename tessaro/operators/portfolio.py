@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessaro.operators.factors import rank_desc
+from tessaro.operators.lineage import settled
 
 LOT = 100
 #: A whole portfolio is split in steps of this weight; written without an exponent, as SQL decimals are.
@@ -153,12 +154,13 @@ def buffered_targets(candidates: DataFrame, by: str, policy: BufferPolicy = Buff
         return pd.DataFrame(list(carried(group.sort_values(["signal_date", "raw_rank", "symbol"]), by, policy)), columns=names)
 
     columns = [by, "signal_date", "symbol", "is_valid", "invalid_reason", "risk_invalid_reason", "raw_rank", "eligible_rank", "applied_annualized_volatility"]
-    ranked = ranked.select(*columns)
+    ranked = settled(ranked.select(*columns))
     # whoever is a member on some date is within the ranks on some date: only these names can change the books
     near = max(policy.hold_rank, policy.entry_rank)
     ever = ranked.filter(F.col("eligible_rank") <= near).select(by, "symbol").distinct()
     dates = ranked.select(by, "signal_date").distinct().select(by, "signal_date", *[F.lit(None).cast(ranked.schema[c].dataType).alias(c) for c in columns[2:]])
     found = ranked.join(ever, [by, "symbol"], "left_semi").select(*columns).unionByName(dates.select(*columns)).groupBy(by).applyInPandas(run, schema)
+    found = settled(found)
     cash = found.filter("symbol IS NULL").select(by, "signal_date", "cash_weight")
     out = ranked.filter("is_valid").join(ever, [by, "symbol"], "left_anti").join(cash, [by, "signal_date"])
     refused = F.col("eligible_rank").isNull()

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tessaro.functions import money
 from tessaro.operators import calendars, factors, portfolio, quality, replay
+from tessaro.operators.lineage import settled
 from tessaro.operators.temporal import missing_from_grid
 from tessaro.plans import market
 from tessaro.plans.market import day, table
@@ -320,7 +321,7 @@ def account_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
 def weight_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The buffered books as weight targets: priced at signal closes, kept within the rebalance band."""
     audit = portfolio.buffered_targets(fold_candidates(spark, sf_dir), "fold_id")
-    kept = audit.select("fold_id", F.col("signal_date"), "symbol", F.when(F.col("target_weight") > 0, F.col("target_weight")).otherwise(F.lit(0).cast("decimal(18,12)")).alias("target_weight"), (F.col("previous_target_member") & (F.col("target_weight") > 0)).alias("continuing"))
+    kept = settled(audit.select("fold_id", F.col("signal_date"), "symbol", F.when(F.col("target_weight") > 0, F.col("target_weight")).otherwise(F.lit(0).cast("decimal(18,12)")).alias("target_weight"), (F.col("previous_target_member") & (F.col("target_weight") > 0)).alias("continuing")))
     from tessaro.operators.temporal import asof_join
 
     # every name that a fold may hold has a price at each of its signals
@@ -329,6 +330,7 @@ def weight_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     grid = grid.withColumn("target_weight", F.coalesce("target_weight", F.lit(0).cast("decimal(18,12)")))
     priced = asof_join(grid, market.bars(spark, sf_dir).withColumn("signal_price", F.col("close")), "signal_date", "trade_date", ["symbol"], ["signal_price"]).filter("signal_price IS NOT NULL")
     t = calendars.next_open_day(priced, market.calendar(spark, sf_dir), "signal_date", "trade_date").filter("year(trade_date) = fold_id")
+    t = settled(t)
     t = t.crossJoin(F.broadcast(spark.createDataFrame([(s,) for s in RATES], "scenario string"))).select("fold_id", "scenario", "trade_date", "symbol", "target_weight", "signal_price", "continuing")
     none = spark.createDataFrame([], "symbol string, ex_date date, record_date date, cash double, bonus double, capitalization double, status string, rights double")
     return replay.replay(t, trading_bars(spark, sf_dir, t), none, market.calendar(spark, sf_dir), windows(spark, sf_dir), ["fold_id", "scenario"], Decimal("100000000.00"))

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessaro.operators.lineage import shared_root
 from tessaro.plans import market
 from tessaro.plans.market import table
 from tessaro.plans.registry import query
@@ -17,9 +17,8 @@ from tessaro.streaming import bars as streaming
 
 
 def work_folder(spark: SparkSession, what: str) -> str:
-    """A new place in the folder that driver and executors share; a local one where none is set, as in tests."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='spark-work-')}"
-    return f"{shared.rstrip('/')}/{what}-{uuid.uuid4().hex}"
+    """A new place in the folder that driver and executors share."""
+    return f"{shared_root(spark)}/{what}-{uuid.uuid4().hex}"
 
 
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
