@@ -21,10 +21,13 @@ BATCH_BYTES = 16 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, one of this machine in local mode (as
+    in tests); on a cluster that is an error, as executors wouldn't see it."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        have = spark.sparkContext._jsc.sc().getCheckpointDir()
+        have, master = spark.sparkContext._jsc.sc().getCheckpointDir(), spark.sparkContext.master
+        if not have.isDefined() and master != "local" and not master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = have.get() if have.isDefined() else tempfile.mkdtemp(prefix="spark-shared-")
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(folder)
