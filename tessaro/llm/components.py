@@ -47,7 +47,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b", rounds: int = 50) -
         small = large.join(lower, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
         pairs = cut(small.select("e.u", "e.v").filter("u > v").distinct())
         # stars only: no smaller end is a greater end too, and each greater end has one
-        now = pairs.agg(F.count("*").alias("n"), F.sum("v").alias("s"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
+        now = pairs.agg(F.count("*").alias("n"), F.sum(F.col("v").cast("decimal(38,0)")).alias("s"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if last is not None and tuple(now) == tuple(last):
             return pairs.select(F.col("u").alias("node"), F.col("v").alias("component")).unionAll(pairs.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
         last = now

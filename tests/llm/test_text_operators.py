@@ -236,6 +236,10 @@ def test_components_of_a_long_path_and_a_hub(spark):
     hub = [(5, k) for k in range(1000, 1400)]
     got = {r.node: r.component for r in components(spark.createDataFrame(path + hub + [(7, 7)], "a long, b long")).collect()}
     assert got == {k: 100 for k in range(100, 161)} | {5: 5} | {k: 5 for k in range(1000, 1400)}
+    # names are any longs, such as fingerprints
+    big = 2**63 - 100
+    got = components(spark.createDataFrame([(big + 2 * k, big + 2 * k + 1) for k in range(40)], "a long, b long")).collect()
+    assert {r.node: r.component for r in got} == {big + k: big + k - k % 2 for k in range(80)}
 
 
 def plain_repeats(rows, width):
