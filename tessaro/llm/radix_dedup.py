@@ -103,7 +103,9 @@ PLACE_BITS = np.uint64(32)
 SETTLED = -1
 #: Bytes of a text that are split into words at once, and words that a worker remembers.
 SPLIT = 1 << 20
-REMEMBERED = 1 << 20
+REMEMBERED = 1 << 17
+#: Contexts whose windows are hashed at once.
+HASHED = 512
 
 
 class WordValues(dict):
@@ -311,15 +313,19 @@ def repeated_runs(batches: Iterator[pa.RecordBatch], kinds: tuple[Kind, ...], ke
         kind = kinds[k]
         key = rows["key"].to_numpy().view(np.uint64)
         context = rows["context"].to_pylist()
-        size = np.array([len(c) for c in context]) // kind.size
-        edge = np.cumsum(size) - size
-        n = size - kind.width + 1
-        joined = b"".join(context)
-        h = window_hashes(np.frombuffer(joined, "<u8").astype(np.uint64) if kind.words else VALUES[np.frombuffer(joined, np.uint8)], kind.width)
+        n = np.array([len(c) for c in context]) // kind.size - kind.width + 1
+        parts = []
+        for i in range(0, len(n), HASHED):
+            some = n[i : i + HASHED]
+            joined = b"".join(context[i : i + HASHED])
+            found = window_hashes(np.frombuffer(joined, "<u8").astype(np.uint64) if kind.words else VALUES[np.frombuffer(joined, np.uint8)], kind.width)
+            # a row's windows, without those that run into the next row
+            parts.append(found[np.arange(some.sum()) + np.repeat(np.arange(len(some)) * (kind.width - 1), some)])
+        h = np.concatenate(parts)
         owner = np.repeat(np.arange(len(n)), n)
         within = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
         # the key tells groups apart: windows are only compared under one digit
-        h = scrambled(h[edge[owner] + within] ^ key[owner])
+        h = scrambled(h ^ key[owner])
         order = np.argsort(h)
         same = (s := h[order])[1:] == s[:-1]
         found = np.zeros(len(h), bool)
