@@ -11,6 +11,7 @@ from tessaro.operators import merging, quality
 from tessaro.plans import market
 from tessaro.plans.market import day, table
 from tessaro.plans.registry import query, view
+from tessaro.sources import layouts
 from tessaro.sources.raw_store import request_key_column, response_issues
 
 START, END = "1996-01-01", "1996-12-31"
@@ -480,3 +481,59 @@ def coverage_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("C"), "o_custkey").alias("symbol"), (key % 97 == 0).alias("failed"), (status != "O").cast("int").alias("n_rows"), (status == "F").cast("int").alias("n_accepted"), held.alias("quarantine_reason")
     )
     return act.coverage_verdict(endpoints)
+
+
+@query(
+    """
+SELECT layout, symbol, ex_date, round(cash, 6) AS cash, round(bonus, 6) AS bonus, round(capitalization, 6) AS capitalization, CASE WHEN unsupported THEN 'unsupported_corporate_action' WHEN status <> 'implemented' THEN 'not_implemented'
+    WHEN announcement_date IS NULL OR record_date IS NULL OR ex_date IS NULL OR NOT (coalesce(cash, 0) <> 0 OR coalesce(bonus, 0) <> 0 OR coalesce(capitalization, 0) <> 0) THEN 'incomplete' END AS reason, count(*) AS n
+FROM (SELECT symbol, announcement_date, record_date, ex_date, event_key,
+    CASE event_key % 3 WHEN 0 THEN 'implemented' WHEN 1 THEN 'amounts' ELSE 'plans' END AS layout,
+    CASE WHEN event_key % 3 = 0 THEN 'implemented' ELSE status END AS status,
+    CASE WHEN event_key % 3 = 0 THEN plan_of LIKE '%配股%' ELSE unsupported END AS unsupported,
+    CASE WHEN event_key % 3 = 2 THEN try_cast(nullif(plan_cash, '') AS DOUBLE) / 10 ELSE cash END AS cash, CASE WHEN event_key % 3 <> 2 THEN bonus END AS bonus, CASE WHEN event_key % 3 <> 2 THEN capitalization END AS capitalization
+  FROM (SELECT p.*, CASE WHEN event_key % 23 = 0 THEN '10配股3' ELSE '' END AS plan_of FROM parsed_events p)) GROUP BY ALL"""
+)
+def dividend_layouts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same events in the three native layouts of dividend responses, brought to one and parsed."""
+    e = supplier_events(spark, sf_dir)
+    code, key = F.col("code"), F.col("event_key")
+    own = lambda names, drop=(): [F.col(k).alias(v) for k, v in names.items() if k not in drop]
+    done = layouts.dividends(e.filter(key % 3 == 0).select(*own(layouts.IMPLEMENTED), code), code)
+    amounts = layouts.dividends(e.filter(key % 3 == 1).select(*[F.col(k).alias(v[1] if len(v) > 1 else v[0]) for k, v in layouts.DIVIDENDS.items()]))
+    plans = layouts.dividends(e.filter(key % 3 == 2).select(*own(layouts.PLANNED), code), F.concat(code, F.lit(".SH")))
+    found = [act.parse_events(x, name).withColumn("layout", F.lit(name)) for name, x in (("implemented", done), ("amounts", amounts), ("plans", plans))]
+    figures = [F.round(F.col(c).cast("double"), 6).alias(c) for c in ("cash", "bonus", "capitalization")]
+    return found[0].unionByName(found[1]).unionByName(found[2]).select("layout", "symbol", "ex_date", *figures, "reason").groupBy("layout", "symbol", "ex_date", "cash", "bonus", "capitalization", "reason").agg(F.count("*").alias("n"))
+
+
+@query(
+    """
+SELECT trade_date, symbol, open, close, CASE WHEN symbol = 'CN' THEN volume * 100 ELSE volume END::DOUBLE AS volume, CASE WHEN symbol = 'CN' THEN amount ELSE 0 END AS amount FROM (
+  SELECT trade_date, CASE WHEN length(symbol) % 2 = 0 THEN 'CN' ELSE 'EN' END AS symbol, min(open) AS open, max(close) AS close, sum(volume) AS volume, max(amount) AS amount FROM bars GROUP BY 1, 2)"""
+)
+def index_layouts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two index histories, one with Chinese columns and volume in lots, one with English columns and no amount."""
+    kind = F.when(F.length("symbol") % 2 == 0, "CN").otherwise("EN")
+    b = market.bars(spark, sf_dir).groupBy("trade_date", kind.alias("symbol")).agg(F.min("open").alias("open"), F.max("high").alias("high"), F.min("low").alias("low"), F.max("close").alias("close"), F.sum("volume").alias("volume"), F.max("amount").alias("amount"))
+    (cn, _), (en, _) = layouts.INDEX
+    named = lambda names, drop=(): [F.col("trade_date" if k == "day" else k).cast("string").alias(v) for k, v in names.items() if k not in drop]
+    one = layouts.index_history(b.filter("symbol = 'CN'").select(*named(cn)), "CN")
+    two = layouts.index_history(b.filter("symbol = 'EN'").select(*named(en, ("amount",))), "EN")
+    return one.unionByName(two).select("trade_date", "symbol", "open", "close", "volume", "amount")
+
+
+@query(
+    """
+SELECT 'rejected:' || reason AS what, count(*) AS n, CAST(NULL AS BIGINT) AS volume FROM clean_lines WHERE reason IS NOT NULL GROUP BY 1
+UNION ALL SELECT 'valid', count(*), sum(volume)::BIGINT FROM (SELECT DISTINCT symbol, trade_date, price, volume FROM clean_lines WHERE reason IS NULL)
+UNION ALL SELECT 'collapsed', count(*) - (SELECT count(*) FROM (SELECT DISTINCT symbol, trade_date, price, volume FROM clean_lines WHERE reason IS NULL)), NULL FROM clean_lines WHERE reason IS NULL"""
+)
+def normalize_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All lines as a supplier's native daily frame: valid rows, rejects by reason, collapsed copies."""
+    raw = raw_lines(spark, sf_dir).select(F.col("code").alias("ts_code"), F.col("date_text").alias("trade_date"), F.col("lots_text").alias("vol"), *[F.col("price_text").alias(c) for c in layouts.DAILY_NUMBERS])
+    c = layouts.daily_bars(raw, "tushare", "2024-01-01")
+    none = F.lit(None).cast("long").alias("volume")
+    rejected = c.rejected.groupBy(F.concat(F.lit("rejected:"), "reason").alias("what")).agg(F.count("*").alias("n")).select("what", "n", none)
+    valid = c.valid.agg(F.lit("valid").alias("what"), F.count("*").alias("n"), F.sum("volume").alias("volume"))
+    return rejected.unionByName(valid).unionByName(c.audit.agg(F.lit("collapsed").alias("what"), F.count("*").alias("n")).select("what", "n", none))

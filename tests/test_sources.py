@@ -147,3 +147,19 @@ def test_repairs_of_unknown_symbols_and_stale_drops(spark):
     assert apply(*twice)[0] == ("A", "2020-01-01", "2022-01-01")
     with pytest.raises(ValueError, match="Z"):
         apply((1, "set_field", "U", "Z", "raw_to", "", "2021-01-01", None))
+
+
+def test_native_layouts(spark):
+    from tessaro.sources import layouts
+
+    with pytest.raises(ValueError, match="missing columns"):
+        layouts.dividends(spark.createDataFrame([("a",)], "`分红方案说明` string"), "600000.SH")
+    with pytest.raises(ValueError, match="missing columns"):
+        layouts.index_history(spark.createDataFrame([("a",)], "date string"), "X")
+    with pytest.raises(ValueError, match="volume"):
+        layouts.daily_bars(spark.createDataFrame([("a",)], "code string"), "baostock", "2024-01-01")
+    rows = [("sz.000001", "2024-01-02", "1", "2", "1", "2", "100", "5"), ("sz.000001", "2024-01-02", "1", "2", "1", "2", "100", "5"), ("sz.000001", "2024-01-03", "1", "2", "1", "2", "0.5", "5"), ("x", "2024-01-03", "1", "2", "1", "2", "1", "5")]
+    c = layouts.daily_bars(spark.createDataFrame(rows, "code string, date string, open string, high string, low string, close string, volume string, amount string"), "baostock", "2024-01-01")
+    assert [(r.symbol, r.volume, r.amount, r.source) for r in c.valid.collect()] == [("000001.SZ", 100, 5.0, "baostock")]
+    assert sorted(r.reason for r in c.rejected.collect()) == ["invalid_symbol", "invalid_volume"] and c.rejected.columns == ["code", "date", "open", "high", "low", "close", "volume", "amount", "reason"]
+    assert [(r.rule, r.action) for r in c.audit.collect()] == [("duplicate_row_collapse", "collapsed")]
