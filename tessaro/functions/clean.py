@@ -126,3 +126,8 @@ def no_nan(value: Column | str) -> Column:
     """NaN sorts above all numbers in Spark and equals itself; as null it compares like a missing value."""
     x = _c(value)
     return F.when(~F.isnan(x), x)
+
+
+def in_range(column: str, start: str, end: str) -> Column:
+    """Whether a supplier's date text lies in [start, end]: compared as texts of one layout, as suppliers may ignore range parameters."""
+    return F.col(column).cast("string").between(start, end)

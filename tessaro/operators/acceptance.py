@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessaro.operators.calendars import uncovered_days
@@ -43,8 +43,8 @@ def benchmark_coverage(bars: DataFrame, benchmarks: DataFrame, days: DataFrame)
     b = bars.select("symbol", "trade_date").join(F.broadcast(benchmarks), "symbol", "left_semi")
     g = b.groupBy("symbol").agg(F.count("*").alias("n_rows"), F.min("trade_date").alias("first_day"), F.max("trade_date").alias("last_day"))
     seen = b.distinct().join(F.broadcast(days.select(F.col("day").alias("trade_date")).distinct()), "trade_date").groupBy("symbol").agg(F.count("*").alias("_seen"))
-    n = F.broadcast(days.agg(F.count_distinct("day").alias("open_days")))
-    out = benchmarks.select("symbol").distinct().join(g, "symbol", "left").join(seen, "symbol", "left").crossJoin(n)
+    n = days.agg(F.count_distinct("day")).scalar()
+    out = benchmarks.select("symbol").distinct().join(g, "symbol", "left").join(seen, "symbol", "left").withColumn("open_days", n)
     return out.select("symbol", F.coalesce("n_rows", F.lit(0)).cast("long").alias("n_rows"), "first_day", "last_day", "open_days", (F.col("open_days") - F.coalesce("_seen", F.lit(0))).alias("missing_open_days"))
 
 
@@ -73,10 +73,9 @@ def unexplained_gaps(bars: DataFrame, listing: DataFrame, days: DataFrame) -> Da
     Counted from what is there: open days listed less open days with a bar, no grid of names and days.
     """
     d = days.select("day").distinct()
-    n = d.withColumn("k", F.row_number().over(Window.orderBy("day")).cast("long"))
-    ends = F.broadcast(n.agg(F.sort_array(F.collect_list("day")).alias("_days")))
+    all_days = d.agg(F.sort_array(F.collect_list("day"))).scalar()
     inside = F.size(F.filter("_days", lambda x: (F.col("list_date").isNull() | (x >= F.col("list_date"))) & (F.col("delist_date").isNull() | (x <= F.col("delist_date")))))
-    due = listing.select("symbol", "list_date", "delist_date").crossJoin(ends).select("symbol", "list_date", "delist_date", inside.cast("long").alias("_due"))
+    due = listing.select("symbol", "list_date", "delist_date").withColumn("_days", all_days).select("symbol", "list_date", "delist_date", inside.cast("long").alias("_due"))
     have = bars.select("symbol", F.col("trade_date").alias("day")).distinct().join(F.broadcast(d), "day").join(listing.select("symbol", "list_date", "delist_date"), "symbol")
     have = have.filter((F.col("list_date").isNull() | (F.col("day") >= F.col("list_date"))) & (F.col("delist_date").isNull() | (F.col("day") <= F.col("delist_date")))).groupBy("symbol").agg(F.count("*").alias("_have"))
     return due.join(have, "symbol", "left").select("symbol", (F.col("_due") - F.coalesce("_have", F.lit(0))).alias("n_missing")).filter("n_missing > 0")

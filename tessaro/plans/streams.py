@@ -103,13 +103,12 @@ def raw_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def made_up(endpoint: str, symbol: str, start, end):
-    """A connector for tests: a bar on the first of each month, from the symbol and the date alone."""
-    for year in range(start.year, end.year + 1):
+    """A connector for tests: a bar on the first of each month, from the symbol and the date alone. It overshoots the window by a
+    year on both sides, as suppliers do; the source drops what wasn't asked for."""
+    for year in range(start.year - 1, end.year + 2):
         for month in range(1, 13):
-            day = start.replace(year=year, month=month, day=1)
-            if start <= day <= end:
-                price = float(len(symbol) * 100 + month)
-                yield symbol, day, price, price + 1, price - 1, price, 1000.0 * year, price * 1000
+            price = float(len(symbol) * 100 + month)
+            yield symbol, start.replace(year=year, month=month, day=1), price, price + 1, price - 1, price, 1000.0 * year, price * 1000
 
 
 @query("SELECT s AS symbol, CAST(make_date(CAST(y AS INT), CAST(m AS INT), 1) AS DATE) AS trade_date, (length(s) * 100 + m)::DOUBLE AS close, 1000.0 * y::DOUBLE AS volume FROM (SELECT unnest(['S1', 'S22', 'S333']) AS s), (SELECT unnest(range(1995, 2008)) AS y), (SELECT unnest(range(1, 13)) AS m)")

@@ -1,4 +1,5 @@
 """A batch source over supplier endpoints: each task fetches one symbol's window of years, with retries for passing faults.
+Rows whose trade_date lies outside the window are dropped, as suppliers don't all heed the range asked for.
 
 The connector is a plain function of (endpoint, symbol, start, end) named by ``connector`` as ``module:function``; it yields
 rows in the schema's order. Windows are half-decades, so that no response meets a supplier's row limit.
@@ -61,14 +62,74 @@ def first_available(*connectors):
     return fetch
 
 
+# The headers of a supplier's budget, the remainder from which requests are spaced, and the seconds between them.
+REMAINING, RETRY_AFTER, ANY_LIMIT = "x-ratelimit-ip-remaining", "retry-after", "x-ratelimit"
+LOW_REMAINDER, SPACING = 10, 1.0
+
+
+class Throttle:
+    """Spaces a task's requests by what responses say of their budget: no wait until a header is seen, then a set wait after
+    retry-after, a second between requests where little is left or a response says nothing, none where enough is left."""
+
+    def __init__(self, clock=time.monotonic, sleep=time.sleep) -> None:
+        self.clock, self.sleep = clock, sleep
+        self.limited, self.next_at = False, 0.0
+
+    def wait(self) -> None:
+        """Before a request."""
+        if self.limited and (left := self.next_at - self.clock()) > 0:
+            self.sleep(left)
+
+    def observe(self, headers: dict[str, str]) -> None:
+        """After a response; names of headers in any case, values that are no numbers count as none left."""
+        told = {k.lower(): v for k, v in headers.items()}
+        if not self.limited and not any(k == RETRY_AFTER or k.startswith(ANY_LIMIT) for k in told):
+            return
+        self.limited = True
+        pause = number(told.get(RETRY_AFTER))
+        if pause is None:
+            left = number(told[REMAINING]) or 0 if REMAINING in told else 0
+            pause = SPACING if left < LOW_REMAINDER else 0.0
+        self.next_at = self.clock() + max(pause, 0.0)
+
+
+def throttled(request, throttle: Throttle | None = None):
+    """A connector of request(endpoint, symbol, start, end) -> (rows, headers), spaced by its own headers. Each task has its own; all
+    tasks of an address share its budget, so that the remainder in the headers, not a count of requests, tells how much is left."""
+    held = throttle or Throttle()
+
+    def fetch(endpoint: str, symbol: str, start: dt.date, end: dt.date) -> list[tuple]:
+        held.wait()
+        rows, headers = request(endpoint, symbol, start, end)
+        held.observe(headers)
+        return list(rows)
+
+    return fetch
+
+
+def number(text: str | None) -> float | None:
+    try:
+        return None if text is None else float(text)
+    except ValueError:
+        return None
+
+
+def within(rows: Iterator[tuple], at: int | None, start: dt.date, end: dt.date) -> Iterator[tuple]:
+    """The rows whose date lies in [start, end]: suppliers don't all heed their range parameters. Without a date column all pass;
+    rows without a date don't. Dates may be texts, with or without dashes."""
+    for row in rows:
+        if at is None or (row[at] is not None and start.strftime("%Y%m%d") <= str(row[at])[:10].replace("-", "") <= end.strftime("%Y%m%d")):
+            yield row
+
+
 class Window(InputPartition):
     def __init__(self, symbol: str, start: dt.date, end: dt.date) -> None:
         super().__init__((symbol, start, end))
 
 
 class SupplierReader(DataSourceReader):
-    def __init__(self, options: dict) -> None:
-        self.options = options
+    def __init__(self, options: dict, day: int | None = None) -> None:
+        self.options, self.day = options, day
 
     def partitions(self) -> list[InputPartition]:
         o = self.options
@@ -80,7 +141,8 @@ class SupplierReader(DataSourceReader):
         module, _, name = o["connector"].partition(":")
         connector = getattr(importlib.import_module(module), name)
         symbol, start, end = partition.value
-        yield from with_retry(lambda: list(connector(o.get("endpoint", "daily"), symbol, start, end)), int(o.get("attempts", 3)), float(o.get("wait", 1.0)))
+        rows = with_retry(lambda: list(connector(o.get("endpoint", "daily"), symbol, start, end)), int(o.get("attempts", 3)), float(o.get("wait", 1.0)))
+        yield from within(rows, self.day, start, end)
 
 
 class SupplierSource(DataSource):
@@ -92,7 +154,8 @@ class SupplierSource(DataSource):
         return self.options.get("columns", "symbol string, trade_date date, open double, high double, low double, close double, volume double, amount double")
 
     def reader(self, schema) -> DataSourceReader:
-        return SupplierReader(dict(self.options))
+        names = [f.name for f in schema]
+        return SupplierReader(dict(self.options), names.index("trade_date") if "trade_date" in names else None)
 
 
 def register(spark: SparkSession) -> None:

@@ -4,8 +4,9 @@ import datetime as dt
 
 import pytest
 
+from tessaro.operators import gates, membership, quality
 from tessaro.schemas import TABLES, conform, schema
-from tessaro.sources import catalog, membership_file, raw_store, report, supplier
+from tessaro.sources import catalog, identity, membership_file, raw_store, report, supplier
 
 DAY = dt.date(2020, 1, 2)
 BAR = (DAY, "600000.SH", 1.0, 1.0, 1.0, 1.0, 100, 100.0, "unadjusted", "tushare", dt.datetime(2020, 1, 3))
@@ -163,3 +164,74 @@ def test_native_layouts(spark):
     assert [(r.symbol, r.volume, r.amount, r.source) for r in c.valid.collect()] == [("000001.SZ", 100, 5.0, "baostock")]
     assert sorted(r.reason for r in c.rejected.collect()) == ["invalid_symbol", "invalid_volume"] and c.rejected.columns == ["code", "date", "open", "high", "low", "close", "volume", "amount", "reason"]
     assert [(r.rule, r.action) for r in c.audit.collect()] == [("duplicate_row_collapse", "collapsed")]
+
+
+def test_throttle_waits_by_headers_alone():
+    now, slept = [100.0], []
+
+    def sleep(seconds):
+        slept.append(seconds)
+        now[0] += seconds
+
+    answers = iter([{}, {"X-RateLimit-IP-Remaining": "50"}, {"x-ratelimit-ip-remaining": "9"}, {"Retry-After": "7"}, {}, {"x-ratelimit-ip-remaining": "many"}, {}])
+    fetch = supplier.throttled(lambda *request: ([request], next(answers)), supplier.Throttle(lambda: now[0], sleep))
+    for _ in range(7):
+        fetch("daily", "S1", dt.date(2020, 1, 1), dt.date(2020, 2, 1))
+    # nothing said, enough left, little left, told to wait, said nothing, said no number
+    assert slept == [1.0, 7.0, 1.0, 1.0]
+
+
+def test_rows_outside_the_range_are_dropped():
+    rows = [("S1", "20191231"), ("S1", "2020-01-01"), ("S1", dt.date(2020, 2, 1)), ("S1", "20200202"), ("S1", None)]
+    window = dt.date(2020, 1, 1), dt.date(2020, 2, 1)
+    assert list(supplier.within(rows, 1, *window)) == rows[1:3]
+    assert list(supplier.within(rows, None, *window)) == rows
+
+
+def test_experiment_identity(spark, tmp_path):
+    days = spark.sql("SELECT DATE '2020-01-02' AS calendar_date, true AS is_trading_day")
+    master = spark.createDataFrame([], schema("security_master"))
+    version = catalog.Dataset(spark, str(tmp_path), catalog.bootstrap(spark, str(tmp_path), days, master))
+    bundle = identity.snapshots(version, {"name": "m60"}, {"band": "0.02"})
+    assert all(bundle["data_environment"].values()) and all(bundle["experiment"]["tables"].values())
+    spec = {"dataset_version": version.version, "universe_version": "u", "data_acceptance_id": "a", "top": 10}
+    one = identity.experiment_id(spec, bundle)
+    assert one == identity.experiment_id(dict(reversed(spec.items())), dict(reversed(bundle.items())))
+    assert one != identity.experiment_id(spec | {"top": 11}, bundle)
+    assert one != identity.experiment_id(spec, identity.snapshots(version, {"name": "m60"}, {"band": "0.03"}))
+    for floating in ({"dataset_version": "CURRENT"}, {"data_acceptance_id": "CURRENT_ACCEPTED"}, {"universe_version": None}):
+        with pytest.raises(identity.NotFrozen):
+            identity.experiment_id(spec | floating, bundle)
+
+
+def test_registry_index_is_sorted(spark, tmp_path):
+    for name, created in (("b", "2020-01-02"), ("a", "2020-01-02"), ("c", "2020-01-01")):
+        raw_store.write_once(spark, f"{tmp_path}/runs/{name}/manifest.json", {"run_id": name, "created_at": created})
+    (tmp_path / "runs" / "a" / "other.json").write_text('{"run_id": "x"}')
+    assert [r.run_id for r in raw_store.registry_index(spark, f"{tmp_path}/runs", ["created_at", "run_id"]).collect()] == ["c", "a", "b"]
+
+
+def test_schema_faults_name_order_and_types(spark):
+    wanted = schema("trading_calendar")
+    good = spark.createDataFrame([], wanted)
+    assert quality.schema_faults(good, wanted) == []
+    assert quality.schema_faults(good.select(*reversed(good.columns)), wanted)
+    assert quality.schema_faults(good.select(*[good[c].cast("string") for c in good.columns]), wanted)
+
+
+def test_delisting_needs_a_last_day(spark):
+    facts = spark.createDataFrame([("A", "delisting"), ("B", "delisting"), ("C", "regular_rebalance"), ("D", "delisting")], "symbol string, reason string")
+    listing = spark.createDataFrame([("A", dt.date(2020, 1, 1)), ("B", None), ("C", None)], "symbol string, delist_date date")
+    assert sorted(r.symbol for r in membership.delisted_without_end(facts, listing).collect()) == ["B", "D"]
+
+
+def test_gates_take_nulls_and_empty_tables(spark):
+    fetches = spark.createDataFrame([("a", True, None, True), ("b", None, True, None), ("c", False, False, False), ("d", True, True, None)], "source string, required boolean, enabled boolean, ok boolean")
+    assert {(r.code, r.subject) for r in gates.source_issues(fetches).collect()} == {("required_source_disabled", "a"), ("optional_source_failure", "b"), ("source_fetch_failed", "d")}
+    none = spark.createDataFrame([], "trade_date date, symbol string, rank double, signal_price double, target_weight double, target_quantity long, selection_reason string")
+    assert quality.portfolio_frame_faults(none).isEmpty()
+    nulls = spark.createDataFrame([(dt.date(2020, 1, 1), None, None, None, None, None, None)], none.schema)
+    assert {r.fault for r in quality.portfolio_frame_faults(nulls).collect()} == {"rank_not_positive_integer", "quantity_not_positive_integer", "price_not_positive", "weight_outside_unit", "reason_blank"}
+    days = spark.createDataFrame([(dt.date(2020, 1, 2),)], "day date")
+    listed = spark.createDataFrame([(dt.date(2020, 1, 2), True), (dt.date(2020, 1, 2), False), (dt.date(2020, 1, 3), False)], "day date, is_open boolean")
+    assert [r.difference for r in gates.calendar_excerpt_differences(days, listed).collect()] == ["official_closed_dataset_open"]
