@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the folder; one that its files don't split into a task for each core is dealt out first."""
     rows, cores = spark.read.parquet(f"{sf_dir}/{name}.parquet"), spark.sparkContext.defaultParallelism
-    return rows if name != "documents" or rows.rdd.getNumPartitions() >= cores else rows.repartition(cores)
+    return rows if name not in ("documents", "pages") or rows.rdd.getNumPartitions() >= cores else rows.repartition(cores)
 
 
 def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,6 +84,12 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(cut(token_pieces(table(spark, sf_dir, "documents"), word_bpe(), end_id=0)))
 
 
+def op11_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessaro.llm.html_text import extract
+
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessaro.llm.spelling_variants import spelling_variants
 
