@@ -39,7 +39,7 @@ SHARE = 50
 SCALE = 1_000_000
 TOP = 2000
 #: Bytes of the texts whose phrases a task sums before it sends them; a longer text is a lot of its own.
-LOT = 8 << 20
+LOT = 4 << 20
 #: Rows of a part, on average and at most (there is one for each lot in which a phrase stands).
 PART_ROWS = 1 << 19
 #: Bits of the broadcast set of what is frequent (8 MB): more of it keeps more that isn't, and loses nothing.
@@ -57,8 +57,8 @@ class Lot:
         spaced = [t.translate(PLAIN).replace(b"\n", b" \n ") + b" \n" for t in texts]
         lists = pc.split_pattern(pa.array(spaced, pa.large_binary()), " ")
         coded = lists.values.dictionary_encode()
-        names, lang_of = np.unique(np.array(langs, object).astype(str), return_inverse=True)
-        word, lang = coded.indices.to_numpy(), np.repeat(lang_of, np.diff(lists.offsets.to_numpy()))
+        names = {g: i for i, g in enumerate(dict.fromkeys(langs))}
+        word, lang = coded.indices.to_numpy(), np.repeat([names[g] for g in langs], np.diff(lists.offsets.to_numpy()))
         tokens = coded.dictionary.to_pylist()
         size = len(tokens)
         kinds = np.array([0 if w == b"" else 1 if w == b"\n" else 2 for w in tokens], np.int8)
@@ -72,10 +72,10 @@ class Lot:
         number = np.full(max(len(counts), len(names) * size), -1, np.int64)
         number[self.seen] = np.arange(len(self.seen))
         self.at = np.where(is_word, number[code], -1)
-        self.lang = [str(names[i]) for i in (self.seen // size).tolist()]
-        self.word = [tokens[i] for i in (self.seen % size).tolist()]
         # a word has no space, so that this names a language's word
-        self.h = np.array([xxhash.xxh64_intdigest(w + b" " + g.encode("utf-8", "surrogatepass"), seed) for w, g in zip(self.word, self.lang, strict=True)], np.uint64)
+        ends = [b" " + g.encode("utf-8", "surrogatepass") for g in names]
+        self.names = [tokens[w] + ends[g] for w, g in zip((self.seen % size).tolist(), (self.seen // size).tolist(), strict=True)]
+        self.h = np.fromiter((xxhash.xxh64_intdigest(x, seed) for x in self.names), np.uint64, len(self.names))
 
 
 def lots(batches: Iterator[pa.RecordBatch], seed: int) -> Iterator[Lot]:
@@ -115,16 +115,6 @@ def bit_set(spark: SparkSession, hashes: DataFrame, column: str) -> Broadcast:
     return spark.sparkContext.broadcast(bits.view(np.uint8))
 
 
-def count_words(docs: DataFrame, seed: int) -> DataFrame:
-    """lang, word, h, n over all words."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for lot in lots(batches, seed):
-            yield batch(lang=pa.array(lot.lang, pa.string()), word=pa.array(lot.word, pa.binary()).cast(pa.string()), h=pa.array(lot.h.view(np.int64)), n=pa.array(lot.n, pa.int64()))
-
-    return docs.mapInArrow(run, "lang string, word string, h long, n long").groupBy("lang", "word", "h").agg(F.sum("n").alias("n"))
-
-
 def pairs_of(lot: Lot, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Places where two words stand together that may both be frequent, the pair of each, and the distinct pairs: first, second, count."""
     keep = np.concatenate([has(frequent, lot.h), [False]])[lot.at]  # -1 is the last
@@ -145,15 +135,20 @@ def triples_of(lot: Lot, frequent: np.ndarray, frequent_pairs: np.ndarray) -> tu
     return first[pair], second[pair], triples % size, count
 
 
-def packed(keys: list[np.ndarray], count: np.ndarray, parts: int) -> pa.RecordBatch:
-    """A row for each part: the part's keys, one after the other by word, and counts."""
+def packed(keys: list[np.ndarray], count: np.ndarray, parts: int, names: list[bytes] | None = None) -> pa.RecordBatch:
+    """A row for each part: the part's keys, one after the other by word, counts, and the names' lengths and bytes if given."""
     part = (key_hash(keys, 7) % np.uint64(parts)).astype(np.int64)
     order = np.argsort(part, kind="stable")
     found, start = np.unique(part[order], return_index=True)
     ends = [*start[1:].tolist(), len(order)]
     keys, count = [k[order] for k in keys], count[order].astype(np.uint32)
     cuts = list(zip(start.tolist(), ends, strict=True))
-    return batch(part=pa.array(found, pa.int32()), keys=pa.array([b"".join(k[i:j].tobytes() for k in keys) for i, j in cuts], pa.binary()), counts=pa.array([count[i:j].tobytes() for i, j in cuts], pa.binary()))
+    named = {}
+    if names is not None:
+        names = [names[i] for i in order.tolist()]
+        lengths = np.fromiter(map(len, names), np.uint32, len(names))
+        named = {"lengths": pa.array([lengths[i:j].tobytes() for i, j in cuts], pa.binary()), "names": pa.array([b"".join(names[i:j]) for i, j in cuts], pa.binary())}
+    return batch(part=pa.array(found, pa.int32()), keys=pa.array([b"".join(k[i:j].tobytes() for k in keys) for i, j in cuts], pa.binary()), counts=pa.array([count[i:j].tobytes() for i, j in cuts], pa.binary()), **named)
 
 
 def unpacked(group: pa.Table, width: int) -> tuple[list[np.ndarray], np.ndarray]:
@@ -162,6 +157,13 @@ def unpacked(group: pa.Table, width: int) -> tuple[list[np.ndarray], np.ndarray]
     return [np.concatenate([r[i] for r in rows]) for i in range(width)], counts
 
 
+def names_of(group: pa.Table) -> pa.Array:
+    """The names of the group's rows, in the order of unpacked."""
+    lengths = np.concatenate([np.frombuffer(x, np.uint32) for x in group["lengths"].to_pylist()])
+    offsets = np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])
+    return pa.Array.from_buffers(pa.large_binary(), len(lengths), [None, pa.py_buffer(offsets), pa.py_buffer(b"".join(group["names"].to_pylist()))])
+
+
 def tree_sum(arrays: Iterator[np.ndarray]) -> np.ndarray:
     """Sums of 1, 2, 4, ... arrays wait, so that as many are held as the logarithm of their number."""
     waiting: list[tuple[int, np.ndarray]] = []
@@ -235,6 +237,47 @@ class Part:
         return cls(MinimalHash(np.split(flat, np.cumsum(sizes)[:-1]) if len(sizes) else [], f["rest"]), int(f["seed"]), list(f["keys"]), f["counts"])
 
 
+def count_words(docs: DataFrame, seed: int, parts: int, path: str, least: int) -> DataFrame:
+    """lang, word, h, n of the words that reach the least count, and for each part and language a row without a word with the sum
+    of all n. A row without a language tells that two words have one hash. Each part's file is written beside."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for lot in lots(batches, seed):
+            h, n, names = lot.h, lot.n, lot.names
+            while len(h):  # a count of more than 32 bits goes as several rows
+                yield packed([h], np.minimum(n, 2**32 - 1), parts, names)
+                more = np.flatnonzero(n >= 2**32)
+                h, n, names = h[more], n[more] - (2**32 - 1), [names[i] for i in more.tolist()]
+
+    def count(group: pa.Table) -> pa.Table:
+        keys, counts = unpacked(group, 1)
+        names = names_of(group)
+        _, lead, of = np.unique(keys[0], return_index=True, return_inverse=True)
+        distinct = names.take(pa.array(lead))
+        same = pc.all(pc.equal(distinct.take(pa.array(of)), names)).as_py()
+        part = Part.build(keys, counts, least)
+        part.write(f"{path}/{group['part'][0].as_py():06d}.mph")
+        n = np.bincount(of, weights=counts).astype(np.int64)
+        often = np.flatnonzero(n >= least)
+        split = [x.split(b" ", 1) for x in distinct.take(pa.array(often)).to_pylist()]
+        langs = pa.array([x.split(b" ", 1)[1] for x in distinct.to_pylist()], pa.binary())
+        coded = langs.dictionary_encode()
+        totals = np.bincount(coded.indices.to_numpy(), weights=n, minlength=len(coded.dictionary)).astype(np.int64)
+        own, all_of = len(often), len(totals)
+        clash = 0 if same else 1
+        return pa.table(
+            {
+                "lang": pa.array([x[1].decode("utf-8", "replace") for x in split] + [x.decode("utf-8", "replace") for x in coded.dictionary.to_pylist()] + [None] * clash, pa.string()),
+                "word": pa.array([x[0].decode("utf-8", "replace") for x in split] + [None] * (all_of + clash), pa.string()),
+                "h": pa.array(np.concatenate([keys[0][lead[often]].view(np.int64), np.zeros(all_of + clash, np.int64)])),
+                "n": pa.array(np.concatenate([n[often], totals, np.zeros(clash, np.int64)])),
+            }
+        )
+
+    rows = docs.mapInArrow(run, "part int, keys binary, counts binary, lengths binary, names binary")
+    return cut(rows.groupBy("part").applyInArrow(count, "lang string, word string, h long, n long"))
+
+
 def count_level(rows: DataFrame, width: int, path: str, least: int) -> DataFrame:
     """Packed rows by part -> h1, h2, .., a of the phrases that reach the least count; each part's file is written beside."""
     names = [f"h{i + 1}" for i in range(width)]
@@ -306,26 +349,21 @@ def collocations(docs: DataFrame, least: int = LEAST, share: int = SHARE, top: i
     spark = docs.sparkSession
     small_batches(spark)
     docs = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.col("text").cast("binary").alias("text"))
+    n_bytes = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    path = new_path(spark, "collocations")
+    parts = {1: max(1, n_bytes // (16 * part_rows))}
     for seed in range(8):
-        words = cut(count_words(docs, seed))
-        if not words.groupBy("h").count().filter("count > 1").limit(1).count():
+        words = count_words(docs, seed, parts[1], f"{path}/1", least)
+        if not words.filter("lang IS NULL").limit(1).count():
             break
     else:
         raise RuntimeError("no seed tells all words apart")
-    frequent = words.filter(F.col("n") >= least)
-    n_words, n_frequent = words.agg(F.sum("n")).first()[0] or 0, frequent.count()
-    parts = {1: max(1, -(-n_frequent // part_rows)), 2: max(1, -(-n_words // part_rows)), 3: max(1, -(-n_words // part_rows))}
-    path = new_path(spark, "collocations")
+    frequent = words.filter("word IS NOT NULL")
+    totals = words.filter("word IS NULL").groupBy("lang").agg(F.sum("n").alias("n"))
+    n_words = totals.agg(F.sum("n")).first()[0] or 0
+    parts |= {2: max(1, -(-n_words // part_rows)), 3: max(1, -(-n_words // part_rows))}
     word_bits = bit_set(spark, frequent, "h")
 
-    def pack_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            # a count of more than 32 bits is packed as several rows
-            h, n = b.column(0).to_numpy().view(np.uint64), b.column(1).to_numpy()
-            while len(h):
-                yield packed([h], np.minimum(n, 2**32 - 1), parts[1])
-                h, n = h[n >= 2**32], n[n >= 2**32] - (2**32 - 1)
-
     def pack_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lot in lots(batches, seed):
             _, _, first, second, count = pairs_of(lot, word_bits.value)
@@ -337,7 +375,6 @@ def collocations(docs: DataFrame, least: int = LEAST, share: int = SHARE, top: i
             yield packed([lot.h[w] for w in words_of], count, parts[3])
 
     schema = "part int, keys binary, counts binary"
-    count_level(frequent.select("h", "n").mapInArrow(pack_words, schema), 1, f"{path}/1", least)
     pairs = count_level(docs.mapInArrow(pack_pairs, schema), 2, f"{path}/2", least)
 
     def hash_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -361,5 +398,4 @@ def collocations(docs: DataFrame, least: int = LEAST, share: int = SHARE, top: i
     first = first.withColumn("place", F.rank().over(Window.partitionBy("lang").orderBy(*order))).filter(F.col("place") <= top).drop("place")
     named = first.join(word[2], "h2").join(word[3].withColumn("length", F.lit(3)), ["h3", "length"], "left").withColumn("phrase", F.concat_ws(" ", "w1", "w2", "w3"))
     last = named.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order, "phrase"))).filter(F.col("rank") <= top)
-    totals = words.groupBy("lang").agg(F.sum("n").alias("n"))
     return last.join(totals, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")

@@ -58,7 +58,6 @@ ABOUT_OTHERS = re.compile(r"(?:has|is|no|with|without)[-_]", re.IGNORECASE)
 #: whether the block is main text. Pages are apart by an empty line. Made by hand after common layouts of pages.
 LABELLED = """
 out i 1 1 no
-out i 1 1 no
 out i 2 2 no
 out o 9 0 no
 in h 8 0 yes
@@ -125,7 +124,6 @@ in i 2 2 no
 - p 50 0 no
 - o 8 8 no
 
-- i 1 1 no
 - i 1 1 no
 - i 2 2 no
 - i 1 1 no
@@ -189,6 +187,10 @@ out o 16 3 no
 - p 4 0 yes
 - p 57 3 yes
 - p 2 0 yes
+- p 38 0 yes
+- p 2 0 yes
+- p 24 0 yes
+- p 3 0 yes
 - p 68 0 yes
 out h 1 0 no
 out p 40 0 no
@@ -241,6 +243,10 @@ in p 1 0 yes
 
 - o 45 2 yes
 
+- o 14 0 yes
+
+- o 6 0 yes
+
 - h 5 0 yes
 - p 60 0 yes
 - p 33 0 yes
