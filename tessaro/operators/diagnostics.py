@@ -7,8 +7,13 @@ from pyspark.sql import functions as F
 
 from tessaro.operators.analytics import fill_totals, worth
 from tessaro.operators.factors import average_rank, bucket
+from tessaro.operators.lineage import settled
+from tessaro.operators.ranges import exact_quantiles
 from tessaro.operators.temporal import asof_join
 
+#: Rows of a symbol from which an as-of join scans it in ranges.
+HEAVY = 1 << 20
+
 
 def information_coefficients(scored: DataFrame, by: list[str] | None = None, least: int = 8) -> DataFrame:
     """Spearman correlation of value and forward return on each date (and further ``by`` columns): Pearson over mean ranks.
@@ -99,13 +104,12 @@ def beta_by_year(returns: DataFrame, benchmark: DataFrame, by: list[str]) -> Dat
 
 
 def participation(fills: DataFrame, bars: DataFrame) -> DataFrame:
-    """How much of a name's daily amount the fills took, by year: exact quantiles and counts over 1 and 5 percent."""
+    """How much of a name's daily amount the fills took, by year: exact quantiles (by running counts, not in one task a year) and
+    counts over 1 and 5 percent."""
     j = fills.join(bars.select("trade_date", "symbol", "amount").filter("amount > 0"), ["trade_date", "symbol"])
-    j = j.withColumn("p", worth().cast("double") / F.col("amount"))
-    g = j.groupBy(F.year("trade_date").alias("year")).agg(
-        F.count("*").alias("n_fills"), F.percentile("p", F.array(F.lit(0.5), F.lit(0.9), F.lit(0.99))).alias("q"), F.max("p").alias("max"), F.count_if(F.col("p") > 0.01).alias("over_1pct"), F.count_if(F.col("p") > 0.05).alias("over_5pct")
-    )
-    return g.select("year", "n_fills", F.col("q")[0].alias("p50"), F.col("q")[1].alias("p90"), F.col("q")[2].alias("p99"), "max", "over_1pct", "over_5pct")
+    j = settled(j.select(F.year("trade_date").alias("year"), (worth().cast("double") / F.col("amount")).alias("p")))
+    g = j.groupBy("year").agg(F.count("*").alias("n_fills"), F.max("p").alias("max"), F.count_if(F.col("p") > 0.01).alias("over_1pct"), F.count_if(F.col("p") > 0.05).alias("over_5pct"))
+    return g.join(exact_quantiles(j, ["year"], "p", {"p50": 0.5, "p90": 0.9, "p99": 0.99}), "year", "left").select("year", "n_fills", "p50", "p90", "p99", "max", "over_1pct", "over_5pct")
 
 
 def rejection_pressure(rejections: DataFrame, bars: DataFrame, ahead: int = 5) -> DataFrame:
@@ -138,12 +142,13 @@ def cost_attribution(equity: DataFrame, fills: DataFrame, scenarios: list[str])
     )
 
 
-def execution_summary(diffs: DataFrame, fills: DataFrame, closes: DataFrame, by: list[str]) -> DataFrame:
-    """Planned, actual and unfilled notional at the signal day's close (or the last before it), and counts by status.
+def execution_summary(diffs: DataFrame, fills: DataFrame, closes: DataFrame, by: list[str], heavy: int = HEAVY) -> DataFrame:
+    """Planned, actual and unfilled notional at the signal day's close (or the last before it), and counts by status. A symbol with
+    more than ``heavy`` orders and closes is priced in ranges.
 
     diffs: by, order_id, symbol, signal_date, planned_quantity, filled_quantity, status.
     """
-    priced = asof_join(diffs, closes.filter("close > 0"), "signal_date", "trade_date", ["symbol"], ["close"])
+    priced = asof_join(diffs, closes.filter("close > 0"), "signal_date", "trade_date", ["symbol"], ["close"], heavy=heavy)
     c = F.col("close").cast("decimal(18,2)")
     g = priced.groupBy(*by).agg(
         F.sum(c * F.col("planned_quantity").cast("decimal(12,0)")).cast("double").alias("planned_gross_notional"),

@@ -20,12 +20,9 @@ def shared_root(spark: SparkSession) -> str:
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """df computed once and kept in the folder that spark.checkpoint.dir names, so that what reads it more than once doesn't
-    compute it again, and lost executors don't lose it. Where no folder is named, df as it is."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        return df
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(folder)
+    """df computed once and kept in the folder of shared_root, so that what reads it more than once doesn't compute it again, and
+    lost executors don't lose it."""
+    context = df.sparkSession.sparkContext
+    if not context._jsc.sc().getCheckpointDir().isDefined():
+        context.setCheckpointDir(shared_root(df.sparkSession))
     return df.checkpoint()

@@ -29,18 +29,73 @@ def delisted_without_end(facts: DataFrame, listing: DataFrame) -> DataFrame:
     return facts.filter("reason = 'delisting'").join(listing.filter("delist_date IS NOT NULL").select("symbol"), "symbol", "left_anti")
 
 
-def members_on(facts: DataFrame, calendar: DataFrame, days: DataFrame) -> DataFrame:
-    """(universe_id, symbol, day) for the asked days: inside the interval, and announced by that day.
+def member_spans(facts: DataFrame, calendar: DataFrame) -> DataFrame:
+    """universe_id, symbol, a, b: the open days on which a symbol is a member, as ordinals of the calendar, runs that meet or overlap
+    made one. A fact counts inside its interval, and from the day on which it was announced.
 
-    facts: effective_from, effective_to or null, announced, usable. Intervals meet the asked days as ordinals, an equi-join.
+    facts: effective_from, effective_to or null, announced, usable. No row is made for a day.
     """
-    asked = calendar.join(days.select("day").distinct(), "day")
-    inside = on_ordinals(facts.filter("usable"), asked, "effective_from", "effective_to")
-    return inside.filter("announced <= day").select("universe_id", "symbol", "day").distinct()
+    known = facts.filter("usable").select("universe_id", "symbol", F.greatest("effective_from", "announced").alias("_s"), F.col("effective_to").alias("_e"), F.col("effective_from").alias("_f"), F.col("announced").alias("_k"))
+    at = ordinals_of(ordinals_of(known.filter("_f IS NOT NULL AND _k IS NOT NULL"), calendar, "_s", "_a", up=True), calendar, "_e", "_b", up=False)
+    last = calendar.agg(F.max("ord")).scalar()
+    spans = at.select("universe_id", "symbol", "_a", F.when(F.col("_e").isNull(), last).otherwise(F.col("_b")).alias("_b")).filter("_a <= _b")
+    w = Window.partitionBy("universe_id", "symbol").orderBy("_a", "_b")
+    reach = F.max("_b").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    runs = sessions(spans.withColumn("_reach", reach), ["universe_id", "symbol"], ["_a", "_b"], F.col("_reach").isNull() | (F.col("_a") > F.col("_reach") + 1), "_run")
+    return runs.groupBy("universe_id", "symbol", "_run").agg(F.min("_a").alias("a"), F.max("_b").alias("b")).drop("_run")
+
+
+#: Levels of bins: 2 ** 22 open days are more than any calendar has.
+LEVELS = 22
+
+
+def bins_of_span(a: Column, b: Column) -> Column:
+    """The fewest aligned bins (level, number: days number << level and on) that make up the days a to b, two of a level at most."""
+    start = F.struct(a.cast("long").alias("a"), (b + 1).cast("long").alias("e"), F.array().cast("array<struct<level:int,number:long>>").alias("bins"))
 
+    def step(s: Column, level: Column) -> Column:
+        size = F.call_function("shiftleft", F.lit(1).cast("long"), level)
+        number = lambda x: F.call_function("shiftright", x, level)
+        left = (s["a"] < s["e"]) & (number(s["a"]) % 2 == 1)
+        a1 = F.when(left, s["a"] + size).otherwise(s["a"])
+        right = (a1 < s["e"]) & (number(s["e"]) % 2 == 1)
+        e1 = F.when(right, s["e"] - size).otherwise(s["e"])
+        none = F.array().cast("array<struct<level:int,number:long>>")
+        one = lambda x: F.array(F.struct(level.alias("level"), number(x).alias("number")))
+        return F.struct(a1.alias("a"), e1.alias("e"), F.concat(s["bins"], F.when(left, one(s["a"])).otherwise(none), F.when(right, one(e1)).otherwise(none)).alias("bins"))
 
-def member_counts(members: DataFrame) -> DataFrame:
-    return members.groupBy("universe_id", "day").agg(F.count("*").alias("n_members"))
+    return F.aggregate(F.sequence(F.lit(0), F.lit(LEVELS - 1)), start, step, lambda s: s["bins"])
+
+
+def members_on(facts: DataFrame, calendar: DataFrame, days: DataFrame) -> DataFrame:
+    """(universe_id, symbol, day) for the asked days: inside the interval, and announced by that day.
+
+    Each run of days goes into some bins by powers of two (at most two of each size), and each asked day looks up the bins
+    that it lies in by equality: what is shuffled grows with the facts and the answer, not with the length of the facts.
+    """
+    asked = calendar.join(days.select("day").distinct(), "day").select("day", F.explode(F.transform(F.sequence(F.lit(0), F.lit(LEVELS - 1)), lambda k: F.struct(k.alias("level"), F.call_function("shiftright", F.col("ord"), k).alias("number")))).alias("bin"))
+    binned = member_spans(facts, calendar).select("universe_id", "symbol", F.explode(bins_of_span(F.col("a"), F.col("b"))).alias("bin"))
+    on = [F.col("f.bin.level") == F.col("d.bin.level"), F.col("f.bin.number") == F.col("d.bin.number")]
+    return binned.alias("f").join(asked.alias("d"), on).select("universe_id", "symbol", "day")
+
+
+def member_history(facts: DataFrame, calendar: DataFrame) -> DataFrame:
+    """On how many open days each symbol was a member, and the first and last of them: lengths and ends of runs, no days."""
+    g = member_spans(facts, calendar).groupBy("universe_id", "symbol").agg(F.sum(F.col("b") - F.col("a") + 1).alias("n_days"), F.min("a").alias("a"), F.max("b").alias("b"))
+    first, last = (calendar.select(F.col("ord").alias(o), F.col("day").alias(n)) for o, n in (("a", "first_day"), ("b", "last_day")))
+    return g.join(first, "a").join(last, "b").select("universe_id", "symbol", "n_days", "first_day", "last_day")
+
+
+def member_counts(facts: DataFrame, calendar: DataFrame) -> DataFrame:
+    """universe_id, day, n_members of the open days that have any: running sums of those who join and leave."""
+    spans = member_spans(facts, calendar)
+    moves = spans.select("universe_id", F.explode(F.array(F.struct(F.col("a").alias("ord"), F.lit(1).alias("step")), F.struct((F.col("b") + 1).alias("ord"), F.lit(-1).alias("step")))).alias("m"))
+    steps = moves.groupBy("universe_id", "m.ord").agg(F.sum("m.step").alias("step"))
+    w = Window.partitionBy("universe_id").orderBy("ord")
+    counted = steps.withColumns({"n_members": F.sum("step").over(w.rowsBetween(Window.unboundedPreceding, 0)), "until": F.lead("ord").over(w)})
+    # a row for each day of a universe, which is the answer; few rows before
+    daily = counted.filter("n_members > 0").select("universe_id", "n_members", F.explode(F.sequence(F.col("ord"), F.col("until") - 1)).alias("ord"))
+    return daily.join(calendar, "ord").select("universe_id", "day", "n_members")
 
 
 def daily_sizes(facts: DataFrame, calendar: DataFrame, universes: DataFrame, start: str = "raw_from", end: str = "raw_to") -> DataFrame:

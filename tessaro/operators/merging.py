@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessaro.operators.ranges import prefix_sums
+
 
 def replace_by_key(carried: DataFrame, fresh: DataFrame, key: list[str]) -> DataFrame:
     """Carried rows whose key isn't in fresh, and all fresh rows. Null keys equal each other."""
@@ -78,9 +80,9 @@ def plan_differences(plan: DataFrame, submitted: DataFrame, fields: list[str]) -
 def cash_ledger(fills: DataFrame, actions: DataFrame, initial: float, by: list[str]) -> DataFrame:
     """Cash after each event, rebuilt from fills and corporate actions in order of day, kind (actions first) and sequence.
 
-    fills: by, trade_date, seq, cash_delta decimal; actions: by, ex_date, seq, cash_credited decimal.
+    A scenario's events are summed in ranges of days and sequences, each over what the ranges before it come to. fills: by, trade_date, seq, cash_delta decimal; actions: by, ex_date, seq, cash_credited decimal.
     """
     a = actions.select(*by, F.col("ex_date").alias("day"), F.lit(0).alias("kind"), "seq", F.col("cash_credited").cast("decimal(18,2)").alias("delta"))
     f = fills.select(*by, F.col("trade_date").alias("day"), F.lit(1).alias("kind"), "seq", F.col("cash_delta").cast("decimal(18,2)").alias("delta"))
-    w = Window.partitionBy(*by).orderBy("day", "kind", "seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return a.unionByName(f).withColumn("cash", F.lit(initial).cast("decimal(18,2)") + F.sum("delta").over(w))
+    summed = prefix_sums(a.unionByName(f), by, ["day", "kind", "seq"], "delta", "cash")
+    return summed.withColumn("cash", F.lit(initial).cast("decimal(18,2)") + F.col("cash"))

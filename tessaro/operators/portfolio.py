@@ -40,41 +40,71 @@ def top_equal_weight(factors: DataFrame, prices: DataFrame, capital: float, n: i
     return j.withColumn("target_quantity", quantity).filter("target_quantity > 0").select("trade_date", "symbol", "rank", "signal_price", F.lit(1.0 / n).alias("target_weight"), "target_quantity")
 
 
+def moments(column: str, w: Window) -> Column:
+    """Count, mean and sum of squared distances from the mean over a window, null without a value; Spark updates them row by row."""
+    n = F.count(column).over(w)
+    return F.when(n > 0, F.struct(n.cast("double").alias("n"), F.avg(column).over(w).alias("mean"), (F.var_pop(column).over(w) * n).alias("m2")))
+
+
+def merged(a: Column, b: Column) -> Column:
+    """Moments of two sets together; either may be null."""
+    n, apart = a["n"] + b["n"], b["mean"] - a["mean"]
+    both = F.struct(n.alias("n"), (a["mean"] + apart * b["n"] / n).alias("mean"), (a["m2"] + b["m2"] + apart * apart * a["n"] * b["n"] / n).alias("m2"))
+    return F.when(a.isNotNull() & b.isNotNull(), both).otherwise(F.coalesce(a, b))
+
+
 def risk_path(bars: DataFrame, calendar: DataFrame, asked: DataFrame, sessions: int = 60, least: int = 40, floor: float = 0.10) -> DataFrame:
     """Annualised volatility of each (symbol, trade_date) asked over its last open days, or why it can't be trusted.
 
-    bars: symbol, trade_date, close, quality_severity, missing_reason. Each of the window's open days must have a bar with a
-    positive close without ERROR, or be a proven suspension, which carries the last close (a return of zero); at least
-    ``least`` days need a real close. asked days are open days with at least ``sessions`` open days so far.
+    bars: symbol, trade_date, close, quality_severity, missing_reason. Each of the window's open days (fewer at the calendar's start)
+    must have a bar with a positive close, without ERROR and without a reason for missing, or be a proven suspension with a positive
+    carried close, which counts as a return of zero; the first must be a real close. At least ``least`` days need a real close. Counts
+    are 0 where a day can't be trusted.
+
+    Open days are cut into blocks of as many days as a window has returns, so that a window is the end of one block and the
+    beginning of the next: moments run forwards and backwards within blocks and are merged, so that nothing outside a
+    window ever enters its figures.
     """
     days = F.broadcast(calendar.select(F.col("day").alias("trade_date"), "ord"))
     a = asked.select("symbol", "trade_date").distinct().join(days, "trade_date").select("symbol", "ord", F.col("trade_date").alias("signal_date"))
     b = bars.join(days, "trade_date").select("symbol", "ord", "close", "quality_severity", "missing_reason", F.lit(True).alias("there"))
     # one row for each name and day that has a bar or is asked for; the frames below run over ordinals, so gaps count as missing
     j = b.join(a, ["symbol", "ord"], "full")
-    carry = F.coalesce(F.col("missing_reason") == "suspended_verified", F.lit(False))
-    real = F.coalesce(F.col("there") & ~carry & (F.col("close") > 0) & ~F.isnan("close") & ~F.col("quality_severity").eqNullSafe("ERROR"), F.lit(False))
-    j = j.withColumn("carry", carry).withColumn("real", real)
+    priced = F.col("there") & (F.col("close") > 0) & (F.col("close") < float("inf"))
+    carry = F.coalesce(priced & (F.col("missing_reason") == "suspended_verified"), F.lit(False))
+    real = F.coalesce(priced & F.col("missing_reason").isNull() & ~F.col("quality_severity").eqNullSafe("ERROR"), F.lit(False))
     w = Window.partitionBy("symbol").orderBy("ord")
-    so_far, frame = w.rowsBetween(Window.unboundedPreceding, 0), w.rangeBetween(1 - sessions, 0)
-    j = j.withColumn("mark", F.last(F.when(F.col("real"), F.col("close")), ignorenulls=True).over(so_far))
-    j = j.withColumn("ret", F.when(F.col("real") | F.col("carry"), F.col("mark") / F.lag("mark").over(w) - 1))
-    # returns count from the day after the window's first real close on: sums up to the day less sums up to that close
-    sums = F.struct("ord", F.count("ret").over(so_far).alias("c"), F.coalesce(F.sum("ret").over(so_far), F.lit(0.0)).alias("s"), F.coalesce(F.sum(F.col("ret") * F.col("ret")).over(so_far), F.lit(0.0)).alias("q"))
-    j = j.withColumn("sums", sums)
-    j = j.withColumns({"first": F.min(F.when(F.col("real"), F.col("sums"))).over(frame), "real_close_observations": F.count_if("real").over(frame), "suspension_carry_days": F.count_if(F.col("carry") & ~F.col("real")).over(frame)}).filter("signal_date IS NOT NULL")
-    c, total, squares = (F.col(f"sums.{x}") - F.col(f"first.{x}") for x in "csq")
-    spread = F.greatest(squares - total * total / c, F.lit(0.0)) / (c - 1)
-    g = j.withColumn("n", F.least("ord", F.lit(sessions))).withColumn("n_bad", F.col("n") - F.col("real_close_observations") - F.col("suspension_carry_days"))
-    g = g.withColumn("vol", F.when(c >= 2, F.sqrt(spread) * F.sqrt(F.lit(252.0))))
-    reason = (
-        F.when((F.col("n_bad") > 0) | (F.col("n") < sessions), "untrusted_missing_observation")
-        .when(F.col("real_close_observations") < least, "insufficient_real_close_observations")
-        .when(F.col("vol").isNull(), "untrusted_missing_observation")
+    so_far, returns = w.rowsBetween(Window.unboundedPreceding, 0), sessions - 1
+    j = j.withColumns({"carry": carry, "real": real}).withColumn("mark", F.last(F.when(F.col("real"), F.col("close")), ignorenulls=True).over(so_far))
+    j = j.withColumn("ret", F.when(F.col("real"), F.col("mark") / F.lag("mark").over(w) - 1).when(F.col("carry"), F.lit(0.0)))
+    j = j.withColumns({"n_real": F.count_if("real").over(so_far), "n_carry": F.count_if("carry").over(so_far), "block": F.floor((F.col("ord") - 2) / returns)})
+    block = Window.partitionBy("symbol", "block")
+    ahead = moments("ret", block.orderBy("ord").rowsBetween(Window.unboundedPreceding, 0))
+    behind = moments("ret", block.orderBy(F.desc("ord")).rowsBetween(Window.unboundedPreceding, 0))
+    j = j.withColumns({"ahead": ahead, "behind": behind})
+    first = lambda c, back: F.first(c).over(w.rangeBetween(-back, -back))
+    before = w.rangeBetween(Window.unboundedPreceding, -sessions)
+    whole = F.col("ord") >= sessions
+    j = j.withColumns(
+        {
+            "n": F.least("ord", F.lit(sessions)),
+            "of_real": F.col("n_real") - F.coalesce(F.max("n_real").over(before), F.lit(0)),
+            "of_carry": F.col("n_carry") - F.coalesce(F.max("n_carry").over(before), F.lit(0)),
+            "starts": F.coalesce(F.when(whole, first("real", returns)).otherwise(F.max((F.col("ord") == 1) & F.col("real")).over(so_far)), F.lit(False)),
+            "start_block": F.floor((F.greatest(F.col("ord") - returns + 1, F.lit(2)) - 2) / returns),
+            "tail": first("behind", returns - 1),
+        }
+    ).filter("signal_date IS NOT NULL")
+    path = F.when(F.col("start_block") == F.col("block"), F.col("ahead")).otherwise(merged(F.col("tail"), F.col("ahead")))
+    g = j.withColumn("path", path).withColumn("vol", F.when(F.col("path.n") > 1, F.sqrt(F.col("path.m2") / (F.col("path.n") - 1)) * F.sqrt(F.lit(252.0))))
+    reason = F.when((F.col("of_real") + F.col("of_carry") < F.col("n")) | ~F.col("starts"), "untrusted_missing_observation").when(
+        (F.col("of_real") < least) | (F.coalesce("path.n", F.lit(0)) < 2), "insufficient_real_close_observations"
     )
-    ok = reason.isNull()
+    ok, trusted = reason.isNull(), ~reason.eqNullSafe("untrusted_missing_observation")
     return g.select(
-        F.col("signal_date").alias("trade_date"), "symbol", "real_close_observations", "suspension_carry_days", ok.alias("risk_is_valid"), reason.alias("risk_invalid_reason"),
+        F.col("signal_date").alias("trade_date"), "symbol",
+        F.when(trusted, F.col("of_real")).otherwise(0).cast("long").alias("real_close_observations"), F.when(trusted, F.col("of_carry")).otherwise(0).cast("long").alias("suspension_carry_days"),
+        ok.alias("risk_is_valid"), reason.alias("risk_invalid_reason"),
         F.when(ok, F.col("vol")).alias("raw_annualized_volatility"), F.when(ok, F.greatest(F.col("vol"), F.lit(floor))).alias("applied_annualized_volatility"),
     )
 

@@ -9,13 +9,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessaro.operators.ranges import heavy_keys, last_so_far
 
-def asof_join(left: DataFrame, right: DataFrame, left_on: str, right_on: str, by: list[str], columns: list[str], strict: bool = False, split: str | None = None) -> DataFrame:
+
+def asof_join(left: DataFrame, right: DataFrame, left_on: str, right_on: str, by: list[str], columns: list[str], strict: bool = False, split: str | None = None, heavy: int | None = None) -> DataFrame:
     """Each row of left with ``columns`` of the last row of right of the same key at or before left_on (before it: strict).
 
     right has one row for a key and moment; where it has several, the greatest ``columns`` win. Rows without a match get nulls.
     Null keys or moments match nothing. A key with very many rows may be ``split`` by a calendar unit (year, month, week, day):
     each unit of a key is a window of its own, and what the units before it end with, one row each, is carried in by a join.
+    Where ``heavy`` is given, keys with more rows than that on both sides together are found by counting, and only those are
+    scanned in ranges of moments, so that no task holds a whole heavy key.
     """
     fact = F.struct(*[F.col(c) for c in columns])
     facts = right.filter(" AND ".join(f"{c} IS NOT NULL" for c in [*by, right_on])).groupBy(*by, F.col(right_on).alias("_t")).agg(F.max(fact).alias("_fact"))
@@ -23,6 +27,16 @@ def asof_join(left: DataFrame, right: DataFrame, left_on: str, right_on: str, by
     both = facts.select(*by, "_t", "_fact", F.lit(None).cast(asked.schema["_row"].dataType).alias("_row"), F.lit(1 if strict else 0).alias("_o")).unionByName(
         asked.select(*by, "_t", F.lit(None).cast(facts.schema["_fact"].dataType).alias("_fact"), "_row", F.lit(0 if strict else 1).alias("_o"))
     )
+    if heavy is not None:
+        many = heavy_keys(both.select(*by), by, heavy)
+        scanned = last_so_far(both.join(many, by, "left_semi").withColumn("_n", F.monotonically_increasing_id()), by, ["_t", "_o", "_n"], "_fact", "_found").drop("_n")
+        few = both.join(many, by, "left_anti")
+        light = few.withColumn("_found", F.last("_fact", ignorenulls=True).over(Window.partitionBy(*by).orderBy("_t", "_o").rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+        matched = light.unionByName(scanned).filter("_row IS NOT NULL")
+        no = F.col("_t").isNull()
+        for c in by:
+            no = no | F.col(c).isNull()
+        return matched.select("_row.*", *[F.when(~no, F.col(f"_found.{c}")).alias(c) for c in columns])
     key = list(by)
     if split is not None:
         unit = F.date_trunc(split, F.col("_t")).alias("_unit")

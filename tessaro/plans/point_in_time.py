@@ -52,6 +52,14 @@ def asof_backward(spark: SparkSession, sf_dir: str) -> DataFrame:
     return temporal.asof_join(probes(spark, sf_dir), b, "signal_date", "trade_date", ["symbol"], ["price_date", "close"]).select("o_orderkey", "symbol", "price_date", "close")
 
 
+@query("SELECT p.o_orderkey, p.symbol, b.trade_date AS price_date, b.close FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN symbol ELSE 'S1' END AS symbol, signal_date FROM probes) p ASOF LEFT JOIN bars b ON p.symbol = b.symbol AND p.signal_date >= b.trade_date")
+def asof_hot_symbol(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two thirds of the orders ask for one symbol, which is found by counting and scanned in ranges of days."""
+    b = market.bars(spark, sf_dir).withColumn("price_date", F.col("trade_date"))
+    p = probes(spark, sf_dir).withColumn("symbol", F.when(F.col("o_orderkey") % 3 == 0, F.col("symbol")).otherwise("S1"))
+    return temporal.asof_join(p, b, "signal_date", "trade_date", ["symbol"], ["price_date", "close"], heavy=4_000).select("o_orderkey", "symbol", "price_date", "close")
+
+
 @query("SELECT p.o_orderkey, p.symbol, b.trade_date AS price_date, b.close FROM probes p ASOF LEFT JOIN bars b ON p.symbol = b.symbol AND p.signal_date > b.trade_date")
 def asof_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = market.bars(spark, sf_dir).withColumn("price_date", F.col("trade_date"))
@@ -100,20 +108,23 @@ def resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
 view("member_days", "SELECT r.universe_id, r.symbol, d.day FROM resolved r JOIN open_days d ON r.usable AND d.day >= r.effective_from AND (r.effective_to IS NULL OR d.day <= r.effective_to) AND r.announced <= d.day")
 
 
-def member_days(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cal = market.calendar(spark, sf_dir)
-    return membership.members_on(resolved(spark, sf_dir), cal, cal.select("day"))
-
-
 @query("SELECT universe_id, symbol, count(*) AS n_days, min(day) AS first_day, max(day) AS last_day FROM member_days GROUP BY 1, 2")
 def interval_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     """On how many of all open days each name is a member, and from when to when."""
-    return member_days(spark, sf_dir).groupBy("universe_id", "symbol").agg(F.count("*").alias("n_days"), F.min("day").alias("first_day"), F.max("day").alias("last_day"))
+    return membership.member_history(resolved(spark, sf_dir), market.calendar(spark, sf_dir))
 
 
 @query("SELECT universe_id, day, count(*) AS n_members FROM member_days GROUP BY 1, 2")
 def member_cardinality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return membership.member_counts(member_days(spark, sf_dir))
+    return membership.member_counts(resolved(spark, sf_dir), market.calendar(spark, sf_dir))
+
+
+@query("SELECT universe_id, symbol, day FROM member_days WHERE day IN (SELECT max(day) FROM open_days GROUP BY date_trunc('month', day))")
+def members_at_month_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The members on the last open day of each month, through bins of their intervals."""
+    cal = market.calendar(spark, sf_dir)
+    asked = cal.groupBy(F.date_trunc("month", "day")).agg(F.max("day").alias("day"))
+    return membership.members_on(resolved(spark, sf_dir), cal, asked)
 
 
 # Members leave U0 for some months, U9 has no facts, and sizes are excepted for two windows of U1 that overlap and one of U2.

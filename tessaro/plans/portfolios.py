@@ -94,35 +94,51 @@ def top_n_equal_weight(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select("trade_date", "symbol", "rank", "signal_price", "target_quantity")
 
 
+# Suspensions carry the last close; on some days the carried close is missing or zero, and some names begin at a tiny price.
 view(
     "risk_input",
-    "SELECT b.symbol, b.trade_date, b.close, CASE WHEN b.volume % 400 = 7 THEN 'ERROR' ELSE 'INFO' END AS quality_severity, CAST(NULL AS VARCHAR) AS missing_reason FROM bars b UNION ALL SELECT symbol, day, 0.0::DOUBLE, 'INFO', 'suspended_verified' FROM (SELECT m.symbol, d.day FROM master m CROSS JOIN open_days d) g WHERE NOT EXISTS (SELECT 1 FROM bars b WHERE b.symbol = g.symbol AND b.trade_date = g.day)",
+    """
+SELECT symbol, trade_date, CASE WHEN missing_reason IS NULL THEN close WHEN day(trade_date) = 13 AND CAST(symbol[2:] AS BIGINT) % 2 = 0 THEN NULL WHEN day(trade_date) = 27 AND CAST(symbol[2:] AS BIGINT) % 5 = 0 THEN 0.0::DOUBLE ELSE carried END AS close, quality_severity, missing_reason FROM (
+  SELECT *, last_value(close IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY trade_date) AS carried FROM (
+    SELECT symbol, trade_date, CASE WHEN CAST(symbol[2:] AS BIGINT) % 3 = 0 AND row_number() OVER (PARTITION BY symbol ORDER BY trade_date) <= 40 THEN close * 0.000000001::DOUBLE ELSE close END AS close,
+      CASE WHEN volume % 400 = 7 THEN 'ERROR' ELSE 'INFO' END AS quality_severity, CAST(NULL AS VARCHAR) AS missing_reason FROM bars
+    UNION ALL SELECT symbol, day, NULL, 'INFO', CASE WHEN day(day) = 30 AND CAST(symbol[2:] AS BIGINT) % 7 = 0 THEN 'unknown_gap' ELSE 'suspended_verified' END
+    FROM (SELECT m.symbol, d.day FROM master m CROSS JOIN open_days d) g WHERE NOT EXISTS (SELECT 1 FROM bars b WHERE b.symbol = g.symbol AND b.trade_date = g.day)))""",
 )
 
 
 def risk_input(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bars, and proven suspensions on the open days without one."""
+    """Bars, and proven suspensions with their carried closes on the open days without one; some of each are faulty."""
+    w = Window.partitionBy("symbol").orderBy("trade_date")
+    key, d = F.substring("symbol", 2, 20).cast("long"), F.dayofmonth("trade_date")
     b = market.bars(spark, sf_dir)
     severity = F.when(F.col("volume") % 400 == 7, "ERROR").otherwise("INFO").alias("quality_severity")
+    tiny = F.when((key % 3 == 0) & (F.row_number().over(w) <= 40), F.col("close") * 0.000000001).otherwise(F.col("close")).alias("close")
     gaps = missing_from_grid(market.master(spark, sf_dir), market.open_days(spark, sf_dir), b, ["symbol"], "trade_date")
-    return b.select("symbol", "trade_date", "close", severity, F.lit(None).cast("string").alias("missing_reason")).unionByName(
-        gaps.select("symbol", "trade_date", F.lit(0.0).alias("close"), F.lit("INFO").alias("quality_severity"), F.lit("suspended_verified").alias("missing_reason"))
+    why = F.when((d == 30) & (key % 7 == 0), "unknown_gap").otherwise("suspended_verified").alias("missing_reason")
+    rows = b.select("symbol", "trade_date", tiny, severity, F.lit(None).cast("string").alias("missing_reason")).unionByName(
+        gaps.select("symbol", "trade_date", F.lit(None).cast("double").alias("close"), F.lit("INFO").alias("quality_severity"), why)
     )
+    carried = F.last("close", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    close = F.when(F.col("missing_reason").isNull(), F.col("close")).when((d == 13) & (key % 2 == 0), None).when((d == 27) & (key % 5 == 0), 0.0).otherwise(F.col("carried"))
+    return rows.withColumn("carried", carried).select("symbol", "trade_date", close.alias("close"), "quality_severity", "missing_reason")
 
 
 view("risk_asked", "SELECT r.symbol, r.trade_date, c.ord FROM ranked r JOIN calendar c ON c.day = r.trade_date")
 view(
     "risk",
     """
-SELECT trade_date, symbol, n_real AS real_close_observations, n_carry AS suspension_carry_days, reason AS risk_invalid_reason, CASE WHEN reason IS NULL THEN greatest(vol, 0.1) END AS volatility FROM (
-  SELECT *, CASE WHEN n_bad > 0 OR n < 60 THEN 'untrusted_missing_observation' WHEN n_real < 40 THEN 'insufficient_real_close_observations' WHEN vol IS NULL THEN 'untrusted_missing_observation' END AS reason FROM (
-    SELECT symbol, signal_date AS trade_date, count(*) AS n, count(*) FILTER (is_real) AS n_real, count(*) FILTER (carry AND NOT is_real) AS n_carry, count(*) FILTER (NOT is_real AND NOT carry) AS n_bad, stddev_samp(ret) * sqrt(252) AS vol FROM (
-      SELECT *, CASE WHEN is_real OR carry THEN mark / lag(mark) OVER w - 1 END AS ret FROM (
-        SELECT *, last_value(CASE WHEN is_real THEN close END IGNORE NULLS) OVER w AS mark FROM (
-          SELECT a.symbol, a.trade_date AS signal_date, c.ord, b.close, coalesce(b.missing_reason = 'suspended_verified', false) AS carry,
-            coalesce(b.symbol IS NOT NULL AND b.missing_reason IS NULL AND b.close > 0 AND b.quality_severity <> 'ERROR', false) AS is_real
-          FROM risk_asked a JOIN calendar c ON c.ord BETWEEN greatest(a.ord - 59, 1) AND a.ord LEFT JOIN risk_input b ON b.symbol = a.symbol AND b.trade_date = c.day)
-        WINDOW w AS (PARTITION BY symbol, signal_date ORDER BY ord)) WINDOW w AS (PARTITION BY symbol, signal_date ORDER BY ord)) GROUP BY 1, 2))""",
+SELECT trade_date, symbol, CASE WHEN trusted THEN n_real ELSE 0 END AS real_close_observations, CASE WHEN trusted THEN n_carry ELSE 0 END AS suspension_carry_days,
+  CASE WHEN NOT trusted THEN 'untrusted_missing_observation' WHEN n_real < 40 OR n_ret < 2 THEN 'insufficient_real_close_observations' END AS risk_invalid_reason,
+  CASE WHEN trusted AND n_real >= 40 AND n_ret >= 2 THEN greatest(vol, 0.1) END AS volatility FROM (
+  SELECT symbol, signal_date AS trade_date, count(*) FILTER (is_real) AS n_real, count(*) FILTER (is_carry) AS n_carry, bool_and(is_real OR is_carry) AND bool_or(is_real AND ord = first_ord) AS trusted,
+    count(ret) AS n_ret, stddev_samp(ret) * sqrt(252) AS vol FROM (
+    SELECT *, CASE WHEN ord = first_ord THEN NULL WHEN is_real THEN mark / lag(mark) OVER w - 1 WHEN is_carry THEN 0 END AS ret FROM (
+      SELECT *, last_value(CASE WHEN is_real THEN close END IGNORE NULLS) OVER w AS mark FROM (
+        SELECT a.symbol, a.trade_date AS signal_date, c.ord, greatest(a.ord - 59, 1) AS first_ord, b.close, coalesce(b.missing_reason = 'suspended_verified' AND b.close > 0, false) AS is_carry,
+          coalesce(b.symbol IS NOT NULL AND b.missing_reason IS NULL AND b.close > 0 AND b.quality_severity <> 'ERROR', false) AS is_real
+        FROM risk_asked a JOIN calendar c ON c.ord BETWEEN greatest(a.ord - 59, 1) AND a.ord LEFT JOIN risk_input b ON b.symbol = a.symbol AND b.trade_date = c.day)
+      WINDOW w AS (PARTITION BY symbol, signal_date ORDER BY ord)) WINDOW w AS (PARTITION BY symbol, signal_date ORDER BY ord)) GROUP BY 1, 2)""",
 )
 
 
@@ -131,9 +147,10 @@ def risk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return portfolio.risk_path(risk_input(spark, sf_dir), market.calendar(spark, sf_dir), asked)
 
 
-@query("SELECT trade_date, symbol, real_close_observations, suspension_carry_days, risk_invalid_reason, round(volatility, 6) AS volatility FROM risk")
+@query("SELECT trade_date, symbol, real_close_observations, suspension_carry_days, risk_invalid_reason, CASE WHEN volatility > 100 THEN round(volatility / 1000, 3) ELSE round(volatility, 6) END AS volatility FROM risk")
 def risk_path(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return risk(spark, sf_dir).select("trade_date", "symbol", "real_close_observations", "suspension_carry_days", "risk_invalid_reason", F.round("applied_annualized_volatility", 6).alias("volatility"))
+    v = F.col("applied_annualized_volatility")
+    return risk(spark, sf_dir).select("trade_date", "symbol", "real_close_observations", "suspension_carry_days", "risk_invalid_reason", F.when(v > 100, F.round(v / 1000, 3)).otherwise(F.round(v, 6)).alias("volatility"))
 
 
 # Groups of members with a volatility each: suppliers' names by nation, spread over a wide range.
