@@ -5,7 +5,9 @@ are nearly full. What is underfull goes up a tree: a round brings the bins of se
 items, and again emits what is nearly full, until one group of bounded size is left or a round no longer helps.
 
 Defined results: a null or empty text has its end id alone, and packs like any other. A document above the capacity is cut
-into pieces of the capacity, the last one shorter. Repeated rows are packed one by one. An empty table gives no rows.
+into pieces of the capacity, the last one shorter. Repeated rows are packed one by one; pieces of one length
+are told apart by document and piece. An empty table gives no rows. Texts of any length are read whole. Only doc_id and text are read, so
+other columns may have any names.
 """
 
 from __future__ import annotations

@@ -77,6 +77,17 @@ def likely_in(rows: DataFrame, columns: list[str], likely: DataFrame, bits: int
     return joined.filter(~hit if no else hit).drop("__at", "__word", "__bits")
 
 
+def unused(columns: list[str], *wanted: str) -> list[str]:
+    """Each wanted name, with as many underscores before it as tell it apart from all columns, whatever their case."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def utf8(value: str | None) -> bytes:
     return b"" if value is None else value.encode("utf-8", "surrogatepass")
 

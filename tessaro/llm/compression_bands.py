@@ -7,7 +7,8 @@ printable characters or random letters reach at that length and the least of cle
 letter and come close to base64 themselves, so that theirs is looser. Hexadecimal text is known by its few symbols.
 
 Defined results: a null or empty text has no words, fails the base rule (fewer than 20 words) and has ratio 0. Repeated rows
-are judged one by one. Every row of the input gives one row; an empty table gives none. Further columns are ignored.
+are judged one by one. Every row of the input gives one row; an empty table gives none. Further columns are ignored, whatever their
+names; texts of any length are read whole. keep_good keeps all columns.
 """
 
 from __future__ import annotations
@@ -149,7 +150,8 @@ def quality_rules(docs: DataFrame, bands: Bands = Bands()) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, bands: Bands = Bands(), text: str = "text") -> DataFrame:
-    """The rows of docs that pass the rules, with all their columns."""
+    """The rows of docs that pass the rules, with all their columns, whatever their names. Null and empty texts don't pass; repeated rows
+    are judged one by one; texts of any length are read whole; an empty table gives no rows."""
     small_batches(docs.sparkSession)
     place = docs.columns.index(text)
 

@@ -5,7 +5,8 @@ hash of their id) by alternating signs and orthogonal Procrustes. Every vector i
 few bits; vectors with the same bits in any table are candidates. Bits for a table grow with the logarithm of the number of
 vectors, which holds the size of a bucket. The number of tables comes from pairs at the threshold that are built from the
 sample and coded like any vector (centring widens their angles where vectors have a common direction): tables are added until
-the wanted share of them meets in one. Where MOST_TABLES don't do, tables get fewer bits; with none, all vectors meet, which is
+the wanted share of them meets in one. Widths for which MOST_TABLES do are weighed: the comparisons that each would take, from how often
+vectors of the sample meet, and the copies of each vector. Where none is cheaper, all vectors meet, which is
 exact, and which few vectors (up to BRUTE) do anyway. Cosines in double precision decide; a pair counts in the first table that
 it shares, so nothing need be gathered to know each pair once. Tasks emit sums and a spanning forest, never pairs.
 
@@ -26,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessaro.llm.common import batch, cut
 from tessaro.llm.components import components, forest
@@ -41,10 +43,16 @@ ROWS = 512
 #: Vectors of a bucket, on average, from which tables get more bits.
 BUCKET = 200
 LEAST_BITS, MOST_BITS = 8, 20
+#: Bits above those for buckets of BUCKET that are weighed too.
+WIDER = 3
 #: A vector is copied once for each table.
 MOST_TABLES = 64
 #: Vectors up to which all are compared with all.
 BRUTE = 8192
+#: What a copy of a vector in another table costs, in comparisons.
+COPY = 100
+#: Vectors of the sample whose meetings are counted to weigh a plan.
+WEIGHED = 2048
 #: Probability that a pair at the threshold shares a table.
 RECALL = 0.93
 
@@ -114,25 +122,42 @@ def built_pairs(sample: np.ndarray, threshold: float, most: int = 4096, seed: in
     return out
 
 
+def meetings(codes: np.ndarray, tables: int, bits: int) -> np.ndarray:
+    """By number of tables: the share of all pairs of the codes' rows that tables so far compare, pairs counted once a table."""
+    n = len(codes)
+    keys = codes.reshape(n, tables, bits) @ (1 << np.arange(bits))
+    each = [float((c * (c - 1.0)).sum()) for c in (np.unique(keys[:, t], return_counts=True)[1] for t in range(tables))]
+    return np.cumsum(each) / max(1, n * (n - 1))
+
+
 def fitted(sample: np.ndarray, n: int, threshold: float, recall: float) -> Quantiser:
-    """A quantiser for n vectors whose tables hold the wanted share of each kind of built pair."""
+    """A quantiser for n vectors whose tables hold the wanted share of each kind of built pair, at the least cost."""
     # rotations suit the vectors that they are learnt on better than others: pairs are built from those left out
     apart = len(sample) // 4 if len(sample) >= 1024 else 0
-    pairs, sample = built_pairs(sample[:apart] if apart else sample, threshold), sample[apart:]
-    quantiser = Quantiser(sample)
-    for bits in range(plan_bits(n), 0, -1):
+    rest = sample[:apart] if apart else sample
+    pairs, sample = built_pairs(rest, threshold), sample[apart:]
+    quantiser, rest = Quantiser(sample), rest[:WEIGHED]
+    best, plan = n + COPY * n / CHUNK, (0, 1)  # all with all
+    width = plan_bits(n)
+    for bits in range(width + WIDER if width else 0, 0, -1):
+        if bits < LEAST_BITS and plan[0]:
+            break  # narrower tables only where no others do
         tables = 4
-        while tables <= MOST_TABLES and pairs:
+        while tables <= MOST_TABLES and pairs and COPY * tables < best:
             quantiser.grow(bits * tables)
             width = bits * tables
             # by kind of pair and number of tables: the share of pairs that meet
             met = [np.logical_or.accumulate((quantiser.code(x, width) == quantiser.code(y, width)).reshape(len(x), tables, bits).all(axis=2), axis=1).mean(axis=0) for x, y in pairs]
             enough = np.flatnonzero(np.minimum.reduce(met) >= recall)
             if len(enough):
-                quantiser.plan(bits, int(enough[0]) + 1)
-                return quantiser
+                used = int(enough[0]) + 1
+                # no fewer meetings than chance gives, which a sample may not show
+                share = max(float(meetings(quantiser.code(rest, width), tables, bits)[used - 1]), used / 2.0**bits)
+                if (cost := n * share + COPY * used) < best:
+                    best, plan = cost, (bits, used)
+                break
             tables *= 2
-    quantiser.plan(0, 1)
+    quantiser.plan(*plan)
     return quantiser
 
 
@@ -198,8 +223,9 @@ def one_length(reps: DataFrame, length: int, threshold: float, recall: float, ch
     own = reps.filter(F.size("vec") == length)
     n = own.count()
     # a driver-side fit on a bounded sample
-    sample = matrix(own.orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE).select("vec").toArrow()["vec"].combine_chunks())
+    sample = matrix(own.orderBy("h", "g").limit(SAMPLE).select("vec").toArrow()["vec"].combine_chunks())
     chosen = fitted(sample, n, threshold, recall)
+    kind = dict(own.dtypes)["vec"]
     tables = chosen.tables
     quantiser = spark.sparkContext.broadcast(chosen)
 
@@ -210,7 +236,7 @@ def one_length(reps: DataFrame, length: int, threshold: float, recall: float, ch
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1, dtype=np.int32) * tables), pa.array(keys.ravel()))
                 yield batch(rep=b.column(0), copies=b.column(1), vec=b.column(2), keys=lists)
 
-    coded = cut(own.select("rep", "copies", "vec").mapInArrow(encode, "rep long, copies long, vec array<float>, keys array<int>"))
+    coded = cut(own.select("rep", "copies", "vec").mapInArrow(encode, f"rep long, copies long, vec {kind}, keys array<int>"))
     hot = coded.select(F.posexplode("keys").alias("t", "key")).groupBy("t", "key").count().filter(F.col("count") > chunk)
     hot = hot.select("t", "key", F.ceil(F.col("count") / chunk).cast("int").alias("chunks"))
     rows = coded.select("rep", "copies", "vec", "keys", F.posexplode("keys").alias("t", "key")).join(hot, ["t", "key"], "left")
@@ -226,13 +252,15 @@ def one_length(reps: DataFrame, length: int, threshold: float, recall: float, ch
 
 def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, chunk: int = CHUNK, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """vec_id, n_links, component_id, kept for each vector."""
-    vectors = vectors.select(F.col(f"`{id_col}`").cast("long").alias("vec_id"), F.col(f"`{vec_col}`").cast("array<float>").alias("vec"))
+    doubles = vectors.schema[vec_col].dataType == T.ArrayType(T.DoubleType())
+    vectors = vectors.select(F.col(f"`{id_col}`").cast("long").alias("vec_id"), F.col(f"`{vec_col}`").cast("array<double>" if doubles else "array<float>").alias("vec"))
     good = F.col("vec_id").isNotNull() & (F.size("vec") > 0) & F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("vec", lambda x: x != 0)
     vectors = vectors.withColumn("good", F.coalesce(good, F.lit(False)))
     named = vectors.withColumns({"h": F.when(F.col("good"), F.xxhash64("vec")), "g": F.when(F.col("good"), F.hash("vec"))})
     rows = cut(named.select("vec_id", "h", "g").distinct())
-    classes = named.filter("good").select("vec_id", "h", "g", "vec").dropDuplicates(["vec_id", "h", "g"]).groupBy("h", "g").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.first("vec").alias("vec"))
-    reps = cut(classes)
+    classes = named.filter("good").select("vec_id", "h", "g", "vec").dropDuplicates(["vec_id", "h", "g"]).groupBy("h", "g").agg(F.min("vec_id").alias("least"), F.count("*").alias("copies"), F.first("vec").alias("vec"))
+    # a class is named apart from its ids, as an id may stand with several vectors
+    reps = cut(classes.withColumn("rep", F.monotonically_increasing_id()))
     lengths = [r[0] for r in reps.select(F.size("vec")).distinct().collect()]
     found = None
     for length in sorted(lengths):
@@ -243,12 +271,14 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, recall: float
     found = cut(found)
     sums = found.filter("links IS NOT NULL").groupBy("a").agg(F.sum("links").alias("others"))
     groups = components(found.filter("b IS NOT NULL").select("a", "b"))
-    known = (
-        reps.select("h", "g", "rep", "copies")
+    joined = cut(
+        reps.select("h", "g", "rep", "copies", "least")
         .join(sums, F.col("rep") == F.col("a"), "left")
         .join(groups, F.col("rep") == F.col("node"), "left")
-        .select("h", "g", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+        .select("h", "g", "least", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component"))
     )
+    named = joined.groupBy("component").agg(F.min("least").alias("component_id"))
+    known = joined.join(named, "component").select("h", "g", "n_links", "component_id")
     return rows.join(known, ["h", "g"], "left").select(
         "vec_id",
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),

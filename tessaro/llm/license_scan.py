@@ -7,7 +7,9 @@ more than the best place has, no new place is opened, so that the greatest share
 other licences the file holds.
 
 Defined results: a null or empty text has no words, no labels and score 0. A text may carry several labels. Repeated rows
-are scanned one by one; every row gives one row. Phrases can overlap; each place counts.
+are scanned one by one; every row gives one row. Phrases can overlap; each place counts. Labels are sorted, so ties have no order. An empty
+table gives no rows. Texts of any length are read whole. Only doc_id and text are read, so
+other columns may have any names.
 """
 
 from __future__ import annotations

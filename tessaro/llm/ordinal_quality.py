@@ -10,7 +10,9 @@ grades works. Selection keeps a document if P(grade > 0) reaches the least proba
 
 Defined results: null and empty texts have no features and get the score that the thresholds give. Ratings that are null, or
 whose document is missing, aren't used; a document counts once for each grade it has, with the least of its texts. With fewer than two grades, all documents get
-the only grade. Repeated rows are scored one by one. An empty table gives none. The sample keeps whole texts.
+the only grade. Repeated rows are scored one by one. An empty table gives none. The sample keeps whole texts. Ties in
+the sample's hash go to the lesser doc_id. Texts of any length are read whole. Only doc_id and text are read, so
+other columns may have any names.
 """
 
 from __future__ import annotations
@@ -149,7 +151,9 @@ def quality_grades(docs: DataFrame, labels: DataFrame, least: float = LEAST, sam
 
 
 def keep_good(docs: DataFrame, model: CumulativeLink, least: float = LEAST, bits: int = BITS, text: str = "text") -> DataFrame:
-    """The rows of docs whose P(grade > 0) reaches least, with all their columns."""
+    """The rows of docs whose P(grade > 0) reaches least, with all their columns, whatever their names. Null and empty texts have the
+    probability that the thresholds give; repeated rows are judged one by one; texts of any length are read whole; an empty table
+    gives no rows."""
     small_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)
     place = docs.columns.index(text)

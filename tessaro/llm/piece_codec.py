@@ -12,7 +12,9 @@ best score first, leftmost of equals. Every distinct part is checked.
 
 Defined results: null and empty texts have no ids and decode to the empty text. White space is kept; a literal metaspace mark
 decodes to a space, as in the original. Special pieces in a text are ordinary text. Unknown ids decode to the unknown surface.
-Bytes that are no UTF-8 decode to U+FFFD. Repeated rows are coded one by one; every row gives one row.
+Bytes that are no UTF-8 decode to U+FFFD. Repeated rows are coded one by one; every row gives one row. An empty
+table gives none. Of merges of one score the leftmost goes first, as in the original. Texts of any length are read whole. Only doc_id and text are read, so
+other columns may have any names.
 """
 
 from __future__ import annotations

@@ -20,7 +20,8 @@ and of its places there the leftmost. Of copies of a whole text the row of the l
 Texts are worked off in pieces that overlap by a window, so that memory doesn't grow with the longest text's windows.
 
 Defined results: null, empty and short texts (under one window) lose nothing. Overlapping windows count, also within a text
-(one repeated line). Repeated rows are copies of each other. Every row gives one row; doc_id may repeat or be null.
+(one repeated line). Repeated rows are copies of each other. Every row gives one row; doc_id may repeat or be null. An empty table
+gives none. Only doc_id and text are read, so other columns may have any names.
 """
 
 from __future__ import annotations
@@ -36,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessaro.llm.common import PLAIN, batch, cut, likely_in, likely_set, small_batches, stored
+from tessaro.llm.common import PLAIN, batch, cut, likely_in, likely_set, small_batches, stored, unused
 
 
 @dataclass(frozen=True)
@@ -532,14 +533,17 @@ def whole_characters(text: bytes, spans: list[tuple[int, int]]) -> bytes:
 
 def strip_repeats(docs: DataFrame, kind: Kind = PASSAGES, group: int = GROUP) -> DataFrame:
     """docs with repeated passages taken out of text everywhere but at their first place, and n_chars counted anew if there is
-    one; all rows stay. Rows that repeat doc_id and text are one document."""
+    one; all rows stay, with all columns, whatever their names. Rows that repeat doc_id and text are one document. Null and empty texts
+    stay as they are, texts of any length are read whole; an empty table gives no rows."""
     _, info = repeated_spans(docs, (kind,), group, keep_first=True)
-    one = info.filter("whole OR runs IS NOT NULL").dropDuplicates(["doc_id", "digest"]).select(F.col("doc_id").alias("__i"), F.col("digest").alias("__d"), F.col("whole").alias("__whole"), F.col("runs").alias("__runs"))
-    likely = likely_set(one, ["__i", "__d"])
-    named = docs.withColumn("__digest", F.unhex(F.md5(F.coalesce(F.col("text").cast("binary"), F.lit(b"")))))
-    some, others = likely_in(named, ["doc_id", "__digest"], likely), likely_in(named, ["doc_id", "__digest"], likely, no=True)
-    joined = some.join(one, F.col("doc_id").eqNullSafe(F.col("__i")) & (F.col("__digest") == F.col("__d")), "left").drop("__i", "__d", "__digest")
+    one = info.filter("whole OR runs IS NOT NULL").dropDuplicates(["doc_id", "digest"]).select(F.col("doc_id").alias("i"), F.col("digest").alias("d"), "whole", "runs")
+    likely = likely_set(one, ["i", "d"])
+    # a document is one column, so that none of its names meets those of this function
+    named = docs.select(F.col("doc_id").alias("id"), F.unhex(F.md5(F.coalesce(F.col("text").cast("binary"), F.lit(b"")))).alias("digest"), F.struct("*").alias("row"))
+    some, others = likely_in(named, ["id", "digest"], likely), likely_in(named, ["id", "digest"], likely, no=True)
+    joined = some.join(one, F.col("id").eqNullSafe(F.col("i")) & (F.col("digest") == F.col("d")), "left")
     names, place = docs.columns, docs.columns.index("text")
+    all_of, own_of = unused(names, "whole", "runs")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -555,7 +559,7 @@ def strip_repeats(docs: DataFrame, kind: Kind = PASSAGES, group: int = GROUP) ->
             columns[place] = pa.array(out, columns[place].type)
             yield pa.RecordBatch.from_arrays(columns[:-2], names)
 
-    out = joined.mapInArrow(run, docs.schema)
+    out = joined.select("row.*", F.col("whole").alias(all_of), F.col("runs").alias(own_of)).mapInArrow(run, docs.schema)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.unionAll(others.drop("__digest"))
+    return out.unionAll(others.select("row.*"))

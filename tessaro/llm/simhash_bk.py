@@ -11,7 +11,8 @@ again, of which two must agree. As fingerprints are distinct, a shard that share
 splitting ends and no task holds more than a bounded number, however like each other the texts are.
 
 Defined results: null, empty and wordless texts have fingerprint zero and link like any other; a text of one or two words is
-one shingle. Repeated rows give one row each. An empty table gives none.
+one shingle. Repeated rows give one row each. An empty table gives none. Texts of any length are read whole. Only doc_id and text are read, so
+other columns may have any names.
 """
 
 from __future__ import annotations
@@ -222,15 +223,18 @@ def simhash_groups(docs: DataFrame) -> DataFrame:
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """One row of docs for each group of like texts, the least by doc_id and digest of the text. Decisions are per row: a
-    document in rows of different texts can stay in several groups. Rows without doc_id stay."""
+    document in rows of different texts can stay in several groups. Rows without doc_id stay; of rows that repeat doc_id and text
+    one stays. All columns stay, whatever their names; texts of any length are read whole, null and empty ones are like each other. An
+    empty table gives no rows."""
     digest = F.md5(F.coalesce("text", F.lit("")).cast("binary"))
     prints = cut(fingerprints(docs.filter("doc_id IS NOT NULL").select("doc_id", "text", digest.alias("digest")), more={"digest": "string"}))
     # groups are of fingerprints, under their own names: ids may stand in several
     found = components(fingerprint_links(cut(prints.select("fp", F.col("fp").alias("rep")).distinct())))
     named = prints.join(found, prints.fp == found.node, "left").withColumn("group", F.coalesce("component", "fp"))
-    chosen = cut(named.groupBy("group").agg(F.min(F.struct("doc_id", "digest")).alias("least")).select(F.col("least.doc_id").alias("__id"), F.col("least.digest").alias("__digest")))
-    own = docs.withColumn("__own", digest)
-    kept = own.join(chosen, (F.col("doc_id") == F.col("__id")) & (F.col("__own") == F.col("__digest")), "left_semi")
+    chosen = cut(named.groupBy("group").agg(F.min(F.struct("doc_id", "digest")).alias("least")).select(F.col("least.doc_id").alias("id"), F.col("least.digest").alias("digest")))
+    # a document is one column, so that none of its names meets those of this function
+    own = docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").alias("own_id"), digest.alias("own"), F.struct("*").alias("row"))
+    kept = own.join(chosen, (F.col("own_id") == F.col("id")) & (F.col("own") == F.col("digest")), "left_semi")
     if not prints.groupBy("doc_id", "digest").count().filter("count > 1").isEmpty():
-        kept = kept.dropDuplicates(["doc_id", "__own"])
-    return kept.select(docs.columns).unionByName(docs.filter("doc_id IS NULL"))
+        kept = kept.dropDuplicates(["own_id", "own"])
+    return kept.select("row.*").unionByName(docs.filter("doc_id IS NULL"))

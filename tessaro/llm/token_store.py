@@ -12,7 +12,8 @@ its entries leave the task as they are encoded. Only id totals of shards reach t
 
 Defined results: a null or empty text has its end id alone. Rows that repeat a doc_id are kept, as occurrences 0, 1, ... in
 order of their texts; a null doc_id comes first and is a key of its own. An unknown key isn't found (its fingerprint differs,
-but for one in 2**32 of them).
+but for one in 2**32 of them). An empty table gives a store without shards, and no rows. Texts of any length are read whole. Only doc_id and text are read, so
+other columns may have any names.
 """
 
 from __future__ import annotations

@@ -14,6 +14,8 @@ Defined results: a null or empty text, or one without any term of the vocabulary
 score of the base rate alone. With no labelled rows, or one label only, every score is the smoothed base rate. Labels that are
 null aren't used. Of several texts under a labelled doc_id
 the least counts. Repeated rows are scored one by one. Ties in cosine go to the lower example. An empty table gives no rows.
+Texts of any length are read whole. Only doc_id and text are read, so
+other columns may have any names.
 """
 
 from __future__ import annotations
@@ -37,8 +39,8 @@ BLOCK = 64
 FIRST = 4
 #: IDF of the words outside the vocabulary, as one term; their number counts in steps of a quarter of a doubling.
 BACKGROUND = 2.0
-#: Queries whose votes a task remembers.
-REMEMBERED = 20_000
+#: Terms of all queries whose votes a task remembers; a query of more terms isn't.
+REMEMBERED = 1_000_000
 PREFIXES = (4, 5, 6, 7)
 #: Least documents of a term to be tested.
 LEAST_DOCS = 5
@@ -301,14 +303,20 @@ def score(docs: DataFrame, voter: Voter) -> DataFrame:
         v = held.value
         lookup = Lookup(v.vocabulary)
         known: dict[tuple, tuple[float, np.ndarray]] = {}
+        held_terms = 0
 
         def vote(counts: dict[int, int]) -> tuple[float, np.ndarray]:
+            nonlocal held_terms
             key = tuple(sorted(counts.items()))
-            if key not in known:
-                if len(known) >= REMEMBERED:
+            if (found := known.get(key)) is None:
+                found = v.vote(counts)
+                if held_terms + len(key) + 1 > REMEMBERED:
                     known.clear()
-                known[key] = v.vote(counts)
-            return known[key]
+                    held_terms = 0
+                if len(key) < REMEMBERED:
+                    known[key] = found
+                    held_terms += len(key) + 1
+            return found
 
         for (ids,), whole in batches:
             found = [vote(term_counts(t, lookup)) for t in whole]

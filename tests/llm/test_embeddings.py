@@ -52,6 +52,38 @@ def test_links_against_brute_force(spark, rows, chunk):
         assert got == want
 
 
+def test_one_id_with_several_vectors(spark):
+    """Vectors 1 and 1 are near each other and vector 2: a row for each, two links each, one component."""
+    a, b, c = [1.0, 0.0, 0.0], [1.0, 0.1, 0.0], [1.0, 0.05, 0.05]
+    rows = [(1, a), (1, b), (2, c), (1, a), (9, [0.0, 0.0, 1.0]), (1, [0.0, 1.0, 0.0]), (8, [0.0, 1.0, 0.01])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = sorted(map(tuple, itq_dedup.near_vectors(df).collect()))
+    assert got == sorted(brute(rows)) == [(1, 1, 1, True), (1, 2, 1, True), (1, 2, 1, True), (2, 2, 1, False), (8, 1, 1, False), (9, 0, 9, True)]
+
+
+def test_doubles_are_compared_as_doubles(spark):
+    """A pair just below the threshold in doubles reaches it in floats."""
+    x = [1.0, 0.0]
+    pairs = [[0.9 * (1 - e), (1 - (0.9 * (1 - e)) ** 2) ** 0.5] for e in (1e-9, -1e-9)]
+    rows = [(0, x), (1, pairs[0]), (2, pairs[1])]
+    got = {r.vec_id: r.n_links for r in itq_dedup.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got == {0: 1, 1: 1, 2: 2}
+
+
+@pytest.mark.parametrize("mean", [0.0, 0.7, 0.8, 0.9])
+def test_a_plan_costs_less_than_comparing_all(mean):
+    rng = np.random.default_rng(4)
+    common = np.zeros(64)
+    common[0] = mean
+    x = itq_dedup.unit(common + np.sqrt(1 - mean**2) * itq_dedup.unit(rng.standard_normal((4000, 64))))
+    n = 10**6
+    quantiser = itq_dedup.fitted(x, n, 0.9, itq_dedup.RECALL)
+    keys = quantiser.keys(x)
+    share = sum(float((c * (c - 1.0)).sum()) for c in (np.unique(k, return_counts=True)[1] for k in keys.T)) / len(x) / (len(x) - 1)
+    assert n * share + itq_dedup.COPY * quantiser.tables <= 1.1 * n
+    assert mean > 0.7 or share < 0.05
+
+
 def test_empty_and_all_bad(spark):
     schema = "vec_id long, embedding array<float>"
     assert itq_dedup.near_vectors(spark.createDataFrame([], schema)).count() == 0

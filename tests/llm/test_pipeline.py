@@ -11,6 +11,8 @@ import pytest
 import zstandard
 from test_text_operators import left_of, plain_passages, prose, raw, reference_ids, union
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from tessaro.llm import compression_bands, ordinal_quality, queries, simhash_bk
 
@@ -135,6 +137,39 @@ def test_packing(kept):
     assert len(bins) <= math.ceil(sum(r.length for r in got) / 2048) + 2
 
 
+@pytest.mark.parametrize("name", [n for n in STAGES if n != "packing"])
+def test_columns_of_any_name(spark, docs, name):
+    """Names that the stages use within: rows and columns as without them."""
+    names = ["__own", "__i", "__d", "__digest", "__id", "__whole", "__runs", "__at", "__word", "__bits", "whole", "runs", "id", "row", "own", "fp", "node", "component", "group", "least", "I", "D"]
+    more = docs.select("*", *[F.lit(k).alias(c) for k, c in enumerate(names)])
+    plain, wide = STAGES[name](spark, docs, SF), STAGES[name](spark, more, SF)
+    assert wide.columns == more.columns
+    assert Counter(map(tuple, wide.select(docs.columns).collect())) == Counter(map(tuple, plain.collect()))
+    assert {tuple(r) for r in wide.select(names).collect()} == {tuple(range(len(names)))}
+
+
+@pytest.mark.parametrize("name", list(STAGES))
+def test_a_very_long_text(spark, name):
+    """A text of two million words stands among others, and is read to its end."""
+    rng = random.Random(12)
+    words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 9))) for _ in range(50_000)]
+    long = " ".join(rng.choice(words) for _ in range(2_000_000))
+    end = " ".join(long.split(" ")[-60:])
+    rows = [(1, long, "en", "s", len(long)), (2, prose(rng, 80) + " " + end + " " + prose(rng, 40), "en", "s", 1), (3, None, "en", "s", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(2)
+    got = STAGES[name](spark, docs, SF).collect()
+    if name == "packing":
+        assert sum(r.length for r in got if r.doc_id == 1) == len(reference_ids(long, 0))
+    elif name == "passage_dedup":
+        # of the two places of the passage one stays
+        assert sorted((end in r.text) for r in got if r.text) == [False, True]
+    else:
+        assert {r.doc_id: r.text for r in got}.get(1) in (long, None)
+        assert name != "near_dedup" or {r.doc_id for r in got} == {1, 2, 3}
+        zip_, bands = zstandard.ZstdCompressor(level=3), compression_bands.Bands()
+        assert name != "quality_rules" or {r.doc_id for r in got} == {i for i, t in ((1, long), (2, rows[1][1])) if compression_bands.banded(raw(t), bands, zip_)[-1]}
+
+
 @pytest.mark.parametrize("name", list(STAGES))
 def test_an_empty_table(spark, docs, name):
     out = STAGES[name](spark, docs.limit(0), SF)
