@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessaro.operators.calendars import uncovered_days
@@ -40,7 +42,7 @@ def edge_day_sample(bars: DataFrame, days: DataFrame) -> DataFrame:
 
 def benchmark_coverage(bars: DataFrame, benchmarks: DataFrame, days: DataFrame) -> DataFrame:
     """Rows, first and last day of each benchmark, and how many of the days it lacks; one without bars counts too."""
-    b = bars.select("symbol", "trade_date").join(F.broadcast(benchmarks), "symbol", "left_semi")
+    b = bars.select("symbol", "trade_date").join(benchmarks.select("symbol").distinct(), "symbol", "left_semi")
     g = b.groupBy("symbol").agg(F.count("*").alias("n_rows"), F.min("trade_date").alias("first_day"), F.max("trade_date").alias("last_day"))
     seen = b.distinct().join(F.broadcast(days.select(F.col("day").alias("trade_date")).distinct()), "trade_date").groupBy("symbol").agg(F.count("*").alias("_seen"))
     n = days.agg(F.count_distinct("day")).scalar()
@@ -81,15 +83,14 @@ def unexplained_gaps(bars: DataFrame, listing: DataFrame, days: DataFrame) -> Da
     return due.join(have, "symbol", "left").select("symbol", (F.col("_due") - F.coalesce("_have", F.lit(0))).alias("n_missing")).filter("n_missing > 0")
 
 
-def check(code: str, failures: DataFrame, detail: Column | None = None) -> DataFrame:
-    """One row: how many failures a check has."""
-    return failures.agg(F.count("*").alias("n_failures")).select(F.lit(code).alias("code"), "n_failures", (F.col("n_failures") == 0).alias("passed"))
-
-
 def run_checks(
     tables: dict[str, DataFrame], issues: DataFrame, days: DataFrame, benchmarks: DataFrame, start: str, end: str, calendar_spans: DataFrame, tampered: list[str] = (), untraceable: list[str] = ()
 ) -> DataFrame:
-    """The nine automated checks of a version, each with its number of failures.
+    """The nine automated checks of a version in their order: code, n_failures, passed, error.
+
+    Each check is planned and run by itself. One that can't be run, as where a table is absent, unreadable or has another schema,
+    has failed: no count of failures, and the kind of error (never its message, which may hold paths or secrets). The other checks
+    aren't touched by that. Only counts reach the driver.
 
     tables by name; issues of the quality queries; open days; benchmark symbols; calendar_spans (start, end) with provenance;
     tampered: tables whose content hash differs (``Dataset.verify``); untraceable: snapshots that fail ``raw_store.verify``.
@@ -97,23 +98,40 @@ def run_checks(
     spark = days.sparkSession
     named = lambda xs: spark.createDataFrame([(x,) for x in xs], "name string")
     lo, hi = F.lit(start).cast("date"), F.lit(end).cast("date")
-    window = days.filter(F.col("day").between(lo, hi)).select("day").distinct()
-    bars, master = tables["daily_bar"], tables["security_master"]
-    outside = days.agg(F.min("day").alias("a"), F.max("day").alias("b"), F.max((F.col("day") == hi).cast("int")).alias("c")).filter((lo < F.col("a")) | (hi > F.col("b")) | (F.coalesce("c", F.lit(0)) == 0)).select(F.lit("window").alias("name"))
-    lacking = benchmark_coverage(bars, benchmarks, window).filter("missing_open_days > 0").select(F.col("symbol").alias("name"))
-    gaps = unexplained_gaps(bars, master, window).select(F.col("symbol").alias("name"))
-    asked = master.select("symbol", lo.alias("window_start"), hi.alias("window_end"))
-    trusted = tables["corporate_action_coverage"].filter("status <> 'UNTRUSTED'").select("symbol", "window_start", "window_end")
-    whole = spark.range(1).select(F.lit("calendar").alias("key"), lo.alias("start"), hi.alias("end"))
-    failures = {
-        "dataset_manifest_integrity": named(tampered),
-        "quality_report_integrity": blocking(issues),
-        "required_table_coverage": named(sorted(set(TABLES) - set(tables))),
-        "date_window_completeness": outside.unionByName(lacking).unionByName(gaps),
-        "security_master_evidence": master.select("symbol").join(tables["security_master_coverage"].select("symbol").distinct(), "symbol", "left_anti"),
-        "corporate_action_evidence": uncovered_days(asked, trusted, ["symbol"], "window_start", "window_end").select("symbol").distinct(),
-        "raw_snapshot_traceability": named(untraceable),
-        "calendar_coverage_evidence": uncovered_days(whole, calendar_spans.select(F.lit("calendar").alias("key"), "start", "end"), ["key"], "start", "end"),
-        "source_role_health": bars.filter(~F.coalesce(F.col("source").isin(*KNOWN_SOURCES), F.lit(False))).select("source").distinct(),
+
+    def windows() -> list[DataFrame]:
+        window = days.filter(F.col("day").between(lo, hi)).select("day").distinct()
+        ends = days.agg(F.min("day").alias("a"), F.max("day").alias("b"), F.max((F.col("day") == hi).cast("int")).alias("c"))
+        lacking = benchmark_coverage(tables["daily_bar"], benchmarks, window).filter("missing_open_days > 0")
+        return [ends.filter((lo < F.col("a")) | (hi > F.col("b")) | (F.coalesce("c", F.lit(0)) == 0)), lacking, unexplained_gaps(tables["daily_bar"], tables["security_master"], window)]
+
+    def unproven_actions() -> list[DataFrame]:
+        asked = tables["security_master"].select("symbol", lo.alias("window_start"), hi.alias("window_end"))
+        trusted = tables["corporate_action_coverage"].filter("status <> 'UNTRUSTED'").select("symbol", "window_start", "window_end")
+        return [uncovered_days(asked, trusted, ["symbol"], "window_start", "window_end").select("symbol").distinct()]
+
+    def uncovered_calendar() -> list[DataFrame]:
+        whole = spark.range(1).select(F.lit("calendar").alias("key"), lo.alias("start"), hi.alias("end"))
+        return [uncovered_days(whole, calendar_spans.select(F.lit("calendar").alias("key"), "start", "end"), ["key"], "start", "end")]
+
+    failures: dict[str, Callable[[], list[DataFrame]]] = {
+        "dataset_manifest_integrity": lambda: [named(tampered)],
+        "quality_report_integrity": lambda: [blocking(issues)],
+        "required_table_coverage": lambda: [named(sorted(set(TABLES) - set(tables)))],
+        "date_window_completeness": windows,
+        "security_master_evidence": lambda: [tables["security_master"].select("symbol").join(tables["security_master_coverage"].select("symbol").distinct(), "symbol", "left_anti")],
+        "corporate_action_evidence": unproven_actions,
+        "raw_snapshot_traceability": lambda: [named(untraceable)],
+        "calendar_coverage_evidence": uncovered_calendar,
+        "source_role_health": lambda: [tables["daily_bar"].filter(~F.coalesce(F.col("source").isin(*KNOWN_SOURCES), F.lit(False))).select("source").distinct()],
     }
-    return reduce(DataFrame.unionByName, [check(c, failures[c]) for c in CHECKS])
+    return spark.createDataFrame([checked(code, failures[code]) for code in CHECKS], "code string, n_failures long, passed boolean, error string")
+
+
+def checked(code: str, failures: Callable[[], list[DataFrame]]) -> tuple[str, int | None, bool, str | None]:
+    """A check's row: the failures counted, or the kind of error that kept them from being counted."""
+    try:
+        n = sum(f.count() for f in failures())
+    except (KeyError, OSError, ValueError, PySparkException, Py4JJavaError) as error:
+        return code, None, False, type(error).__name__
+    return code, n, n == 0, None

@@ -87,11 +87,27 @@ SELECT code, n_failures, n_failures = 0 AS passed FROM (
 )
 def acceptance_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All nine checks over tables with known faults: a tampered table, missing coverage, a calendar with a hole."""
+    return checks(spark, sf_dir, {}).select("code", "n_failures", "passed")
+
+
+@query(
+    """
+SELECT * FROM (VALUES ('dataset_manifest_integrity', 1, false, NULL), ('quality_report_integrity', -1, false, NULL), ('required_table_coverage', 6, false, NULL), ('date_window_completeness', NULL, false, 'KeyError'), ('security_master_evidence', NULL, false, 'KeyError'),
+  ('corporate_action_evidence', NULL, false, 'KeyError'), ('raw_snapshot_traceability', 0, true, NULL), ('calendar_coverage_evidence', 1, false, NULL), ('source_role_health', NULL, false, 'AnalysisException')) t(code, n_failures, passed, error) WHERE n_failures IS DISTINCT FROM -1
+UNION ALL SELECT 'quality_report_integrity', (SELECT count(DISTINCT code) FROM value_issues), (SELECT count(*) = 0 FROM value_issues), NULL"""
+)
+def acceptance_checks_of_broken_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """No master at all, and bars without a source: what can't be checked has failed, all else is as before."""
+    return checks(spark, sf_dir, {"security_master": None, "daily_bar": dirty_bars(spark, sf_dir).drop("source")})
+
+
+def checks(spark: SparkSession, sf_dir: str, instead: dict[str, DataFrame | None]) -> DataFrame:
     m, b = market.master(spark, sf_dir), dirty_bars(spark, sf_dir)
     date = lambda x: F.lit(x).cast("date")
     coverage = m.filter("board <> 'star'").select("symbol", date(START).alias("window_start"), date(END).alias("window_end"), F.when(F.col("board") == "chinext", "UNTRUSTED").otherwise("VERIFIED").alias("status"))
     spans = spark.createDataFrame([("1995-01-01", "1996-03-31"), ("1996-04-02", "1997-01-01")], "start string, end string").select(F.col("start").cast("date").alias("start"), F.col("end").cast("date").alias("end"))
     tables = {"daily_bar": b, "security_master": m, "security_master_coverage": m.filter("board <> 'star'").select("symbol"), "corporate_action_coverage": coverage}
+    tables = {k: v for k, v in (tables | instead).items() if v is not None}
     benchmark = spark.createDataFrame([("S1",)], "symbol string")
     return acceptance.run_checks(tables, quality.value_issues(b), market.open_days(spark, sf_dir), benchmark, START, END, spans, tampered=["daily_bar"])
 

@@ -12,7 +12,7 @@ from tessaro.plans import market
 from tessaro.plans.market import table
 from tessaro.plans.registry import query
 from tessaro.schemas import TABLES, schema
-from tessaro.sources import catalog, raw_store, supplier
+from tessaro.sources import catalog, membership_file, raw_store, supplier
 from tessaro.streaming import bars as streaming
 
 
@@ -83,6 +83,70 @@ def versioned_publish(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.Dataset(spark, root).query("SELECT symbol, count(*) AS n, sum(volume) AS volume FROM {daily_bar} GROUP BY 1")
 
 
+@query("SELECT 'daily_bar' AS name, count(*) AS n_rows, 0 AS n_out_of_order FROM bars UNION ALL SELECT 'trading_calendar', count(*), 0 FROM open_days")
+def published_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Published tables read back by file and place in it: every row stands behind those that come before it."""
+    root = work_folder(spark, "catalog")
+    days = market.open_days(spark, sf_dir).select(F.col("day").alias("calendar_date"), F.lit(True).alias("is_trading_day"))
+    catalog.publish(spark, root, {"daily_bar": daily_bar(spark, sf_dir).repartition(5), "trading_calendar": days})
+    path = catalog.Dataset(spark, root).path
+    one, two = (catalog.out_of_order(spark, f"{path}/{t}.parquet", t).select(F.lit(t).alias("name"), "n_rows", F.col("n_out_of_order").cast("int").alias("n_out_of_order")) for t in ("daily_bar", "trading_calendar"))
+    return one.unionByName(two)
+
+
+@query("SELECT symbol, count(*) AS n_new, count(*) FILTER (trade_date < DATE '1998-01-01') AS n_old, sum(volume) FILTER (trade_date >= DATE '1998-01-01')::BIGINT AS added FROM bars GROUP BY 1")
+def version_views(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two versions at once, as views of the catalogue in plain SQL; commands that write are refused."""
+    root, b = work_folder(spark, "catalog"), daily_bar(spark, sf_dir)
+    old = catalog.Dataset(spark, root, catalog.publish(spark, root, {"daily_bar": b.filter("trade_date < DATE'1998-01-01'")}))
+    new = catalog.Dataset(spark, root, catalog.publish(spark, root, {"daily_bar": b}))
+    before = old.attach()
+    for sql in ("DROP VIEW daily_bar", "INSERT INTO daily_bar SELECT * FROM daily_bar", "CREATE TABLE t AS SELECT 1 AS x", "WITH x AS (SELECT * FROM daily_bar) INSERT INTO daily_bar SELECT * FROM x"):
+        try:
+            new.sql(sql)
+        except catalog.WritesRefused:
+            continue
+        raise ValueError(f"not refused: {sql}")
+    return new.sql(
+        f"""SELECT n.symbol, count(*) AS n_new, count(o.symbol) AS n_old, sum(CASE WHEN o.symbol IS NULL THEN n.volume END) AS added
+        FROM daily_bar n LEFT JOIN {before}.daily_bar o ON o.symbol = n.symbol AND o.trade_date = n.trade_date GROUP BY n.symbol"""
+    )
+
+
+@query(
+    """
+SELECT f AS format, count(*) FILTER (good) AS n_facts, count(*) FILTER (good AND raw_to IS NULL) AS n_open, min(raw_from) FILTER (good) AS first_start, count(*) FILTER (k % 50 = 3 AND NOT corrupt) AS n_bad_symbols, count(*) FILTER (k % 60 = 7 AND NOT corrupt) AS n_bad_dates, count(*) FILTER (corrupt) AS n_corrupt
+FROM (SELECT *, NOT corrupt AND k % 50 <> 3 AND k % 60 <> 7 AND announced <= raw_from AS good FROM (SELECT f, m.*, f = 'csv' AND k % 77 = 5 AS corrupt FROM (SELECT *, CAST(symbol[2:] AS BIGINT) AS k FROM memberships) m, (SELECT unnest(['csv', 'parquet']) AS f))) GROUP BY 1"""
+)
+def membership_import(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Membership files as CSV and Parquet with bad symbols, bad dates and lines that don't fit: read, split into facts and rejected
+    rows, and the facts written in the other format and read back."""
+    m = market.memberships(spark, sf_dir).withColumn("k", F.substring("symbol", 2, 20).cast("long"))
+    k, reason = F.col("k"), F.when(F.col("raw_to").isNull(), "initial_constituent").otherwise("regular_rebalance")
+
+    def lines(reason) -> DataFrame:
+        return m.select(
+            "universe_id", F.when(k % 50 == 3, "bad").otherwise(F.concat(F.lpad(k.cast("string"), 6, "0"), F.lit(".SH"))).alias("symbol"), F.when(k % 60 == 7, "n/a").otherwise(F.date_format("raw_from", "yyyyMMdd")).alias("raw_effective_from"),
+            F.col("raw_to").cast("string").alias("raw_effective_to"), F.col("announced").cast("string").alias("announcement_date"), reason.alias("reason"),
+        )
+
+    at = work_folder(spark, "members")
+    # written without quotes, commas within a value are fields too many
+    lines(F.when(k % 77 == 5, "x,one,more").otherwise(reason)).write.option("header", True).option("quote", "").csv(f"{at}/members.csv")
+    lines(reason).write.parquet(f"{at}/members.parquet")
+    out = []
+    for kind, other in (("csv", "parquet"), ("parquet", "csv")):
+        good, bad = membership_file.split_import(membership_file.read_rows(spark, f"{at}/members.{kind}"), F.col("universe_id"), source="file", url="http://members", digest="0" * 64)
+        membership_file.write_rows(good, f"{at}/{kind}-facts.{other}")
+        back = membership_file.read_rows(spark, f"{at}/{kind}-facts.{other}")
+        kept = back.agg(F.count("*").alias("n_facts"), F.count_if(F.col("raw_effective_to").isNull()).alias("n_open"), F.min(F.col("raw_effective_from").cast("date")).alias("first_start"))
+        has = lambda p: F.count_if(F.array_contains("problems", p))
+        lost = bad.agg(has("non_canonical_symbol").alias("n_bad_symbols"), has("raw_effective_from_missing").alias("n_bad_dates"), has("corrupt_record").alias("n_corrupt"))
+        key = F.lit(kind).alias("format")
+        out.append(kept.select(key, "*").join(lost.select(key, "*"), "format"))
+    return out[0].unionByName(out[1])
+
+
 @query("SELECT true AS same_for_any_order, true AS changes_with_content, 9 AS n_tables")
 def content_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = daily_bar(spark, sf_dir)

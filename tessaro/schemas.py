@@ -18,6 +18,19 @@ TABLES = {
     "universe_membership": "universe_id string, symbol string, raw_effective_from date, raw_effective_to date, announcement_date date, status string, reason string, source string, source_url string, snapshot_sha256 string, source_document_sha256 string",
 }
 
+# By which columns the rows of a published table are in order, first to last.
+ORDERS = {
+    "daily_bar": ("symbol", "trade_date"),
+    "adjusted_bar": ("trade_date", "symbol"),
+    "security_master": ("symbol",),
+    "security_master_coverage": ("symbol", "checked_at"),
+    "corporate_action": ("symbol", "ex_date"),
+    "corporate_action_quarantine": ("symbol", "ex_date", "confirmed_by", "reason"),
+    "corporate_action_coverage": ("symbol", "window_start", "window_end"),
+    "trading_calendar": ("calendar_date",),
+    "universe_membership": ("universe_id", "symbol", "raw_effective_from"),
+}
+
 
 def schema(table: str) -> StructType:
     if table not in TABLES:

@@ -10,11 +10,15 @@ import hashlib
 import json
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessaro.operators.quality import blocking
-from tessaro.schemas import TABLES, conform, row_digest, schema
+from tessaro.schemas import ORDERS, TABLES, conform, row_digest, schema
+
+
+class WritesRefused(ValueError):
+    """A command that isn't a query was given to a read-only version."""
 
 
 class PublicationBlocked(Exception):
@@ -74,6 +78,44 @@ def canonical_json(value: object) -> str:
     return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False)
 
 
+def total_order(table: str) -> list[str]:
+    """The table's order, ties broken by its other columns, so that the same rows have one order."""
+    first = ORDERS[table]
+    return [*first, *(c for c in schema(table).names if c not in first)]
+
+
+def in_order(rows: DataFrame, table: str) -> DataFrame:
+    """rows in ranges of the table's order, sorted within: files follow each other in order, and their row groups hold narrow ranges of
+    the leading columns, which scans skip by. A symbol with very many rows lies in several ranges."""
+    order = total_order(table)
+    return rows.repartitionByRange(*order).sortWithinPartitions(*order)
+
+
+def out_of_order(spark: SparkSession, path: str, table: str) -> DataFrame:
+    """n_rows, n_out_of_order: rows of a written table that stand before the row in front of them, by file name and place in the
+    file. Neighbours are compared within files, and files by their ends: no task holds more than a file."""
+    order = total_order(table)
+    at = spark.read.schema(schema(table)).parquet(path).select(F.struct(*order).alias("at"), F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("place"))
+    within = Window.partitionBy("file").orderBy("place")
+    files = at.withColumn("before", F.lag("at").over(within)).groupBy("file").agg(F.count("*").alias("n"), F.count_if(F.col("at") < F.col("before")).alias("bad"), F.min_by("at", "place").alias("first"), F.max_by("at", "place").alias("last"))
+    between = F.lag("last").over(Window.orderBy("file"))  # a row for each file
+    ends = files.withColumn("before", between)
+    return ends.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_rows"), F.coalesce(F.sum(F.col("bad") + F.coalesce(F.col("first") < F.col("before"), F.lit(False)).cast("int")), F.lit(0)).alias("n_out_of_order"))
+
+
+def refuse_writes(spark: SparkSession, sql: str) -> None:
+    """Only queries pass: the parsed plan may hold no command and no statement that writes."""
+    jvm = spark._jvm
+    kinds = [jvm.java.lang.Class.forName(f"org.apache.spark.sql.catalyst.plans.logical.{k}") for k in ("Command", "ParsedStatement")]
+    todo = [spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)]
+    while todo:
+        plan = todo.pop()
+        if any(k.isInstance(plan) for k in kinds):
+            raise WritesRefused(f"a version is read-only: {plan.nodeName()}")
+        children = plan.children()
+        todo += [children.apply(i) for i in range(children.size())]
+
+
 def publish(spark: SparkSession, root: str, tables: dict[str, DataFrame], issues: DataFrame | None = None, config: dict | None = None) -> str:
     """Gate, stage, hash, rename, then move CURRENT; returns the version. The same content gives the same version again."""
     unknown = set(tables) - set(TABLES)
@@ -85,7 +127,7 @@ def publish(spark: SparkSession, root: str, tables: dict[str, DataFrame], issues
     hashes = {}
     try:
         for name, rows in sorted(tables.items()):
-            conform(rows, name).write.parquet(f"{staging}/{name}.parquet")
+            in_order(conform(rows, name), name).write.parquet(f"{staging}/{name}.parquet")
             hashes[name] = content_hash(spark.read.schema(schema(name)).parquet(f"{staging}/{name}.parquet"))
         schemas = {name: hashlib.sha256(TABLES[name].encode()).hexdigest() for name in hashes}
         manifest = {"tables": hashes, "schemas": schemas, "config": config or {}}
@@ -121,6 +163,25 @@ class Dataset:
         tables = {t: self.read(t) for t in self.manifest["tables"] if "{" + t + "}" in sql}
         return self.spark.sql(sql, args=args or None, **tables)
 
+    def attach(self, database: str | None = None) -> str:
+        """The version's tables as views of a database of the session's catalogue, version_ and the first 16 digits of its hash unless
+        named; the name. Views of several versions stand beside each other. Views that don't fit are made anew."""
+        name = database or f"version_{self.version[:16]}"
+        self.spark.sql(f"CREATE DATABASE IF NOT EXISTS `{name}`")
+        for table in self.manifest["tables"]:
+            self.spark.sql(f"CREATE OR REPLACE VIEW `{name}`.`{table}` AS SELECT * FROM parquet.`{self.path}/{table}.parquet`")
+        return name
+
+    def sql(self, text: str, **args) -> DataFrame:
+        """Plain SQL in which the names of the version's tables are its tables; other versions by their database. Commands that
+        write are refused before they run. The caller's session keeps its current database and its own views."""
+        refuse_writes(self.spark, text)
+        session = self.spark.newSession()
+        for key in ("spark.sql.shuffle.partitions", "spark.sql.session.timeZone"):
+            session.conf.set(key, self.spark.conf.get(key))
+        session.catalog.setCurrentDatabase(self.attach())
+        return session.sql(text, args=args or None)
+
     def verify(self) -> list[str]:
         """Tables whose rows no longer have the hash of the manifest."""
         return [t for t, h in self.manifest["tables"].items() if content_hash(self.read(t)) != h]

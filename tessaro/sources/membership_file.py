@@ -2,30 +2,92 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessaro.functions import clean
+from tessaro.operators.lineage import settled
+from tessaro.sources.catalog import content_hash
+
+
+#: The line of a CSV file that has more or fewer fields than the header, or quotes that don't end; null for good lines.
+CORRUPT = "_corrupt_record"
 
 
 def read_rows(spark: SparkSession, path: str) -> DataFrame:
-    """CSV (all columns as strings, nothing inferred) or Parquet, by the path's ending."""
+    """CSV (all columns as strings, nothing inferred) or Parquet, by the path's ending. Lines of a CSV that don't fit its header
+    are kept in a column of their own, and nothing of them in the others."""
     if path.endswith(".parquet"):
         return spark.read.parquet(path)
     if path.endswith(".csv"):
-        return spark.read.option("header", True).option("inferSchema", False).csv(path)
+        plain = spark.read.option("header", True).option("inferSchema", False)
+        names = [f"`{c}`" for c in plain.csv(path).columns]
+        kept = ", ".join(f"{c} string" for c in [*names, CORRUPT])
+        rows = plain.schema(kept).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).option("enforceSchema", True).csv(path)
+        good = F.col(CORRUPT).isNull()
+        return rows.select(*[F.when(good, F.col(c)).alias(c.strip("`")) for c in names], CORRUPT)
     raise ValueError(f"{path} is neither .csv nor .parquet")
 
 
-def facts(rows: DataFrame, universe_id: str, source: str, url: str, digest: str) -> DataFrame:
-    """Membership facts with their evidence. Rows: symbol, effective_from, effective_to, announcement_date, reason."""
+def write_rows(rows: DataFrame, path: str) -> None:
+    """CSV with a header or Parquet, by the path's ending."""
+    if path.endswith(".parquet"):
+        rows.write.parquet(path)
+    elif path.endswith(".csv"):
+        rows.write.option("header", True).csv(path)
+    else:
+        raise ValueError(f"{path} is neither .csv nor .parquet")
+
+
+def facts(rows: DataFrame, universe_id: str | Column, source: str, url: str, digest: str, document: str | None = None, effective_date: str | None = None, announcement_date: str | None = None, reason: str | None = None) -> DataFrame:
+    """Membership facts with their evidence. Rows: symbol and, each if it is there, raw_effective_from or effective_from, raw_effective_to
+    or effective_to, announcement_date, reason; where a row lacks the start, the announcement or the reason, the one given holds."""
+    there = set(rows.columns)
+    text = lambda *names: clean.blank_to_null(next((c for c in names if c in there), None)) if there & set(names) else F.lit(None).cast("string")
+    # a text that is no date stays one: only a blank falls back
+    dated = lambda given, *names: F.when(text(*names).isNull(), F.lit(given).cast("date")).otherwise(clean.trade_date(next((c for c in names if c in there), "symbol")))
+    end = text("raw_effective_to", "effective_to")
     return rows.select(
-        F.lit(universe_id).alias("universe_id"), clean.symbol("symbol").alias("symbol"), clean.trade_date("effective_from").alias("raw_effective_from"),
-        clean.trade_date("effective_to").alias("raw_effective_to"), clean.trade_date("announcement_date").alias("announcement_date"), F.when(clean.blank_to_null("effective_to").isNull(), "active").otherwise("removed").alias("status"),
-        clean.blank_to_null("reason").alias("reason"), F.lit(source).alias("source"), F.lit(url).alias("source_url"), F.lit(digest).alias("snapshot_sha256"), F.lit(digest).alias("source_document_sha256"),
+        (F.lit(universe_id) if isinstance(universe_id, str) else universe_id).alias("universe_id"), clean.symbol("symbol").alias("symbol"), dated(effective_date, "raw_effective_from", "effective_from").alias("raw_effective_from"),
+        dated(None, "raw_effective_to", "effective_to").alias("raw_effective_to"), dated(announcement_date, "announcement_date").alias("announcement_date"), F.when(end.isNull(), "active").otherwise("removed").alias("status"),
+        F.coalesce(text("reason"), F.lit(reason)).alias("reason"), F.lit(source).alias("source"), F.lit(url).alias("source_url"), F.lit(digest).alias("snapshot_sha256"), F.lit(document or digest).alias("source_document_sha256"),
     )
 
 
+def split_import(rows: DataFrame, universe_id: str | Column, **evidence) -> tuple[DataFrame, DataFrame]:
+    """Rows as read -> facts without a fault of their own, and rejected rows (universe_id, symbol, problems): corrupt lines, and facts
+    for which fact_issues finds anything but an overlap."""
+    if CORRUPT in rows.columns:
+        rows = settled(rows)  # Spark refuses to look at this column alone in a file
+    corrupt = F.col(CORRUPT).isNotNull() if CORRUPT in rows.columns else F.lit(False)
+    numbered = settled(facts(rows.filter(~corrupt), universe_id, **evidence).withColumn("_n", F.monotonically_increasing_id()))
+    issues = fact_issues(numbered.withColumn("universe_id", F.concat_ws("|", "universe_id", F.col("_n").cast("string"))).drop("_n"))
+    # each row a universe of its own here: faults are of the row alone
+    faults = issues.withColumn("_n", F.element_at(F.split("universe_id", r"\|"), -1).cast("long")).groupBy("_n").agg(F.array_sort(F.flatten(F.collect_list("problems"))).alias("problems"))
+    judged = numbered.join(faults, "_n", "left")
+    good = judged.filter("problems IS NULL").select(*FACT_COLUMNS)
+    bad = judged.filter("problems IS NOT NULL").select("universe_id", "symbol", "problems")
+    lines = rows.filter(corrupt).select((F.lit(universe_id) if isinstance(universe_id, str) else F.lit(None).cast("string")).alias("universe_id"), F.lit(None).cast("string").alias("symbol"), F.array(F.lit("corrupt_record")).alias("problems"))
+    return good, bad.unionByName(lines)
+
+
+class ImportRejected(ValueError):
+    """A membership file has rows that are no facts: nothing was written."""
+
+
+def import_file(spark: SparkSession, path: str, output: str, universe_id: str, **evidence) -> tuple[DataFrame, str]:
+    """Read a file, check every row, and only if all are facts without a fault write them in order to output; the facts as written, and
+    their content's hash."""
+    good, rejected = split_import(read_rows(spark, path), universe_id, **evidence)
+    n = rejected.count() + fact_issues(good).count()
+    if n:
+        raise ImportRejected(f"{n} rows of the file have faults")
+    write_rows(good.repartitionByRange("universe_id", "symbol", "raw_effective_from").sortWithinPartitions("universe_id", "symbol", "raw_effective_from"), output)
+    kept = read_rows(spark, output)
+    written = facts(kept, F.col("universe_id"), **evidence) if output.endswith(".csv") else kept
+    return written, content_hash(written)
+
+
 # What a membership fact may say, and why memberships end for good.
 STATUSES = ("active", "removed")
 REASONS = ("initial_constituent", "regular_rebalance", "temporary_adjustment", "delisting", "merger_or_reorganization")

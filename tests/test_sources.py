@@ -235,3 +235,100 @@ def test_gates_take_nulls_and_empty_tables(spark):
     days = spark.createDataFrame([(dt.date(2020, 1, 2),)], "day date")
     listed = spark.createDataFrame([(dt.date(2020, 1, 2), True), (dt.date(2020, 1, 2), False), (dt.date(2020, 1, 3), False)], "day date, is_open boolean")
     assert [r.difference for r in gates.calendar_excerpt_differences(days, listed).collect()] == ["official_closed_dataset_open"]
+
+
+def test_published_rows_are_in_order_and_a_symbol_lies_in_few_row_groups(spark, tmp_path):
+    import pyarrow.parquet as pq
+
+    names = [f"{600000 + k}.SH" for k in range(40)]
+    rows = [(DAY + dt.timedelta(days=k % 50), names[(k * 7) % 40], *BAR[2:]) for k in range(4000)]
+    rows += [(DAY + dt.timedelta(days=k), names[3], *BAR[2:]) for k in range(4000)]  # half of the rows
+    root = str(tmp_path / "catalog")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "12")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        catalog.publish(spark, root, {"daily_bar": spark.createDataFrame(rows, schema("daily_bar")).repartition(5)})
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    path = f"{catalog.Dataset(spark, root).path}/daily_bar.parquet"
+    assert tuple(catalog.out_of_order(spark, path, "daily_bar").first()) == (8000, 0)
+    sizes, hit = [], {n: 0 for n in names}
+    for file in sorted((tmp_path / "catalog").rglob("*.parquet")):
+        if file.is_file() and file.name.startswith("part-"):
+            meta = pq.read_metadata(file)
+            for g in range(meta.num_row_groups):
+                sizes.append(meta.row_group(g).num_rows)
+                s = meta.row_group(g).column(1).statistics
+                for n in names:
+                    hit[n] += s.min <= n <= s.max
+    assert len(sizes) >= 8 and max(sizes) < 2500  # the hot symbol is spread over several files
+    assert all(hit[n] <= 2 for n in names if n != names[3])
+    shuffled = str(tmp_path / "shuffled")
+    spark.createDataFrame(rows, schema("daily_bar")).coalesce(1).write.parquet(shuffled)
+    backwards = sum((b[1], b[0]) < (a[1], a[0]) for a, b in zip(rows, rows[1:], strict=False))
+    assert catalog.out_of_order(spark, shuffled, "daily_bar").first().n_out_of_order == backwards > 0
+
+
+def test_versions_as_views_are_read_only(spark, tmp_path):
+    root = str(tmp_path / "catalog")
+    one = catalog.Dataset(spark, root, catalog.publish(spark, root, {"daily_bar": bars(spark)}))
+    two = catalog.Dataset(spark, root, catalog.publish(spark, root, {"daily_bar": bars(spark, 4)}))
+    assert one.sql("SELECT count(*) AS n FROM daily_bar WHERE symbol = :s", s="600000.SH").first().n == 3
+    assert two.sql(f"WITH o AS (SELECT trade_date FROM {one.attach()}.daily_bar) SELECT count(*) AS n FROM daily_bar LEFT ANTI JOIN o USING (trade_date)").first().n == 1
+    assert spark.catalog.currentDatabase() == "default"
+    for sql in ("INSERT INTO daily_bar VALUES (1)", "DROP TABLE daily_bar", "DROP DATABASE default", "TRUNCATE TABLE daily_bar", "FROM daily_bar INSERT OVERWRITE TABLE daily_bar SELECT *", "CREATE VIEW v AS SELECT 1", "DELETE FROM daily_bar", "SET a = b", "ALTER TABLE daily_bar RENAME TO x"):
+        with pytest.raises(catalog.WritesRefused):
+            one.sql(sql)
+    assert one.read("daily_bar").count() == 3
+
+
+def test_membership_files_are_imported_whole_or_not_at_all(spark, tmp_path):
+    evidence = {"source": "file", "url": "http://x", "digest": "0" * 64, "effective_date": "2020-01-01", "announcement_date": "2019-12-20", "reason": "initial_constituent"}
+    good = tmp_path / "good.csv"
+    good.write_text("symbol,raw_effective_from,raw_effective_to,announcement_date,reason\n600000.SH,,,,\n000001.SZ,2020-03-01,2020-05-01,2020-02-01,regular_rebalance\n 600001.sh ,,,,\n")
+    hashes = set()
+    for kind in ("csv", "parquet"):
+        written, digest = membership_file.import_file(spark, str(good), str(tmp_path / f"out.{kind}"), "csi300", **evidence)
+        hashes.add(digest)
+        assert [tuple(map(str, r[:7])) for r in written.orderBy("symbol").collect()] == [
+            ("csi300", "000001.SZ", "2020-03-01", "2020-05-01", "2020-02-01", "removed", "regular_rebalance"),
+            ("csi300", "600000.SH", "2020-01-01", "None", "2019-12-20", "active", "initial_constituent"),
+            ("csi300", "600001.SH", "2020-01-01", "None", "2019-12-20", "active", "initial_constituent"),
+        ]
+    assert len(hashes) == 1  # the same facts, whatever the format
+    bad = tmp_path / "bad.csv"
+    bad.write_text('symbol,raw_effective_from,raw_effective_to,announcement_date,reason\n600000.SH,,,,\n600002.SH,2020-01-01\n600003.SH,2020-01-01,,,x,y,z\n600004.SH,soon,,,\nx,,,,\n')
+    facts, rejected = membership_file.split_import(membership_file.read_rows(spark, str(bad)), "csi300", **evidence)
+    assert [r.symbol for r in facts.collect()] == ["600000.SH"]
+    assert sorted((str(r.symbol), r.problems) for r in rejected.collect()) == [("600004.SH", ["raw_effective_from_missing"]), ("None", ["corrupt_record"]), ("None", ["corrupt_record"]), ("None", ["non_canonical_symbol"])]
+    with pytest.raises(membership_file.ImportRejected):
+        membership_file.import_file(spark, str(bad), str(tmp_path / "none.parquet"), "csi300", **evidence)
+    overlapping = tmp_path / "overlap.csv"
+    overlapping.write_text("symbol,raw_effective_from,raw_effective_to,announcement_date,reason\n600000.SH,,,,\n600000.SH,2020-02-01,,,\n")
+    with pytest.raises(membership_file.ImportRejected):
+        membership_file.import_file(spark, str(overlapping), str(tmp_path / "none.parquet"), "csi300", **evidence)
+    assert not (tmp_path / "none.parquet").exists()
+
+
+def test_checks_don_t_break_each_other(spark, tmp_path):
+    from tessaro.operators import acceptance
+
+    days = spark.createDataFrame([(DAY + dt.timedelta(days=k),) for k in range(3)], "day date")
+    spans = spark.createDataFrame([(DAY, DAY + dt.timedelta(days=9))], "start date, end date")
+    issues = spark.createDataFrame([], "severity string, code string")
+    names = spark.createDataFrame([("600000.SH",)], "symbol string")
+    gone = str(tmp_path / "gone")
+    bars(spark).write.parquet(gone)
+    lost = spark.read.parquet(gone)
+    for f in (tmp_path / "gone").glob("*.parquet"):
+        f.unlink()
+    end = (DAY + dt.timedelta(days=2)).isoformat()
+    run = lambda tables: {r.code: (r.n_failures, r.passed, r.error) for r in acceptance.run_checks(tables, issues, days, names, DAY.isoformat(), end, spans).collect()}
+    nothing = run({})
+    assert list(nothing) == list(acceptance.CHECKS) and nothing["required_table_coverage"] == (9, False, None)
+    assert nothing["calendar_coverage_evidence"] == (0, True, None) and nothing["source_role_health"] == (None, False, "KeyError")
+    unread = run({"daily_bar": lost})
+    assert unread["source_role_health"][:2] == (None, False) and unread["source_role_health"][2] != "KeyError"
+    assert run({"daily_bar": bars(spark)})["source_role_health"] == (0, True, None)
