@@ -166,17 +166,84 @@ def raw_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raw_store.inventory(spark, root).withColumn("n_snapshots", F.col("n_snapshots").cast("int"))
 
 
-def made_up(endpoint: str, symbol: str, start, end):
-    """A connector for tests: a bar on the first of each month, from the symbol and the date alone. It overshoots the window by a
-    year on both sides, as suppliers do; the source drops what wasn't asked for."""
-    for year in range(start.year - 1, end.year + 2):
-        for month in range(1, 13):
-            price = float(len(symbol) * 100 + month)
-            yield symbol, start.replace(year=year, month=month, day=1), price, price + 1, price - 1, price, 1000.0 * year, price * 1000
+def landed(folder: str, symbol: str, start, end):
+    """A supplier's response for a symbol: the rows of its file in a landing folder, whatever range is asked for, and headers that tell of
+    the budget left."""
+    from pyarrow import parquet as pq
+    from pyarrow.fs import FileSystem, FileType
 
+    fs, path = FileSystem.from_uri(f"{folder}/symbol={symbol}")
+    if fs.get_file_info(path).type == FileType.NotFound:
+        raise supplier.EmptyResponse(symbol)
+    t = pq.read_table(path, filesystem=fs, partitioning=None)
+    return [(symbol, *row) for row in zip(*(t[c].to_pylist() for c in t.column_names), strict=True)], {"X-RateLimit-IP-Remaining": "180"}
 
-@query("SELECT s AS symbol, CAST(make_date(CAST(y AS INT), CAST(m AS INT), 1) AS DATE) AS trade_date, (length(s) * 100 + m)::DOUBLE AS close, 1000.0 * y::DOUBLE AS volume FROM (SELECT unnest(['S1', 'S22', 'S333']) AS s), (SELECT unnest(range(1995, 2008)) AS y), (SELECT unnest(range(1, 13)) AS m)")
+
+def landed_first(folder: str, symbol: str, start, end):
+    return landed(f"{folder}/first", symbol, start, end)
+
+
+def landed_second(folder: str, symbol: str, start, end):
+    return landed(f"{folder}/second", symbol, start, end)
+
+
+def landing(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
+    """Bars as the responses of two endpoints, a file for each symbol, of which the first lacks every third; and the symbols."""
+    at = work_folder(spark, "landing")
+    b = market.bars(spark, sf_dir).select("symbol", "trade_date", "close", "volume", (F.substring("symbol", 2, 20).cast("long") % 3).alias("k"))
+    for name, own in (("first", b.filter("k > 0")), ("second", b.filter("k = 0"))):
+        own.drop("k").repartition("symbol").sortWithinPartitions("symbol", "trade_date").write.partitionBy("symbol").parquet(f"{at}/{name}")
+    # the names that are asked for are configuration, as a universe is: a string of them
+    names = ",".join(sorted(r.symbol for r in market.master(spark, sf_dir).select("symbol").collect()))
+    return at, names
+
+
+def supplier_options(at: str, names: str) -> dict:
+    chain = "tessaro.plans.streams:landed_first,tessaro.plans.streams:landed_second"
+    return {"connector": chain, "endpoint": at, "symbols": names + ",NONE", "headers": "true", "columns": "symbol string, trade_date date, close double, volume long", "start": "1995-01-01", "end": "2001-12-31"}
+
+
+@query("SELECT symbol, trade_date, close, volume FROM bars WHERE trade_date BETWEEN DATE '1996-03-01' AND DATE '2000-02-29' AND CAST(symbol[2:] AS BIGINT) % 3 <> 0")
 def supplier_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The bars that one endpoint has, in windows of two years of which it doesn't heed the range: the source drops what wasn't asked for."""
+    supplier.register(spark)
+    options = supplier_options(*landing(spark, sf_dir)) | {"connector": "tessaro.plans.streams:landed_first", "window_years": "2", "start": "1996-03-01", "end": "2000-02-29"}
+    return spark.read.format("supplier").options(**options).load()
+
+
+@query("SELECT symbol, trade_date, close, volume FROM bars WHERE trade_date BETWEEN DATE '1995-01-01' AND DATE '2001-12-31'")
+def supplier_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The bars read from two endpoints, the second of which has what the first lacks; a task for each symbol and window."""
+    supplier.register(spark)
+    return spark.read.format("supplier").options(**supplier_options(*landing(spark, sf_dir))).load()
+
+
+@query("SELECT symbol, trade_date, close, volume FROM bars WHERE trade_date BETWEEN DATE '1995-01-01' AND DATE '2001-12-31'")
+def supplier_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same bars read in steps: up to a day, stopped, started again with a later end, 45 days read twice; windows are replaced."""
+    at, names = landing(spark, sf_dir)
+    options, work = supplier_options(at, names) | {"addresses": "4", "overlap": "45"}, work_folder(spark, "supplier")
+    for end in ("1997-06-30", "1997-12-31", "2001-12-31"):
+        supplier.read_on(spark, options | {"end": end}, f"{work}/out", f"{work}/checkpoint")
+    return supplier.latest_version(spark, f"{work}/out", options["columns"])
+
+
+@query(
+    """
+SELECT symbol, ex_date, cash, CASE WHEN one AND two THEN 'both' WHEN one THEN 'first' ELSE 'second' END AS feed FROM (
+  SELECT symbol, ex_date, round(sum(cash), 6) AS cash, bool_or(k % 5 <> 0) AS one, bool_or(k % 3 <> 0) AS two FROM (SELECT symbol, ex_date, cash, CAST(symbol[2:] AS BIGINT) + day(ex_date) AS k FROM actions) GROUP BY symbol, ex_date)
+WHERE one OR two"""
+)
+def supplier_event_feeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two feeds of corporate actions, each of which lacks some days, read through the source and brought together."""
     supplier.register(spark)
-    r = spark.read.format("supplier").option("connector", "tessaro.plans.streams:made_up").option("symbols", "S1,S22,S333").option("start", "1995-01-01").option("end", "2007-12-31").load()
-    return r.select("symbol", "trade_date", "close", "volume")
+    at = work_folder(spark, "feeds")
+    k = F.substring("symbol", 2, 20).cast("long") + F.dayofmonth("ex_date")
+    a = market.actions(spark, sf_dir).groupBy("symbol", "ex_date").agg(F.round(F.sum("cash"), 6).alias("cash")).withColumn("k", k)
+    for name, own in (("first", a.filter("k % 5 <> 0")), ("second", a.filter("k % 3 <> 0"))):
+        own.select("symbol", "ex_date", "cash").repartition("symbol").write.partitionBy("symbol").parquet(f"{at}/{name}")
+    names = ",".join(sorted(r.symbol for r in a.select("symbol").distinct().collect()))
+    options = supplier_options(at, names) | {"columns": "symbol string, ex_date date, cash double", "day": "ex_date"}
+    one, two = (spark.read.format("supplier").options(**options | {"connector": f"tessaro.plans.streams:landed_{n}"}).load().withColumn("feed", F.lit(n)) for n in ("first", "second"))
+    feed = F.when(F.count_distinct("feed") > 1, "both").otherwise(F.max("feed")).alias("feed")
+    return one.unionByName(two).groupBy("symbol", "ex_date").agg(F.max("cash").alias("cash"), feed)

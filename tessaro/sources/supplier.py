@@ -1,8 +1,15 @@
-"""A batch source over supplier endpoints: each task fetches one symbol's window of years, with retries for passing faults.
+"""A source over supplier endpoints, for batches and streams: tasks fetch symbols' windows of years, with retries for passing faults.
 Rows whose trade_date lies outside the window are dropped, as suppliers don't all heed the range asked for.
 
 The connector is a plain function of (endpoint, symbol, start, end) named by ``connector`` as ``module:function``; it yields
-rows in the schema's order. Windows are half-decades, so that no response meets a supplier's row limit.
+rows in the schema's order. Several, comma-separated, are a chain: each is asked until one has data, and a request for which
+none has any is no fault of the others. With ``headers``, connectors return (rows, headers), and requests are spaced by what the headers say.
+Windows are half-decades, so that no response meets a supplier's row limit.
+
+As a stream, the offset is the last day read: each batch asks for the days after it, up to ``end``, and for ``overlap`` days before,
+in which suppliers still correct. Requests are dealt to the ``addresses``, one partition each, so that one task spaces all
+requests of an address and so keeps its budget. ``keep_windows`` is the sink: what a batch has read replaces what
+was carried for its symbols in its window.
 """
 
 from __future__ import annotations
@@ -12,8 +19,13 @@ import importlib
 import time
 from collections.abc import Iterator
 
-from pyspark.sql import SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
+
+from tessaro.operators.lineage import settled
+from tessaro.operators.merging import replace_window
+from tessaro.sources.catalog import Files
 
 WINDOW_YEARS = 5
 
@@ -122,9 +134,37 @@ def within(rows: Iterator[tuple], at: int | None, start: dt.date, end: dt.date)
             yield row
 
 
-class Window(InputPartition):
-    def __init__(self, symbol: str, start: dt.date, end: dt.date) -> None:
-        super().__init__((symbol, start, end))
+class Requests(InputPartition):
+    """Requests (symbol, start, end) of one task."""
+
+    def __init__(self, asked: list[tuple[str, dt.date, dt.date]]) -> None:
+        super().__init__(asked)
+
+
+def connector_of(options: dict):
+    """The connector that the options name, or the chain of them, spaced by headers if they have any."""
+    held, found = Throttle(), []
+    for name in options["connector"].split(","):
+        module, _, function = name.strip().partition(":")
+        own = getattr(importlib.import_module(module), function)
+        found.append(throttled(own, held) if options.get("headers") == "true" else own)
+    return found[0] if len(found) == 1 else first_available(*found)
+
+
+def fetched(options: dict, day: int | None, asked: list[tuple[str, dt.date, dt.date]]) -> Iterator[tuple]:
+    """The rows of requests, one after the other. A symbol's window without data has no rows."""
+    connector = connector_of(options)
+    for symbol, start, end in asked:
+        try:
+            rows = with_retry(lambda: list(connector(options.get("endpoint", "daily"), symbol, start, end)), int(options.get("attempts", 3)), float(options.get("wait", 1.0)))  # noqa: B023
+        except EmptyResponse:
+            continue
+        yield from within(rows, day, start, end)
+
+
+def asked_for(options: dict, start: dt.date, end: dt.date) -> list[tuple[str, dt.date, dt.date]]:
+    span = windows(start, end, int(options.get("window_years", WINDOW_YEARS)))
+    return [(s, a, b) for s in options["symbols"].split(",") if s for a, b in span]
 
 
 class SupplierReader(DataSourceReader):
@@ -132,17 +172,37 @@ class SupplierReader(DataSourceReader):
         self.options, self.day = options, day
 
     def partitions(self) -> list[InputPartition]:
-        o = self.options
-        span = windows(dt.date.fromisoformat(o["start"]), dt.date.fromisoformat(o["end"]), int(o.get("window_years", WINDOW_YEARS)))
-        return [Window(s, a, b) for s in o["symbols"].split(",") if s for a, b in span]
+        return [Requests([r]) for r in asked_for(self.options, dt.date.fromisoformat(self.options["start"]), dt.date.fromisoformat(self.options["end"]))]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
+        yield from fetched(self.options, self.day, partition.value)
+
+
+class SupplierStream(DataSourceStreamReader):
+    """The offset is the last day read; a restart goes on from the checkpoint's."""
+
+    def __init__(self, options: dict, day: int | None = None) -> None:
+        self.options, self.day = options, day
+
+    def initialOffset(self) -> dict:
+        return {"until": (dt.date.fromisoformat(self.options["start"]) - dt.timedelta(days=1)).isoformat()}
+
+    def latestOffset(self) -> dict:
+        return {"until": self.options["end"]}
+
+    def partitions(self, start: dict, end: dict) -> list[InputPartition]:
         o = self.options
-        module, _, name = o["connector"].partition(":")
-        connector = getattr(importlib.import_module(module), name)
-        symbol, start, end = partition.value
-        rows = with_retry(lambda: list(connector(o.get("endpoint", "daily"), symbol, start, end)), int(o.get("attempts", 3)), float(o.get("wait", 1.0)))
-        yield from within(rows, self.day, start, end)
+        first = dt.date.fromisoformat(o["start"])
+        since = max(first, dt.date.fromisoformat(start["until"]) + dt.timedelta(days=1 - int(o.get("overlap", 0))))
+        asked = asked_for(o, since, dt.date.fromisoformat(end["until"]))
+        addresses = max(1, int(o.get("addresses", 1)))
+        return [Requests(asked[i::addresses]) for i in range(min(addresses, len(asked)))]
+
+    def read(self, partition: InputPartition) -> Iterator[tuple]:
+        yield from fetched(self.options, self.day, partition.value)
+
+    def commit(self, end: dict) -> None:
+        pass
 
 
 class SupplierSource(DataSource):
@@ -154,9 +214,51 @@ class SupplierSource(DataSource):
         return self.options.get("columns", "symbol string, trade_date date, open double, high double, low double, close double, volume double, amount double")
 
     def reader(self, schema) -> DataSourceReader:
-        names = [f.name for f in schema]
-        return SupplierReader(dict(self.options), names.index("trade_date") if "trade_date" in names else None)
+        return SupplierReader(dict(self.options), self.day(schema))
+
+    def streamReader(self, schema) -> DataSourceStreamReader:
+        return SupplierStream(dict(self.options), self.day(schema))
+
+    def day(self, schema) -> int | None:
+        names, column = [f.name for f in schema], self.options.get("day", "trade_date")
+        return names.index(column) if column in names else None
 
 
 def register(spark: SparkSession) -> None:
     spark.dataSource.register(SupplierSource)
+
+
+def keep_windows(out: str, day: str = "trade_date"):
+    """A sink for foreachBatch: version k of the table under out is version k - 1 with the batch's symbols replaced in its window. A batch
+    that is run again writes the same version again; ``latest_version`` reads the last whole one."""
+
+    def put(batch: DataFrame, k: int) -> None:
+        spark = batch.sparkSession
+        fresh = settled(batch)  # the source is asked once
+        files, before = Files(spark, out), f"{out}/{k - 1}"
+        carried = spark.read.schema(fresh.schema).parquet(before) if files.exists(f"{before}/_SUCCESS") else fresh.limit(0)
+        lo, hi = fresh.agg(F.min(day), F.max(day)).first()
+        kept = carried if lo is None else replace_window(carried, fresh, fresh.select("symbol"), lo, hi, day)
+        kept.write.mode("overwrite").parquet(f"{out}/{k}")
+
+    return put
+
+
+def latest_version(spark: SparkSession, out: str, schema) -> DataFrame:
+    """The last version that keep_windows has written whole."""
+    files, k = Files(spark, out), 0
+    if not files.exists(f"{out}/{k}/_SUCCESS"):
+        return spark.createDataFrame([], schema)
+    while files.exists(f"{out}/{k + 1}/_SUCCESS"):
+        k += 1
+    return spark.read.schema(schema).parquet(f"{out}/{k}")
+
+
+def read_on(spark: SparkSession, options: dict, out: str, checkpoint: str) -> None:
+    """Read what is new up to the options' end into out, from where the checkpoint stands, and stop."""
+    register(spark)
+    q = spark.readStream.format("supplier").options(**options).load().writeStream.foreachBatch(keep_windows(out, options.get("day", "trade_date"))).option("checkpointLocation", checkpoint).start()
+    try:
+        q.processAllAvailable()
+    finally:
+        q.stop()

@@ -332,3 +332,39 @@ def test_checks_don_t_break_each_other(spark, tmp_path):
     unread = run({"daily_bar": lost})
     assert unread["source_role_health"][:2] == (None, False) and unread["source_role_health"][2] != "KeyError"
     assert run({"daily_bar": bars(spark)})["source_role_health"] == (0, True, None)
+
+
+def test_a_supplier_stream_goes_on_where_it_stopped(spark, tmp_path):
+    """Two endpoints, one without a name; corrections within the overlap are taken over, older ones aren't read again."""
+
+    def land(price):
+        rows = [(n, DAY + dt.timedelta(days=k), price + k, k) for n in ("A", "B") for k in range(120)]
+        df = spark.createDataFrame(rows, "symbol string, trade_date date, close double, volume long")
+        df.filter("symbol = 'A'").coalesce(1).write.mode("overwrite").partitionBy("symbol").parquet(str(tmp_path / "land/first"))
+        df.filter("symbol = 'B'").coalesce(1).write.mode("overwrite").partitionBy("symbol").parquet(str(tmp_path / "land/second"))
+
+    out, at = str(tmp_path / "out"), str(tmp_path / "checkpoint")
+    options = {
+        "connector": "tessaro.plans.streams:landed_first,tessaro.plans.streams:landed_second", "endpoint": f"file://{tmp_path}/land", "symbols": "A,B,C", "headers": "true", "addresses": "2",
+        "columns": "symbol string, trade_date date, close double, volume long", "start": DAY.isoformat(), "overlap": "10",
+    }
+    first, second = DAY + dt.timedelta(days=49), DAY + dt.timedelta(days=99)
+    assert supplier.latest_version(spark, out, options["columns"]).count() == 0
+    land(100.0)
+    supplier.read_on(spark, options | {"end": first.isoformat()}, out, at)
+    supplier.read_on(spark, options | {"end": first.isoformat()}, out, at)  # nothing new
+    assert supplier.latest_version(spark, out, options["columns"]).count() == 100
+    land(200.0)  # the supplier corrects everything
+    supplier.read_on(spark, options | {"end": second.isoformat()}, out, at)
+    got = {(r.symbol, (r.trade_date - DAY).days): r.close for r in supplier.latest_version(spark, out, options["columns"]).collect()}
+    assert got == {(n, k): (100.0 if k < 40 else 200.0) + k for n in ("A", "B") for k in range(100)}
+
+
+def test_requests_are_dealt_by_address():
+    o = {"symbols": "a,b,c", "start": "2000-01-01", "end": "2012-12-31", "addresses": "2", "overlap": "0"}
+    stream = supplier.SupplierStream(o)
+    assert stream.initialOffset() == {"until": "1999-12-31"} and stream.latestOffset() == {"until": "2012-12-31"}
+    parts = stream.partitions(stream.initialOffset(), stream.latestOffset())
+    asked = [r for p in parts for r in p.value]
+    assert len(parts) == 2 and sorted(asked) == sorted(supplier.asked_for(o, dt.date(2000, 1, 1), dt.date(2012, 12, 31))) and len(asked) == 9
+    assert stream.partitions({"until": "2012-12-31"}, {"until": "2012-12-31"}) == []
