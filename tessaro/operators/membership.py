@@ -144,6 +144,34 @@ def size_issues(facts: DataFrame, calendar: DataFrame, expected: DataFrame, exce
     return reduce(DataFrame.unionByName, more, out)
 
 
+def size_exceptions(records: DataFrame) -> DataFrame:
+    """Records of allowed sizes (universe_id, interval_start, interval_end, allowed_size, reason, rules_version, evidence_sha256) with
+    content_hash, the SHA-256 of the record as JSON with its names in order and nothing between, and faults, what is wrong with it.
+
+    Reasons and rule versions are plain ASCII; others are a fault, as their JSON isn't one of a kind.
+    """
+    names = sorted(("universe_id", "interval_start", "interval_end", "allowed_size", "reason", "rules_version", "evidence_sha256"))
+    trimmed = lambda c: F.coalesce((F.col(c) != "") & (F.col(c) == F.trim(c)), F.lit(False))
+    cases = [
+        (~F.coalesce(F.col("universe_id").rlike("^(csi300|csi500|csi1000|sse50|sse180|szse100|custom_[a-z0-9_]+)$"), F.lit(False)), "universe_id"),
+        (~F.coalesce(F.col("interval_start") <= F.col("interval_end"), F.lit(False)), "interval"),
+        (~F.coalesce(F.col("allowed_size") >= 1, F.lit(False)), "allowed_size"),
+        (~trimmed("reason"), "reason"),
+        (~trimmed("rules_version"), "rules_version"),
+        (~F.coalesce(F.col("evidence_sha256").rlike("^[0-9a-f]{64}$"), F.lit(False)), "evidence_sha256"),
+        (F.concat_ws("", "reason", "rules_version").rlike(r"[^\x00-\x7F]"), "not_ascii"),
+    ]
+    text = F.to_json(F.struct(*names), {"ignoreNullFields": "false"})
+    return records.withColumns({"content_hash": F.sha2(text, 256), "faults": F.array_compact(F.array(*[F.when(c, f) for c, f in cases]))})
+
+
+def exception_conflicts(records: DataFrame) -> DataFrame:
+    """Records without a fault that begin before the one before them has ended: universe_id and the hashes of both."""
+    w = Window.partitionBy("universe_id").orderBy("interval_start", "interval_end", "content_hash")
+    good = size_exceptions(records).filter("size(faults) = 0").withColumns({"first_hash": F.lag("content_hash").over(w), "_end": F.lag("interval_end").over(w)})
+    return good.filter("_end >= interval_start").select("universe_id", "first_hash", F.col("content_hash").alias("second_hash"))
+
+
 def overlaps(facts: DataFrame, start: str = "raw_from", end: str = "raw_to") -> DataFrame:
     """Intervals of a (universe, symbol) that begin before an earlier one has ended; an open one never ends."""
     w = Window.partitionBy("universe_id", "symbol").orderBy(start, F.col(end).asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)

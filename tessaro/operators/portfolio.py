@@ -40,6 +40,21 @@ def top_equal_weight(factors: DataFrame, prices: DataFrame, capital: float, n: i
     return j.withColumn("target_quantity", quantity).filter("target_quantity > 0").select("trade_date", "symbol", "rank", "signal_price", F.lit(1.0 / n).alias("target_weight"), "target_quantity")
 
 
+def target_book(signals: DataFrame, targets: DataFrame) -> DataFrame:
+    """execution_date, signal_date, symbol, target_quantity: the book that each signal asks for on its execution day. A signal without
+    targets stays, with a null symbol, so that what was held is carried into that day and sold.
+
+    signals: signal_date, execution_date (null: none any more, left out); targets: trade_date (the signal's), symbol, target_quantity.
+    """
+    t = targets.select(F.col("trade_date").alias("signal_date"), "symbol", F.col("target_quantity").cast("long").alias("target_quantity"))
+    return signals.filter("execution_date IS NOT NULL").join(t, "signal_date", "left").select("execution_date", "signal_date", "symbol", "target_quantity")
+
+
+def possible_names(book: DataFrame, by: list[str] = ()) -> DataFrame:
+    """The symbols that may be held at all: what any period aims at, with the first execution day that does."""
+    return book.filter("symbol IS NOT NULL").groupBy(*by, "symbol").agg(F.min("execution_date").alias("first_day"), F.count("*").alias("n_periods"))
+
+
 def moments(column: str, w: Window) -> Column:
     """Count, mean and sum of squared distances from the mean over a window, null without a value; Spark updates them row by row."""
     n = F.count(column).over(w)

@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessaro.operators.calendars import on_ordinals
+
 
 @dataclass(frozen=True)
 class SchedulePolicy:
@@ -85,6 +87,41 @@ def preflight(folds: DataFrame, facts: DataFrame, policy: SchedulePolicy = Sched
     return j.withColumn("code", code).withColumn("status", status)
 
 
+def oos_faults(folds: DataFrame, equity: DataFrame, calendar: DataFrame) -> DataFrame:
+    """fold_id, missing_days, extra_days, repeated_days, bad_values of each fold's equity against the open days from its first to its last
+    trading day; equity must be finite and positive.
+
+    equity: fold_id, trade_date, net_equity_after_cost. Folds without a trading day expect no equity.
+    """
+    due = on_ordinals(folds.select("fold_id", "first_trading_day", "last_trading_day").filter("first_trading_day IS NOT NULL"), calendar, "first_trading_day", "last_trading_day")
+    value = F.col("net_equity_after_cost").cast("double")
+    bad = ~F.coalesce((value > 0) & (value < float("inf")), F.lit(False))
+    have = equity.groupBy("fold_id", F.col("trade_date").alias("day")).agg(F.count("*").alias("n"), F.count_if(bad).alias("bad"))
+    j = due.select("fold_id", "day", F.lit(True).alias("due")).join(have, ["fold_id", "day"], "full")
+    found = j.groupBy("fold_id").agg(F.count_if(F.col("n").isNull()).alias("missing_days"), F.count_if(F.col("due").isNull()).alias("extra_days"), F.count_if(F.col("n") > 1).alias("repeated_days"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad_values"))
+    return folds.select("fold_id").join(found, "fold_id", "left").na.fill(0)
+
+
+def outcomes(checked: DataFrame, execution_faults: DataFrame, oos: DataFrame) -> DataFrame:
+    """fold_id, status, reason_code of each fold once it has run: what preflight found, then EXECUTION_INTEGRITY where its ledgers have
+    faults, then OOS_INTEGRITY where its equity has. A year that was closed by proof is skipped.
+
+    checked: of preflight; execution_faults: fold_id and a row for each fault; oos: of oos_faults.
+    """
+    broken = execution_faults.groupBy("fold_id").agg(F.count("*").alias("n_faults"))
+    unsound = oos.select("fold_id", (F.col("missing_days") + F.col("extra_days") + F.col("repeated_days") + F.col("bad_values") > 0).alias("unsound"))
+    j = checked.join(broken, "fold_id", "left").join(unsound, "fold_id", "left")
+    ready = F.col("status") == "READY"
+    reason = (
+        F.when(F.col("code").isNotNull(), F.col("code"))
+        .when(F.col("status") == "SKIPPED_NOT_TRADEABLE", "MARKET_WIDE_CLOSURE")
+        .when(ready & (F.coalesce("n_faults", F.lit(0)) > 0), "EXECUTION_INTEGRITY")
+        .when(ready & F.coalesce("unsound", F.lit(False)), "OOS_INTEGRITY")
+    )
+    status = F.when(~ready, F.col("status")).when(F.col("reason_code").isNull(), "EXECUTED").otherwise("FAILED_PREFLIGHT")
+    return j.withColumn("reason_code", reason).select("fold_id", status.alias("status"), "reason_code")
+
+
 def stability(metrics: DataFrame, policy: StabilityPolicy = StabilityPolicy(), incomplete: bool = False, skipped: int = 0) -> DataFrame:
     """metrics: scenario, fold_id, fold_calendar_return -> a row for each scenario with its figures and the common verdict."""
     r = F.col("fold_calendar_return")

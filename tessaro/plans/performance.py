@@ -355,6 +355,33 @@ def fold_preflight(spark: SparkSession, sf_dir: str) -> DataFrame:
     return research.preflight(f, facts).select("fold_id", "code", "status")
 
 
+# Equity of 1999 lacks some days and has one twice, some orders of 2000 don't balance, and 1998 has no proof of acceptance.
+view("fold_equity", "SELECT 'fold-' || year(trade_date) AS fold_id, trade_date, equity AS e FROM equity JOIN open_days ON day = trade_date WHERE scenario = 'zero_cost' AND NOT (year(trade_date) = 1999 AND day(trade_date) = 7) UNION ALL SELECT 'fold-1999', trade_date, equity FROM equity WHERE scenario = 'zero_cost' AND trade_date = DATE '1999-05-05'")
+
+
+@query(
+    """
+SELECT 'fold-' || y AS fold_id, CASE WHEN code IS NULL THEN 'EXECUTED' ELSE 'FAILED_PREFLIGHT' END AS status, code AS reason_code FROM (
+  SELECT y, CASE WHEN y = 1998 THEN 'ACCEPTANCE_MISSING' WHEN (SELECT count(*) FROM open_days WHERE year(day) < y.y) < 756 THEN 'WARMUP_SESSIONS_SHORT'
+    WHEN y = 2000 AND (SELECT count(*) FROM order_lines WHERE year(trade_date) = 2000 AND planned_quantity % 41 = 0) > 0 THEN 'EXECUTION_INTEGRITY'
+    WHEN (SELECT count(*) FROM open_days d WHERE year(d.day) = y.y AND NOT EXISTS (SELECT 1 FROM fold_equity e WHERE e.trade_date = d.day)) + (SELECT count(*) FROM (SELECT trade_date FROM fold_equity WHERE fold_id = 'fold-' || y.y GROUP BY 1 HAVING count(*) > 1)) + (SELECT count(*) FROM fold_equity WHERE fold_id = 'fold-' || y.y AND e <= 0) > 0 THEN 'OOS_INTEGRITY' END AS code
+  FROM (SELECT CAST(unnest(range(1997, 2002)) AS INT) AS y) y)"""
+)
+def fold_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What became of each fold: refused before it ran, broken ledgers, broken equity, or executed."""
+    cal = market.calendar(spark, sf_dir)
+    f = research.fold_schedule(cal, "1996-03-01", "2001-12-31").filter("fold_id IS NOT NULL")
+    facts = f.select("fold_id", (F.col("fold_id") != "fold-1998").alias("accepted"), F.lit(True).alias("universe_covered"), F.lit(1000).alias("factor_history_sessions"), F.lit(0).alias("benchmark_missing_days"), F.lit(False).alias("closure_proven"))
+    fold, d = F.concat(F.lit("fold-"), F.year("trade_date")).alias("fold_id"), F.col("trade_date")
+    e = market.equity(spark, sf_dir).filter("scenario = 'zero_cost'").select(fold, "trade_date", F.col("equity").alias("net_equity_after_cost"))
+    e = e.join(cal.select(F.col("day").alias("trade_date")), "trade_date").select("fold_id", "trade_date", "net_equity_after_cost")
+    e = e.filter(~((F.year(d) == 1999) & (F.dayofmonth(d) == 7))).unionByName(e.filter("trade_date = DATE'1999-05-05'"))
+    o = market.order_lines(spark, sf_dir)
+    off = F.when((F.year(d) == 2000) & (F.col("planned_quantity") % 41 == 0), 1).otherwise(0)
+    ledger = o.select(fold, (F.col("planned_quantity") + off).alias("planned"), "filled_quantity", "rejected_quantity").filter("planned <> filled_quantity + rejected_quantity")
+    return research.outcomes(research.preflight(f, facts), ledger, research.oos_faults(f, e, cal))
+
+
 view("stable", "SELECT scenario, count(*) AS executed_fold_count, count(*) FILTER (ret > 0) AS positive_fold_count, count(*) FILTER (ret > 0) / count(ret) AS positive_fold_ratio, min(ret) AS worst FROM folds GROUP BY 1")
 
 

@@ -154,6 +154,45 @@ def size_mismatch_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return membership.size_issues(facts, market.calendar(spark, sf_dir), expected, exceptions)
 
 
+# Each membership is the record of an exception, some with faults.
+view(
+    "exception_records",
+    """
+SELECT CASE WHEN k % 31 = 4 THEN 'U' ELSE 'custom_u' END || k % 5 AS universe_id, raw_from AS interval_start, CAST(CASE WHEN k % 29 = 3 THEN raw_from - 1 ELSE raw_from + CAST(k % 3 AS INT) END AS DATE) AS interval_end, k % 40 AS allowed_size,
+  CASE WHEN k % 23 = 2 THEN ' adjusted' ELSE 'adjusted "' || k || '"' END AS reason, CASE WHEN k % 19 = 1 THEN NULL ELSE 'rules-' || k % 7 END AS rules_version, CASE WHEN k % 37 = 5 THEN 'x' ELSE sha256(symbol) END AS evidence_sha256
+FROM (SELECT *, CAST(symbol[2:] AS BIGINT) AS k FROM memberships)""",
+)
+view(
+    "hashed_records",
+    """
+SELECT *, sha256('{"allowed_size":' || allowed_size || ',"evidence_sha256":"' || evidence_sha256 || '","interval_end":"' || interval_end || '","interval_start":"' || interval_start || '","reason":"' || replace(reason, '"', chr(92) || '"') || '","rules_version":' || coalesce('"' || rules_version || '"', 'null') || ',"universe_id":"' || universe_id || '"}') AS content_hash,
+  concat_ws(',', CASE WHEN universe_id[1] = 'U' THEN 'universe_id' END, CASE WHEN interval_end < interval_start THEN 'interval' END, CASE WHEN allowed_size = 0 THEN 'allowed_size' END, CASE WHEN reason[1] = ' ' THEN 'reason' END, CASE WHEN rules_version IS NULL THEN 'rules_version' END, CASE WHEN evidence_sha256 = 'x' THEN 'evidence_sha256' END) AS faults
+FROM exception_records""",
+)
+
+
+def exception_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.substring("symbol", 2, 20).cast("long")
+    m = market.memberships(spark, sf_dir).withColumn("k", k)
+    k = F.col("k")
+    return m.select(
+        F.concat(F.when(k % 31 == 4, "U").otherwise("custom_u"), k % 5).alias("universe_id"), F.col("raw_from").alias("interval_start"), F.when(k % 29 == 3, F.date_sub("raw_from", 1)).otherwise(F.date_add("raw_from", (k % 3).cast("int"))).alias("interval_end"),
+        (k % 40).alias("allowed_size"), F.when(k % 23 == 2, " adjusted").otherwise(F.concat(F.lit('adjusted "'), k, F.lit('"'))).alias("reason"), F.when(k % 19 != 1, F.concat(F.lit("rules-"), k % 7)).alias("rules_version"),
+        F.when(k % 37 == 5, "x").otherwise(F.sha2("symbol", 256)).alias("evidence_sha256"),
+    )
+
+
+@query("SELECT universe_id, interval_start, interval_end, allowed_size, content_hash, faults FROM hashed_records")
+def size_exception_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = membership.size_exceptions(exception_records(spark, sf_dir))
+    return r.select("universe_id", "interval_start", "interval_end", "allowed_size", "content_hash", F.concat_ws(",", "faults").alias("faults"))
+
+
+@query("SELECT universe_id, first_hash, content_hash AS second_hash FROM (SELECT *, lag(content_hash) OVER w AS first_hash, lag(interval_end) OVER w AS before FROM hashed_records WHERE faults = '' WINDOW w AS (PARTITION BY universe_id ORDER BY interval_start, interval_end, content_hash)) WHERE before >= interval_start")
+def size_exception_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return membership.exception_conflicts(exception_records(spark, sf_dir))
+
+
 # Each order opens a stay of some days, so that a customer's stays overlap, touch or leave gaps.
 view("stays", "SELECT concat('U', o_custkey % 5) AS universe_id, concat('C', o_custkey) AS symbol, CAST(o_orderdate AS DATE) AS raw_from, CASE WHEN o_orderkey % 50 <> 3 THEN CAST(o_orderdate AS DATE) + CAST(30 + o_orderkey % 90 AS INT) END AS raw_to, o_orderkey FROM orders")
 

@@ -321,6 +321,27 @@ def quantity_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.crossJoin(F.broadcast(spark.createDataFrame([(s,) for s in RATES], "scenario string"))).select(F.year("trade_date").alias("fold_id"), "scenario", "trade_date", "symbol", "target_quantity")
 
 
+view("equal_weight_book", "SELECT s.trade_date AS signal_date, (SELECT min(day) FROM open_days WHERE day > s.trade_date) AS execution_date, t.symbol, t.target_quantity FROM signals s LEFT JOIN (SELECT r.trade_date, r.symbol, CAST(floor(85000000.0::DOUBLE / 10 / b.close / 100) * 100 AS BIGINT) AS target_quantity FROM ranked r JOIN bars b USING (trade_date, symbol) WHERE r.rank <= 10 AND floor(85000000.0::DOUBLE / 10 / b.close / 100) > 0) t USING (trade_date)")
+
+
+def equal_weight_book(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = portfolio.top_equal_weight(scored(spark, sf_dir), market.bars(spark, sf_dir), 85_000_000.0)
+    s = calendars.next_open_day(signals(spark, sf_dir).withColumnRenamed("trade_date", "signal_date"), market.calendar(spark, sf_dir), "signal_date", "execution_date")
+    return portfolio.target_book(s, t)
+
+
+@query("SELECT execution_date, signal_date, symbol, target_quantity FROM equal_weight_book WHERE execution_date IS NOT NULL")
+def target_book(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each week's book on the day after its signal; the weeks before there is a signal for any name are empty books."""
+    return equal_weight_book(spark, sf_dir)
+
+
+@query("SELECT CAST(year(execution_date) AS INT) AS fold_id, symbol, min(execution_date) AS first_day, count(*) AS n_periods FROM equal_weight_book WHERE execution_date IS NOT NULL AND symbol IS NOT NULL GROUP BY 1, 2")
+def possible_held(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The names that each year's books may hold."""
+    return portfolio.possible_names(equal_weight_book(spark, sf_dir).withColumn("fold_id", F.year("execution_date")), ["fold_id"])
+
+
 def replayed(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = market.actions(spark, sf_dir).filter("status = 'implemented' AND rights = 0").groupBy("symbol", "ex_date").agg(
         F.min("record_date").alias("record_date"), F.sum("cash").alias("cash"), F.sum("bonus").alias("bonus"), F.sum("capitalization").alias("capitalization"), F.lit("implemented").alias("status"), F.lit(0.0).alias("rights")

@@ -188,3 +188,49 @@ def test_broken_factor_frames_are_found(spark):
     df = spark.createDataFrame([(day(0), "A", True, None), (day(0), "A", True, None), (day(0), "B", False, None)], "trade_date date, symbol string, is_valid boolean, invalid_reason string")
     assert {r.fault for r in invalid_factor_rows(df).collect()} == {"repeated", "reason_mismatch"}
     assert F.col("x") is not None
+
+
+def test_fold_outcomes(spark):
+    """Each fault of a fold's equity, a broken ledger, a proven closure, and refusals before anything ran."""
+    cal = calendars.with_ordinals(spark.createDataFrame([(day(k),) for k in range(0, 40, 2)], "day date"))
+    names = ["good", "missing", "extra", "twice", "zero", "infinite", "null", "broken", "refused", "closed"]
+    folds = spark.createDataFrame([(n, None if n == "closed" else day(4), None if n == "closed" else day(12)) for n in names], "fold_id string, first_trading_day date, last_trading_day date")
+    rows = [(n, day(k), 100.0 + k) for n in names if n != "closed" for k in range(4, 14, 2) if not (n in ("missing", "broken") and k == 8)]
+    rows += [("extra", day(5), 1.0), ("twice", day(6), 1.0)]
+    rows = [(n, d, {"zero": 0.0, "infinite": float("inf"), "null": None}.get(n, v) if d == day(10) else v) for n, d, v in rows]
+    equity = spark.createDataFrame(rows, "fold_id string, trade_date date, net_equity_after_cost double")
+    faults = {r.fold_id: (r.missing_days, r.extra_days, r.repeated_days, r.bad_values) for r in research.oos_faults(folds, equity, cal).collect()}
+    assert faults == {n: (int(n in ("missing", "broken")), int(n == "extra"), int(n == "twice"), int(n in ("zero", "infinite", "null"))) for n in names}
+    checked = spark.createDataFrame([(n, "BENCHMARK_GAP" if n == "refused" else None, {"refused": "FAILED_PREFLIGHT", "closed": "SKIPPED_NOT_TRADEABLE"}.get(n, "READY")) for n in names], "fold_id string, code string, status string")
+    ledger = spark.createDataFrame([("broken",), ("broken",), ("refused",)], "fold_id string")
+    got = {r.fold_id: (r.status, r.reason_code) for r in research.outcomes(checked, ledger, research.oos_faults(folds, equity, cal)).collect()}
+    oos = ("FAILED_PREFLIGHT", "OOS_INTEGRITY")
+    assert got == {
+        "good": ("EXECUTED", None), "missing": oos, "extra": oos, "twice": oos, "zero": oos, "infinite": oos, "null": oos, "broken": ("FAILED_PREFLIGHT", "EXECUTION_INTEGRITY"),
+        "refused": ("FAILED_PREFLIGHT", "BENCHMARK_GAP"), "closed": ("SKIPPED_NOT_TRADEABLE", "MARKET_WIDE_CLOSURE"),
+    }
+
+
+def test_empty_books_stay_and_possible_names_are_all_targets(spark):
+    signals = spark.createDataFrame([(day(0), day(1)), (day(7), day(8)), (day(14), day(15)), (day(21), None)], "signal_date date, execution_date date")
+    targets = spark.createDataFrame([(day(0), "A", 100), (day(0), "B", 200), (day(14), "A", 300), (day(21), "Z", 1)], "trade_date date, symbol string, target_quantity long")
+    book = portfolio.target_book(signals, targets)
+    assert rows(book) == rows(spark.createDataFrame([(day(1), day(0), "A", 100), (day(1), day(0), "B", 200), (day(8), day(7), None, None), (day(15), day(14), "A", 300)], "a date, b date, c string, d long"))
+    assert rows(portfolio.possible_names(book)) == [("A", day(1), 2), ("B", day(1), 1)]
+
+
+def test_size_exceptions_are_hashed_and_checked(spark):
+    import hashlib
+    import json
+
+    good = ("csi300", day(0), day(9), 299, 'a "quoted" reason', "v1", "0" * 64)
+    bad = [("CSI300", *good[1:]), (*good[:2], day(-1), *good[3:]), (*good[:3], 0, *good[4:]), (*good[:4], " x", *good[5:]), (*good[:5], "", good[6]), (*good[:6], "F" * 64), (*good[:4], "é", *good[5:]), (None,) * 7]
+    names = "universe_id string, interval_start date, interval_end date, allowed_size long, reason string, rules_version string, evidence_sha256 string"
+    got = membership.size_exceptions(spark.createDataFrame([good, *bad], names)).collect()
+    keys = [x.split()[0] for x in names.split(", ")]
+    text = json.dumps({k: v.isoformat() if isinstance(v, dt.date) else v for k, v in zip(keys, good, strict=True)}, sort_keys=True, separators=(",", ":"))
+    assert got[0].content_hash == hashlib.sha256(text.encode()).hexdigest() and got[0].faults == []
+    assert [r.faults for r in got[1:]] == [["universe_id"], ["interval"], ["allowed_size"], ["reason"], ["rules_version"], ["evidence_sha256"], ["not_ascii"], ["universe_id", "interval", "allowed_size", "reason", "rules_version", "evidence_sha256"]]
+    other = ("csi300", day(9), day(12), 300, "r", "v1", "1" * 64)
+    clash = membership.exception_conflicts(spark.createDataFrame([good, other, ("csi300", day(13), day(14), 1, "r", "v", "2" * 64), bad[0]], names)).collect()
+    assert [(r.universe_id, r.first_hash) for r in clash] == [("csi300", got[0].content_hash)]
