@@ -6,7 +6,7 @@ import importlib
 
 from tessaro.plans.registry import ORACLES, QUERIES, with_views
 
-MODULES = ("ingest", "point_in_time", "portfolios", "performance", "evidence", "gates", "streams")
+MODULES = ("ingest", "point_in_time", "portfolios", "performance", "evidence", "gates", "streams", "artifacts")
 
 
 def load() -> None:

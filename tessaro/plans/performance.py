@@ -347,7 +347,12 @@ def fold_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
 view("back", "SELECT y.y, k.k, (SELECT count(*) FROM open_days WHERE year(day) BETWEEN y.y - k.k AND y.y - 1) AS total FROM (SELECT CAST(unnest(range(1996, 2002)) AS INT) AS y) y, (SELECT CAST(unnest(range(3, 14)) AS INT) AS k) k")
 
 
-@query()
+@query(
+    """
+SELECT 'fold-' || y AS fold_id, code, CASE WHEN code IS NULL THEN 'READY' ELSE 'FAILED_PREFLIGHT' END AS status FROM (
+  SELECT y, CASE WHEN n = 0 THEN 'CLOSURE_EVIDENCE_MISSING' WHEN total < 756 THEN 'WARMUP_SESSIONS_SHORT' WHEN total < 61 THEN 'FACTOR_HISTORY_SHORT' WHEN n % 2 = 1 THEN 'BENCHMARK_GAP' END AS code FROM (
+    SELECT y.y, (SELECT count(*) FROM open_days WHERE year(day) = y.y) AS n, coalesce((SELECT min(total) FROM back WHERE back.y = y.y AND total >= 756), (SELECT max(total) FROM back WHERE back.y = y.y)) AS total FROM (SELECT CAST(unnest(range(1997, 2002)) AS INT) AS y) y))"""
+)
 def fold_preflight(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = research.fold_schedule(market.calendar(spark, sf_dir), "1996-03-01", "2001-12-31").filter("fold_id IS NOT NULL")
     n = F.col("oos_session_count")
