@@ -32,9 +32,8 @@ def with_earlier(placed: DataFrame, by: list[str], own: DataFrame, carry: Column
     return a.join(b, same, "left").select("a.*", f"b.{name}")
 
 
-def prefix_sums(rows: DataFrame, by: list[str], order: list[str], value: str, name: str, ranges: int | None = None) -> DataFrame:
-    """rows with the running sum of value within by, in order, which must tell the rows of a key apart."""
-    placed = in_ranges(rows, [*by, *order], ranges)
+def running_sums(placed: DataFrame, by: list[str], order: list[str], value: str, name: str) -> DataFrame:
+    """prefix_sums over rows that are in ranges already."""
     own = placed.groupBy(*by, "_range").agg(F.sum(value).alias("_total"))
     within = F.sum(value).over(Window.partitionBy(*by, "_range").orderBy(*order).rowsBetween(*SO_FAR))
     summed = with_earlier(placed, by, own, F.sum("_total"), "_before").withColumn(name, within)
@@ -43,6 +42,11 @@ def prefix_sums(rows: DataFrame, by: list[str], order: list[str], value: str, na
     return summed.withColumn(name, total.cast(summed.schema[name].dataType)).drop("_before", "_range")
 
 
+def prefix_sums(rows: DataFrame, by: list[str], order: list[str], value: str, name: str, ranges: int | None = None) -> DataFrame:
+    """rows with the running sum of value within by, in order, which must tell the rows of a key apart."""
+    return running_sums(in_ranges(rows, [*by, *order], ranges), by, order, value, name)
+
+
 def last_so_far(rows: DataFrame, by: list[str], order: list[str], value: str, name: str, ranges: int | None = None) -> DataFrame:
     """rows with the last value that isn't null up to each row of a key, in order."""
     placed = in_ranges(rows, [*by, *order], ranges)
@@ -62,10 +66,9 @@ def exact_quantiles(rows: DataFrame, by: list[str], value: str, quantiles: dict[
     reach the last aggregation: two for each key and quantile. Nulls are left out.
     """
     counted = rows.filter(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("_v")).agg(F.count("*").alias("_n"))
-    running = prefix_sums(counted, by, ["_v"], "_n", "_upto", ranges)
-    # the sums are computed once, for the totals and for the ranks
-    running = settled(running)
-    totals = running.groupBy(*by).agg(F.max("_upto").alias("_all"))
+    placed = in_ranges(counted, [*by, "_v"], ranges)
+    running = running_sums(placed, by, ["_v"], "_n", "_upto")
+    totals = placed.groupBy(*by).agg(F.sum("_n").alias("_all"))
     asked = F.array(*[F.struct(F.lit(k).alias("q"), (F.lit(float(q)) * (F.col("_all") - 1)).alias("at")) for k, q in quantiles.items()])
     places = totals.select(*by, F.explode(asked).alias("_a")).select(*by, F.col("_a.q").alias("_q"), F.col("_a.at").alias("_at"), F.floor("_a.at").alias("_low"))
     a, b = running.alias("a"), places.alias("b")

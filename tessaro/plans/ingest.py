@@ -523,6 +523,28 @@ def index_layouts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return one.unionByName(two).select("trade_date", "symbol", "open", "close", "volume", "amount")
 
 
+@query(
+    """
+SELECT symbol, coalesce(reason, 'valid') AS what, count(*) AS n, round(sum(CASE WHEN reason IS NULL THEN volume * factor END), 2) AS volume, min(CASE WHEN reason IS NULL THEN TIMESTAMP '2024-01-01 00:00:00' END) AS ingested_at FROM (
+  SELECT CASE WHEN l_orderkey % 2 = 0 THEN 'CN' ELSE 'EN' END AS symbol, CASE WHEN l_orderkey % 2 = 0 THEN 100 ELSE 1 END AS factor, l_quantity AS volume,
+    CASE WHEN l_orderkey % 25 = 4 THEN 'invalid_trade_date' WHEN l_orderkey % 40 = 7 OR l_orderkey % 40 = 12 THEN 'invalid_number' END AS reason FROM lineitem) GROUP BY ALL"""
+)
+def index_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All lines as two index histories, with dates and numbers that can't be read: bars as ingested, and native rows by reason."""
+    key, price = F.col("l_orderkey"), F.when((F.col("l_orderkey") % 40).isin(7, 12), "--").otherwise(F.col("l_extendedprice").cast("string"))
+    date = F.when(key % 25 == 4, "n/a").otherwise(F.date_format("l_shipdate", "yyyy-MM-dd"))
+    l = table(spark, sf_dir, "lineitem").select("l_orderkey", *[c.alias(k) for k, c in (("day", date), ("open", price), ("high", price), ("low", price), ("close", price), ("volume", F.col("l_quantity").cast("string")), ("amount", price))])  # noqa: E741
+    (cn, _), (en, _) = layouts.INDEX
+    own = lambda names, drop=(): [F.col(k).alias(v) for k, v in names.items() if k not in drop]
+    out = []
+    for name, frame in (("CN", l.filter(key % 2 == 0).select(*own(cn))), ("EN", l.filter(key % 2 == 1).select(*own(en, ("amount",))))):
+        bars, rejected = layouts.index_bars(frame, name, "2024-01-01")
+        out.append(bars.agg(F.lit(name).alias("symbol"), F.lit("valid").alias("what"), F.count("*").alias("n"), F.round(F.sum("volume"), 2).alias("volume"), F.min("ingested_at").alias("ingested_at")))
+        none = [F.lit(None).cast("double").alias("volume"), F.lit(None).cast("timestamp").alias("ingested_at")]
+        out.append(rejected.groupBy(F.lit(name).alias("symbol"), F.col("reason").alias("what")).agg(F.count("*").alias("n")).select("symbol", "what", "n", *none))
+    return out[0].unionByName(out[1]).unionByName(out[2]).unionByName(out[3])
+
+
 @query(
     """
 SELECT 'rejected:' || reason AS what, count(*) AS n, CAST(NULL AS BIGINT) AS volume FROM clean_lines WHERE reason IS NOT NULL GROUP BY 1

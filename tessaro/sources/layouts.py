@@ -56,8 +56,11 @@ def refuse(missing: list[str], what: str) -> None:
 def dividends(frame: DataFrame, symbol=None) -> DataFrame:
     """code, announced, recorded, ex, cash, bonus, capital, progress, plan as texts, from any of the three layouts.
 
-    symbol: a column or code of the request, for layouts without one. Implemented-only layouts get the mark of implemented plans.
+    symbol: a column or code of the request, for layouts without one. Implemented-only layouts get the mark of implemented plans. A
+    response without columns is one without events.
     """
+    if not frame.columns:
+        return frame.sparkSession.createDataFrame([], ", ".join(f"{k} string" for k in DIVIDENDS))
     have = set(frame.columns)
     own = F.lit(symbol) if isinstance(symbol, str) else symbol
     bare = F.split_part(own, F.lit("."), F.lit(1)) if own is not None else F.lit(None).cast("string")
@@ -75,17 +78,35 @@ def dividends(frame: DataFrame, symbol=None) -> DataFrame:
     return frame.select(*[found[k].cast("string").alias(k) for k in DIVIDENDS])
 
 
-def index_history(frame: DataFrame, symbol, source: str = "akshare") -> DataFrame:
-    """Bars of an index from a history in Chinese or English columns; without an amount it is 0. symbol: a column or a code."""
+def index_columns(frame: DataFrame, symbol, source: str) -> list:
+    """The columns of a bar from an index history in Chinese or English columns; what can't be read is null."""
     have = set(frame.columns)
     names, factor = INDEX[1] if "date" in have else INDEX[0]
     refuse([v for k, v in names.items() if k != "amount" and v not in have], "an index history")
     number = lambda k: clean.number(column(names[k]))
     amount = number("amount") if names["amount"] in have else F.lit(0.0)
-    return frame.select(
+    return [
         clean.trade_date(column(names["day"])).alias("trade_date"), (F.lit(symbol) if isinstance(symbol, str) else symbol).alias("symbol"), *[number(k).alias(k) for k in ("open", "high", "low", "close")],
         (number("volume") * factor).alias("volume"), amount.alias("amount"), F.lit("unadjusted").alias("adjustment"), F.lit(source).alias("source"),
-    )
+    ]
+
+
+def index_history(frame: DataFrame, symbol, source: str = "akshare") -> DataFrame:
+    """Bars of an index from a history in Chinese or English columns; without an amount it is 0. symbol: a column or a code."""
+    return frame.select(*index_columns(frame, symbol, source))
+
+
+def index_bars(frame: DataFrame, symbol, ingested_at, source: str = "akshare") -> tuple[DataFrame, DataFrame]:
+    """An index history as bars with the time of their ingestion, and native rows with a reason: invalid_trade_date, or invalid_number
+    (a price, a volume or, if there is one, an amount that can't be read)."""
+    at = F.lit(ingested_at).cast("timestamp") if isinstance(ingested_at, str) else ingested_at
+    # row and bar are a column each, so that their names don't meet
+    both = frame.select(F.struct(*[column(c) for c in frame.columns]).alias("native"), F.struct(*index_columns(frame, symbol, source), at.alias("ingested_at")).alias("bar"))
+    bad = F.lit(False)
+    for c in ("open", "high", "low", "close", "volume", "amount"):
+        bad = bad | F.col(f"bar.{c}").isNull()
+    typed = both.withColumn("reason", clean.first_reason((F.col("bar.trade_date").isNull(), "invalid_trade_date"), (bad, "invalid_number")))
+    return typed.filter("reason IS NULL").select("bar.*"), typed.filter("reason IS NOT NULL").select("native.*", "reason")
 
 
 def daily_bars(frame: DataFrame, source: str, ingested_at) -> Cleaned:

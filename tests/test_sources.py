@@ -368,3 +368,16 @@ def test_requests_are_dealt_by_address():
     asked = [r for p in parts for r in p.value]
     assert len(parts) == 2 and sorted(asked) == sorted(supplier.asked_for(o, dt.date(2000, 1, 1), dt.date(2012, 12, 31))) and len(asked) == 9
     assert stream.partitions({"until": "2012-12-31"}, {"until": "2012-12-31"}) == []
+
+
+def test_an_index_history_is_split_and_an_empty_response_has_no_events(spark):
+    from tessaro.sources import layouts
+
+    rows = [("2020-01-02", "1", "2", "0.5", "1.5", "10", "x"), ("bad", "1", "2", "0.5", "1.5", "10", "x"), ("2020-01-03", "1", "--", "0.5", "1.5", "10", "x"), ("2020-01-06", "1", "2", "0.5", "1.5", None, "x")]
+    frame = spark.createDataFrame(rows, "date string, open string, high string, low string, close string, volume string, reason_given string")
+    good, bad = layouts.index_bars(frame, "sh000300", "2024-01-01")
+    assert [tuple(map(str, r)) for r in good.collect()] == [("2020-01-02", "sh000300", "1.0", "2.0", "0.5", "1.5", "10.0", "0.0", "unadjusted", "akshare", "2024-01-01 00:00:00")]
+    assert sorted((r.date, r.reason) for r in bad.collect()) == [("2020-01-03", "invalid_number"), ("2020-01-06", "invalid_number"), ("bad", "invalid_trade_date")]
+    assert bad.columns == [*frame.columns, "reason"]
+    empty = layouts.dividends(spark.range(1).select(), "600000.SH")
+    assert empty.count() == 0 and "ex" in empty.columns
