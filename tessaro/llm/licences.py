@@ -111,6 +111,31 @@ This Source Code Form is subject to the terms of the Mozilla Public License, v.
 file, You can obtain one at http://mozilla.org/MPL/2.0/.
 """
 
+CC0 = """
+To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work. The person who
+associated a work with this deed has dedicated the work to the public domain by waiving all of his or her rights to the work worldwide
+under copyright law, including all related and neighboring rights, to the extent allowed by law. You can copy, modify, distribute and
+perform the work, even for commercial purposes, all without asking permission. CC0 1.0 Universal
+"""
+
+EPL = """
+This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which accompanies this
+distribution, and is available at https://www.eclipse.org/legal/epl-2.0/
+"""
+
+CDDL = """
+The contents of this file are subject to the terms of the Common Development and Distribution License (the "License"). You may not use
+this file except in compliance with the License. See the License for the specific language governing permissions and limitations under
+the License. When distributing Covered Code, include this CDDL HEADER in each file and include the License file. If applicable, add the
+following below this CDDL HEADER, with the fields enclosed by brackets replaced with your own identifying information.
+"""
+
+ARTISTIC = """
+This program is free software; you can redistribute it and/or modify it under the terms of the Artistic License 2.0. Any use,
+modification, and distribution of the Standard or Modified Versions is governed by this Artistic License. By using, modifying or
+distributing the Package, you accept this license. Do not use, modify, or distribute the Package, if you do not accept this license.
+"""
+
 CC = "licensed under CC BY-NC 4.0. This work is licensed under a Creative Commons Attribution license"
 
 #: By label: the text, and phrases of which one must stand in the file.
@@ -127,4 +152,8 @@ TEMPLATES = {
     "boost": (BOOST, ("boost software license",)),
     "unlicense": (UNLICENSE, ("free and unencumbered software",)),
     "cc": (CC, ("licensed under cc", "creative commons")),
+    "cc0": (CC0, ("waived all copyright and related or neighboring rights", "dedicated the work to the public domain", "cc0 1 0 universal")),
+    "epl": (EPL, ("eclipse public license",)),
+    "cddl": (CDDL, ("common development and distribution license",)),
+    "artistic": (ARTISTIC, ("artistic license",)),
 }

@@ -155,6 +155,19 @@ def test_license_of_a_file_does_not_depend_on_the_other_licenses_in_it(spark):
     assert set(got[0].labels.split(",")) == set(full) and got[1].labels == "mit"
 
 
+def test_license_labels_tell_notices_apart(spark):
+    """Each notice alone among other text has its own label, and none that it doesn't name."""
+    texts_ = [(k, f"/* file {k}\n" + t + "*/ int main() { return 0; } " * 40) for k, (t, _) in enumerate(license_scan.TEMPLATES.values())]
+    texts_ += [(100 + k, "the weather was fine and the work went on " * 50) for k in range(30)]
+    got = {r.doc_id: set(r.labels.split(",")) for r in license_scan.license_scan(spark.createDataFrame(texts_, "doc_id long, text string")).collect()}
+    for k, (label, (text, _)) in enumerate(license_scan.TEMPLATES.items()):
+        words = [w.decode() for w in license_scan.words_of(text.encode())]
+        named = {other for other, (_, phrases) in license_scan.TEMPLATES.items() if any(f" {p} " in f" {' '.join(words)} " for p in phrases)}
+        base = {v for p, v in license_scan.BASE.items() if f" {p} " in f" {' '.join(words)} "}
+        assert label in got[k] and got[k] <= named | base, label
+    assert all(got[100 + k] == {""} for k in range(30))
+
+
 def test_license_share_is_the_greatest_over_all_places():
     rng = random.Random(4)
     plain = {k: [w.decode() for w in license_scan.words_of(t.encode())] for k, (t, _) in license_scan.TEMPLATES.items()}
