@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import math
 import random
 import re
 import string
@@ -469,6 +470,51 @@ def test_unigram_model_is_rebuilt():
         assert np.frombuffer(ids, "<u4").tolist() == c.original.encode(text)
 
 
+@pytest.mark.parametrize("grades", [2, 3, 4])
+def test_ordinal_fit_reaches_the_least_loss(grades):
+    """The penalised likelihood, row by row in plain Python, at the fit and at the end of a plain descent by finite differences."""
+    rng = np.random.default_rng(grades)
+    bits, n, l2 = 3, 120, 1e-2
+    size = (1 << bits) + ordinal_quality.SHAPE
+    x = rng.standard_normal((n, size)) * (rng.random((n, size)) < 0.6)
+    true = rng.standard_normal(size)
+    grade = np.digitize(x @ true + rng.logistic(size=n), np.linspace(-1.5, 1.5, grades - 1))
+    rows = [(np.flatnonzero(r), r[np.flatnonzero(r)]) for r in x]
+
+    def loss(w, cuts):
+        total = 0.0
+        for r, g in zip(x, grade, strict=True):
+            above = [1.0, *(1 / (1 + math.exp(-max(-40.0, min(40.0, float(r @ w) - c)))) for c in cuts), 0.0]
+            total -= math.log(max(above[g] - above[g + 1], 1e-9))
+        return total / n + l2 / 2 * float(w @ w)
+
+    def quick(p):
+        cuts = np.concatenate([p[size : size + 1], p[size] + np.cumsum(np.exp(p[size + 1 :]))])
+        above = 1 / (1 + np.exp(-np.clip((x @ p[:size])[:, None] - cuts[None, :], -40, 40)))
+        edge = np.concatenate([np.ones((n, 1)), above, np.zeros((n, 1))], axis=1)
+        return float(-np.log(np.maximum(edge[np.arange(n), grade] - edge[np.arange(n), grade + 1], 1e-9)).mean() + l2 / 2 * p[:size] @ p[:size])
+
+    p, step = np.concatenate([np.zeros(size), [-1.0], np.zeros(grades - 2)]), 1.0
+    for _ in range(1500):
+        now = quick(p)
+        slope = np.array([(quick(p + e) - quick(p - e)) / 2e-6 for e in np.eye(len(p)) * 1e-6])
+        while step > 1e-6 and quick(p - step * slope) > now - step * slope @ slope / 4:
+            step /= 2
+        if step <= 1e-6 or np.abs(slope).max() < 1e-5:
+            break
+        p, step = p - step * slope, step * 2
+    best = quick(p)
+    model = ordinal_quality.fit(rows, grade, bits, l2=l2)
+    assert list(model.thresholds) == sorted(model.thresholds) and len(model.thresholds) == grades - 1
+    found = loss(model.weights, model.thresholds)
+    assert best - 1e-6 <= found <= best + 2e-3
+    cuts = np.concatenate([p[size : size + 1], p[size] + np.cumsum(np.exp(p[size + 1 :]))])
+    assert loss(p[:size], cuts) == pytest.approx(best)
+    # and nothing near the fit is better by more than that
+    for _ in range(20):
+        assert loss(model.weights + 0.05 * rng.standard_normal(size), model.thresholds) >= found - 2e-3
+
+
 def test_ordinal_quality_on_held_out_rows(spark, none):
     rng = random.Random(8)
     good, bad = [prose(rng, 1).split()[0] + "g" for _ in range(50)], [prose(rng, 1).split()[0] + "b" for _ in range(50)]
