@@ -167,16 +167,23 @@ def raw_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def landed(folder: str, symbol: str, start, end):
-    """A supplier's response for a symbol: the rows of its file in a landing folder, whatever range is asked for, and headers that tell of
-    the budget left."""
+    """A supplier's response for a symbol: its rows in a landing folder, whatever range is asked for, and headers that tell of the budget
+    left. They are in a file of its own, or in that of the names which differ in the last two characters only, whose row groups are narrow."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
     from pyarrow import parquet as pq
-    from pyarrow.fs import FileSystem, FileType
-
-    fs, path = FileSystem.from_uri(f"{folder}/symbol={symbol}")
-    if fs.get_file_info(path).type == FileType.NotFound:
+    from pyarrow.fs import FileSelector, FileSystem
+
+    fs, root = FileSystem.from_uri(folder)
+    files = lambda path: [pq.ParquetFile(f.path, filesystem=fs) for f in fs.get_file_info(FileSelector(path, allow_not_found=True)) if f.path.endswith(".parquet")]
+    found = [t.add_column(0, "symbol", pa.repeat(symbol, len(t))) for t in (f.read() for f in files(f"{root}/symbol={symbol}"))]
+    for f in files(f"{root}/names={symbol[:-2]}xx") if not found else ():
+        ends = [f.metadata.row_group(g).column(0).statistics for g in range(f.num_row_groups)]
+        t = f.read_row_groups([g for g, s in enumerate(ends) if s is None or not s.has_min_max or s.min <= symbol <= s.max])
+        found.append(t.filter(pc.equal(t["symbol"], symbol)))
+    if not any(map(len, found)):
         raise supplier.EmptyResponse(symbol)
-    t = pq.read_table(path, filesystem=fs, partitioning=None)
-    return [(symbol, *row) for row in zip(*(t[c].to_pylist() for c in t.column_names), strict=True)], {"X-RateLimit-IP-Remaining": "180"}
+    return pa.concat_tables(found), {"X-RateLimit-IP-Remaining": "180"}
 
 
 def landed_first(folder: str, symbol: str, start, end):
@@ -188,11 +195,13 @@ def landed_second(folder: str, symbol: str, start, end):
 
 
 def landing(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
-    """Bars as the responses of two endpoints, a file for each symbol, of which the first lacks every third; and the symbols."""
+    """Bars as the responses of two endpoints, of which the first lacks every third, a file for a hundred names; and the symbols."""
     at = work_folder(spark, "landing")
     b = market.bars(spark, sf_dir).select("symbol", "trade_date", "close", "volume", (F.substring("symbol", 2, 20).cast("long") % 3).alias("k"))
+    names = F.concat(F.expr("left(symbol, length(symbol) - 2)"), F.lit("xx"))
     for name, own in (("first", b.filter("k > 0")), ("second", b.filter("k = 0"))):
-        own.drop("k").repartition("symbol").sortWithinPartitions("symbol", "trade_date").write.partitionBy("symbol").parquet(f"{at}/{name}")
+        lots = own.drop("k").withColumn("names", names).repartition("names").sortWithinPartitions("names", "symbol", "trade_date")
+        lots.write.option("parquet.block.row.count.limit", 2000).partitionBy("names").parquet(f"{at}/{name}")
     # the names that are asked for are configuration, as a universe is: a string of them
     names = ",".join(sorted(r.symbol for r in market.master(spark, sf_dir).select("symbol").collect()))
     return at, names
@@ -213,7 +222,7 @@ def supplier_read(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT symbol, trade_date, close, volume FROM bars WHERE trade_date BETWEEN DATE '1995-01-01' AND DATE '2001-12-31'")
 def supplier_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The bars read from two endpoints, the second of which has what the first lacks; a task for each symbol and window."""
+    """The bars read from two endpoints, the second of which has what the first lacks."""
     supplier.register(spark)
     return spark.read.format("supplier").options(**supplier_options(*landing(spark, sf_dir))).load()
 

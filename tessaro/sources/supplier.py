@@ -4,7 +4,8 @@ Rows whose trade_date lies outside the window are dropped, as suppliers don't al
 The connector is a plain function of (endpoint, symbol, start, end) named by ``connector`` as ``module:function``; it yields
 rows in the schema's order. Several, comma-separated, are a chain: each is asked until one has data, and a request for which
 none has any is no fault of the others. With ``headers``, connectors return (rows, headers), and requests are spaced by what the headers say.
-Windows are half-decades, so that no response meets a supplier's row limit.
+Windows are half-decades, so that no response meets a supplier's row limit. A batch's task makes ``requests_per_task`` requests, one after
+the other, so that tasks are worth their start. Rows may be tuples or a pyarrow Table, whose columns are taken in the schema's order.
 
 As a stream, the offset is the last day read: each batch asks for the days after it, up to ``end``, and for ``overlap`` days before,
 in which suppliers still correct. Requests are dealt to the ``addresses``, one partition each, so that one task spaces all
@@ -17,17 +18,23 @@ from __future__ import annotations
 import datetime as dt
 import importlib
 import time
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from tessaro.operators.lineage import settled
 from tessaro.operators.merging import replace_window
 from tessaro.sources.catalog import Files
 
 WINDOW_YEARS = 5
+REQUESTS_PER_TASK = 100
+#: Rows of small responses that are handed to Spark together.
+BATCH_ROWS = 10_000
 
 
 class TransientError(Exception):
@@ -59,13 +66,18 @@ def with_retry(call, attempts: int = 3, wait: float = 1.0, sleep=time.sleep):
             sleep(wait * k)
 
 
+def whole(rows: Iterable[tuple] | pa.Table) -> list[tuple] | pa.Table:
+    """A response that is there as a whole: nothing of it is still to be fetched."""
+    return rows if isinstance(rows, pa.Table) else list(rows)
+
+
 def first_available(*connectors):
     """A connector that asks each of the given ones in turn until one has data."""
 
-    def fetch(endpoint: str, symbol: str, start: dt.date, end: dt.date) -> list[tuple]:
+    def fetch(endpoint: str, symbol: str, start: dt.date, end: dt.date) -> list[tuple] | pa.Table:
         for c in connectors:
             try:
-                if rows := list(c(endpoint, symbol, start, end)):
+                if len(rows := whole(c(endpoint, symbol, start, end))):
                     return rows
             except EmptyResponse:
                 continue
@@ -110,11 +122,11 @@ def throttled(request, throttle: Throttle | None = None):
     tasks of an address share its budget, so that the remainder in the headers, not a count of requests, tells how much is left."""
     held = throttle or Throttle()
 
-    def fetch(endpoint: str, symbol: str, start: dt.date, end: dt.date) -> list[tuple]:
+    def fetch(endpoint: str, symbol: str, start: dt.date, end: dt.date) -> list[tuple] | pa.Table:
         held.wait()
         rows, headers = request(endpoint, symbol, start, end)
         held.observe(headers)
-        return list(rows)
+        return whole(rows)
 
     return fetch
 
@@ -129,11 +141,20 @@ def number(text: str | None) -> float | None:
 def within(rows: Iterator[tuple], at: int | None, start: dt.date, end: dt.date) -> Iterator[tuple]:
     """The rows whose date lies in [start, end]: suppliers don't all heed their range parameters. Without a date column all pass;
     rows without a date don't. Dates may be texts, with or without dashes."""
+    lo, hi = start.strftime("%Y%m%d"), end.strftime("%Y%m%d")
     for row in rows:
-        if at is None or (row[at] is not None and start.strftime("%Y%m%d") <= str(row[at])[:10].replace("-", "") <= end.strftime("%Y%m%d")):
+        if at is None or (row[at] is not None and lo <= str(row[at])[:10].replace("-", "") <= hi):
             yield row
 
 
+def within_table(rows: pa.Table, at: int | None, start: dt.date, end: dt.date) -> pa.Table:
+    """``within`` for a table."""
+    if at is None:
+        return rows
+    days = pc.replace_substring(pc.utf8_slice_codeunits(rows.column(at).cast(pa.string()), 0, 10), "-", "")
+    return rows.filter(pc.and_(pc.greater_equal(days, start.strftime("%Y%m%d")), pc.less_equal(days, end.strftime("%Y%m%d"))))
+
+
 class Requests(InputPartition):
     """Requests (symbol, start, end) of one task."""
 
@@ -151,15 +172,53 @@ def connector_of(options: dict):
     return found[0] if len(found) == 1 else first_available(*found)
 
 
-def fetched(options: dict, day: int | None, asked: list[tuple[str, dt.date, dt.date]]) -> Iterator[tuple]:
+def fetched(options: dict, schema, asked: list[tuple[str, dt.date, dt.date]]) -> Iterator[pa.RecordBatch] | Iterator[tuple]:
     """The rows of requests, one after the other. A symbol's window without data has no rows."""
+    found = responses(options, date_at(options, schema), asked)
+    first = next(found, None)
+    if first is None:
+        return
+    yield from in_batches(first, found, to_arrow_schema(schema)) if isinstance(first, pa.Table) else in_rows(first, found)
+
+
+def responses(options: dict, day: int | None, asked: list[tuple[str, dt.date, dt.date]]) -> Iterator[list[tuple] | pa.Table]:
     connector = connector_of(options)
     for symbol, start, end in asked:
         try:
-            rows = with_retry(lambda: list(connector(options.get("endpoint", "daily"), symbol, start, end)), int(options.get("attempts", 3)), float(options.get("wait", 1.0)))  # noqa: B023
+            rows = with_retry(lambda: whole(connector(options.get("endpoint", "daily"), symbol, start, end)), int(options.get("attempts", 3)), float(options.get("wait", 1.0)))  # noqa: B023
         except EmptyResponse:
             continue
-        yield from within(rows, day, start, end)
+        yield within_table(rows, day, start, end) if isinstance(rows, pa.Table) else list(within(rows, day, start, end))
+
+
+def in_rows(first: list[tuple], rest: Iterator[list[tuple] | pa.Table]) -> Iterator[tuple]:
+    """Responses as tuples; of a chain's endpoints, some may answer in tables."""
+    yield from first
+    for rows in rest:
+        yield from zip(*(c.to_pylist() for c in rows.columns), strict=True) if isinstance(rows, pa.Table) else rows
+
+
+def in_batches(first: pa.Table, rest: Iterator[list[tuple] | pa.Table], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Responses in the schema's names and types, small ones together; of a chain's endpoints, some may answer in tuples."""
+
+    def conformed(rows: list[tuple] | pa.Table) -> pa.Table:
+        columns = rows.columns if isinstance(rows, pa.Table) else [list(c) for c in zip(*rows, strict=True)] or [[] for _ in schema]
+        if len(columns) != len(schema):
+            raise ValueError(f"a response has {len(columns)} columns; wanted {schema.names}")
+        return pa.table([c.cast(f.type) if isinstance(c, pa.ChunkedArray) else pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+    held = [conformed(first)]
+    for rows in rest:
+        if sum(map(len, held)) >= BATCH_ROWS:
+            yield from pa.concat_tables(held).combine_chunks().to_batches(BATCH_ROWS)
+            held = []
+        held.append(conformed(rows))
+    yield from pa.concat_tables(held).combine_chunks().to_batches(BATCH_ROWS)
+
+
+def date_at(options: dict, schema) -> int | None:
+    names, column = [f.name for f in schema], options.get("day", "trade_date")
+    return names.index(column) if column in names else None
 
 
 def asked_for(options: dict, start: dt.date, end: dt.date) -> list[tuple[str, dt.date, dt.date]]:
@@ -167,22 +226,33 @@ def asked_for(options: dict, start: dt.date, end: dt.date) -> list[tuple[str, dt
     return [(s, a, b) for s in options["symbols"].split(",") if s for a, b in span]
 
 
-class SupplierReader(DataSourceReader):
-    def __init__(self, options: dict, day: int | None = None) -> None:
-        self.options, self.day = options, day
+class OnWorkers:
+    """What tasks are sent of a reader: all but the names, of which each task has its own in its partition."""
+
+    options: dict
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"options": {k: v for k, v in self.options.items() if k != "symbols"}}
+
+
+class SupplierReader(OnWorkers, DataSourceReader):
+    def __init__(self, options: dict, schema=()) -> None:
+        self.options, self.schema = options, schema
 
     def partitions(self) -> list[InputPartition]:
-        return [Requests([r]) for r in asked_for(self.options, dt.date.fromisoformat(self.options["start"]), dt.date.fromisoformat(self.options["end"]))]
+        asked = asked_for(self.options, dt.date.fromisoformat(self.options["start"]), dt.date.fromisoformat(self.options["end"]))
+        n = max(1, int(self.options.get("requests_per_task", REQUESTS_PER_TASK)))
+        return [Requests(asked[i : i + n]) for i in range(0, len(asked), n)]
 
-    def read(self, partition: InputPartition) -> Iterator[tuple]:
-        yield from fetched(self.options, self.day, partition.value)
+    def read(self, partition: InputPartition | None) -> Iterator[pa.RecordBatch] | Iterator[tuple]:
+        yield from fetched(self.options, self.schema, partition.value if partition is not None else [])
 
 
-class SupplierStream(DataSourceStreamReader):
+class SupplierStream(OnWorkers, DataSourceStreamReader):
     """The offset is the last day read; a restart goes on from the checkpoint's."""
 
-    def __init__(self, options: dict, day: int | None = None) -> None:
-        self.options, self.day = options, day
+    def __init__(self, options: dict, schema=()) -> None:
+        self.options, self.schema = options, schema
 
     def initialOffset(self) -> dict:
         return {"until": (dt.date.fromisoformat(self.options["start"]) - dt.timedelta(days=1)).isoformat()}
@@ -198,8 +268,8 @@ class SupplierStream(DataSourceStreamReader):
         addresses = max(1, int(o.get("addresses", 1)))
         return [Requests(asked[i::addresses]) for i in range(min(addresses, len(asked)))]
 
-    def read(self, partition: InputPartition) -> Iterator[tuple]:
-        yield from fetched(self.options, self.day, partition.value)
+    def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch] | Iterator[tuple]:
+        yield from fetched(self.options, self.schema, partition.value)
 
     def commit(self, end: dict) -> None:
         pass
@@ -214,14 +284,10 @@ class SupplierSource(DataSource):
         return self.options.get("columns", "symbol string, trade_date date, open double, high double, low double, close double, volume double, amount double")
 
     def reader(self, schema) -> DataSourceReader:
-        return SupplierReader(dict(self.options), self.day(schema))
+        return SupplierReader(dict(self.options), schema)
 
     def streamReader(self, schema) -> DataSourceStreamReader:
-        return SupplierStream(dict(self.options), self.day(schema))
-
-    def day(self, schema) -> int | None:
-        names, column = [f.name for f in schema], self.options.get("day", "trade_date")
-        return names.index(column) if column in names else None
+        return SupplierStream(dict(self.options), schema)
 
 
 def register(spark: SparkSession) -> None:

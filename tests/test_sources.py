@@ -381,3 +381,55 @@ def test_an_index_history_is_split_and_an_empty_response_has_no_events(spark):
     assert bad.columns == [*frame.columns, "reason"]
     empty = layouts.dividends(spark.range(1).select(), "600000.SH")
     assert empty.count() == 0 and "ex" in empty.columns
+
+
+def rows_of(endpoint, symbol, start, end):
+    return [(symbol, DAY, 1.0), (symbol, dt.date(1990, 1, 1), 2.0)]
+
+
+def tables_of(endpoint, symbol, start, end):
+    import pyarrow as pa
+
+    if symbol == "N7":
+        raise supplier.EmptyResponse(symbol)
+    return pa.table({"symbol": [symbol] * 3, "trade_date": [DAY, None, dt.date(1990, 1, 1)], "close": [1, 2, 3]})
+
+
+def test_a_batch_deals_requests_in_lots(spark, monkeypatch):
+    """Tasks grow with requests by the hundred, and tables are rows like any other, also in a chain with tuples."""
+    names = [f"N{k}" for k in range(450)]
+    o = {"symbols": ",".join(names), "start": DAY.isoformat(), "end": (DAY + dt.timedelta(days=9)).isoformat(), "columns": "symbol string, trade_date date, close double"}
+    reader = supplier.SupplierReader(o)
+    parts = reader.partitions()
+    assert [len(p.value) for p in parts] == [100] * 4 + [50] and [r[0] for p in parts for r in p.value] == names
+    assert [len(p.value) for p in supplier.SupplierReader(o | {"requests_per_task": "1"}).partitions()] == [1] * 450
+    assert "symbols" not in reader.__getstate__()["options"] and "symbols" in reader.options
+    schema_of = supplier.SupplierSource(o).schema()
+    schema_of = spark.createDataFrame([], schema_of).schema
+    asked = [(n, DAY, DAY) for n in ("N6", "N7", "N8")]
+    for chain, missing in ((tables_of, ["N7"]), (rows_of, [])):
+        monkeypatch.setattr(supplier, "connector_of", lambda options, c=chain: c)
+        got = list(supplier.fetched(o, schema_of, asked))
+        rows = [r for b in got for r in b.to_pylist()] if chain is tables_of else [dict(zip(schema_of.names, r, strict=True)) for r in got]
+        assert rows == [{"symbol": n, "trade_date": DAY, "close": 1.0} for n in ("N6", "N7", "N8") if n not in missing]
+    for first, second in ((tables_of, rows_of), (rows_of, tables_of)):  # the first kind of response is that of the task
+        monkeypatch.setattr(supplier, "connector_of", lambda options, a=first, b=second: lambda e, s, x, y: (a if s == "N6" else b)(e, s, x, y))
+        got = list(supplier.fetched(o, schema_of, [r for r in asked if r[0] != "N7"]))
+        assert [tuple(r.values()) for b in got for r in b.to_pylist()] == [("N6", DAY, 1.0), ("N8", DAY, 1.0)] if first is tables_of else got == [("N6", DAY, 1.0), ("N8", DAY, 1.0)]
+
+
+def test_landed_names_share_files(spark, tmp_path):
+    """A response is the name's own rows, found among the names that share its file."""
+    from tessaro.plans import streams
+
+    names = ["S1", "S12", "S13", "S112"]
+    df = spark.createDataFrame([(n, DAY + dt.timedelta(days=k), float(k), k) for n in names for k in range(3000)], "symbol string, trade_date date, close double, volume long")
+    lots = df.selectExpr("*", "concat(left(symbol, length(symbol) - 2), 'xx') AS names").coalesce(1).sortWithinPartitions("names", "symbol", "trade_date")
+    lots.write.option("parquet.block.row.count.limit", 2000).partitionBy("names").parquet(str(tmp_path / "first"))
+    assert sorted(p.name for p in (tmp_path / "first").iterdir() if p.is_dir()) == ["names=S1xx", "names=Sxx", "names=xx"]
+    for n in names:
+        rows, _ = streams.landed_first(f"file://{tmp_path}", n, DAY, DAY)
+        assert rows.column("symbol").unique().to_pylist() == [n] and rows.column("volume").to_pylist() == list(range(3000))
+    for n in ("S14", "T1", "S99"):
+        with pytest.raises(supplier.EmptyResponse):
+            streams.landed_first(f"file://{tmp_path}", n, DAY, DAY)
