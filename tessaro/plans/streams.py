@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -166,6 +167,17 @@ def raw_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raw_store.inventory(spark, root).withColumn("n_snapshots", F.col("n_snapshots").cast("int"))
 
 
+@functools.lru_cache(maxsize=8)
+def opened(folder: str, path: str, changed: int, size: int):
+    """A landed file of many names, as it was then, and the first and last name of each row group: requests for neighbours come one after the other."""
+    from pyarrow import parquet as pq
+    from pyarrow.fs import FileSystem
+
+    f = pq.ParquetFile(path, filesystem=FileSystem.from_uri(folder)[0])
+    stats = [f.metadata.row_group(g).column(0).statistics for g in range(f.num_row_groups)]
+    return f, [(s.min, s.max) if s is not None and s.has_min_max else (None, None) for s in stats]
+
+
 def landed(folder: str, symbol: str, start, end):
     """A supplier's response for a symbol: its rows in a landing folder, whatever range is asked for, and headers that tell of the budget
     left. They are in a file of its own, or in that of the names which differ in the last two characters only, whose row groups are narrow."""
@@ -175,11 +187,11 @@ def landed(folder: str, symbol: str, start, end):
     from pyarrow.fs import FileSelector, FileSystem
 
     fs, root = FileSystem.from_uri(folder)
-    files = lambda path: [pq.ParquetFile(f.path, filesystem=fs) for f in fs.get_file_info(FileSelector(path, allow_not_found=True)) if f.path.endswith(".parquet")]
-    found = [t.add_column(0, "symbol", pa.repeat(symbol, len(t))) for t in (f.read() for f in files(f"{root}/symbol={symbol}"))]
+    files = lambda path: [f for f in fs.get_file_info(FileSelector(path, allow_not_found=True)) if f.path.endswith(".parquet")]
+    found = [t.add_column(0, "symbol", pa.repeat(symbol, len(t))) for t in (pq.ParquetFile(f.path, filesystem=fs).read() for f in files(f"{root}/symbol={symbol}"))]
     for f in files(f"{root}/names={symbol[:-2]}xx") if not found else ():
-        ends = [f.metadata.row_group(g).column(0).statistics for g in range(f.num_row_groups)]
-        t = f.read_row_groups([g for g, s in enumerate(ends) if s is None or not s.has_min_max or s.min <= symbol <= s.max])
+        rows, ends = opened(folder, f.path, f.mtime_ns, f.size)
+        t = rows.read_row_groups([g for g, (lo, hi) in enumerate(ends) if lo is None or lo <= symbol <= hi])
         found.append(t.filter(pc.equal(t["symbol"], symbol)))
     if not any(map(len, found)):
         raise supplier.EmptyResponse(symbol)
