@@ -60,8 +60,8 @@ def asof_join(left: DataFrame, right: DataFrame, left_on: str, right_on: str, by
 def effective_join(rows: DataFrame, dated: DataFrame, on: str, starts: str, by: list[str]) -> DataFrame:
     """rows with the columns of the entry of ``dated`` in force: the latest that starts by the row's day.
 
-    dated is a small book of rules; it becomes intervals [starts, next start), so that the join is an equi-join on ``by`` that
-    Spark broadcasts by the book's measured size. Rows without an entry get nulls.
+    dated is a small book of rules; it becomes intervals [starts, next start) and is broadcast, as a shuffle on ``by`` would put all
+    rows of a scenario in one task. Rows without an entry get nulls.
     """
     w = Window.partitionBy(*by).orderBy(starts)
     book = dated.withColumn("_until", F.lead(starts).over(w)).withColumnRenamed(starts, "_since")
@@ -70,7 +70,7 @@ def effective_join(rows: DataFrame, dated: DataFrame, on: str, starts: str, by:
     condition = (F.col(f"r.{on}") >= F.col("b._since")) & (F.col("b._until").isNull() | (F.col(f"r.{on}") < F.col("b._until")))
     for c in by:
         condition = condition & (F.col(f"r.{c}") == F.col(f"b.{c}"))
-    return r.join(b, condition, "left").select("r.*", *[F.col(f"b.{c}") for c in extra])
+    return r.join(F.broadcast(b), condition, "left").select("r.*", *[F.col(f"b.{c}") for c in extra])
 
 
 def islands(rows: DataFrame, by: list[str], ordinal: str, name: str = "island") -> DataFrame:

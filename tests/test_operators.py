@@ -234,3 +234,18 @@ def test_size_exceptions_are_hashed_and_checked(spark):
     other = ("csi300", day(9), day(12), 300, "r", "v1", "1" * 64)
     clash = membership.exception_conflicts(spark.createDataFrame([good, other, ("csi300", day(13), day(14), 1, "r", "v", "2" * 64), bad[0]], names)).collect()
     assert [(r.universe_id, r.first_hash) for r in clash] == [("csi300", got[0].content_hash)]
+
+
+def test_a_book_of_rules_is_broadcast_and_rows_stay_where_they_are(spark):
+    """Rows of one scenario aren't brought into one task, whatever size Spark takes the book for."""
+    book = spark.createDataFrame([("a", dt.date(2020, 1, 1), 1), ("a", dt.date(2020, 2, 1), 2)], "k string, since date, rate int")
+    rows = spark.range(4000, numPartitions=8).select(F.when(F.col("id") < 3999, "a").otherwise("b").alias("k"), F.date_add(F.lit("2019-12-31"), (F.col("id") % 60).cast("int")).alias("t"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = temporal.effective_join(rows, book, "t", "since", ["k"])
+        held = [r.n for r in out.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert sorted(held) == [500] * 8
+    assert {(r.k, r.rate): r["count"] for r in out.groupBy("k", "rate").count().collect()} == {("a", None): 67, ("a", 1): 2077, ("a", 2): 1855, ("b", None): 1}
