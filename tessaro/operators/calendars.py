@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessaro.operators.temporal import sessions
@@ -52,6 +52,21 @@ def ordinals_of(rows: DataFrame, calendar: DataFrame, on: str, name: str, up: bo
     return j.withColumn(name, (floor + (1 if up else 0)).cast("long")).select(*rows.columns, name)
 
 
+def with_absent_days(rows: DataFrame, calendar: DataFrame, filled: Column, on: str = "trade_date") -> DataFrame:
+    """rows, and a row for each open day that a name where ``filled`` holds has none for, with ``absent`` true: what the name's row
+    before says, null before its first. The days stand between neighbouring rows, so that no grid of names and days is brought together."""
+    w = Window.partitionBy("symbol").orderBy(on)
+    j = ordinals_of(ordinals_of(rows, calendar, on, "_up", up=True), calendar, on, "_down", up=False)
+    j = j.withColumns({"_next": F.coalesce(F.lead("_up").over(w), calendar.agg(F.max("ord")).scalar() + 1), "_first": F.row_number().over(w) == 1})
+    span = lambda a, b: F.when(filled & (a < b), F.sequence(a, b - 1)).otherwise(F.array().cast("array<bigint>"))
+    none = F.array().cast("array<bigint>")
+    # 0 is the row itself, as ordinals count from 1
+    ords = F.concat(F.when(F.col("_first"), span(F.lit(1).cast("long"), F.col("_up"))).otherwise(none), F.array(F.lit(0).cast("long")), span(F.col("_down") + 1, F.col("_next")))
+    j = j.withColumn("_ord", F.explode(ords)).join(F.broadcast(calendar.select(F.col("ord").alias("_ord"), F.col("day").alias("_day"))), "_ord", "left")
+    known = (F.col("_ord") == 0) | (F.col("_ord") > F.col("_down"))
+    return j.select(*[F.when(known, F.col(c)).alias(c) for c in rows.columns if c not in ("symbol", on)], "symbol", F.coalesce("_day", on).alias(on), (F.col("_ord") > 0).alias("absent"))
+
+
 def on_ordinals(intervals: DataFrame, calendar: DataFrame, start: str, end: str) -> DataFrame:
     """Intervals [start, end] (null end: open) as rows for each day of the calendar in them: day, ord.
 

@@ -68,56 +68,55 @@ def merged(a: Column, b: Column) -> Column:
     return F.when(a.isNotNull() & b.isNotNull(), both).otherwise(F.coalesce(a, b))
 
 
-def risk_path(bars: DataFrame, calendar: DataFrame, asked: DataFrame, sessions: int = 60, least: int = 40, floor: float = 0.10) -> DataFrame:
+def risk_path(bars: DataFrame, calendar: DataFrame, asked: DataFrame, sessions: int = 60, least: int = 40, floor: float = 0.10, tasks: int | None = None) -> DataFrame:
     """Annualised volatility of each (symbol, trade_date) asked over its last open days, or why it can't be trusted.
 
     bars: symbol, trade_date, close, quality_severity, missing_reason. Each of the window's open days (fewer at the calendar's start)
     must have a bar with a positive close, without ERROR and without a reason for missing, or be a proven suspension with a positive
     carried close, which counts as a return of zero; the first must be a real close. At least ``least`` days need a real close. Counts
-    are 0 where a day can't be trusted.
+    are 0 where a day can't be trusted. tasks: over how many tasks the names are dealt, where the caller knows how many rows there are.
 
     Open days are cut into blocks of as many days as a window has returns, so that a window is the end of one block and the
     beginning of the next: moments run forwards and backwards within blocks and are merged, so that nothing outside a
-    window ever enters its figures.
+    window ever enters its figures. What is asked stands among the bars as three rows: before the window's first day, before its second, and
+    after its last; so bars and asked days are brought together by name and sorted twice, and nothing else is joined.
     """
+    returns = sessions - 1
     days = F.broadcast(calendar.select(F.col("day").alias("trade_date"), "ord"))
-    a = asked.select("symbol", "trade_date").distinct().join(days, "trade_date").select("symbol", "ord", F.col("trade_date").alias("signal_date"))
-    b = bars.join(days, "trade_date").select("symbol", "ord", "close", "quality_severity", "missing_reason", F.lit(True).alias("there"))
-    # one row for each name and day that has a bar or is asked for; the frames below run over ordinals, so gaps count as missing
-    j = b.join(a, ["symbol", "ord"], "full")
-    priced = F.col("there") & (F.col("close") > 0) & (F.col("close") < float("inf"))
+    by_name = lambda rows: rows.repartition(tasks, "symbol") if tasks else rows.repartition("symbol")
+    priced = (F.col("close") > 0) & (F.col("close") < float("inf"))
     carry = F.coalesce(priced & (F.col("missing_reason") == "suspended_verified"), F.lit(False))
     real = F.coalesce(priced & F.col("missing_reason").isNull() & ~F.col("quality_severity").eqNullSafe("ERROR"), F.lit(False))
-    w = Window.partitionBy("symbol").orderBy("ord")
-    so_far, returns = w.rowsBetween(Window.unboundedPreceding, 0), sessions - 1
-    j = j.withColumns({"carry": carry, "real": real}).withColumn("mark", F.last(F.when(F.col("real"), F.col("close")), ignorenulls=True).over(so_far))
-    j = j.withColumn("ret", F.when(F.col("real"), F.col("mark") / F.lag("mark").over(w) - 1).when(F.col("carry"), F.lit(0.0)))
-    j = j.withColumns({"n_real": F.count_if("real").over(so_far), "n_carry": F.count_if("carry").over(so_far), "block": F.floor((F.col("ord") - 2) / returns)})
-    block = Window.partitionBy("symbol", "block")
-    ahead = moments("ret", block.orderBy("ord").rowsBetween(Window.unboundedPreceding, 0))
-    behind = moments("ret", block.orderBy(F.desc("ord")).rowsBetween(Window.unboundedPreceding, 0))
-    j = j.withColumns({"ahead": ahead, "behind": behind})
-    first = lambda c, back: F.first(c).over(w.rangeBetween(-back, -back))
-    before = w.rangeBetween(Window.unboundedPreceding, -sessions)
-    whole = F.col("ord") >= sessions
-    j = j.withColumns(
-        {
-            "n": F.least("ord", F.lit(sessions)),
-            "of_real": F.col("n_real") - F.coalesce(F.max("n_real").over(before), F.lit(0)),
-            "of_carry": F.col("n_carry") - F.coalesce(F.max("n_carry").over(before), F.lit(0)),
-            "starts": F.coalesce(F.when(whole, first("real", returns)).otherwise(F.max((F.col("ord") == 1) & F.col("real")).over(so_far)), F.lit(False)),
-            "start_block": F.floor((F.greatest(F.col("ord") - returns + 1, F.lit(2)) - 2) / returns),
-            "tail": first("behind", returns - 1),
-        }
-    ).filter("signal_date IS NOT NULL")
-    path = F.when(F.col("start_block") == F.col("block"), F.col("ahead")).otherwise(merged(F.col("tail"), F.col("ahead")))
-    g = j.withColumn("path", path).withColumn("vol", F.when(F.col("path.n") > 1, F.sqrt(F.col("path.m2") / (F.col("path.n") - 1)) * F.sqrt(F.lit(252.0))))
+    b = by_name(bars).join(days, "trade_date").select("symbol", "ord", (F.col("ord") * 3 + 1).alias("place"), F.when(real, F.col("close")).alias("close"), carry.alias("carry"))
+    first = F.greatest(F.col("ord") - returns, F.lit(1))
+    at = lambda part, ord, after: F.struct(F.lit(part).alias("part"), ord.alias("ord"), (ord * 3 + after).alias("place"))
+    a = by_name(asked.select("symbol", "trade_date")).distinct().join(days, "trade_date")
+    a = a.select("symbol", F.col("ord").alias("asked"), F.explode(F.array(at("before", first, 0), at("second", first + 1, 0), at("last", F.col("ord"), 2))).alias("at")).select("symbol", "asked", "at.*")
+    j = b.unionByName(a, allowMissingColumns=True).withColumn("block", F.floor((F.col("ord") - 2) / returns))
+    # ordinals order blocks too: naming the block first lets frames over names and over blocks share a sort
+    w, block = Window.partitionBy("symbol").orderBy("block", "place"), Window.partitionBy("symbol", "block")
+    so_far = w.rowsBetween(Window.unboundedPreceding, 0)
+    j = j.withColumn("mark", F.last("close", ignorenulls=True).over(so_far))
+    ret = F.when(F.col("close").isNotNull(), F.col("mark") / F.lag("mark").over(w) - 1).when(F.col("carry"), F.lit(0.0))
+    j = j.withColumns({"ret": ret, "n_real": F.count("close").over(so_far), "n_carry": F.count_if("carry").over(so_far)})
+    j = j.withColumn("ahead", moments("ret", block.orderBy("place").rowsBetween(Window.unboundedPreceding, 0)))
+    j = j.filter("asked IS NOT NULL OR ret IS NOT NULL").select("symbol", "block", "place", "asked", "part", "ret", "n_real", "n_carry", F.when(F.col("part") == "last", F.col("ahead")).alias("ahead"))
+    j = j.withColumn("behind", moments("ret", block.orderBy(F.desc("place")).rowsBetween(Window.unboundedPreceding, 0))).filter("asked IS NOT NULL")
+    of = lambda part, c, name: F.max(F.when(F.col("part") == part, F.col(c))).alias(name)
+    counts = [of(p, c, f"{c}_{p}") for p in ("before", "second", "last") for c in ("n_real", "n_carry", "block")]
+    figures = [of(p, f"{c}.{m}", f"{c}_{m}") for p, c in (("second", "behind"), ("last", "ahead")) for m in ("n", "mean", "m2")]
+    g = j.groupBy("symbol", "asked").agg(*counts, *figures)
+    both = {c: F.when(F.col(f"{c}_n").isNotNull(), F.struct(*[F.col(f"{c}_{m}").alias(m) for m in ("n", "mean", "m2")])) for c in ("behind", "ahead")}
+    g = g.withColumns(both).withColumns({f"of_{c}": F.col(f"n_{c}_last") - F.col(f"n_{c}_before") for c in ("real", "carry")})
+    path = F.when(F.col("block_second") >= F.col("block_last"), F.col("ahead")).otherwise(merged(F.col("behind"), F.col("ahead")))
+    g = g.withColumns({"path": path, "n": F.least("asked", F.lit(sessions)), "starts": F.col("n_real_second") > F.col("n_real_before")})
+    g = g.withColumn("vol", F.when(F.col("path.n") > 1, F.sqrt(F.col("path.m2") / (F.col("path.n") - 1)) * F.sqrt(F.lit(252.0))))
     reason = F.when((F.col("of_real") + F.col("of_carry") < F.col("n")) | ~F.col("starts"), "untrusted_missing_observation").when(
         (F.col("of_real") < least) | (F.coalesce("path.n", F.lit(0)) < 2), "insufficient_real_close_observations"
     )
     ok, trusted = reason.isNull(), ~reason.eqNullSafe("untrusted_missing_observation")
-    return g.select(
-        F.col("signal_date").alias("trade_date"), "symbol",
+    return g.join(days.withColumnRenamed("ord", "asked"), "asked").select(
+        "trade_date", "symbol",
         F.when(trusted, F.col("of_real")).otherwise(0).cast("long").alias("real_close_observations"), F.when(trusted, F.col("of_carry")).otherwise(0).cast("long").alias("suspension_carry_days"),
         ok.alias("risk_is_valid"), reason.alias("risk_invalid_reason"),
         F.when(ok, F.col("vol")).alias("raw_annualized_volatility"), F.when(ok, F.greatest(F.col("vol"), F.lit(floor))).alias("applied_annualized_volatility"),

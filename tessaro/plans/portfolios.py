@@ -107,21 +107,27 @@ SELECT symbol, trade_date, CASE WHEN missing_reason IS NULL THEN close WHEN day(
 )
 
 
-def risk_input(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bars, and proven suspensions with their carried closes on the open days without one; some of each are faulty."""
+#: Names of a task in the risk path, each with a row for every open day: a task's rows grow with the calendar, not with the names.
+NAMES_PER_TASK = 200
+
+
+def name_tasks(spark: SparkSession, sf_dir: str) -> int:
+    return max(spark.sparkContext.defaultParallelism, -(-table(spark, sf_dir, "supplier").count() // NAMES_PER_TASK))
+
+
+def risk_input(spark: SparkSession, sf_dir: str, tasks: int) -> DataFrame:
+    """Bars, and proven suspensions with their carried closes on the open days without one; some of each are faulty. By name."""
     w = Window.partitionBy("symbol").orderBy("trade_date")
     key, d = F.substring("symbol", 2, 20).cast("long"), F.dayofmonth("trade_date")
-    b = market.bars(spark, sf_dir)
-    severity = F.when(F.col("volume") % 400 == 7, "ERROR").otherwise("INFO").alias("quality_severity")
-    tiny = F.when((key % 3 == 0) & (F.row_number().over(w) <= 40), F.col("close") * 0.000000001).otherwise(F.col("close")).alias("close")
-    gaps = missing_from_grid(market.master(spark, sf_dir), market.open_days(spark, sf_dir), b, ["symbol"], "trade_date")
-    why = F.when((d == 30) & (key % 7 == 0), "unknown_gap").otherwise("suspended_verified").alias("missing_reason")
-    rows = b.select("symbol", "trade_date", tiny, severity, F.lit(None).cast("string").alias("missing_reason")).unionByName(
-        gaps.select("symbol", "trade_date", F.lit(None).cast("double").alias("close"), F.lit("INFO").alias("quality_severity"), why)
-    )
-    carried = F.last("close", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    close = F.when(F.col("missing_reason").isNull(), F.col("close")).when((d == 13) & (key % 2 == 0), None).when((d == 27) & (key % 5 == 0), 0.0).otherwise(F.col("carried"))
-    return rows.withColumn("carried", carried).select("symbol", "trade_date", close.alias("close"), "quality_severity", "missing_reason")
+    tiny = F.when((key % 3 == 0) & (F.row_number().over(w) <= 40), F.col("close") * 0.000000001).otherwise(F.col("close"))
+    severity = F.when(F.col("volume") % 400 == 7, "ERROR").otherwise("INFO")
+    b = market.bars(spark, sf_dir).select("symbol", "trade_date", "close", severity.alias("quality_severity")).repartition(tasks, "symbol").withColumn("close", tiny)
+    b = b.withColumn("carried", F.last("close", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    listed = table(spark, sf_dir, "supplier").select(F.concat(F.lit("S"), "s_suppkey").alias("symbol"), F.lit(True).alias("listed")).distinct()
+    rows = calendars.with_absent_days(b.join(listed, "symbol", "left"), market.calendar(spark, sf_dir), F.col("listed"))
+    why = F.when(F.col("absent"), F.when((d == 30) & (key % 7 == 0), "unknown_gap").otherwise("suspended_verified"))
+    close = F.when(~F.col("absent"), F.col("close")).when((d == 13) & (key % 2 == 0), None).when((d == 27) & (key % 5 == 0), 0.0).otherwise(F.col("carried"))
+    return rows.select("symbol", "trade_date", close.alias("close"), F.when(F.col("absent"), "INFO").otherwise(F.col("quality_severity")).alias("quality_severity"), why.alias("missing_reason"))
 
 
 view("risk_asked", "SELECT r.symbol, r.trade_date, c.ord FROM ranked r JOIN calendar c ON c.day = r.trade_date")
@@ -144,7 +150,8 @@ SELECT trade_date, symbol, CASE WHEN trusted THEN n_real ELSE 0 END AS real_clos
 
 def risk(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = scored(spark, sf_dir).filter("is_valid").select("symbol", "trade_date")
-    return portfolio.risk_path(risk_input(spark, sf_dir), market.calendar(spark, sf_dir), asked)
+    tasks = name_tasks(spark, sf_dir)
+    return portfolio.risk_path(risk_input(spark, sf_dir, tasks), market.calendar(spark, sf_dir), asked, tasks=tasks)
 
 
 @query("SELECT trade_date, symbol, real_close_observations, suspension_carry_days, risk_invalid_reason, CASE WHEN volatility > 100 THEN round(volatility / 1000, 3) ELSE round(volatility, 6) END AS volatility FROM risk")

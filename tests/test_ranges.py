@@ -173,3 +173,22 @@ def test_risk_windows(spark):
         closes, carried, reason, vol = plain_risk(names.get(r.symbol, {}), (r.trade_date - day(0)).days)
         assert (r.real_close_observations, r.suspension_carry_days, r.risk_invalid_reason, r.risk_is_valid) == (closes, carried, reason, reason is None), (r, reason)
         assert r.applied_annualized_volatility == (None if vol is None else pytest.approx(vol, rel=1e-9)), r
+
+
+def test_risk_windows_sort_names_twice(spark):
+    bars = spark.createDataFrame([], "symbol string, trade_date date, close double, quality_severity string, missing_reason string")
+    cal = calendars.with_ordinals(spark.createDataFrame([(day(k),) for k in range(1, 9)], "day date"))
+    plan = portfolio.risk_path(bars, cal, bars.select("symbol", "trade_date"), tasks=3)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Sort [symbol") == 2 and "SortMergeJoin" not in plan
+    assert plan.count("Exchange hashpartitioning(symbol") == plan.count("REPARTITION_BY_NUM") == 2
+
+
+def test_absent_days_stand_between_rows(spark):
+    cal = calendars.with_ordinals(spark.createDataFrame([(day(k),) for k in (2, 3, 4, 6, 8, 9)], "day date"))
+    rows = [("a", day(3), 1.0), ("a", day(5), 2.0), ("a", day(8), 3.0), ("b", day(1), 4.0), ("b", day(10), 5.0), ("c", day(4), 6.0)]
+    rows = spark.createDataFrame(rows, "symbol string, trade_date date, close double")
+    found = calendars.with_absent_days(rows, cal, F.col("symbol") != "c").collect()
+    got = sorted((r.symbol, (r.trade_date - day(0)).days, r.close, r.absent) for r in found)
+    a = [("a", 2, None, True), ("a", 3, 1.0, False), ("a", 4, 1.0, True), ("a", 5, 2.0, False), ("a", 6, 2.0, True), ("a", 8, 3.0, False), ("a", 9, 3.0, True)]
+    b = [("b", 1, 4.0, False), *[("b", k, 4.0, True) for k in (2, 3, 4, 6, 8, 9)], ("b", 10, 5.0, False)]
+    assert got == a + b + [("c", 4, 6.0, False)]
