@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessaro.operators import quality
+from tessaro.operators.lineage import settled
 from tessaro.plans import market, performance, streams
 from tessaro.plans.registry import query
 from tessaro.schemas import TABLES, schema
@@ -53,7 +54,7 @@ def run_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
 def experiment_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The id of an experiment over published bars: the same for the same rows in any order, another where anything it read differs."""
     root = streams.work_folder(spark, "identity")
-    bars = streams.daily_bar(spark, sf_dir)
+    bars = settled(streams.daily_bar(spark, sf_dir))
     days = market.open_days(spark, sf_dir).select(F.col("day").alias("calendar_date"), F.lit(True).alias("is_trading_day"))
     top = bars.agg(F.max(F.struct("close", "symbol", "trade_date")).alias("t")).select("t.*")
     moved = bars.join(F.broadcast(top.select("symbol", "trade_date", F.lit(1).alias("hit"))), ["symbol", "trade_date"], "left").withColumn("close", F.when(F.col("hit") == 1, F.col("close") + 0.01).otherwise(F.col("close"))).select(*bars.columns)

@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessaro.operators.lineage import shared_root
+from tessaro.operators.lineage import settled, shared_root
 from tessaro.plans import market
 from tessaro.plans.market import table
 from tessaro.plans.registry import query
@@ -98,7 +98,7 @@ def published_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT symbol, count(*) AS n_new, count(*) FILTER (trade_date < DATE '1998-01-01') AS n_old, sum(volume) FILTER (trade_date >= DATE '1998-01-01')::BIGINT AS added FROM bars GROUP BY 1")
 def version_views(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two versions at once, as views of the catalogue in plain SQL; commands that write are refused."""
-    root, b = work_folder(spark, "catalog"), daily_bar(spark, sf_dir)
+    root, b = work_folder(spark, "catalog"), settled(daily_bar(spark, sf_dir))
     old = catalog.Dataset(spark, root, catalog.publish(spark, root, {"daily_bar": b.filter("trade_date < DATE'1998-01-01'")}))
     new = catalog.Dataset(spark, root, catalog.publish(spark, root, {"daily_bar": b}))
     before = old.attach()
@@ -150,7 +150,7 @@ def membership_import(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT true AS same_for_any_order, true AS changes_with_content, 9 AS n_tables")
 def content_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = daily_bar(spark, sf_dir)
+    b = settled(daily_bar(spark, sf_dir))
     one, other = catalog.content_hash(b), catalog.content_hash(b.repartition(7, "trade_date"))
     less = catalog.content_hash(b.filter("symbol <> 'S1'"))
     return spark.createDataFrame([(one == other, one != less, len(TABLES))], "same_for_any_order boolean, changes_with_content boolean, n_tables int")
@@ -160,8 +160,9 @@ def content_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def raw_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = work_folder(spark, "raw")
     key = raw_store.request_key("daily", ["S1"], "1995-01-01", "2001-12-31", {"token": "hidden"})
+    rows = settled(market.bars(spark, sf_dir))
     for _ in range(2):  # the same content is one snapshot
-        manifest = raw_store.save(spark, root, market.bars(spark, sf_dir), "tushare", "daily", key, {"token": "hidden"})
+        manifest = raw_store.save(spark, root, rows, "tushare", "daily", key, {"token": "hidden"})
     if raw_store.verify(spark, manifest):
         raise ValueError("the snapshot isn't what was written")
     return raw_store.inventory(spark, root).withColumn("n_snapshots", F.col("n_snapshots").cast("int"))

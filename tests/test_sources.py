@@ -1,11 +1,14 @@
 """Versions, snapshots, supplier reads, membership files, reports."""
 
 import datetime as dt
+import hashlib
+import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from tessaro.operators import gates, membership, quality
-from tessaro.schemas import TABLES, conform, schema
+from tessaro.schemas import TABLES, conform, row_digest, schema
 from tessaro.sources import catalog, identity, membership_file, raw_store, report, supplier
 
 DAY = dt.date(2020, 1, 2)
@@ -433,3 +436,31 @@ def test_landed_names_share_files(spark, tmp_path):
     for n in ("S14", "T1", "S99"):
         with pytest.raises(supplier.EmptyResponse):
             streams.landed_first(f"file://{tmp_path}", n, DAY, DAY)
+
+
+def test_content_hash_is_of_counts_and_whole_sums(spark):
+    rows = spark.range(300).select(F.col("id").alias("a"), F.when(F.col("id") % 7 > 0, F.col("id") / 3).alias("b"))
+    digests = [r.h for r in rows.select(row_digest(["a", "b"]).alias("h")).collect()]
+    plain = lambda xs: hashlib.sha256(json.dumps([str(len(xs)), *(str(sum(int(h[k : k + 15], 16) for h in xs) if xs else None) for k in (0, 15, 30, 45))]).encode()).hexdigest()
+    assert catalog.content_hash(rows) == plain(digests)
+    assert catalog.content_hash(rows.limit(0)) == plain([])
+
+
+@pytest.mark.parametrize("name", ["raw_inventory", "content_hash", "version_views", "experiment_identity"])
+def test_rows_that_are_read_often_are_made_once(spark, monkeypatch, name):
+    from tessaro.plans import all_queries, market
+
+    made, whole = spark.sparkContext.accumulator(0), market.bars
+
+    def counted(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    def bars(spark, sf_dir):
+        rows = whole(spark, sf_dir)
+        return rows.mapInArrow(counted, rows.schema)
+
+    monkeypatch.setattr(market, "bars", bars)
+    all_queries()[name](spark, "/root/testdata/sf0.001").collect()
+    assert made.value == whole(spark, "/root/testdata/sf0.001").count()
