@@ -128,7 +128,9 @@ def daily_bars(frame: DataFrame, source: str, ingested_at) -> Cleaned:
     bad = F.lit(False)
     for c in DAILY_NUMBERS:
         bad = bad | F.col(f"__{c}").isNull()
-    typed = typed.withColumn("reason", clean.first_reason((F.col("__symbol").isNull(), "invalid_symbol"), (F.col("__day").isNull(), "invalid_trade_date"), (bad, "invalid_number"), (F.col("__volume").isNull(), "invalid_volume")))
+    reason = clean.first_reason((F.col("__symbol").isNull(), "invalid_symbol"), (F.col("__day").isNull(), "invalid_trade_date"), (bad, "invalid_number"), (F.col("__volume").isNull(), "invalid_volume"))
+    # a filter isn't pushed below an explode: pushed, it would read every text anew for each place that the reason names it
+    typed = typed.withColumn("reason", F.explode(F.array(reason)))
     rejected = typed.filter("reason IS NOT NULL").select(*[column(c) for c in frame.columns], "reason")
     at = F.lit(ingested_at).cast("timestamp") if isinstance(ingested_at, str) else ingested_at
     good = typed.filter("reason IS NULL").select(
@@ -137,4 +139,5 @@ def daily_bars(frame: DataFrame, source: str, ingested_at) -> Cleaned:
     )
     counted = good.groupBy(*good.columns).agg(F.count("*").alias("__n"))
     audit = counted.filter("__n > 1").select("source", "symbol", "trade_date", F.lit("duplicate_row_collapse").alias("rule"), F.lit("collapsed").alias("action"), F.lit("").alias("old_value"), F.to_json(F.struct(*good.columns)).alias("new_value"), "ingested_at", F.explode(F.sequence(F.lit(2), F.col("__n").cast("int"))).alias("__k")).drop("__k")
-    return Cleaned(counted.drop("__n"), rejected, audit)
+    # both readers of the counts ask for them, so that Spark brings equal rows together once
+    return Cleaned(counted.filter("__n > 0").drop("__n"), rejected, audit)

@@ -1,6 +1,7 @@
 """Properties and edges of the operators that the oracles don't reach."""
 
 import datetime as dt
+import random
 from decimal import Decimal
 
 import pandas as pd
@@ -249,3 +250,14 @@ def test_a_book_of_rules_is_broadcast_and_rows_stay_where_they_are(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert sorted(held) == [500] * 8
     assert {(r.k, r.rate): r["count"] for r in out.groupBy("k", "rate").count().collect()} == {("a", None): 67, ("a", 1): 2077, ("a", 2): 1855, ("b", None): 1}
+
+
+def test_daily_rows_are_brought_together_once(spark):
+    from tessaro.sources import layouts
+
+    raw = spark.createDataFrame([("600000.SH", "20200102", "1", *["2"] * 5)] * 3 + [("x", "20200102", "1", *["2"] * 5)], "ts_code string, trade_date string, vol string, open string, high string, low string, close string, amount string")
+    c = layouts.daily_bars(raw, "tushare", "2024-01-01")
+    both = c.valid.agg(F.sum("volume").alias("n")).unionByName(c.audit.agg(F.count("*").alias("n")))
+    assert sorted(r.n for r in both.collect()) == [2, 100]
+    both.write.format("noop").mode("overwrite").save()
+    assert "ReusedExchange" in both._jdf.queryExecution().executedPlan().toString()
