@@ -170,20 +170,22 @@ def lineage_faults(adjusted: DataFrame, bars: DataFrame, events: DataFrame, basi
     return j.select("symbol", "trade_date", faults.alias("code")).filter("code IS NOT NULL").unionByName(unknown.select("symbol", "trade_date", F.lit("adjusted_bar_unknown_action").alias("code")).distinct())
 
 
-def suspension_runs(chain: DataFrame, calendar: DataFrame, listing: DataFrame, events: DataFrame, tolerance: float = 0.005) -> DataFrame:
+def suspension_runs(chain: DataFrame, calendar: DataFrame, listing: DataFrame, events: DataFrame, tolerance: float = 0.005, tasks: int | None = None) -> DataFrame:
     """Runs of absent open days within the listing, each with what proves or fails to prove a suspension.
 
     chain: symbol, trade_date, close, pre_close. A run between two bars is a suspension if the next stated previous close
     equals the close before it within the tolerance, or an implemented action has its ex-date in the run. Runs at either end,
-    or before a bar without a stated previous close, stay unverified.
+    or before a bar without a stated previous close, stay unverified. tasks: over how many tasks the names are dealt, where the caller
+    knows how many rows there are.
     """
+    by_name = lambda rows: rows.repartition(tasks, "symbol") if tasks else rows
     names = listing.select("symbol", "list_date", "delist_date").join(chain.select("symbol").distinct(), "symbol", "left_semi")
     names = ordinals_of(ordinals_of(names, calendar, "list_date", "_lo", up=True), calendar, "delist_date", "_hi", up=False)
     names = names.select("symbol", F.coalesce("_lo", F.lit(1)).cast("long").alias("lo"), F.coalesce("_hi", calendar.agg(F.max("ord")).scalar()).cast("long").alias("hi"))
     # absent runs are the gaps between a name's open-day bars, within its listing: no grid of names and days
     w = Window.partitionBy("symbol").orderBy("ord")
     bars_at = chain.select("symbol", F.col("trade_date").alias("day")).distinct().join(F.broadcast(calendar), "day").select("symbol", "ord")
-    bars_at = bars_at.unionByName(names.select("symbol", (F.col("hi") + 1).alias("ord"))).distinct()
+    bars_at = by_name(bars_at.unionByName(names.select("symbol", (F.col("hi") + 1).alias("ord")))).distinct()
     gaps = bars_at.withColumn("a", F.coalesce(F.lag("ord").over(w), F.lit(0)) + 1).withColumn("b", F.col("ord") - 1).join(names, "symbol")
     gaps = gaps.select("symbol", F.greatest("a", "lo").alias("first_ord"), F.least("b", "hi").alias("last_ord")).filter("first_ord <= last_ord")
     at = lambda c, d: F.broadcast(calendar.select(F.col("ord").alias(c), F.col("day").alias(d)))
@@ -194,7 +196,7 @@ def suspension_runs(chain: DataFrame, calendar: DataFrame, listing: DataFrame, e
     bar = chain.select("symbol", F.col("trade_date").alias("_t"), F.lit(1).alias("_o"), F.struct("pre_close", "close").alias("_bar"))
     ex = events.filter("status = 'implemented'").select("symbol", F.col("ex_date").alias("_t"), F.lit(1).alias("_o"), F.col("ex_date").alias("_ex")).distinct()
     ends = runs.select("symbol", run, F.lit(0).alias("_o"), F.explode(F.array("first_day", "last_day")).alias("_t"))
-    both = bar.unionByName(ends, allowMissingColumns=True).unionByName(ex, allowMissingColumns=True)
+    both = by_name(bar.unionByName(ends, allowMissingColumns=True).unionByName(ex, allowMissingColumns=True))
     back = Window.partitionBy("symbol").orderBy("_t", "_o").rowsBetween(Window.unboundedPreceding, -1)
     ahead = Window.partitionBy("symbol").orderBy(F.desc("_t"), F.desc("_o")).rowsBetween(Window.unboundedPreceding, -1)
     both = both.withColumn("_b", F.last("_bar", ignorenulls=True).over(back)).withColumn("_a", F.last("_bar", ignorenulls=True).over(ahead)).withColumn("_x", F.last("_ex", ignorenulls=True).over(ahead))

@@ -13,12 +13,19 @@ from tessaro.plans.registry import view
 
 #: How many names the corporate actions are spread over.
 ACTION_NAMES = 100
+#: Names of a task where a name has up to a row for every open day: a task's rows grow with the calendar, not with the names.
+NAMES_PER_TASK = 200
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def name_tasks(spark: SparkSession, sf_dir: str) -> int:
+    """How many tasks the listed names are dealt to."""
+    return max(spark.sparkContext.defaultParallelism, -(-table(spark, sf_dir, "supplier").count() // NAMES_PER_TASK))
+
+
 def day(column: str):
     return F.to_date(column)
 

@@ -523,7 +523,7 @@ LEFT JOIN LATERAL (SELECT min(ex_date) AS first_ex_date FROM actions a WHERE a.s
 
 
 def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return act.suspension_runs(chain(spark, sf_dir), market.calendar(spark, sf_dir), market.master(spark, sf_dir), market.actions(spark, sf_dir))
+    return act.suspension_runs(chain(spark, sf_dir), market.calendar(spark, sf_dir), market.master(spark, sf_dir), market.actions(spark, sf_dir), tasks=market.name_tasks(spark, sf_dir))
 
 
 @query("SELECT symbol, first_day, last_day, n_days, previous_close, next_pre_close, first_ex_date, code FROM runs")

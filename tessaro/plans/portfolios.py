@@ -107,14 +107,6 @@ SELECT symbol, trade_date, CASE WHEN missing_reason IS NULL THEN close WHEN day(
 )
 
 
-#: Names of a task in the risk path, each with a row for every open day: a task's rows grow with the calendar, not with the names.
-NAMES_PER_TASK = 200
-
-
-def name_tasks(spark: SparkSession, sf_dir: str) -> int:
-    return max(spark.sparkContext.defaultParallelism, -(-table(spark, sf_dir, "supplier").count() // NAMES_PER_TASK))
-
-
 def risk_input(spark: SparkSession, sf_dir: str, tasks: int) -> DataFrame:
     """Bars, and proven suspensions with their carried closes on the open days without one; some of each are faulty. By name."""
     w = Window.partitionBy("symbol").orderBy("trade_date")
@@ -150,7 +142,7 @@ SELECT trade_date, symbol, CASE WHEN trusted THEN n_real ELSE 0 END AS real_clos
 
 def risk(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = scored(spark, sf_dir).filter("is_valid").select("symbol", "trade_date")
-    tasks = name_tasks(spark, sf_dir)
+    tasks = market.name_tasks(spark, sf_dir)
     return portfolio.risk_path(risk_input(spark, sf_dir, tasks), market.calendar(spark, sf_dir), asked, tasks=tasks)
 
 
