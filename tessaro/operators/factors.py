@@ -24,10 +24,11 @@ def momentum_by_bar(bars: DataFrame, lag: int = 60, seasoning: int = 120) -> Dat
     """At every bar (symbol, trade_date, adjusted_close, quality_severity, listed_days): close over the close ``lag``
     observations before, less one, or why it can't be used: too few observations, an ERROR among them, too short a listing."""
     w = Window.partitionBy("symbol").orderBy("trade_date")
-    last = w.rowsBetween(-lag, 0)
-    n, bad = F.count("*").over(last), F.max(F.when(F.col("quality_severity") == "ERROR", 1).otherwise(0)).over(last)
-    j = bars.withColumn("_n", n).withColumn("_bad", bad).withColumn("_then", F.lag("adjusted_close", lag).over(w))
-    reason = F.when(F.col("_n") <= lag, "insufficient_observations").when(F.col("_bad") == 1, "quality_error").when(F.col("listed_days") < seasoning, "seasoning_below_120")
+    # running counts and what they were before the window: a frame of lag rows would be read again for every row
+    errors = F.count_if(F.col("quality_severity") == "ERROR").over(w.rowsBetween(Window.unboundedPreceding, 0))
+    j = bars.withColumns({"_n": F.row_number().over(w), "_errors": errors, "_then": F.lag("adjusted_close", lag).over(w)})
+    j = j.withColumn("_bad", F.col("_errors") > F.coalesce(F.lag("_errors", lag + 1).over(w), F.lit(0)))
+    reason = F.when(F.col("_n") <= lag, "insufficient_observations").when(F.col("_bad"), "quality_error").when(F.col("listed_days") < seasoning, "seasoning_below_120")
     value = F.when(reason.isNull(), F.col("adjusted_close") / F.col("_then") - 1)
     return j.select("symbol", "trade_date", value.alias("raw_value"), reason.alias("invalid_reason"))
 

@@ -252,6 +252,21 @@ def test_a_book_of_rules_is_broadcast_and_rows_stay_where_they_are(spark):
     assert {(r.k, r.rate): r["count"] for r in out.groupBy("k", "rate").count().collect()} == {("a", None): 67, ("a", 1): 2077, ("a", 2): 1855, ("b", None): 1}
 
 
+def test_momentum_windows_are_running_counts(spark):
+    rng = random.Random(3)
+    rows = [(s, dt.date(2020, 1, 1) + dt.timedelta(k), 50 + rng.random(), rng.choice(["ERROR", "INFO", "INFO", "INFO", "INFO", "INFO", None]), k) for s in "ab" for k in range(60 if s == "a" else 7)]
+    bars = spark.createDataFrame(rows, "symbol string, trade_date date, adjusted_close double, quality_severity string, listed_days long")
+    found = factors.momentum_by_bar(bars, lag=4, seasoning=9)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "specifiedwindowframe(RowFrame, -4, currentrow$())" not in plan
+    for r in found.collect():
+        own = [x for x in rows if x[0] == r.symbol]
+        k = (r.trade_date - dt.date(2020, 1, 1)).days
+        bad = any(x[3] == "ERROR" for x in own[max(k - 4, 0) : k + 1])
+        reason = "insufficient_observations" if k < 4 else "quality_error" if bad else "seasoning_below_120" if k < 9 else None
+        assert (r.invalid_reason, r.raw_value) == (reason, None if reason else own[k][2] / own[k - 4][2] - 1)
+
+
 def test_daily_rows_are_brought_together_once(spark):
     from tessaro.sources import layouts
 
