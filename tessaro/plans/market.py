@@ -53,11 +53,15 @@ FROM lineitem GROUP BY 1, 2""",
 )
 
 
-def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+def bars(spark: SparkSession, sf_dir: str, lot: F.Column | None = None) -> DataFrame:
+    """lot: an expression of symbol, a first column more. Each lot's rows are then in one task, sorted by symbol and day: lines are
+    shuffled once, and sorted once."""
     place = F.struct("l_orderkey", "l_linenumber", "l_extendedprice")
+    lines = table(spark, sf_dir, "lineitem").withColumns({"symbol": F.concat(F.lit("S"), "l_suppkey"), "trade_date": day("l_shipdate")})
+    if lot is not None:
+        lines = lines.withColumn("lot", lot).repartition("lot")
     return (
-        table(spark, sf_dir, "lineitem")
-        .groupBy(F.concat(F.lit("S"), "l_suppkey").alias("symbol"), day("l_shipdate").alias("trade_date"))
+        lines.groupBy(*(() if lot is None else ("lot",)), "symbol", "trade_date")
         .agg(
             F.min_by("l_extendedprice", place).alias("open"),
             F.max("l_extendedprice").alias("high"),

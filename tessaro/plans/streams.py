@@ -179,6 +179,13 @@ def opened(folder: str, path: str, changed: int, size: int):
     return f, [(s.min, s.max) if s is not None and s.has_min_max else (None, None) for s in stats]
 
 
+@functools.lru_cache(maxsize=8)
+def row_groups(folder: str, path: str, changed: int, size: int, groups: tuple[int, ...]):
+    """Rows of neighbouring row groups: a name's next window, and names beside it, are in the same ones. A task has one core, so that
+    they are read by one thread."""
+    return opened(folder, path, changed, size)[0].read_row_groups(groups, use_threads=False)
+
+
 def landed(folder: str, symbol: str, start, end):
     """A supplier's response for a symbol: its rows in a landing folder, whatever range is asked for, and headers that tell of the budget
     left. They are in a file of its own, or in that of the names which differ in the last two characters only, whose row groups are narrow."""
@@ -191,9 +198,11 @@ def landed(folder: str, symbol: str, start, end):
     files = lambda path: [f for f in fs.get_file_info(FileSelector(path, allow_not_found=True)) if f.path.endswith(".parquet")]
     found = [t.add_column(0, "symbol", pa.repeat(symbol, len(t))) for t in (pq.ParquetFile(f.path, filesystem=fs).read() for f in files(f"{root}/symbol={symbol}"))]
     for f in files(f"{root}/names={symbol[:-2]}xx") if not found else ():
-        rows, ends = opened(folder, f.path, f.mtime_ns, f.size)
-        t = rows.read_row_groups([g for g, (lo, hi) in enumerate(ends) if lo is None or lo <= symbol <= hi])
-        found.append(t.filter(pc.equal(t["symbol"], symbol)))
+        file = (folder, f.path, f.mtime_ns, f.size)
+        own = tuple(g for g, (lo, hi) in enumerate(opened(*file)[1]) if lo is None or lo <= symbol <= hi)
+        if own:
+            t = row_groups(*file, own)
+            found.append(t.filter(pc.equal(t["symbol"], symbol)))
     if not any(map(len, found)):
         raise supplier.EmptyResponse(symbol)
     return pa.concat_tables(found), {"X-RateLimit-IP-Remaining": "180"}
@@ -207,13 +216,18 @@ def landed_second(folder: str, symbol: str, start, end):
     return landed(f"{folder}/second", symbol, start, end)
 
 
-def landing(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
-    """Bars as the responses of two endpoints, of which the first lacks every third, a file for a hundred names; and the symbols."""
+#: The endpoints of landed bars, and which names' bars each of them has, by k, the name's number modulo three.
+ENDPOINTS = {"first": "k > 0", "second": "k = 0"}
+
+
+def landing(spark: SparkSession, sf_dir: str, endpoints: tuple[str, ...] = tuple(ENDPOINTS)) -> tuple[str, str]:
+    """Bars as the responses of the endpoints that will be asked, of which the first lacks every third name, a file for a hundred names; and
+    the symbols, of which the endpoints lack some."""
     at = work_folder(spark, "landing")
-    b = market.bars(spark, sf_dir).select("symbol", "trade_date", "close", "volume", (F.substring("symbol", 2, 20).cast("long") % 3).alias("k"))
     names = F.concat(F.expr("left(symbol, length(symbol) - 2)"), F.lit("xx"))
-    for name, own in (("first", b.filter("k > 0")), ("second", b.filter("k = 0"))):
-        lots = own.drop("k").withColumn("names", names).repartition("names").sortWithinPartitions("names", "symbol", "trade_date")
+    b = market.bars(spark, sf_dir, names).select(F.col("lot").alias("names"), "symbol", "trade_date", "close", "volume", (F.substring("symbol", 2, 20).cast("long") % 3).alias("k"))
+    for name in endpoints:
+        lots = b.filter(ENDPOINTS[name]).drop("k").sortWithinPartitions("names", "symbol", "trade_date")
         lots.write.option("parquet.block.row.count.limit", 2000).partitionBy("names").parquet(f"{at}/{name}")
     # the names that are asked for are configuration, as a universe is: a string of them
     names = ",".join(sorted(r.symbol for r in market.master(spark, sf_dir).select("symbol").collect()))
@@ -229,7 +243,7 @@ def supplier_options(at: str, names: str) -> dict:
 def supplier_read(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The bars that one endpoint has, in windows of two years of which it doesn't heed the range: the source drops what wasn't asked for."""
     supplier.register(spark)
-    options = supplier_options(*landing(spark, sf_dir)) | {"connector": "tessaro.plans.streams:landed_first", "window_years": "2", "start": "1996-03-01", "end": "2000-02-29"}
+    options = supplier_options(*landing(spark, sf_dir, ("first",))) | {"connector": "tessaro.plans.streams:landed_first", "window_years": "2", "start": "1996-03-01", "end": "2000-02-29"}
     return spark.read.format("supplier").options(**options).load()
 
 

@@ -5,7 +5,7 @@ The connector is a plain function of (endpoint, symbol, start, end) named by ``c
 rows in the schema's order. Several, comma-separated, are a chain: each is asked until one has data, and a request for which
 none has any is no fault of the others. With ``headers``, connectors return (rows, headers), and requests are spaced by what the headers say.
 Windows are half-decades, so that no response meets a supplier's row limit. A batch's task makes ``requests_per_task`` requests, one after
-the other, so that tasks are worth their start. Rows may be tuples or a pyarrow Table, whose columns are taken in the schema's order.
+the other, so that tasks are worth their start; unless that is given, more than a hundred where there would be too many tasks. Rows may be tuples or a pyarrow Table, whose columns are taken in the schema's order.
 
 As a stream, the offset is the last day read: each batch asks for the days after it, up to ``end``, and for ``overlap`` days before,
 in which suppliers still correct. Requests are dealt to the ``addresses``, one partition each, so that one task spaces all
@@ -33,6 +33,8 @@ from tessaro.sources.catalog import Files
 
 WINDOW_YEARS = 5
 REQUESTS_PER_TASK = 100
+#: Tasks of a batch from which they make more requests each rather than becoming more: starting one costs as much as some hundred requests.
+MANY_TASKS = 400
 #: Rows of small responses that are handed to Spark together.
 BATCH_ROWS = 10_000
 
@@ -151,6 +153,8 @@ def within_table(rows: pa.Table, at: int | None, start: dt.date, end: dt.date) -
     """``within`` for a table."""
     if at is None:
         return rows
+    if pa.types.is_date32(rows.column(at).type):
+        return rows.filter(pc.and_(pc.greater_equal(rows.column(at), pa.scalar(start)), pc.less_equal(rows.column(at), pa.scalar(end))))
     days = pc.replace_substring(pc.utf8_slice_codeunits(rows.column(at).cast(pa.string()), 0, 10), "-", "")
     return rows.filter(pc.and_(pc.greater_equal(days, start.strftime("%Y%m%d")), pc.less_equal(days, end.strftime("%Y%m%d"))))
 
@@ -241,7 +245,7 @@ class SupplierReader(OnWorkers, DataSourceReader):
 
     def partitions(self) -> list[InputPartition]:
         asked = asked_for(self.options, dt.date.fromisoformat(self.options["start"]), dt.date.fromisoformat(self.options["end"]))
-        n = max(1, int(self.options.get("requests_per_task", REQUESTS_PER_TASK)))
+        n = max(1, int(self.options.get("requests_per_task", max(REQUESTS_PER_TASK, -(-len(asked) // MANY_TASKS)))))
         return [Requests(asked[i : i + n]) for i in range(0, len(asked), n)]
 
     def read(self, partition: InputPartition | None) -> Iterator[pa.RecordBatch] | Iterator[tuple]:

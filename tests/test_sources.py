@@ -421,6 +421,42 @@ def test_a_batch_deals_requests_in_lots(spark, monkeypatch):
         assert [tuple(r.values()) for b in got for r in b.to_pylist()] == [("N6", DAY, 1.0), ("N8", DAY, 1.0)] if first is tables_of else got == [("N6", DAY, 1.0), ("N8", DAY, 1.0)]
 
 
+def test_many_requests_are_longer_tasks_rather_than_more(spark):
+    names = [f"N{k}" for k in range(60_000)]
+    o = {"symbols": ",".join(names), "start": DAY.isoformat(), "end": (DAY + dt.timedelta(days=9)).isoformat()}
+    parts = supplier.SupplierReader(o).partitions()
+    assert len(parts) == supplier.MANY_TASKS and [r[0] for p in parts for r in p.value] == names
+    assert len(supplier.SupplierReader(o | {"requests_per_task": "100"}).partitions()) == 600
+
+
+def test_bars_land_by_one_shuffle_where_they_are_asked_for(spark, tmp_path, monkeypatch):
+    """A lot's bars are made, sorted and written where its lines came to; an endpoint that isn't asked has nothing to land."""
+    from tessaro.plans import market, streams
+
+    sf, at = "/root/testdata/sf0.001", f"file://{tmp_path}"
+    b = market.bars(spark, sf, F.expr("left(symbol, length(symbol) - 2)"))
+    assert b.columns[0] == "lot" and b._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    key = lambda df: sorted(map(tuple, df.collect()))
+    assert key(b.drop("lot")) == key(market.bars(spark, sf))
+    monkeypatch.setattr(streams, "work_folder", lambda spark, what: f"{at}/{what}")
+    streams.landing(spark, sf, ("first",))
+    assert [p.name for p in (tmp_path / "landing").iterdir()] == ["first"]
+    files = [p for p in (tmp_path / "landing/first").glob("names=*/*.parquet")]
+    assert len(files) == len({p.parent for p in files}) >= 1
+
+
+def test_row_groups_are_read_once_for_neighbouring_requests(spark, tmp_path):
+    from tessaro.plans import streams
+
+    df = spark.createDataFrame([(n, DAY, 1.0, 1) for n in ("S112", "S113", "S114")], "symbol string, trade_date date, close double, volume long")
+    df.withColumn("names", F.lit("S1xx")).coalesce(1).write.partitionBy("names").parquet(str(tmp_path / "first"))
+    before = streams.row_groups.cache_info().misses
+    for n in ("S112", "S113", "S113", "S114"):
+        rows, _ = streams.landed_first(f"file://{tmp_path}", n, DAY, DAY)
+        assert rows.column("symbol").to_pylist() == [n]
+    assert streams.row_groups.cache_info().misses == before + 1
+
+
 def test_landed_names_share_files(spark, tmp_path):
     """A response is the name's own rows, found among the names that share its file."""
     from tessaro.plans import streams
