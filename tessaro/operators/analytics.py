@@ -124,10 +124,11 @@ def same_path(equity: DataFrame, fills: DataFrame, by: list[str]) -> DataFrame:
     return day.withColumn("fees_so_far", F.sum("fee").over(w).cast("double")).filter("equity IS NOT NULL").select(*by, "trade_date", "equity", "fees_so_far", (F.col("equity") + F.col("fees_so_far")).alias("gross_equity"))
 
 
-def fold_metrics(equity: DataFrame, fills: DataFrame, diffs: DataFrame, by: list[str], initial: float | None = None) -> DataFrame:
+def fold_metrics(equity: DataFrame, fills: DataFrame, diffs: DataFrame, by: list[str], initial: float | None = None, one_row_an_order: bool = False) -> DataFrame:
     """One row of metrics for each group (fold and scenario).
 
-    diffs: by, order_id, planned_quantity, rejected_quantity, status. Undefined ratios are null.
+    diffs: by, order_id, planned_quantity, rejected_quantity, status. Undefined ratios are null. Where diffs are made with one row for
+    each order of a group, say so: orders are then counted, and their ids needn't be brought together to be told apart.
     """
     vol, sharpe = sample_annualized()
     r = drawdowns(daily_returns(equity, by, initial), by)
@@ -138,7 +139,7 @@ def fold_metrics(equity: DataFrame, fills: DataFrame, diffs: DataFrame, by: list
         F.min("drawdown").alias("per_fold_max_drawdown"), F.avg("equity").alias("turnover_denominator"), start.alias("initial_equity"), F.max_by("equity", "trade_date").alias("_end"),
     )
     d = diffs.groupBy(*by).agg(
-        F.count_distinct("order_id").alias("submitted_order_count"),
+        (F.count("order_id") if one_row_an_order else F.count_distinct("order_id")).alias("submitted_order_count"),
         F.count_if(F.col("rejected_quantity") > 0).alias("_rejected"),
         F.count_if(F.col("status") == "REJECTED").alias("fully_rejected_order_count"),
         F.count_if(F.col("status") == "PARTIAL").alias("partially_filled_order_count"),

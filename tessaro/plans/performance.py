@@ -108,7 +108,8 @@ def diffs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def folds(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = market.equity(spark, sf_dir).withColumn("fold_id", F.year("trade_date"))
-    return analytics.fold_metrics(e, fills(spark, sf_dir).withColumn("fold_id", F.year("trade_date")), diffs(spark, sf_dir), ["scenario", "fold_id"], START)
+    # order lines are grouped by what their ids are made of, and have one fold
+    return analytics.fold_metrics(e, fills(spark, sf_dir).withColumn("fold_id", F.year("trade_date")), diffs(spark, sf_dir), ["scenario", "fold_id"], START, one_row_an_order=True)
 
 
 @query(

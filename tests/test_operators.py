@@ -276,3 +276,25 @@ def test_daily_rows_are_brought_together_once(spark):
     assert sorted(r.n for r in both.collect()) == [2, 100]
     both.write.format("noop").mode("overwrite").save()
     assert "ReusedExchange" in both._jdf.queryExecution().executedPlan().toString()
+
+
+def test_fold_metrics_count_orders(spark):
+    """Repeated ids are one order; where diffs have one row for each order, their ids aren't shuffled to find that."""
+    from tessaro.operators import analytics
+
+    equity = spark.createDataFrame([("a", day(k), 100.0 + k) for k in range(3)], "fold string, trade_date date, equity double")
+    fills = spark.createDataFrame([("a", "BUY", 10, D("2.00"), D("2.00"), D("1.00"), D("0.00"))], "fold string, side string, quantity long, price decimal(18,2), reference_price decimal(18,2), commission decimal(18,2), stamp_tax decimal(18,2)")
+    diffs = spark.createDataFrame([("a", "1", 10, 0, "FILLED"), ("a", "2", 10, 4, "PARTIAL"), ("a", "3", 10, 10, "REJECTED")], "fold string, order_id string, planned_quantity long, rejected_quantity long, status string")
+    counted = analytics.fold_metrics(equity, fills, diffs, ["fold"], 100.0, one_row_an_order=True)
+    told_apart = analytics.fold_metrics(equity, fills, diffs, ["fold"], 100.0)
+    assert rows(counted) == rows(told_apart) and counted.first().submitted_order_count == 3
+    assert analytics.fold_metrics(equity, fills, diffs.unionByName(diffs), ["fold"], 100.0).first().submitted_order_count == 3
+    by_id = lambda df: df._jdf.queryExecution().executedPlan().toString().count("order_id")
+    assert by_id(told_apart) > by_id(counted)
+
+
+def test_orders_of_folds_are_not_told_apart_by_a_shuffle(spark):
+    from tessaro.plans import performance
+
+    plan = performance.fold_metrics(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Exchange hashpartitioning" in line and "order_id" in line]
