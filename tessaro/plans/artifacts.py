@@ -108,14 +108,15 @@ UNION ALL SELECT 'metrics', (SELECT count(*) FROM folds), false UNION ALL SELECT
 )
 def experiment_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A report of fold metrics and weekly curves, written and read back; a table above its bound is refused, not cut."""
-    metrics = performance.folds(spark, sf_dir)
-    weekly = market.equity(spark, sf_dir).groupBy("scenario", F.date_trunc("week", "trade_date").cast("date").alias("week")).agg(F.max_by("equity", "trade_date").alias("equity"))
+    equity = settled(market.equity(spark, sf_dir))  # two rows a day, read by all parts
+    metrics = performance.folds(spark, sf_dir, equity)
+    weekly = equity.groupBy("scenario", F.date_trunc("week", "trade_date").cast("date").alias("week")).agg(F.max_by("equity", "trade_date").alias("equity"))
     page = report.experiment("Equal weight, two scenarios", metrics, weekly, {"tables": ["equity", "order_lines"]})
     files, at = catalog.Files(spark, streams.work_folder(spark, "report")), f"{streams.work_folder(spark, 'report')}/experiment.html"
     files.write(at, page)
     back = files.read(at)
     try:
-        report.table_html(market.equity(spark, sf_dir), most=100)
+        report.table_html(equity, most=100)
         refused = False
     except ValueError:
         refused = True

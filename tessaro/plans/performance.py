@@ -106,8 +106,9 @@ def diffs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.withColumn("fold_id", F.year("trade_date")).withColumn("signal_date", F.col("trade_date")).withColumn("reason", F.when(F.col("status") != "FILLED", "insufficient_cash"))
 
 
-def folds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = market.equity(spark, sf_dir).withColumn("fold_id", F.year("trade_date"))
+def folds(spark: SparkSession, sf_dir: str, equity: DataFrame | None = None) -> DataFrame:
+    """equity: the curves of market.equity, where they are at hand."""
+    e = (market.equity(spark, sf_dir) if equity is None else equity).withColumn("fold_id", F.year("trade_date"))
     # order lines are grouped by what their ids are made of, and have one fold
     return analytics.fold_metrics(e, fills(spark, sf_dir).withColumn("fold_id", F.year("trade_date")), diffs(spark, sf_dir), ["scenario", "fold_id"], START, one_row_an_order=True)
 

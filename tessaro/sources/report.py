@@ -8,6 +8,8 @@ import json
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessaro.operators.lineage import settled
+
 ROWS = 5000
 STYLE = "body{font-family:sans-serif;margin:2em}table{border-collapse:collapse}td,th{border:1px solid #ccc;padding:.2em .6em;text-align:right}"
 
@@ -42,8 +44,8 @@ def report(title: str, sections: dict[str, str], facts: dict | None = None) -> s
 
 def experiment(title: str, metrics: DataFrame, curves: DataFrame, facts: dict | None = None, most: int = ROWS) -> str:
     """The report of an experiment: a row of metrics for each fold and scenario, and for each scenario its curve and its fall from the
-    highest point so far. curves: scenario, week, equity, few enough points; more than the bound are refused."""
-    falls = curves.withColumn("fall", F.col("equity") / F.max("equity").over(Window.partitionBy("scenario").orderBy("week").rowsBetween(Window.unboundedPreceding, 0)) - 1)
+    highest point so far. curves: scenario, week, equity, few enough points; more than the bound are refused. They are computed once."""
+    falls = settled(curves.withColumn("fall", F.col("equity") / F.max("equity").over(Window.partitionBy("scenario").orderBy("week").rowsBetween(Window.unboundedPreceding, 0)) - 1))
     sections = {"Folds": table_html(metrics.orderBy(*metrics.columns[:2]), most)}
     totals = falls.groupBy("scenario").agg(F.count("*").alias("n_points"), F.min_by("equity", "week").alias("first"), F.max_by("equity", "week").alias("last"), F.min("fall").alias("deepest_fall")).orderBy("scenario")
     sections["Curves"] = table_html(totals, most)

@@ -509,3 +509,26 @@ def test_rows_that_are_read_often_are_made_once(spark, monkeypatch, name):
     monkeypatch.setattr(market, "bars", bars)
     all_queries()[name](spark, "/root/testdata/sf0.001").collect()
     assert made.value == whole(spark, "/root/testdata/sf0.001").count()
+
+
+def test_a_report_makes_its_curves_once(spark, monkeypatch):
+    from tessaro.plans import all_queries, market
+
+    made, whole, sf = spark.sparkContext.accumulator(0), market.equity, "/root/testdata/sf0.001"
+
+    def counted(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    def equity(spark, sf_dir):
+        rows = whole(spark, sf_dir)
+        return rows.mapInArrow(counted, rows.schema)
+
+    monkeypatch.setattr(market, "equity", equity)
+    all_queries()["experiment_report"](spark, sf).collect()
+    assert made.value == whole(spark, sf).count()
+    made.add(-made.value)
+    curves = spark.createDataFrame([(s, DAY + dt.timedelta(days=7 * k), 1.0 + k) for s in ("a", "b") for k in range(5)], "scenario string, week date, equity double")
+    report.experiment("t", spark.createDataFrame([("a", 1)], "scenario string, fold_id int"), curves.mapInArrow(counted, curves.schema))
+    assert made.value == 10
