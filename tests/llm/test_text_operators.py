@@ -536,6 +536,32 @@ def test_ordinal_quality_on_held_out_rows(spark, none):
     assert ordinal_quality.score(docs, one).filter("kept").count() == docs.count()
 
 
+@pytest.mark.parametrize("grades", [2, 3])
+def test_ordinal_quality_keeps_a_large_sample_in_tasks(spark, monkeypatch, grades):
+    """Long texts, more features than the driver takes: it gets sums of slopes alone, and the model is that of the same rows at hand."""
+    rng, bits = random.Random(grades), 6
+    words = [prose(rng, 1).split()[0] + str(k) for k in range(400)]
+    docs = [(k, " ".join(rng.choice(words[(k % grades) * 60 :]) for _ in range(300))) for k in range(900)] + [(900, None), (901, "")]
+    labels = [(k, k % grades) for k in range(600)] + [(900, 0), (901, 1), (7, 0)]
+    frames = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, grade int")
+    held = sorted({(k, g) for k, g in labels})
+    rows = [ordinal_quality.features(raw(dict(docs)[k]), bits) for k, _ in held]
+    rows = [(a, v.astype(np.float32).astype(np.float64)) for a, v in rows]
+    want = ordinal_quality.fit(rows, np.array([g for _, g in held]), bits)
+    sent, most = [], 4 * 8 * ((1 << bits) + ordinal_quality.SHAPE + grades)
+    assert 8 * sum(len(a) for a, _ in rows) > 50 * most
+    kind, collect = type(frames[0]), type(frames[0]).toArrow
+    monkeypatch.setattr(kind, "toArrow", lambda self: [out := collect(self), sent.append(out.nbytes)][0])
+    monkeypatch.setattr(ordinal_quality, "LOCAL", 1000, raising=False)
+    got = ordinal_quality.train(*frames, bits=bits)
+    assert len(sent) >= 1 and max(sent) <= 2 * most
+    assert got.grades == want.grades == grades
+    assert np.allclose(got.weights, want.weights, atol=1e-6) and np.allclose(got.thresholds, want.thresholds, atol=1e-6)
+    monkeypatch.undo()
+    near = ordinal_quality.train(*frames, bits=bits)
+    assert np.array_equal(near.weights, want.weights) and np.array_equal(near.thresholds, want.thresholds)
+
+
 def test_toxicity_block_max_is_exact_and_separates(spark, none):
     rng = random.Random(9)
     examples = [({rng.randrange(40): rng.randint(1, 3) for _ in range(rng.randint(1, 6))}, k % 2, k) for k in range(500)]
